@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality as quality_rules
-from . import secrets, simhash, suffix_dedup
+from . import secrets, simhash, suffix_dedup, token_store
 from .common import table
 
 
@@ -27,6 +28,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    path = token_store.fresh_path(spark)
+    token_store.write_store(table(spark, sf_dir, "documents"), path, tokenizer or public_tokenizers.path("word_bpe_49k.json"), end=2, vocabulary=49_408)
+    # Spark's crc32 is unsigned, in a long
+    return token_store.read_store(spark, path, 49_408).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
