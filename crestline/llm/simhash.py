@@ -88,11 +88,12 @@ def neighbours():
 
 def links(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints; their components are those of all pairs within MAX_BITS bits."""
-    filed = nodes.select("bits", F.explode(chain_keys()).alias("key")).select("bits", "key.slot", "key.chain")
+    filed = nodes.select("bits", F.explode(chain_keys()).alias("key")).select("bits", "key.slot", "key.chain").repartition("slot", "chain")
     met = filed.groupBy("slot", "chain").agg(F.count("*").alias("n"), F.min("bits").alias("a"), F.max("bits").alias("b")).where("n > 1")
-    met = stored(met, "simhash-met")
+    # both sides read the one exchange: what meets under a key is counted and found again where it lies
+    met = stored(filed.join(met.hint("shuffle_hash"), ["slot", "chain"]).select("bits", "a", "b", "n"), "simhash-met")
     pairs = met.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b").distinct()
-    crowded = filed.join(met.where("n > 2").select("slot", "chain"), ["slot", "chain"], "left_semi").select("bits").distinct()
+    crowded = met.where("n > 2").select("bits").distinct()
     near = crowded.select("bits", F.explode(neighbours()).alias("word"))
     stars = near.groupBy("word").agg(F.min("bits").alias("a"), F.max("bits").alias("b"), F.count("*").alias("n")).where("n > 1")
     linked = near.join(stars.select("word", "a"), "word").where("bits <> a").select("a", F.col("bits").alias("b")).distinct()
