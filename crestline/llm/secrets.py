@@ -152,26 +152,32 @@ def find_secrets(docs: DataFrame, scanner: MarkovScanner | None = None, id_col:
     return wanted.mapInArrow(scan, "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base string, spans string")
 
 
-def redact(docs: DataFrame, scanner: MarkovScanner | None = None, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with each found span of the text replaced by mark; null stays null, other columns as they are."""
+def redact(docs: DataFrame, scanner: MarkovScanner | None = None, text_col: str = "text", length_col: str = "n_chars", mark: str = "[SECRET]") -> DataFrame:
+    """docs with each found span of the text replaced by mark; null stays null, other columns as they are, but for the
+    length of a changed text where there is such a column."""
     scanner = scanner or train(docs, text_col)
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:
-        def clean(text: str | None) -> str | None:
-            if text is None:
-                return None
-            raw = text.encode()
-            out, at = [], 0
-            for start, end, _ in scanner.scan(raw)[1]:
-                if start >= at:
-                    out += [raw[at:start], mark.encode()]
-                at = max(at, end)
-            return b"".join([*out, raw[at:]]).decode()
-
-        return texts.map(clean, na_action=None)
-
-    return docs.withColumn(text_col, cleaned(F.col(text_col)))
+        return pd.Series([_without(t, scanner, mark) for t in texts], dtype=object)
+
+    out = docs.withColumn(text_col, cleaned(F.col(text_col)))
+    if length_col in docs.columns:
+        kind = docs.schema[length_col].dataType
+        out = out.withColumn(length_col, F.when(F.col(text_col).contains(mark), F.char_length(text_col).cast(kind)).otherwise(F.col(length_col)))
+    return out
+
+
+def _without(text: str | None, scanner: MarkovScanner, mark: str) -> str | None:
+    if text is None:
+        return None
+    raw = text.encode()
+    out, at = [], 0
+    for start, end, _ in scanner.scan(raw)[1]:
+        if start >= at:
+            out += [raw[at:start], mark.encode()]
+        at = max(at, end)
+    return b"".join([*out, raw[at:]]).decode()
 
 
 def sha256_of(column: str):

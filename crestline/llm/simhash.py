@@ -115,7 +115,7 @@ def hex_digits():
     return F.lpad(F.lower(F.hex("bits")), 16, "0")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """docs without the documents whose class has a smaller doc_id; all columns stay."""
     extra = near_duplicates(docs, shingle).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(extra, "doc_id", "left_anti")
