@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from . import chat
 
-def FLAGSHIP(spark, sf_dir):
-    raise NotImplementedError
+_MODULES = (chat,)
+FLAGSHIP = chat.chat_highlights
 
 
 def queries():
-    return {}
+    return {name: query for m in _MODULES for name, (query, _) in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}
