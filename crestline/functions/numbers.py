@@ -34,11 +34,15 @@ def lift_ratio(x: Column, base: Column, floor: float) -> Column:
     return (x + floor) / (base + floor)
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once: a lambda's argument is not copied into the places where it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def array_median(values: Column) -> Column:
     """Median of an array without nulls; 0 for an empty one."""
-    ordered, n = F.array_sort(values), F.size(values)
-    middle = lambda k: F.get(ordered, k.cast("int")).cast("double")
-    return F.coalesce((middle(F.floor((n - 1) / 2)) + middle(F.floor(n / 2))) / 2, F.lit(0.0))
+    middle = lambda s, k: F.get(s, k.cast("int")).cast("double")
+    return let(F.sort_array(values), lambda s: F.coalesce((middle(s, F.floor((F.size(s) - 1) / 2)) + middle(s, F.floor(F.size(s) / 2))) / 2, F.lit(0.0)))
 
 
 def array_mad(values: Column, center: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat
+from . import audio, chat
 
-_MODULES = (chat,)
+_MODULES = (chat, audio)
 FLAGSHIP = chat.chat_highlights
 
 
