@@ -79,10 +79,11 @@ def attach_context(drafts: DataFrame, visual: DataFrame, proximity_ms: int = PRO
     l = keyed.select("broadcast_id", F.col("draft").alias("l_id"), F.col("peak_ms").alias("l_peak"), F.col("anchor_start").alias("l_start"), F.col("anchor_end").alias("l_end"))  # noqa: E741
     pairs = pair_signals(l.select("broadcast_id", F.col("l_id").alias("id"), F.col("l_peak").alias("peak_ms"), F.col("l_start").alias("start_ms"), F.col("l_end").alias("end_ms"), F.lit(0.0).alias("norm")), visual, proximity_ms)
     order = [F.desc("overlap_ratio"), F.asc("distance_ms"), F.desc("r_norm"), F.asc("l_id"), F.asc("r_id")]
-    chosen = match_pairs(pairs, ["broadcast_id"], order, "l_id", "r_id").select("broadcast_id", F.col("l_id").alias("draft"), F.col("r_id").alias("visual_id"), "r_norm")
-    # the draft is a struct with a null side, so it is compared null-safely
-    met = (keyed["broadcast_id"] == chosen["broadcast_id"]) & keyed["audio_id"].eqNullSafe(chosen["draft.audio_id"]) & keyed["chat_id"].eqNullSafe(chosen["draft.chat_id"])
-    out = keyed.join(chosen, met, "left").drop(chosen["broadcast_id"]).drop("draft")
+    chosen = match_pairs(pairs, ["broadcast_id"], order, "l_id", "r_id")
+    chosen = chosen.select(F.col("broadcast_id").alias("_b"), F.col("l_id.audio_id").alias("_a"), F.col("l_id.chat_id").alias("_c"), F.col("r_id").alias("visual_id"), "r_norm")
+    # a draft has a side that is null, so its ids are compared null-safely
+    met = (F.col("broadcast_id") == F.col("_b")) & F.col("audio_id").eqNullSafe(F.col("_a")) & F.col("chat_id").eqNullSafe(F.col("_c"))
+    out = drafts.join(chosen, met, "left").drop("_b", "_a", "_c")
     score = F.when(F.col("r_norm").isNotNull(), N.clamp(F.col("score") + 0.04 * F.col("r_norm"), 0.0, 1.0)).otherwise(F.col("score"))
     kinds = F.when(F.col("visual_id").isNotNull(), F.concat("kinds", F.array(F.lit("visual")))).otherwise(F.col("kinds"))
     return out.withColumn("score", score).withColumn("kinds", kinds).drop("r_norm")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audio, chat
+from . import audio, chat, fusion
 
-_MODULES = (chat, audio)
+_MODULES = (chat, audio, fusion)
 FLAGSHIP = chat.chat_highlights
 
 

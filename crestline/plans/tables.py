@@ -34,16 +34,16 @@ MESSAGES = """messages AS (SELECT day(ts) AS broadcast_id, (epoch_us(ts) - epoch
 
 def audio_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """broadcast_id, i, start_ms, end_ms, rms, peak, zcr, speech."""
-    items = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_quantity")
+    items = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_discount", "l_quantity")
     top = items.agg(F.max("l_extendedprice").alias("top"))
-    i = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")) - 1
+    i = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")) - 1
     rms = 0.001 + 0.5 * F.pow(F.col("l_extendedprice") / F.col("top"), 2)
     out = items.crossJoin(F.broadcast(top)).select(F.col("l_suppkey").alias("broadcast_id"), i.alias("i"), rms.alias("rms"), F.col("l_discount").alias("zcr"), (F.col("l_quantity") / 50).alias("speech"))
     return out.select("broadcast_id", "i", (F.col("i") * 1000).cast("long").alias("start_ms"), ((F.col("i") + 1) * 1000).cast("long").alias("end_ms"), "rms", F.least(F.lit(1.0), 3 * F.col("rms")).alias("peak"), "zcr", "speech")
 
 
 AUDIO = """audio AS (SELECT l_suppkey AS broadcast_id, i, i * 1000 AS start_ms, (i + 1) * 1000 AS end_ms, rms, least(1.0, 3 * rms) AS peak, zcr, speech FROM (
-  SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS i,
+  SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1 AS i,
     0.001::DOUBLE + 0.5::DOUBLE * pow(l_extendedprice / (SELECT max(l_extendedprice) FROM lineitem), 2) AS rms, l_discount AS zcr, l_quantity / 50 AS speech FROM lineitem))"""
 
 
@@ -82,3 +82,24 @@ FRAMES = """frames AS (SELECT label AS broadcast_id, vec_id, (row_number() OVER
 def rounded(name: str, value: str, digits: int = 6) -> str:
     """SQL: value rounded half up, named."""
     return f"floor(({value}) * 1e{digits} + 0.5) / 1e{digits} AS {name}"
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """broadcast_id, id, kind, peak_ms, start_ms, end_ms, score: a candidate for each line item, a broadcast for each
+    supplier and year."""
+    items = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    peak = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104_729) % HOUR_MS
+    kind = F.element_at(F.array(F.lit("audio"), F.lit("chat"), F.lit("visual"), F.lit("semantic")), (F.col("l_linenumber") % 4 + 1))
+    return items.select(
+        (F.col("l_suppkey") * 100 + F.year("l_shipdate") % 100).alias("broadcast_id"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("id"), kind.alias("kind"), peak.alias("peak_ms"), (peak - 20_000).alias("start_ms"), (peak + 25_000).alias("end_ms"),
+        ((F.col("l_quantity") + F.col("l_extendedprice") / 100_000) / 60).alias("score"),
+    )
+
+
+CANDIDATES = """candidates AS (SELECT l_suppkey * 100 + year(l_shipdate) % 100 AS broadcast_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id, ['audio', 'chat', 'visual', 'semantic'][l_linenumber % 4 + 1] AS kind,
+  (l_orderkey * 7919 + l_linenumber * 104729) % 3600000 AS peak_ms, peak_ms - 20000 AS start_ms, peak_ms + 25000 AS end_ms, (l_quantity + l_extendedprice / 100000) / 60 AS score FROM lineitem)"""
+
+
+def hours(df: DataFrame) -> DataFrame:
+    """An hour for each broadcast of df."""
+    return df.select("broadcast_id").distinct().withColumn("duration_ms", F.lit(HOUR_MS).cast("long"))
