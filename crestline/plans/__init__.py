@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audio, chat, fusion
+from . import audio, chat, fusion, selection
 
-_MODULES = (chat, audio, fusion)
+_MODULES = (chat, audio, fusion, selection)
 FLAGSHIP = chat.chat_highlights
 
 
