@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audio, chat, fusion, selection
+from . import audio, catalog, chat, fusion, selection
 
-_MODULES = (chat, audio, fusion, selection)
+_MODULES = (chat, audio, fusion, selection, catalog)
 FLAGSHIP = chat.chat_highlights
 
 
