@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audio, catalog, chat, fusion, selection
+from . import audio, catalog, chat, fusion, selection, texts
 
-_MODULES = (chat, audio, fusion, selection, catalog)
+_MODULES = (chat, audio, fusion, selection, catalog, texts)
 FLAGSHIP = chat.chat_highlights
 
 
