@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audio, catalog, chat, fusion, selection, texts
+from . import audio, catalog, chat, fusion, live, selection, texts
 
-_MODULES = (chat, audio, fusion, selection, catalog, texts)
+_MODULES = (chat, audio, fusion, selection, catalog, texts, live)
 FLAGSHIP = chat.chat_highlights
 
 
