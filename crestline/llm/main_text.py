@@ -1,6 +1,6 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block of text. A line's length counts its characters outside links; lines
+Markup is stripped into lines, one for each block of text. A line's length counts its characters outside links, and is zero where most of it is links; lines
 of menus, headers, footers, sidebars, notices, adverts, forms and reader comments, which markup names, count nothing
 and are left out. Lengths are summed over windows of WINDOW lines. The text surges at the first line whose window
 ahead reaches the threshold and dives after the last whose window behind does; all lines between are the main text.
@@ -70,7 +70,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            lines.append((text, max(0, len(text) - linked), stack[-1][2] if stack else False))
+            free = max(0, len(text) - linked)
+            lines.append((text, free if 2 * free >= len(text) else 0, stack[-1][2] if stack else False))
         parts.clear()
         linked = 0
 
