@@ -16,6 +16,8 @@ first; an empty table gives a store without blocks.
 
 from __future__ import annotations
 
+import gc
+import os
 import struct
 import uuid
 import zlib
@@ -130,37 +132,97 @@ class Codec:
         return [None if z else int(d) for d, z in zip(doc_ids, null, strict=True)], lengths, ids
 
 
-_TOKENIZERS: dict = {}
+class _Numbers(dict):
+    """Numbers of words in order of first sight; new words are listed in ``fresh``."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
 
 
 class WordCache:
     """Ids of a text by way of its white-space words, each encoded once by the library.
 
-    Exact for tokenizers whose pieces never span white space and that split letters from punctuation, as the word
-    tokenizer does; the words are remembered up to a bound, then forgotten together.
+    Exact for tokenizers whose pieces never span white space, that split letters from punctuation and mark the end of
+    each piece, as the word tokenizer does; words are remembered up to a bound, then forgotten together.
     """
 
-    def __init__(self, path: str, bound: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.library, self.bound, self.known = Tokenizer.from_file(path), bound, {}
+    MARKS = ".,!#$%&*|;:?"
+
+    def __init__(self, path: str, bound: int = 250_000, portion: int = 500):
+        os.environ["RAYON_NUM_THREADS"] = "1"  # a task has one core; more threads only take memory
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.library, self.bound, self.portion = Tokenizer.from_file(path), bound, portion
+        # the same model without normalizing and splitting, for words that are one piece and normal already
+        self.bare = Tokenizer(self.library.model)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.numbers, self.ids = _Numbers(), []
+
+    def _learn(self, kind: str) -> None:
+        """Encode the new words. Those of letters only are one piece each: encoded many to a text and told apart by
+        their last ids; letters with marks behind are put together from both; the rest is encoded as it is."""
+        numbers, first = self.numbers, len(self.ids)
+        plain, alone, joined, at = [], [], [], 0
+        while at < len(numbers.fresh):  # stems and marks that are new join the list
+            word = numbers.fresh[at]
+            if word.isalpha():
+                plain.append(first + at)
+            else:
+                stem = word.rstrip(self.MARKS)
+                if len(stem) < len(word) and stem.isalpha():
+                    joined.append((first + at, numbers[stem], numbers[word[len(stem) :]]))
+                else:
+                    alone.append(first + at)
+            at += 1
+        fresh, numbers.fresh = numbers.fresh, []
+        self.ids += [b""] * len(fresh)
+        groups = [plain[k : k + self.portion] for k in range(0, len(plain), self.portion)]
+        texts = [" ".join([fresh[n - first] for n in g]) for g in groups]
+        # Latin-1 is in composed form, and its letters have one lower-case form each
+        normal = [k for k, t in enumerate(texts) if not t.translate(_LATIN)]
+        other = sorted({*range(len(texts))} - {*normal})
+        done = dict(zip(normal, self.bare.encode_batch_fast([texts[k].lower() for k in normal], add_special_tokens=False), strict=True))
+        done |= dict(zip(other, self.library.encode_batch_fast([texts[k] for k in other], add_special_tokens=False), strict=True))
+        for k, group in enumerate(groups):
+            ids = np.array(done[k].ids, dtype=kind)
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+            if len(stops) != len(group):
+                alone += group
+                continue
+            raw, begin = ids.tobytes(), 0
+            for n, stop in zip(group, stops.tolist(), strict=True):
+                self.ids[n] = raw[begin:stop]
+                begin = stop
+        for n, found in zip(alone, self.library.encode_batch_fast([fresh[n - first] for n in alone], add_special_tokens=False), strict=True):
+            self.ids[n] = np.array(found.ids, dtype=kind).tobytes()
+        for n, stem, tail in joined:
+            self.ids[n] = self.ids[stem] + self.ids[tail]
 
     def encode(self, texts: list[str], end: int, kind: str) -> list[bytes]:
-        split = [t.split() for t in texts]
-        fresh = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(fresh) > self.bound:
-            self.known.clear()
-            fresh = list({w for words in split for w in words})
-        # letters and the ASCII marks after them are separate pieces: most words are a known stem and a known tail
-        stems = [w.rstrip(".,!#$%&*|;:?") if w[:1].isalpha() else w for w in fresh]
-        ask = list({p for w, s in zip(fresh, stems, strict=True) for p in ((s, w[len(s) :]) if s[-1:].isalpha() else (w,)) if p and p not in self.known})
-        for piece, found in zip(ask, self.library.encode_batch(ask, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(found.ids, dtype=kind).tobytes()
-        for w, s in zip(fresh, stems, strict=True):
-            if w not in self.known:
-                self.known[w] = self.known[s] + self.known[w[len(s) :]]
-        last, known = np.array([end], dtype=kind).tobytes(), self.known
-        return [b"".join([*map(known.__getitem__, words), last]) for words in split]
+        if len(self.numbers) > self.bound:
+            self.numbers, self.ids = _Numbers(), []
+        gc.disable()  # the many small lists below hold no cycles
+        try:
+            number = self.numbers.__getitem__
+            numbered = [list(map(number, t.split())) for t in texts]
+            self._learn(kind)
+            last, ids = np.array([end], dtype=kind).tobytes(), self.ids.__getitem__
+            return [b"".join(map(ids, n)) + last for n in numbered]
+        finally:
+            gc.enable()
+
+
+_LATIN = dict.fromkeys(range(256))
+_TOKENIZERS: dict = {}
 
 
 def tokenizer(path: str) -> WordCache:
