@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import audio, catalog, chat, fusion, gates, live, selection, texts
 
 _MODULES = (chat, audio, fusion, selection, catalog, texts, live, gates)
-FLAGSHIP = chat.chat_highlights
+FLAGSHIP = fusion.fused_reactions
 
 
 def queries():
