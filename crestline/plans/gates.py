@@ -44,7 +44,7 @@ def verification_cohort(spark, sf_dir):
 
 
 def effective_ranges(spark, sf_dir):
-    c = candidates(spark, sf_dir).select("id", (F.col("id") % 3).alias("revision"), "start_ms", "end_ms")
+    c = candidates(spark, sf_dir).select("id", (F.col("id") % 3).alias("revision"), "start_ms", "end_ms").distinct()
     edits = c.where("id % 2 = 0").select("id", (F.col("id") % 5 % 3).alias("revision"), (F.col("start_ms") + 1000).alias("start_ms"), (F.col("end_ms") - 1000).alias("end_ms"))
     return gates.effective_ranges(c, edits)
 
@@ -106,7 +106,7 @@ QUERIES = {
       p AS (SELECT channel_id, count(*) FILTER (WHERE status = 'running') AS n_running, count(*) FILTER (WHERE status = 'failed') AS n_failed, count(*) FILTER (WHERE status = 'outstanding') AS n_outstanding, bool_and(durable) AS durable FROM d GROUP BY ALL) SELECT *, n_running + n_failed + n_outstanding = 0 AND durable AS ready FROM p"""),
     "enrollment_assets": (enrollment_assets, "SELECT vec_id FROM embeddings WHERE vec_id % 5 <> 0 AND vec_id % 7 <> 0 AND vec_id % 11 <> 0 AND vec_id % 3 = 1"),
     "verification_cohort": (verification_cohort, f"WITH {CANDIDATES} SELECT id FROM candidates WHERE kind <> 'visual' AND (id % 3 = 0 OR id % 4 = 0)"),
-    "effective_ranges": (effective_ranges, f"""WITH {CANDIDATES}, e AS (SELECT id, start_ms, end_ms, id % 2 = 0 AS edited, id % 2 = 0 AND id % 5 % 3 = id % 3 AS own FROM candidates)
+    "effective_ranges": (effective_ranges, f"""WITH {CANDIDATES}, e AS (SELECT DISTINCT id, start_ms, end_ms, id % 2 = 0 AS edited, id % 2 = 0 AND id % 5 % 3 = id % 3 AS own FROM candidates)
       SELECT id, start_ms + CASE WHEN own THEN 1000 ELSE 0 END AS start_ms, end_ms - CASE WHEN own THEN 1000 ELSE 0 END AS end_ms, CASE WHEN own THEN 'edit' WHEN edited THEN 'stale-edit' ELSE 'proposal' END AS source FROM e"""),
     "settled_cells": (settled_cells, f"WITH {CHAPTERS} SELECT broadcast_id, CASE doc_id % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'resolved' ELSE 'gap' END AS status, count(*) AS cells FROM chapters GROUP BY ALL"),
     "queue_parts": (queue_parts, f"WITH {VIDEOS} SELECT video_id, CASE WHEN video_id % 10 = 0 THEN 'active' WHEN video_id % 5 = 0 THEN 'assigned' WHEN next_at IS NULL OR next_at <= TIMESTAMP '1998-06-01' THEN 'startable' ELSE 'scheduled' END AS part FROM videos WHERE state <> 'published'"),

@@ -1,4 +1,4 @@
-"""Every query of the broadcast operators against its SQL, on the smallest tables."""
+"""Every query of the broadcast operators against its SQL. Keys of line items repeat in the smallest tables, so the next ones are taken."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pytest
 
 from crestline import plans
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
