@@ -287,7 +287,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = distinct.where("n > 1").select(*context, F.lit(0).alias("lo"), (F.col("size") - 1).alias("hi"))
     verdicts = ranges.unionByName(whole).groupBy(*context).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     hit = runs.join(verdicts, context).select("doc_id", "row_key", F.transform("ranges", lambda r: F.struct((r["lo"] + F.col("start")).alias("lo"), (r["hi"] + F.col("start")).alias("hi"))).alias("ranges"))
-    return hit.groupBy("doc_id", "row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ranges")))).alias("ranges"))
+    return hit.groupBy("doc_id", "row_key").agg(F.sort_array(F.flatten(F.collect_list("ranges"))).alias("ranges"))
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
