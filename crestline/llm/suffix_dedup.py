@@ -268,12 +268,14 @@ def merge_shards(spoken: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, row_key and the ranges of starts of repeated strings in documents that have any."""
     runs = stored(window_runs(docs, length), "suffix-runs")
-    again = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # aggregates are written before they are joined, so that both sides of a join are plain shuffles, which Spark can
+    # split where one anchor or context holds a large part of the rows
+    again = stored(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "suffix-anchors")
     runs = stored(runs.join(again, "anchor", "left_semi"), "suffix-again")
     context = ["anchor", "ctx_a", "ctx_b"]
     distinct = runs.groupBy(*context).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "start", "size")).alias("at"))
     distinct = stored(distinct.select(*context, "n", "at.*"), "suffix-contexts")
-    kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = stored(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "suffix-kinds")
     several = distinct.join(kinds, "anchor")
     wanted = several.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct(*context, "kinds", "start", "size")).alias("contexts"))
     cut = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["row_key"] == wanted["row_key"]))
@@ -285,7 +287,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     merged = merge_shards(found.where("digest_a is not null"))
     ranges = found.where("digest_a is null").unionByName(merged).select(*context, "lo", "hi")
     whole = distinct.where("n > 1").select(*context, F.lit(0).alias("lo"), (F.col("size") - 1).alias("hi"))
-    verdicts = ranges.unionByName(whole).groupBy(*context).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    verdicts = stored(ranges.unionByName(whole).groupBy(*context).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "suffix-verdicts")
     hit = runs.join(verdicts, context).select("doc_id", "row_key", F.transform("ranges", lambda r: F.struct((r["lo"] + F.col("start")).alias("lo"), (r["hi"] + F.col("start")).alias("hi"))).alias("ranges"))
     return hit.groupBy("doc_id", "row_key").agg(F.sort_array(F.flatten(F.collect_list("ranges"))).alias("ranges"))
 
