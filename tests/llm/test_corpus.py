@@ -304,6 +304,21 @@ def test_licenses(spark):
     assert got[1][1] == "Apache-2.0:7:54"
 
 
+def test_license_notices_are_whole():
+    scan = licenses.LicenseScanner().scan
+    names = lambda t: [n for n, *_ in scan(t.encode())]
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed */"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. x"
+    assert names(mpl) == ["MPL-2.0"] and names(bsd) == ["BSD-2-Clause"]
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\n\nin the Software without restriction"
+    far = "license " + "x" * 1950 + "\n" + mit
+    assert names(far) == ["MIT"] and scan(far.encode())[0][1:3] == (1959, len(far))
+    assert names("Licensed under the Apache License, Version 2.0, or released under the MIT license") == ["Apache-2.0", "MIT"]
+    assert names("This work is licensed under the GNU Lesser General Public License, version 3.") == ["LGPL-3.0"]
+    assert names("This work is licensed under the GNU General Public License, version 3.\nIt needs version 2 of that.") == ["GPL-3.0"]
+    assert names("Released under the MIT license\n" * 2000) == ["MIT"] * 2000
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(6)
     make = lambda: toxicity.vector({int(t): int(rng.integers(1, 4)) for t in rng.choice(40, int(rng.integers(0, 12)), replace=False)}, np.linspace(1, 3, 40))
