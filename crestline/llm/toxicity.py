@@ -1,30 +1,36 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, with a block-max inverted index.
 
 At most MAX_EXAMPLES labelled rows (the least hashes of doc_id, a documented bound) are the examples. The vector space
-has at most MAX_TERMS words: those whose presence depends on the label by the chi-square test among the examples.
-Document frequencies are counted over the whole corpus. The index keeps postings in blocks of BLOCK examples and the
-greatest weight of each term in each block; blocks are visited by their upper bound until it falls below the K-th best
-cosine, so the neighbours are exact. Votes are weighted by 1 / (distance + SOFT) and calibrated by a logistic map that
-is fitted on the examples' own votes, each without itself. The evidence are the neighbours and the shared words.
+has every word of the examples. Document frequencies are counted over the whole corpus; a word's weight is raised by
+how much its presence depends on the label among the examples (label_gain), and none is left out.
+The index keeps postings in blocks of BLOCK examples and the greatest weight of each term in each block; blocks are
+visited by their upper bound until it falls below the K-th best cosine, so the neighbours are exact. Votes are weighted
+by 1 / (distance + SOFT) and calibrated by a logistic map that is fitted on the examples' own votes, each without
+itself. The evidence are the neighbours and the shared words.
 
 Labels, language, source and doc_id are never part of a vector. Defined results: a null or empty text, or one without
-a word of the space, gets the smoothed share of toxic examples that have none either; null labels are left out; rows
+a word of any example, gets the smoothed share of toxic examples that have none either; null labels are left out; rows
 that repeat score the same; without examples of both classes every score is the share of toxic ones (0 if none).
 """
 
 from __future__ import annotations
 
+import itertools
+import pickle
 import re
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_EXAMPLES, MAX_TERMS, MIN_CHI, MIN_COUNT = 8192, 512, 15.0, 3
+MAX_EXAMPLES = 8192
 K, BLOCK, SOFT = 15, 64, 0.05
 _WORD = re.compile(r"[^\W_]+")
 
@@ -33,50 +39,83 @@ def terms_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... with counts[0] members, then those of the next."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
 class BlockMaxIndex:
     """Unit vectors of examples, filed by term in blocks of neighbours."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         # examples with the same heaviest term stand together, which keeps the blocks' bounds tight
-        self.order = sorted(range(len(vectors)), key=lambda e: (int(vectors[e][0][vectors[e][1].argmax()]) if len(vectors[e][0]) else n_terms, e))
-        blocks = -(-len(vectors) // BLOCK)
-        self.most = np.zeros((n_terms, blocks))
-        self.row = np.zeros((blocks, n_terms), dtype=np.int32)  # 0: the block has no posting of the term
-        self.postings: list[np.ndarray] = []
-        self.examples = [np.array(self.order[b * BLOCK : (b + 1) * BLOCK]) for b in range(blocks)]
-        for b, own in enumerate(self.examples):
-            present = sorted({int(t) for e in own for t in vectors[e][0]})
-            self.row[b, present] = np.arange(1, len(present) + 1)
-            weights = np.zeros((len(present) + 1, len(own)))
-            for k, e in enumerate(own):
-                weights[self.row[b, vectors[e][0]], k] = vectors[e][1]
-            self.postings.append(weights)
-            self.most[present, b] = weights[1:].max(axis=1)
+        self.order = np.array(sorted(range(len(vectors)), key=lambda e: (int(vectors[e][0][vectors[e][1].argmax()]) if len(vectors[e][0]) else n_terms, e)), dtype=np.int64)
+        self.blocks = -(-len(vectors) // BLOCK)
+        none = [np.zeros(0, dtype=np.int64)]
+        terms = np.concatenate(none + [vectors[e][0] for e in self.order])
+        place = np.repeat(np.arange(len(vectors)), [len(vectors[e][0]) for e in self.order])
+        weight = np.concatenate([np.zeros(0)] + [vectors[e][1] for e in self.order])
+        sort = np.argsort(terms, kind="stable")
+        terms, self.place, self.weight = terms[sort], place[sort].astype(np.int32), weight[sort]
+        # an entry is a term in a block: its postings from start on, and the greatest of their weights
+        new = np.flatnonzero(np.diff(terms * max(1, self.blocks) + self.place // BLOCK, prepend=-1))
+        self.start = np.append(new, len(terms))
+        self.block = self.place[new] // BLOCK
+        self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
+        self.first = np.searchsorted(terms[new], np.arange(n_terms + 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = K, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Exact best k examples by cosine, ties by number; only examples that share a term."""
-        bound = weights @ self.most[terms]
+        counts = self.first[terms + 1] - self.first[terms]
+        entry, query, weights = _ranges(self.first[terms], counts), weights, np.repeat(weights, counts)
+        block = self.block[entry]
+        bound = np.bincount(block, self.most[entry] * weights, self.blocks)
+        order = np.argsort(-bound, kind="stable")
         best_score, best_example = np.zeros(0), np.zeros(0, dtype=np.int64)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_score) >= k and bound[b] < best_score[k - 1] - 1e-9:
+        visited = np.zeros(self.blocks, dtype=bool)
+        for probe in (4, self.blocks):
+            least = best_score[k - 1] - 1e-9 if len(best_score) >= k else 0
+            left = order[(bound[order] > 0) & (bound[order] >= least) & ~visited[order]][:probe]
+            if not len(left):
                 break
-            score = weights @ self.postings[b][self.row[b, terms]]
-            held = (score > 0) & (self.examples[b] != but)
-            best_score, best_example = np.concatenate([best_score, score[held]]), np.concatenate([best_example, self.examples[b][held]])
-            order = np.lexsort((best_example, -np.round(best_score, 12)))[:k]
-            best_score, best_example = best_score[order], best_example[order]
+            if 4 * len(left) > self.blocks:  # most blocks: whole postings are read, which costs less
+                best_score, best_example = np.zeros(0), np.zeros(0, dtype=np.int64)
+                begin, end = self.start[self.first[terms]], self.start[self.first[terms + 1]]
+                parts = [slice(x, y) for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
+                place, weight = np.concatenate([self.place[p] for p in parts]), np.concatenate([self.weight[p] for p in parts])
+                score = np.bincount(place, weight * np.repeat(query, end - begin), len(self.order))
+                visited[:] = True
+            else:
+                now = np.zeros(self.blocks, dtype=bool)
+                now[left] = True
+                own = np.flatnonzero(now[block])
+                begin, many = self.start[entry[own]], self.start[entry[own] + 1] - self.start[entry[own]]
+                post = _ranges(begin, many)
+                score = np.bincount(self.place[post], self.weight[post] * np.repeat(weights[own], many), len(self.order))
+                visited |= now
+            held = np.flatnonzero((score > 0) & (score >= least) & (self.order != but))
+            if len(held) > k:
+                held = held[score[held] >= np.partition(score[held], -k)[-k] - 1e-9]
+            best_score, best_example = np.concatenate([best_score, score[held]]), np.concatenate([best_example, self.order[held]])
+            rank = np.lexsort((best_example, -np.round(best_score, 12)))[:k]
+            best_score, best_example = best_score[rank], best_example[rank]
         return best_score, best_example
 
 
 @dataclass
 class NearestVotes:
-    """Vocabulary, weights, examples and calibration."""
+    """Vocabulary, weights (idf, raised by the label gain), examples and calibration."""
 
     words: list[str]
     idf: np.ndarray
     ids: list[int]
     toxic: np.ndarray
-    vectors: list[tuple[np.ndarray, np.ndarray]]
+    #: First posting of each example, and the postings' terms and counts.
+    cuts: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
+    fitted: bool = False
     slope: float = 1.0
     shift: float = 0.0
     bare: float = 0.0
@@ -85,16 +124,27 @@ class NearestVotes:
 
     def __post_init__(self) -> None:
         self.number = {w: k for k, w in enumerate(self.words)}
-        self.index = BlockMaxIndex(self.vectors, len(self.words))
+        vectors = [unit(self.terms[a:b].astype(np.int64), self.counts[a:b], self.idf) for a, b in itertools.pairwise(self.cuts.tolist())]
+        self.index = BlockMaxIndex(vectors, len(self.words))
+        if self.fitted:
+            return
         both = len(self.toxic) and 0 < self.toxic.sum() < len(self.toxic)
-        empty = np.array([not len(t) for t, _ in self.vectors], dtype=bool)
+        empty = np.array([not len(t) for t, _ in vectors], dtype=bool)
         share = float(self.toxic.mean()) if len(self.toxic) else 0.0
         self.bare = (float(self.toxic[empty].sum()) + share) / (int(empty.sum()) + 1) if len(empty) else share
         if both and not empty.all():
             own = np.flatnonzero(~empty)
-            votes = np.array([self.vote(*self.index.nearest(*self.vectors[e], but=e)) for e in own])
+            votes = np.array([self.vote(*self.index.nearest(*vectors[e], but=e)) for e in own])
             self.slope, self.shift = logistic(np.log(votes / (1 - votes)), self.toxic[own])
 
+    def terms_at(self, example: int) -> np.ndarray:
+        return self.terms[self.cuts[example] : self.cuts[example + 1]]
+
+    def packed(self) -> bytes:
+        """All but the index, which workers build again."""
+        held = (self.words, self.idf, self.ids, self.toxic, self.cuts, self.terms, self.counts, True, self.slope, self.shift, self.bare)
+        return zlib.compress(pickle.dumps(held, protocol=5), 1)
+
     def vote(self, scores: np.ndarray, examples: np.ndarray) -> float:
         """Share of toxic neighbours, weighted by nearness, with one vote spread as the labels are."""
         prior = (self.toxic.sum() + 1) / (len(self.toxic) + 2)
@@ -115,7 +165,11 @@ class NearestVotes:
 def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Terms and unit weights (1 + ln tf) * idf."""
     terms = np.array(sorted(counts), dtype=np.int64)
-    weights = np.array([1 + np.log(counts[t]) for t in terms.tolist()]) * idf[terms]
+    return unit(terms, np.array([counts[t] for t in terms.tolist()], dtype=float), idf)
+
+
+def unit(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    weights = (1 + np.log(counts)) * idf[terms]
     return terms, weights / np.sqrt((weights**2).sum()) if len(terms) else weights
 
 
@@ -153,56 +207,73 @@ def _counted(docs: DataFrame) -> DataFrame:
 def document_frequencies(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
     """In how many documents of the corpus each word stands, and how many documents there are."""
     number = {w: k for k, w in enumerate(words)}
+    n_words = len(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(words) + 1, dtype=np.int64)
+        counts = np.zeros(n_words + 1, dtype=np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 counts[-1] += 1
                 counts[[number[w] for w in set(terms_of(text)) if w in number]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts), dtype=np.int32)), pa.array(counts)], names=["term", "n"])
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["term", "n"])
 
-    counts = np.zeros(len(words) + 1, dtype=np.int64)
-    for row in docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        counts[row["term"]] = row["n"]
+    counts = np.zeros(n_words + 1, dtype=np.int64)
+    found = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return counts[:-1], int(counts[-1])
 
 
+def label_gain(present: np.ndarray, present_toxic: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+    """1 + the square of the chi-square statistic, with Yates' correction, of each word's presence against the label."""
+    n, m, a = float(n_toxic + n_other), present.astype(float), present_toxic.astype(float)
+    apart = np.maximum(0, np.abs(a * (n_other - (m - a)) - (m - a) * (n_toxic - a)) - n / 2)
+    under = n_toxic * n_other * m * (n - m)
+    return 1 + np.divide(n * apart**2, under, out=np.zeros(len(m)), where=under > 0) ** 2
+
+
 def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> NearestVotes:
     """Fit on at most max_examples labelled rows that are not held out."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
-    counted = _counted(sample).groupBy("doc_id", "toxic", "term").agg(F.max("n").alias("n")).persist()
-    by_class = {r["toxic"]: r["n"] for r in counted.groupBy("toxic").agg(F.count_distinct("doc_id").alias("n")).collect()}
-    n1, n0 = by_class.get(1, 0), by_class.get(0, 0)
-    with_term = counted.where("term <> ''").groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("m")).where(F.col("m") >= MIN_COUNT)
-    n, a, m = F.lit(float(n1 + n0)), F.col("a"), F.col("m")
-    chi = n * F.pow(a * (n0 - (m - a)) - (m - a) * (n1 - a), 2) / (F.lit(float(n1)) * F.lit(float(n0)) * m * (n - m))
-    chosen = with_term.where(n > m).withColumn("chi", chi).where(F.col("chi") >= MIN_CHI) if n1 and n0 else with_term.where("false")
-    words = sorted(r["term"] for r in (chosen.orderBy(F.desc("chi"), "term").limit(MAX_TERMS).collect() if n1 and n0 else []))
-    frequency, total = document_frequencies(docs, words) if words else (np.zeros(0), 0)
-    idf = np.log((1 + total) / (1 + frequency)) + 1
-    number = {w: k for k, w in enumerate(words)}
-    own: dict[int, tuple[int, dict[int, int]]] = {}
-    for r in counted.where(F.col("term").isin(words)).select("doc_id", "toxic", "term", "n").collect() if words else []:
-        own.setdefault(r["doc_id"], (r["toxic"], {}))[1][number[r["term"]]] = r["n"]
-    every = {r["doc_id"]: r["toxic"] for r in counted.select("doc_id", "toxic").distinct().collect()}
-    counted.unpersist()
-    ids = sorted(every)
-    vectors = [vector(own[d][1] if d in own else {}, idf) for d in ids]
-    return NearestVotes(words, idf, ids, np.array([every[d] for d in ids], dtype=float), vectors)
+    # as many rows as the bounded examples have distinct words
+    counted = _counted(sample).groupBy("doc_id", "toxic", "term").agg(F.max("n").alias("n")).toArrow().combine_chunks()
+    ids, first, example = np.unique(counted.column("doc_id").to_numpy(), return_index=True, return_inverse=True)
+    toxic = counted.column("toxic").to_numpy()[first].astype(float)
+    n_toxic = int(toxic.sum())
+    if not 0 < n_toxic < len(ids):
+        return NearestVotes([], np.zeros(0), ids.tolist(), toxic, np.zeros(len(ids) + 1, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32))
+    words = sorted({w for w in counted.column("term").unique().to_pylist() if w})
+    frequency, total = document_frequencies(docs, words)
+    term = pc.index_in(counted.column("term"), pa.array(words, pa.string())).fill_null(-1).to_numpy()
+    n = counted.column("n").to_numpy()
+    known_term = term >= 0  # an example without words has an empty term
+    order = np.lexsort((term[known_term], example[known_term]))
+    example, term, n = example[known_term][order], term[known_term][order].astype(np.int64), n[known_term][order]
+    gain = label_gain(np.bincount(term, minlength=len(words)), np.bincount(term, toxic[example], len(words)), n_toxic, len(ids) - n_toxic)
+    idf = (np.log((1 + total) / (1 + frequency)) + 1) * gain
+    cuts = np.searchsorted(example, np.arange(len(ids) + 1))
+    return NearestVotes(words, idf, ids.tolist(), toxic, cuts, term.astype(np.int32), n.astype(np.int32))
+
+
+_MODELS: dict[str, NearestVotes] = {}
 
 
 def score(docs: DataFrame, model: NearestVotes, id_col: str = "doc_id", text_col: str = "text", shown: int = 3) -> DataFrame:
     """doc_id, score, neighbours (doc_ids of the nearest examples) and shared words of every document."""
+    packed, key = model.packed(), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _MODELS:
+            _MODELS.clear()
+            _MODELS[key] = NearestVotes(*pickle.loads(zlib.decompress(packed)))
+        model = _MODELS[key]
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
                 value, terms, examples = model.score(text)
-                shared = sorted({model.words[t] for e in examples[:shown] for t in np.intersect1d(terms, model.vectors[e][0])})
+                shared = sorted({model.words[t] for e in examples[:shown] for t in np.intersect1d(terms, model.terms_at(e), assume_unique=True)})
                 rows.append((value, [model.ids[e] for e in examples[:shown]], shared))
             cols = list(zip(*rows, strict=True)) or [()] * 3
             kinds = [pa.float64(), pa.list_(pa.int64()), pa.list_(pa.string())]

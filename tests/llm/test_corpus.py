@@ -333,6 +333,18 @@ def test_nearest_is_exact():
         assert index.nearest(t, w)[1].tolist() == want
 
 
+def test_toxicity_keeps_every_word(spark):
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5]
+    docs = [(k, f"common words here rare{k} and {'bad' if k % 2 else 'good'}") for k in ids] + [(1000, f"rare{ids[3]}"), (1001, "nothing known")]
+    labels = spark.createDataFrame([(k, k % 2) for k in ids], "doc_id long, toxic int")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.train(df, labels)
+    assert {*model.words} == {w for k, t in docs if k < 1000 for w in t.split()}
+    got = {r["doc_id"]: r for r in toxicity.score(df, model).where("doc_id >= 1000").collect()}
+    assert got[1000]["neighbours"] == [ids[3]] and got[1000]["shared_words"] == [f"rare{ids[3]}"]
+    assert got[1001]["neighbours"] == [] and got[1001]["score"] == model.bare
+
+
 def test_toxicity_held_out(spark):
     rows = queries.op10_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").collect()
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
