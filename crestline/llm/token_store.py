@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -144,6 +145,16 @@ class _Numbers(dict):
         return number
 
 
+#: Python takes these for white space, tokenizers (Unicode White_Space) do not.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+_WORD = re.compile(rf"(?:\S|[{SEPARATORS}])+")
+
+
+def split_words(text: str) -> list[str]:
+    """The stretches between the tokenizer's white space."""
+    return _WORD.findall(text) if any(c in text for c in SEPARATORS) else text.split()
+
+
 class WordCache:
     """Ids of a text by way of its white-space words, each encoded once by the library.
 
@@ -213,7 +224,7 @@ class WordCache:
         gc.disable()  # the many small lists below hold no cycles
         try:
             number = self.numbers.__getitem__
-            numbered = [list(map(number, t.split())) for t in texts]
+            numbered = [list(map(number, split_words(t))) for t in texts]
             self._learn(kind)
             last, ids = np.array([end], dtype=kind).tobytes(), self.ids.__getitem__
             return [b"".join(map(ids, n)) + last for n in numbered]

@@ -212,6 +212,17 @@ def test_token_store(spark, tmp_path, texts, odd):
         start += len(ids)
 
 
+def test_token_ids_with_separators():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    texts = ["a\x1cb", "a \x1c b", "\x1d", "word.\x1e more\x1f", "x\x1c\x1dy z\u2003w\x85v", "\x1fends.", "plain words"]
+    got = token_store.WordCache(path).encode(texts, 2, "<u4")
+    for t, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == [*library.encode(t, add_special_tokens=False).ids, 2], t
+
+
 def test_rans_parts_decode_alone():
     rng = np.random.default_rng(9)
     ids = np.minimum(rng.geometric(0.05, 50_001) - 1, 99).astype(np.uint16)
