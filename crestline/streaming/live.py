@@ -34,7 +34,7 @@ def sessions(support: DataFrame, gap: str = "2 seconds", late: str = "1 minute")
 
 def fence(events: DataFrame, allowed: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Events(event_id, session_id, epoch, ts) of allowed(session_id, epoch), each once within the watermark."""
-    held = events.join(F.broadcast(allowed.limit(100_000)), ["session_id", "epoch"])
+    held = events.join(allowed, ["session_id", "epoch"])
     return held.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 

@@ -13,6 +13,7 @@ from crestline.functions import numbers as N
 from crestline.functions import text as T
 from crestline.operators import chat, intervals, selection, visual
 from crestline.sources import chat_files, documents
+from crestline.streaming import live
 
 
 def one(df):
@@ -116,3 +117,11 @@ def test_detect_format(spark):
     heads = ["[1]", '{"a":1}', '{"a":1}\n{"b":2}', "a,b\n1,2", "  ", "﻿[1]"]
     df = spark.createDataFrame([(h,) for h in heads], "v string")
     assert [r[0] for r in df.select(chat_files.detect_format(F.col("v"))).collect()] == ["json", "json", "jsonl", "csv", "empty", "json"]
+
+
+def test_fence_takes_every_allowed_pair(spark, tmp_path):
+    n = 120_000
+    spark.range(n).selectExpr("id as event_id", "id as session_id", "id % 3 as epoch", "timestamp_millis(1700000000000) as ts").write.parquet(str(tmp_path / "events"))
+    events = spark.readStream.schema("event_id long, session_id long, epoch long, ts timestamp").parquet(str(tmp_path / "events"))
+    live.run_to_table(live.fence(events, spark.range(n).selectExpr("id as session_id", "id % 3 as epoch")), str(tmp_path / "out"), "append")
+    assert spark.read.parquet(str(tmp_path / "out" / "batches")).count() == n
