@@ -114,9 +114,9 @@ def containing(points: DataFrame, chapters: DataFrame, keys: list[str], at: str
     return overlap_join(spots, chapters, keys, condition=(F.col(at) >= F.col("r_start")) & (F.col(at) < F.col("r_end"))).drop("start_ms", "end_ms")
 
 
-def overlap_violations(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Intervals that begin before an earlier one has ended."""
-    order = W.partitionBy(*keys).orderBy("start_ms", "end_ms")
+def overlap_violations(df: DataFrame, keys: list[str], ident: str) -> DataFrame:
+    """Intervals that begin before an earlier one has ended; of equal intervals that with the least ident is the earliest."""
+    order = W.partitionBy(*keys).orderBy("start_ms", "end_ms", ident)
     return df.withColumn("_reach", F.max("end_ms").over(order.rowsBetween(W.unboundedPreceding, -1))).where("start_ms < _reach").drop("_reach")
 
 

@@ -159,7 +159,7 @@ def centred_ranges(spark, sf_dir):
 
 
 def overlap_violations(spark, sf_dir):
-    return iv.overlap_violations(candidates(spark, sf_dir).where("kind = 'visual'"), ["broadcast_id"]).select("id")
+    return iv.overlap_violations(candidates(spark, sf_dir).where("kind = 'visual'"), ["broadcast_id"], "id").select("id")
 
 
 def truth_recall(spark, sf_dir):
@@ -254,7 +254,7 @@ QUERIES = {
     "fixed_windows": (fixed_windows, f"WITH {SANE} SELECT id, {', '.join(f'greatest(0, least(CAST(floor(peak_ms - {s} + 0.5) AS BIGINT), 3555000)) AS {n}' for n, s in (('half', 22500), ('four_ninths', 20000), ('six_tenths', 27000), ('five_eighths', 28125)))} FROM sane"),
     "centred_ranges": (centred_ranges, f"""WITH {SANE}, l AS (SELECT *, least(60000, greatest(30000, end_ms - 20000 - start_ms)) AS n, (start_ms + end_ms - 20000) / 2 AS c FROM sane WHERE end_ms - 20000 > start_ms),
       b AS (SELECT *, greatest(0, least(CAST(floor(c - n / 2 + 0.5) AS BIGINT), 3600000 - n)) AS b FROM l) SELECT id, b AS start_ms, least(3600000, b + n) AS end_ms FROM b"""),
-    "overlap_violations": (overlap_violations, f"WITH {CANDIDATES} SELECT id FROM candidates WHERE kind = 'visual' WINDOW w AS (PARTITION BY broadcast_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) QUALIFY start_ms < max(end_ms) OVER w"),
+    "overlap_violations": (overlap_violations, f"WITH {CANDIDATES} SELECT id FROM candidates WHERE kind = 'visual' WINDOW w AS (PARTITION BY broadcast_id ORDER BY start_ms, end_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) QUALIFY start_ms < max(end_ms) OVER w"),
     "truth_recall": (truth_recall, f"""WITH {CANDIDATES}, t AS (SELECT broadcast_id, EXISTS (SELECT 1 FROM candidates o WHERE o.broadcast_id = c.broadcast_id AND o.kind <> 'semantic' AND abs(o.peak_ms - c.peak_ms) <= 45000) AS met FROM candidates c WHERE kind = 'semantic')
       SELECT broadcast_id, count(*) AS n, count(*) FILTER (WHERE met) AS found, {rounded('recall', 'count(*) FILTER (WHERE met) / count(*)')} FROM t GROUP BY ALL"""),
 }
