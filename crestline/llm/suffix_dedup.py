@@ -6,16 +6,26 @@ Every byte covered by a LENGTH-byte string that also starts anywhere else in the
    anchor, so two equal windows have equal anchors at equal offsets. The window starts of a document that share an
    anchor are a run, its bytes the run's context: about one run for 170 bytes, counted by anchor hash and context digest.
 2. Anchors seen once drop out. A context seen twice is repeated as a whole. Anchors with several distinct contexts are
-   dealt out to shards, one copy of each context; an anchor with more than GROUP contexts is split over several shards.
+   dealt out to shards, one copy of each context. An anchor with more than GROUP contexts is first split by content: its
+   windows fall in classes by the bytes before the anchor, STEP to a class, and two equal windows share the bytes that
+   all windows of their class share. These cores are counted, at most 15 a context; one that stands alone has no repeat,
+   and the contexts of each other core go on as a group of their own, with the windows of its class only. A group that
+   still has more than GROUP contexts is dealt out over several shards.
 3. A shard sorts its suffixes by Larsson-Sadakane refinement in numpy and takes common prefixes by
    Kasai's rule, in lanes. Neighbours that share LENGTH bytes are repeats.
-4. The windows of split anchors are merged across shards by binary search in sorted digests, dealt out by digest.
+4. The windows of split groups, at most STEP a context and class, are merged across shards by binary search in sorted
+   digests, dealt out by digest.
 5. The found ranges of window starts go back to every copy of a context and are joined to the documents.
 
 No step gathers an anchor, a context or a group of copies: they are counted, split or joined.
 
-Defined results: a null text has no bytes; a text under LENGTH bytes keeps all of them; rows that repeat, also under
-one doc_id, count as separate documents, so that their long strings repeat; a null doc_id is carried along.
+Beside this, documents that share a passage of PASSAGE words or more with another one are marked: the gram with the
+least hash of each window of words is its mark, and marks that two documents have are counted by an aggregate.
+
+Defined results: a null text has no bytes; a text under LENGTH bytes keeps all of them; a text of any length is read
+whole, in parts that share what a window needs; rows that repeat, also under one doc_id, count as separate documents,
+so that their long strings repeat, but share no passage with themselves; a null doc_id is carried along; of equal
+windows none is the first, all go; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,8 +42,10 @@ from pyspark.sql import functions as F
 from .common import stored, texts_as_bytes
 
 LENGTH, GRAM = 400, 64
-#: Bytes hashed at once, contexts of an anchor in one shard at most, and bytes of a shard.
-PIECE, GROUP, SHARD = 1 << 20, 2048, 3 << 20
+#: Words of a passage that is reported where another document has it too, and of the grams that it is found by.
+PASSAGE, PASSAGE_GRAM = 51, 34
+#: Bytes hashed at once, contexts of a group in one shard at most, bytes of a shard, and window starts of a class.
+PIECE, GROUP, SHARD, STEP = 1 << 20, 512, 3 << 20, 24
 
 _BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 _ODD = np.random.default_rng(12).integers(1, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
@@ -61,10 +73,10 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs_of(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of window starts in texts laid end to end: (text number, anchor, first start, last start), anchor hashes."""
-    h = gram_hashes(raw)
-    chosen = sliding_least((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), length - GRAM + 1)
+def runs_of(h: np.ndarray, gram: int, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of window starts in texts laid end to end, from the hashes of their grams: (text number, anchor, first start,
+    last start), anchor hashes."""
+    chosen = sliding_least((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
     begins = np.concatenate([[0], ends[:-1]])
     counts = np.maximum(0, ends - begins - length + 1)
     starts = np.repeat(begins - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
@@ -105,7 +117,7 @@ def window_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for numbers, offsets, parts in pieces(texts_as_bytes(batch, "text"), length):
                 joined = b"".join(parts)
                 ends = np.cumsum([len(p) for p in parts])
-                owner, anchor, first, last, hashes = runs_of(np.frombuffer(joined, dtype=np.uint8), ends, length)
+                owner, anchor, first, last, hashes = runs_of(gram_hashes(np.frombuffer(joined, dtype=np.uint8)), GRAM, ends, length)
                 begins = ends - [len(p) for p in parts]
                 digests = b"".join(xxhash.xxh3_128_digest(joined[a : b + length], c - a) for a, b, c in zip(first.tolist(), last.tolist(), anchor.tolist(), strict=True))
                 pair = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
@@ -208,23 +220,60 @@ def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
 
 
+def anchor_place(raw: np.ndarray, length: int) -> int:
+    """Where the anchor of a context begins: the gram with the least hash of its first window, as of all others."""
+    h = gram_hashes(raw[:length])
+    return int(((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)).argmin())
+
+
+def window_cores(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """contexts(anchor, ctx_a, ctx_b, bytes) to one row for each class of windows that a context has: its first window,
+    their number, and the digest of the bytes that all windows of the class share, whether the context has them or not."""
+    names = ["anchor", "ctx_a", "ctx_b", "class", "core_a", "core_b", "at", "size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for anchor, ctx_a, ctx_b, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place, n = anchor_place(np.frombuffer(raw, dtype=np.uint8), length), len(raw) - length + 1
+                for k in range((place - n + 1) // STEP, place // STEP + 1):
+                    first, last = max(0, place - (k + 1) * STEP + 1), min(n - 1, place - k * STEP)
+                    core = np.frombuffer(xxhash.xxh3_128_digest(raw[place - k * STEP : place - (k + 1) * STEP + 1 + length]), dtype=np.int64)
+                    rows.append((anchor, ctx_a, ctx_b, k, int(core[0]), int(core[1]), first, last - first + 1))
+            cols = list(zip(*rows, strict=True)) or [()] * 8
+            kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
+    return contexts.select("anchor", "ctx_a", "ctx_b", "bytes").mapInArrow(run, "anchor long, ctx_a long, ctx_b long, class int, core_a long, core_b long, at int, size int")
+
+
+def split_by_content(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Contexts of crowded anchors to groups of the contexts that share a core: deal, n, anchor, ctx_a, ctx_b, at, bytes."""
+    context, core = ["anchor", "ctx_a", "ctx_b"], ["anchor", "class", "core_a", "core_b"]
+    cores = stored(window_cores(contexts, length), "suffix-cores")
+    met = stored(cores.groupBy(*core).agg(F.count("*").alias("n")).where("n > 1"), "suffix-met")
+    parts = cores.join(met, core).select(*context, F.xxhash64(*core).alias("deal"), "n", "at", F.col("size").alias("width"))
+    parts = stored(parts, "suffix-parts")  # written before it is joined, so that Spark can split a crowded anchor
+    cut = contexts.join(parts, context)
+    return cut.select("deal", "n", *context, "at", F.expr(f"substring(bytes, at + 1, width + {length - 1})").alias("bytes"))
+
+
 def shard_repeats(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """contexts(anchor, part, split, ctx_a, ctx_b, bytes), dealt out and sorted by anchor and part. Returns ranges
-    lo..hi of repeated window offsets and, for split anchors, a digest of each window that speaks for its string."""
+    """contexts(deal, part, split, anchor, ctx_a, ctx_b, at, bytes), dealt out and sorted by deal and part. Returns
+    ranges lo..hi of repeated window offsets and, for split groups, a digest of each window that speaks for its string."""
     names = ["anchor", "ctx_a", "ctx_b", "lo", "hi", "digest_a", "digest_b"]
 
     def solve(group: list[tuple]) -> pa.RecordBatch:
-        windows, repeated, spoken = repeats_in_shard([g[4] for g in group], length)
-        rows, at = [], 0
-        for anchor, split, ctx_a, ctx_b, raw in group:
+        windows, repeated, spoken = repeats_in_shard([g[5] for g in group], length)
+        rows, done = [], 0
+        for split, anchor, ctx_a, ctx_b, at, raw in group:
             n = len(raw) - length + 1
-            flags = repeated[at : at + n]
-            rows += [(anchor, ctx_a, ctx_b, int(lo), int(hi), None, None) for lo, hi in zip(*_ranges(flags), strict=True)]
+            rows += [(anchor, ctx_a, ctx_b, at + int(lo), at + int(hi), None, None) for lo, hi in zip(*_ranges(repeated[done : done + n]), strict=True)]
             if split:
-                for k in np.flatnonzero(spoken[at : at + n]).tolist():
+                for k in np.flatnonzero(spoken[done : done + n]).tolist():
                     a, b = np.frombuffer(xxhash.xxh3_128_digest(raw[k : k + length]), dtype=np.int64)
-                    rows.append((anchor, ctx_a, ctx_b, k, k, int(a), int(b)))
-            at += n
+                    rows.append((anchor, ctx_a, ctx_b, at + k, at + k, int(a), int(b)))
+            done += n
         cols = list(zip(*rows, strict=True)) or [()] * 7
         kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 2
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
@@ -232,19 +281,19 @@ def shard_repeats(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, group, size, key = [], [], 0, None
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(6)]
-            for anchor, part, split, ctx_a, ctx_b, raw in zip(*cols, strict=True):
-                if (anchor, part) != key:
-                    shard, group, key = shard + group, [], (anchor, part)
+            for deal, part, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (deal, part) != key:
+                    shard, group, key = shard + group, [], (deal, part)
                     if size >= SHARD:
                         yield solve(shard)
                         shard, size = [], 0
-                group.append((anchor, split, ctx_a, ctx_b, raw))
-                size += len(raw)
+                group.append(tuple(own))
+                size += len(own[-1])
         if shard or group:
             yield solve(shard + group)
 
-    return contexts.select("anchor", "part", "split", "ctx_a", "ctx_b", "bytes").mapInArrow(run, "anchor long, ctx_a long, ctx_b long, lo int, hi int, digest_a long, digest_b long")
+    wanted = contexts.select("deal", "part", "split", "anchor", "ctx_a", "ctx_b", "at", "bytes")
+    return wanted.mapInArrow(run, "anchor long, ctx_a long, ctx_b long, lo int, hi int, digest_a long, digest_b long")
 
 
 def merge_shards(spoken: DataFrame) -> DataFrame:
@@ -281,21 +330,112 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     cut = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["row_key"] == wanted["row_key"]))
     cut = cut.select(F.encode("text", "UTF-8").alias("raw"), F.explode("contexts").alias("c"), docs["row_key"])
     cut = cut.select("c.*", F.expr(f"substring(raw, cast(c.start + 1 as int), c.size + {length - 1})").alias("bytes"))
-    parts = F.ceil(F.col("kinds") / GROUP).cast("long")
-    cut = cut.select(*context, "bytes", (F.col("kinds") > GROUP).alias("split"), F.pmod(F.xxhash64("ctx_b"), parts).alias("part"))
-    found = stored(shard_repeats(cut.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "ctx_a", "ctx_b"), length), "suffix-found")
+    crowded = not kinds.where(F.col("kinds") > GROUP).isEmpty()
+    cut = stored(cut, "suffix-cut") if crowded else cut
+    dealt = cut.where(F.col("kinds") <= GROUP).select(F.col("anchor").alias("deal"), F.col("kinds").alias("n"), *context, F.lit(0).alias("at"), "bytes")
+    if crowded:
+        dealt = dealt.unionByName(split_by_content(cut.where(F.col("kinds") > GROUP), length))
+    parts = F.ceil(F.col("n") / GROUP).cast("long")
+    dealt = dealt.withColumn("split", F.col("n") > GROUP).withColumn("part", F.pmod(F.xxhash64("ctx_b"), parts))
+    found = stored(shard_repeats(dealt.repartition("deal", "part").sortWithinPartitions("deal", "part", "anchor", "ctx_a", "ctx_b"), length), "suffix-found")
     merged = merge_shards(found.where("digest_a is not null"))
     ranges = found.where("digest_a is null").unionByName(merged).select(*context, "lo", "hi")
-    whole = distinct.where("n > 1").select(*context, F.lit(0).alias("lo"), (F.col("size") - 1).alias("hi"))
-    verdicts = stored(ranges.unionByName(whole).groupBy(*context).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "suffix-verdicts")
+    same = distinct.where("n > 1").select(*context, F.lit(0).alias("lo"), (F.col("size") - 1).alias("hi"))
+    verdicts = stored(ranges.unionByName(same).groupBy(*context).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "suffix-verdicts")
     hit = runs.join(verdicts, context).select("doc_id", "row_key", F.transform("ranges", lambda r: F.struct((r["lo"] + F.col("start")).alias("lo"), (r["hi"] + F.col("start")).alias("hi"))).alias("ranges"))
     return hit.groupBy("doc_id", "row_key").agg(F.sort_array(F.flatten(F.collect_list("ranges"))).alias("ranges"))
 
 
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _inverse(odd: int) -> int:
+    return pow(odd, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** n, modulo 2 ** 64."""
+    out = np.full(n + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+def _span_hashes(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of values[start:end] for each span, from prefix sums; equal spans have equal hashes wherever they stand."""
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values * _powers(base, len(values) - 1)[: len(values)])])
+    h = (total[ends] - total[starts]) * _powers(_inverse(base), len(values))[starts]
+    h ^= h >> np.uint64(32)
+    return h * _ODD[7]
+
+
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word, words being split at ASCII white space."""
+    inside = np.concatenate([[False], ~_SPACE[raw], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    return (_span_hashes(_BYTE[raw], int(_ODD[0]), starts, ends) if len(starts) else np.zeros(0, dtype=np.uint64)), starts
+
+
+def word_parts(text: bytes, words: int) -> Iterator[bytes]:
+    """The text in parts of about PIECE bytes, cut at white space; each begins with the last words of the one before."""
+    at, size = 0, PIECE
+    while at + size < len(text):
+        part = text[at : at + size]
+        rest = part.rsplit(None, words + 1)
+        if len(rest) > words + 1 and rest[0]:
+            yield part[: len(part) - len(rest[-1])]  # the last word may be cut
+            at, size = at + len(rest[0]), PIECE
+        else:
+            size *= 2
+    yield text[at:]
+
+
+def passage_marks(docs: DataFrame, words: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
+    """row_key and the hash of the gram with the least hash in each window of so many words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, parts, size = [], [], 0
+            for key, text in zip(batch.column(0).to_pylist(), texts_as_bytes(batch, "text"), strict=True):
+                for part in word_parts(text, words):
+                    keys.append(key)
+                    parts.append(part + b" ")
+                    size += len(part)
+                    if size >= PIECE:
+                        yield marks_of(keys, parts)
+                        keys, parts, size = [], [], 0
+            yield marks_of(keys, parts)
+
+    def marks_of(keys: list[int], parts: list[bytes]) -> pa.RecordBatch:
+        hashes, starts = word_hashes(np.frombuffer(b"".join(parts), dtype=np.uint8))
+        both = np.zeros((2, 0), dtype=np.int64)
+        if len(hashes) >= words:
+            first = np.arange(len(hashes) - gram + 1)
+            ends = np.searchsorted(starts, np.cumsum([len(p) for p in parts]))
+            owner, _, _, _, marks = runs_of(_span_hashes(hashes, int(_ODD[1]), first, first + gram), gram, ends, words)
+            both = np.stack([np.array(keys, dtype=np.int64)[owner], marks.view(np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["row_key", "mark"])
+
+    return docs.select("row_key", "text").mapInArrow(run, "row_key long, mark long")
+
+
+def passage_sharers(docs: DataFrame, words: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
+    """row_key of each document that shares a passage with another one. Every passage of so many words is met, for equal
+    windows choose equal grams; of shorter ones those of at least gram words may be."""
+    marks = stored(passage_marks(docs, words, gram), "passage-marks")
+    shared = marks.groupBy("mark").agg(F.min("row_key").alias("a"), F.max("row_key").alias("b")).where("a <> b").select("mark")
+    return marks.join(stored(shared, "passage-shared"), "mark", "left_semi").select("row_key").distinct()
+
+
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, spans (removed byte ranges) and kept (what is left)."""
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, spans (removed byte ranges), kept (what is left) and
+    shares_passage (whether another document has a passage of more than 50 of its words, see passage_sharers)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-    found = repeated_ranges(docs, length).select(F.col("doc_id").alias("found_id"), F.col("row_key").alias("found_key"), "ranges")
+    found = repeated_ranges(docs, length)
+    sharers = docs.select("doc_id", "row_key").join(passage_sharers(docs), "row_key", "left_semi")
+    both = found.withColumn("shares", F.lit(False)).unionByName(sharers.select("doc_id", "row_key", F.lit(None).cast(found.schema["ranges"].dataType).alias("ranges"), F.lit(True).alias("shares")))
+    found = both.groupBy(F.col("doc_id").alias("found_id"), F.col("row_key").alias("found_key")).agg(F.max("ranges").alias("ranges"), F.max("shares").alias("shares"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,7 +456,8 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
                 rows.append((len(text), len(text) - len(kept), len(spans), spans, kept, hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), batch.column(3)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256", "shares_passage"])
 
     both = docs.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("row_key") == F.col("found_key")), "left")
-    return both.select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary, kept_sha256 string")
+    wanted = both.select("doc_id", "text", "ranges", F.coalesce("shares", F.lit(False)).alias("shares"))
+    return wanted.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary, kept_sha256 string, shares_passage boolean")

@@ -150,9 +150,10 @@ def brute_repeats(docs, length):
         yield (d if d is not None else -1, len(b), int(gone.sum()), edges, hashlib.sha256(kept).hexdigest())
 
 
-@pytest.mark.parametrize("group", [2048, 2])
-def test_suffix_dedup(spark, monkeypatch, group):
+@pytest.mark.parametrize(("group", "step"), [(512, 24), (2, 24), (2, 5)])
+def test_suffix_dedup(spark, monkeypatch, group, step):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "STEP", step)
     rng = np.random.default_rng(5)
     prose = lambda n: "".join(rng.choice(list("abcdeé \n"), n))
     shared, docs = prose(500), []
@@ -165,6 +166,35 @@ def test_suffix_dedup(spark, monkeypatch, group):
     assert sorted(map(tuple, got)) == sorted(brute_repeats(docs, 400))
 
 
+def test_crowded_anchor_stays_linear(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    prose = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    line, long = prose(380), prose(430)
+    docs = [(k, prose(250) + line + prose(250)) for k in range(1500)] + [(k, prose(200) + long + prose(200)) for k in range(1500, 1600)]
+    seen, plain = [], suffix_dedup.shard_repeats
+
+    def counted(contexts, length):
+        seen.append(plain(contexts, length).count())
+        return plain(contexts, length)
+
+    monkeypatch.setattr(suffix_dedup, "shard_repeats", counted)
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {k: n for k, *_, n in ((d, 0, n) for d, _, n, *_ in brute_repeats(docs, 400))}
+    assert seen[0] < 2 * len(docs)
+
+
+def test_shared_passages(spark):
+    rng = np.random.default_rng(9)
+    words = lambda n: [f"w{k}" for k in rng.integers(0, 400, n)]
+    passage, docs = words(200), []
+    for k, n in enumerate([51, 51, 60, 33, 33, 200, 0, 51]):
+        docs.append((k, " ".join([*words(int(rng.integers(0, 90))), *passage[:n], *words(40)]).replace(" ", "\n" if k % 2 else "  ")))
+    own = words(60)
+    docs += [(20, " ".join(own * 3)), (21, None), (22, "x " * 49 + "x"), (23, " ".join(words(400_000) + passage[100:151]))]
+    got = {r["doc_id"]: r["shares_passage"] for r in suffix_dedup.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {d for d, yes in got.items() if yes} == {0, 1, 2, 5, 7, 23}
+
+
 def test_suffix_order_and_prefixes():
     text = np.frombuffer(b"banana bandana banana", dtype=np.uint8)
     raw, order = text.tobytes(), suffix_dedup.suffix_order(text)
