@@ -10,8 +10,9 @@ Layout of the store (folders of Parquet files, so any store that Spark writes to
   checkpoint steps, u32 documents, u64 ids, u64 words, u32 crc32 of the ids, u32 crc32 of the table, then i64 doc_id
   and u8 null flag and u64 length of each document, per checkpoint u64 words before it and u64 states, and u32 words.
 
-Defined results: a null or empty text is the end id alone; rows that repeat are written each; a null doc_id sorts
-first; an empty table gives a store without blocks.
+Defined results: a null or empty text is the end id alone; rows that repeat are written each, those of one doc_id by the
+hash of their text; a null doc_id sorts first; a text of any length is one document and lies in one block; an empty table
+gives a store without blocks; other columns are not read.
 """
 
 from __future__ import annotations
@@ -150,6 +151,14 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 _WORD = re.compile(rf"(?:\S|[{SEPARATORS}])+")
 
 
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def is_plain(word: str) -> bool:
+    """Whether the word has ASCII and Latin-1 letters only."""
+    return word.isalpha() if word.isascii() else _LATIN.fullmatch(word) is not None
+
+
 def split_words(text: str) -> list[str]:
     """The stretches between the tokenizer's white space."""
     return _WORD.findall(text) if any(c in text for c in SEPARATORS) else text.split()
@@ -159,7 +168,9 @@ class WordCache:
     """Ids of a text by way of its white-space words, each encoded once by the library.
 
     Exact for tokenizers whose pieces never span white space, that split letters from punctuation and mark the end of
-    each piece, as the word tokenizer does; words are remembered up to a bound, then forgotten together.
+    each piece, as the word tokenizer does; words are remembered up to a bound, then forgotten together. Only words of
+    ASCII and Latin-1 letters, which are composed and have one lower-case letter each, are put in lower case here; all
+    others, which normalizing may compose, take apart or reorder, are given to the library one by one as they are.
     """
 
     MARKS = ".,!#$%&*|;:?"
@@ -179,17 +190,17 @@ class WordCache:
         self.numbers, self.ids = _Numbers(), []
 
     def _learn(self, kind: str) -> None:
-        """Encode the new words. Those of letters only are one piece each: encoded many to a text and told apart by
-        their last ids; letters with marks behind are put together from both; the rest is encoded as it is."""
+        """Encode the new words. Those of plain letters are one piece each: encoded many to a text and told apart by
+        their last ids; plain letters with marks behind are put together from both; the rest is encoded as it is."""
         numbers, first = self.numbers, len(self.ids)
         plain, alone, joined, at = [], [], [], 0
         while at < len(numbers.fresh):  # stems and marks that are new join the list
             word = numbers.fresh[at]
-            if word.isalpha():
+            if is_plain(word):
                 plain.append(first + at)
             else:
                 stem = word.rstrip(self.MARKS)
-                if len(stem) < len(word) and stem.isalpha():
+                if len(stem) < len(word) and is_plain(stem):
                     joined.append((first + at, numbers[stem], numbers[word[len(stem) :]]))
                 else:
                     alone.append(first + at)
@@ -197,12 +208,7 @@ class WordCache:
         fresh, numbers.fresh = numbers.fresh, []
         self.ids += [b""] * len(fresh)
         groups = [plain[k : k + self.portion] for k in range(0, len(plain), self.portion)]
-        texts = [" ".join([fresh[n - first] for n in g]) for g in groups]
-        # Latin-1 is in composed form, and its letters have one lower-case form each
-        normal = [k for k, t in enumerate(texts) if not t.translate(_LATIN)]
-        other = sorted({*range(len(texts))} - {*normal})
-        done = dict(zip(normal, self.bare.encode_batch_fast([texts[k].lower() for k in normal], add_special_tokens=False), strict=True))
-        done |= dict(zip(other, self.library.encode_batch_fast([texts[k] for k in other], add_special_tokens=False), strict=True))
+        done = self.bare.encode_batch_fast([" ".join([fresh[n - first] for n in g]).lower() for g in groups], add_special_tokens=False)
         for k, group in enumerate(groups):
             ids = np.array(done[k].ids, dtype=kind)
             stops = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
@@ -232,7 +238,6 @@ class WordCache:
             gc.enable()
 
 
-_LATIN = dict.fromkeys(range(256))
 _TOKENIZERS: dict = {}
 
 
