@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,8 +41,16 @@ def texts_as_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return col.fill_null("").cast(pa.large_binary()).to_pylist()
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def code_points(text: bytes, spans: list[tuple]) -> list[tuple]:
+    """Spans (start, end, ...) of bytes as spans of code points, in one pass over the text."""
+    if not spans or text.isascii():
+        return spans
+    place, at, points = {}, 0, 0
+    for offset in sorted({o for span in spans for o in span[:2]}):
+        points += len(text[at:offset].decode())
+        place[offset] = points
+        at = offset
+    return [(place[a], place[b], *rest) for a, b, *rest in spans]
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

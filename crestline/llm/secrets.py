@@ -7,12 +7,17 @@ documented sample of generated keys; ``ordinary`` are all other runs of the corp
 counts (alphabet squared, twice) reaches the driver.
 
 Defined results: a null text counts as empty and has no span; repeated rows are scanned each on its own; spans of the
-method that overlap a span of the patterns are left out; an empty corpus leaves the generated sample and smoothing.
+method that overlap a span of the patterns are left out; spans that begin together are ordered by kind; a text of any
+length is scanned whole, in time that grows with its length; an empty table gives no rows, and an empty corpus leaves the
+generated sample and smoothing; other columns are not read, and redact keeps them as they are.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_as_bytes
+from .common import code_points, texts_as_bytes
 
 ALPHABET = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET)
@@ -64,10 +69,12 @@ class MarkovScanner:
     def scan(self, text: bytes) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
         """Base spans, and all spans with those of the method, in bytes."""
         base = self.scan_base(text)
+        starts, reach = [s for s, _, _ in base], list(itertools.accumulate((e for _, e, _ in base), max))
         added = []
         for run in RUN.finditer(text):
             a, b = run.span()
-            if b - a < self.min_length or any(s < b and a < e for s, e, _ in base):
+            before = bisect.bisect_left(starts, b)  # base spans that begin before the run ends
+            if b - a < self.min_length or before and reach[before - 1] > a:
                 continue
             code = _CODE[np.frombuffer(text, dtype=np.uint8, count=b - a, offset=a)]
             total = float(self.ratio[code[:-1], code[1:]].sum())
@@ -97,12 +104,17 @@ def labelled_transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     for batch in batches:
         for text in texts_as_bytes(batch, "text"):
             counts[0] += np.bincount(_transitions(text), minlength=SIZE * SIZE)
+            values, assigned = [], 0  # assigned: end of the last assignment, which may hold the hex run that follows
             for start, end, kind in plain.scan_base(text):
-                value = ASSIGN.match(text, start, end).group(2) if kind == "assign" else text[start:end]
-                own = np.bincount(_transitions(value), minlength=SIZE * SIZE)
-                if kind != "hex" or not any(s <= start and end <= e for s, e, k in plain.scan_base(text) if k == "assign"):
-                    counts[1] += own
-                    counts[0] -= own
+                if kind == "assign":
+                    assigned = end
+                    values.append(ASSIGN.match(text, start, end).group(2))
+                elif kind == "access" or end > assigned:
+                    values.append(text[start:end])
+            if values:
+                own = np.bincount(_transitions(b" ".join(values)), minlength=SIZE * SIZE)
+                counts[1] += own
+                counts[0] -= own
     label, pair = np.nonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(pair.astype(np.int32)), pa.array(counts[label, pair])], names=["label", "pair", "n"])
 
@@ -121,13 +133,6 @@ def train(docs: DataFrame, text_col: str = "text", smoothing: float = 1.0) -> Ma
     return MarkovScanner(log(random) - log(ordinary))
 
 
-def _points(text: bytes, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The same spans in code points."""
-    if not spans or text.isascii():
-        return spans
-    return [(len(text[:a].decode()), len(text[:b].decode()), k) for a, b, k in spans]
-
-
 def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
@@ -141,7 +146,7 @@ def find_secrets(docs: DataFrame, scanner: MarkovScanner | None = None, id_col:
             rows = []
             for text in texts_as_bytes(batch, "text"):
                 base, spans = scanner.scan(text)
-                base, spans = _points(text, base), _points(text, spans)
+                base, spans = code_points(text, base), code_points(text, spans)
                 n = [sum(k == kind for _, _, k in spans) for kind in KINDS]
                 rows.append((*n, _joined(base), _joined(spans)))
             cols = list(zip(*rows, strict=True)) or [()] * 6
@@ -161,11 +166,12 @@ def redact(docs: DataFrame, scanner: MarkovScanner | None = None, text_col: str
     def cleaned(texts: pd.Series) -> pd.Series:
         return pd.Series([_without(t, scanner, mark) for t in texts], dtype=object)
 
-    out = docs.withColumn(text_col, cleaned(F.col(text_col)))
+    clean = f"clean_{uuid.uuid4().hex}"
+    out = docs.withColumn(clean, cleaned(F.col(text_col)))
     if length_col in docs.columns:
         kind = docs.schema[length_col].dataType
-        out = out.withColumn(length_col, F.when(F.col(text_col).contains(mark), F.char_length(text_col).cast(kind)).otherwise(F.col(length_col)))
-    return out
+        out = out.withColumn(length_col, F.when(F.col(clean).eqNullSafe(F.col(text_col)), F.col(length_col)).otherwise(F.char_length(clean).cast(kind)))
+    return out.withColumn(text_col, F.col(clean)).drop(clean)
 
 
 def _without(text: str | None, scanner: MarkovScanner, mark: str) -> str | None:
@@ -182,5 +188,3 @@ def _without(text: str | None, scanner: MarkovScanner, mark: str) -> str | None:
 
 def sha256_of(column: str):
     return F.sha2(F.col(column).cast("binary"), 256)
-
-

@@ -5,15 +5,18 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from crestline.llm.common import code_points
 from crestline.llm import decontaminate, licenses, main_text, packing, quality, queries, secrets, simhash, suffix_dedup, token_store, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -100,6 +103,23 @@ def test_markov_tells_keys_from_names(spark, texts):
     assert sum(bool(scanner.scan(w.encode())[1]) for w in words) <= 0.02 * len(words) + 1
 
 
+def test_secrets_of_long_texts_in_linear_time(spark):
+    scanner = secrets.train(spark.createDataFrame([(1, f"token = {KEY}{KEY}")], "doc_id long, text string"))
+    text = " ".join(f"é{k} {KEY} token={KEY} AKIA{k:020d}" for k in range(100_000)).encode()
+    began = time.time()
+    base, spans = scanner.scan(text)
+    assert len(code_points(text, spans)) == 400_000 and base == spans
+    assert sum(1 for _ in secrets.labelled_transitions(iter([pa.RecordBatch.from_pydict({"text": [text.decode()]})]))) == 1
+    assert time.time() - began < 30
+
+
+def test_code_points():
+    text = "aé€𝄞b" * 3
+    raw = text.encode()
+    spans = [(len(text[:a].encode()), len(text[:b].encode()), "k") for a in range(5) for b in range(a, 15)]
+    assert code_points(raw, spans) == [(a, b, "k") for a in range(5) for b in range(a, 15)]
+
+
 def test_redact_keeps_columns(spark, odd):
     out = {r["text"]: r for r in secrets.redact(odd).where("doc_id = 8 or doc_id = 1").collect()}
     assert None in out and any(t and KEY not in t and "[SECRET]" in t and r["n_chars"] == len(t) for t, r in out.items())
@@ -253,6 +273,21 @@ def test_token_ids_with_separators():
         assert np.frombuffer(ids, "<u4").tolist() == [*library.encode(t, add_special_tokens=False).ids, 2], t
 
 
+def test_token_ids_of_odd_characters():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    library, cache = Tokenizer.from_file(path), token_store.WordCache(path)
+    every = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    texts = [t for c in every for t in (c, f"ab{c}cd", f"{c}.", f"e{c}\u0301 {c}", f"A{c},! x")]
+    rng = np.random.default_rng(12)
+    odd = [chr(c) for c in [*range(0x20, 0x180), 0x130, 0x307, 0x301, 0x323, 0x958, 0x95C, 0x9DC, 0x9DF, 0xA33, 0xB5C, 0xF43, 0x1E9B, 0x212B, 0x2126, 0x1C, 0x85, 0xA0, 0x2003, 0x3000, 0xAC00, 0x1100, 0x1161, 0x11A8, 0xFB01, 0x1D15E, 0x1F600]]
+    texts += ["".join(rng.choice(odd, int(rng.integers(1, 12)))) for _ in range(5000)]
+    got = cache.encode(texts, 2, "<u4")
+    for t, ids, want in zip(texts, got, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == [*want.ids, 2], ascii(t)
+
+
 def test_rans_parts_decode_alone():
     rng = np.random.default_rng(9)
     ids = np.minimum(rng.geometric(0.05, 50_001) - 1, 99).astype(np.uint16)
