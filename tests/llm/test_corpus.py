@@ -138,12 +138,25 @@ def test_decontamination(spark):
     cut = [*item[:4], "x", *item[5:9], "y", *item[10:14], "z", *item[15:]]
     docs = {1: word(100), 2: [*word(40), *item, *word(40)], 3: [*word(9), *cut], 4: [*word(20), *item[:10], *word(20)], 5: item[8:24]}
     df = spark.createDataFrame([(k, " ".join(w).upper()) for k, w in docs.items()], "doc_id long, text string")
-    bench = spark.createDataFrame([(7, " ".join(item)), (8, "a b c d e f")], "item_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "a b c d e f"), (9, "w1")], "item_id long, text string")
     got = {r["doc_id"]: r["item_ids"] for r in decontaminate.contamination(df, bench).collect()}
     assert got == {1: [], 2: [7], 3: [7], 4: [], 5: [7]}
     assert {r["doc_id"] for r in decontaminate.drop_contaminated(df, bench).collect()} == {1, 4}
 
 
+@pytest.mark.parametrize("seeds", [1_000_000, 700])
+def test_decontamination_of_odd_items(spark, monkeypatch, seeds):
+    monkeypatch.setattr(decontaminate, "BLOCK_SEEDS", seeds)
+    rng = np.random.default_rng(4)
+    word = lambda n: ["w%d" % k for k in rng.integers(0, 90_000, n)]
+    long, ten = word(50_000 if seeds > 700 else 1500), word(10)
+    docs = [(1, long[700:730]), (2, ["Yes", "no"]), (3, [*word(20), "yes", "no", *word(5)]), (4, ten[:9]), (5, [*ten[:7], *word(3)]), (6, long), (None, long[5:25]), (7, [])]
+    bench = [(1, long), (2, ["yes", "NO"]), (3, ten), (4, ["yes"]), (5, long), (6, None), (7, ten)]
+    make = lambda rows, names: spark.createDataFrame([(k, None if w is None else " ".join(w)) for k, w in rows], names)
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.contamination(make(docs, "doc_id long, text string"), make(bench, "item_id long, text string")).collect()}
+    assert got == {1: [1, 5], 2: [2], 3: [], 4: [3, 7], 5: [], 6: [1, 5], None: [1, 5], 7: []}
+
+
 def test_main_text():
     page = """<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies on this site to improve things for you.</div>
     <article><h1>Head &amp; title</h1><p>First <b>bold</b> line<br>goes on.</p><script>var x="<p>no</p>"</script><p>Is.</p><form><input>Sign up</form></article>
