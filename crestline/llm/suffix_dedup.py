@@ -11,6 +11,7 @@ Every byte covered by a LENGTH-byte string that also starts anywhere else in the
    all windows of their class share. These cores are counted, at most 15 a context; one that stands alone has no repeat,
    and the contexts of each other core go on as a group of their own, with the windows of its class only. A group that
    still has more than GROUP contexts is dealt out over several shards.
+   Within a whole group the same is done in place, with coarser classes.
 3. A shard sorts its suffixes by Larsson-Sadakane refinement in numpy and takes common prefixes by
    Kasai's rule, in lanes. Neighbours that share LENGTH bytes are repeats.
 4. The windows of split groups, at most STEP a context and class, are merged across shards by binary search in sorted
@@ -43,9 +44,11 @@ from .common import stored, texts_as_bytes
 
 LENGTH, GRAM = 400, 64
 #: Words of a passage that is reported where another document has it too, and of the grams that it is found by.
-PASSAGE, PASSAGE_GRAM = 51, 34
+PASSAGE, PASSAGE_GRAM = 51, 30
 #: Bytes hashed at once, contexts of a group in one shard at most, bytes of a shard, and window starts of a class.
-PIECE, GROUP, SHARD, STEP = 1 << 20, 512, 3 << 20, 24
+PIECE, GROUP, SHARD, STEP = 1 << 20, 512, 1 << 19, 24
+#: Window starts of a class where a whole group is at hand.
+COARSE = 84
 
 _BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 _ODD = np.random.default_rng(12).integers(1, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
@@ -105,11 +108,12 @@ def pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[in
         yield numbers, offsets, parts
 
 
-RUNS = "doc_id long, row_key long, anchor long, ctx_a long, ctx_b long, start long, size int"
+RUNS = "doc_id long, row_key long, anchor long, ctx_a long, ctx_b long, start long, size int, place int"
 
 
 def window_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Runs of all documents: where the windows start, their anchor's hash and their context's digest."""
+    """Runs of all documents: where the windows start, the anchor's place behind the first, its hash and the context's
+    digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,71 +129,80 @@ def window_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([ids[k] for k in of], pa.int64()), pa.array([keys[k] for k in of], pa.int64()), pa.array(hashes.view(np.int64)), pa.array(pair[:, 0]), pa.array(pair[:, 1]),
-                        pa.array(first - begins[owner] + np.array(offsets, dtype=np.int64)[owner]), pa.array((last - first + 1).astype(np.int32)),
+                        pa.array(first - begins[owner] + np.array(offsets, dtype=np.int64)[owner]), pa.array((last - first + 1).astype(np.int32)), pa.array((anchor - first).astype(np.int32)),
                     ],
-                    names=["doc_id", "row_key", "anchor", "ctx_a", "ctx_b", "start", "size"],
+                    names=["doc_id", "row_key", "anchor", "ctx_a", "ctx_b", "start", "size", "place"],
                 )
 
     return docs.select("doc_id", "row_key", "text").mapInArrow(run, RUNS)
 
 
+def _order(key: np.ndarray, bits: int) -> np.ndarray:
+    """Places of the keys in order; where there is room, numbers that hold their place are sorted, which is faster."""
+    low = max(1, len(key) - 1).bit_length()
+    if bits + low > 64:
+        return np.argsort(key, kind="stable")
+    return (np.sort(key << np.uint64(low) | np.arange(len(key), dtype=np.uint64)) & np.uint64((1 << low) - 1)).astype(np.int64)
+
+
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """Suffixes in order, by Larsson-Sadakane refinement: each round sorts only the groups that are not yet single, by
     the rank of the suffix that starts where the known prefix ends. Kasai's rule needs the full order."""
-    n = len(text)
-    padded = np.concatenate([text, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
+    n, known = len(text), 5
+    padded = np.concatenate([text, np.zeros(known, dtype=np.uint8)]).astype(np.uint64)
     key = np.zeros(n, dtype=np.uint64)
-    for k in range(7):  # seven bytes, and below them how many of these the text still has
+    for k in range(known):  # five bytes, and below them how many of these the text still has
         key = (key << np.uint64(8)) | padded[k : k + n]
-    key = (key << np.uint64(8)) | np.minimum(7, n - np.arange(n)).astype(np.uint64)
-    order = np.argsort(key)
+    key = (key << np.uint64(3)) | np.minimum(known, n - np.arange(n)).astype(np.uint64)
+    order = _order(key, 8 * known + 3)
     fresh = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
     heads = np.flatnonzero(fresh)
-    rank = np.empty(n + 1, dtype=np.int64)
-    rank[order] = np.repeat(heads, np.diff(np.concatenate([heads, [n]])))
-    rank[n] = -1
-    known = 7
+    rank = np.empty(n + 1, dtype=np.int64)  # one above the slot of the group's head; that of the empty suffix is 0
+    rank[order] = np.repeat(heads + 1, np.diff(np.concatenate([heads, [n]])))
+    rank[n] = 0
+    wide = n.bit_length()
     open_slots = np.flatnonzero(~(fresh & np.concatenate([fresh[1:], [True]])))
     while len(open_slots):
         suffix = order[open_slots]
-        group, after = rank[suffix], rank[np.minimum(suffix + known, n)]
-        key = group * (n + 1) + after + 1
-        again = np.argsort(key)
+        key = rank[suffix].astype(np.uint64) << np.uint64(wide) | rank[np.minimum(suffix + known, n)].astype(np.uint64)
+        again = _order(key, 2 * wide)
         order[open_slots] = suffix = suffix[again]
         key = key[again]
         fresh = np.concatenate([[True], key[1:] != key[:-1]])
         heads = np.flatnonzero(fresh)
-        rank[suffix] = np.repeat(open_slots[heads], np.diff(np.concatenate([heads, [len(suffix)]])))
+        rank[suffix] = np.repeat(open_slots[heads] + 1, np.diff(np.concatenate([heads, [len(suffix)]])))
         open_slots = open_slots[~(fresh & np.concatenate([fresh[1:], [True]]))]
         known *= 2
     return order
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int, lanes: int = 4096) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int, lanes: int = 16384) -> np.ndarray:
     """Kasai: for each suffix in order, the bytes it shares with the one before, up to depth. The text is cut into
     lanes that advance together, each dropping at most one shared byte from a position to the next."""
     n = len(text)
     before = np.full(n, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
-    padded = np.concatenate([text, np.zeros(16, dtype=np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    padded = np.concatenate([text, np.zeros(16, dtype=np.uint8)]).astype(np.uint64)
+    eight = np.zeros(n + 8, dtype=np.uint64)  # the eight bytes from each place on, the first of them lowest
+    for k in range(8):
+        eight |= padded[k : k + n + 8] << np.uint64(8 * k)
     steps = -(-n // lanes)
     begin = np.arange(0, n, steps)
     shared, out = np.zeros(len(begin), dtype=np.int64), np.zeros(n, dtype=np.int32)
     for step in range(steps):
-        at = begin + step
-        live = at < np.minimum(begin + steps, n)
-        other = np.where(live, before[np.minimum(at, n - 1)], -1)
-        shared = np.where(other >= 0, np.maximum(shared - 1, 0), 0)
-        going = np.flatnonzero(other >= 0)
+        at = begin[: np.searchsorted(begin, n - step)] + step
+        other = before[at]
+        shared = np.where(other >= 0, np.maximum(shared[: len(at)] - 1, 0), 0)
+        limit = np.minimum(depth, n - np.maximum(at, other))
+        going = np.flatnonzero((other >= 0) & (shared < limit))
         while len(going):
-            a, b, s = at[going], other[going], shared[going]
-            limit = np.minimum(depth, n - np.maximum(a, b))
-            same = words[np.minimum(a + s, n)] == words[np.minimum(b + s, n)]
-            more = np.where(same.all(axis=1), 8, same.argmin(axis=1))
-            shared[going] = np.minimum(s + more, limit)
-            going = going[(more == 8) & (s + more < limit)]
-        out[at[live]] = shared[live]
+            s = shared[going]
+            apart = eight[at[going] + s] ^ eight[other[going] + s]
+            # the lowest bit in which they differ tells how many bytes are the same
+            more = np.where(apart == 0, 8, np.log2((apart & -apart).astype(float), where=apart != 0, out=np.zeros(len(s))).astype(np.int64) >> 3)
+            shared[going] = s = np.minimum(s + more, limit[going])
+            going = going[(more == 8) & (s < limit[going])]
+        out[at] = shared
     return out[order]
 
 
@@ -220,53 +233,76 @@ def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
 
 
-def anchor_place(raw: np.ndarray, length: int) -> int:
-    """Where the anchor of a context begins: the gram with the least hash of its first window, as of all others."""
-    h = gram_hashes(raw[:length])
-    return int(((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)).argmin())
+def classes_of(raw: bytes, place: int, step: int, length: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """The classes of a context's windows, step bytes before the anchor to a class: number, first and last window, and
+    the core, which is the bytes that all windows of the class share, whether the context has them or not."""
+    n = len(raw) - length + 1
+    for k in range((place - n + 1) // step, place // step + 1):
+        core = raw[place - k * step : place - (k + 1) * step + 1 + length]
+        yield k, max(0, place - (k + 1) * step + 1), min(n - 1, place - k * step), core
 
 
 def window_cores(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """contexts(anchor, ctx_a, ctx_b, bytes) to one row for each class of windows that a context has: its first window,
-    their number, and the digest of the bytes that all windows of the class share, whether the context has them or not."""
+    """contexts(anchor, ctx_a, ctx_b, place, bytes) to a row for each class of windows that a context has: its first
+    window, their number, and the digest of its core."""
     names = ["anchor", "ctx_a", "ctx_b", "class", "core_a", "core_b", "at", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for anchor, ctx_a, ctx_b, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                place, n = anchor_place(np.frombuffer(raw, dtype=np.uint8), length), len(raw) - length + 1
-                for k in range((place - n + 1) // STEP, place // STEP + 1):
-                    first, last = max(0, place - (k + 1) * STEP + 1), min(n - 1, place - k * STEP)
-                    core = np.frombuffer(xxhash.xxh3_128_digest(raw[place - k * STEP : place - (k + 1) * STEP + 1 + length]), dtype=np.int64)
-                    rows.append((anchor, ctx_a, ctx_b, k, int(core[0]), int(core[1]), first, last - first + 1))
+            for anchor, ctx_a, ctx_b, place, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for k, first, last, core in classes_of(raw, place, STEP, length):
+                    digest = np.frombuffer(xxhash.xxh3_128_digest(core), dtype=np.int64)
+                    rows.append((anchor, ctx_a, ctx_b, k, int(digest[0]), int(digest[1]), first, last - first + 1))
             cols = list(zip(*rows, strict=True)) or [()] * 8
             kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    return contexts.select("anchor", "ctx_a", "ctx_b", "bytes").mapInArrow(run, "anchor long, ctx_a long, ctx_b long, class int, core_a long, core_b long, at int, size int")
+    return contexts.select("anchor", "ctx_a", "ctx_b", "place", "bytes").mapInArrow(run, "anchor long, ctx_a long, ctx_b long, class int, core_a long, core_b long, at int, size int")
+
+
+def hopeful(group: list[tuple], length: int) -> list[tuple]:
+    """The contexts of a whole group, cut down to the windows of classes whose core another context has too: no other
+    window can repeat, so that what stands alone never reaches the suffix array."""
+    cores: dict[tuple[int, bytes], int] = {}
+    own = []
+    for _, _, _, _, at, place, raw in group:
+        own.append([(k, first, last, (k, core)) for k, first, last, core in classes_of(raw, place - at, COARSE, length)])
+        for *_, core in own[-1]:
+            cores[core] = cores.get(core, 0) + 1
+    out = []
+    for (split, anchor, ctx_a, ctx_b, at, place, raw), classes in zip(group, own, strict=True):
+        spans: list[list[int]] = []
+        for _, first, last, core in sorted(c for c in classes if cores[c[3]] > 1)[::-1]:
+            if spans and spans[-1][1] == first - 1:
+                spans[-1][1] = last
+            else:
+                spans.append([first, last])
+        out += [(split, anchor, ctx_a, ctx_b, at + first, place, raw[first : last + length]) for first, last in spans]
+    return out
 
 
 def split_by_content(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Contexts of crowded anchors to groups of the contexts that share a core: deal, n, anchor, ctx_a, ctx_b, at, bytes."""
+    """Contexts of crowded anchors to groups of the contexts that share a core: deal, n, anchor, ctx_a, ctx_b, at, place,
+    bytes."""
     context, core = ["anchor", "ctx_a", "ctx_b"], ["anchor", "class", "core_a", "core_b"]
     cores = stored(window_cores(contexts, length), "suffix-cores")
     met = stored(cores.groupBy(*core).agg(F.count("*").alias("n")).where("n > 1"), "suffix-met")
     parts = cores.join(met, core).select(*context, F.xxhash64(*core).alias("deal"), "n", "at", F.col("size").alias("width"))
     parts = stored(parts, "suffix-parts")  # written before it is joined, so that Spark can split a crowded anchor
     cut = contexts.join(parts, context)
-    return cut.select("deal", "n", *context, "at", F.expr(f"substring(bytes, at + 1, width + {length - 1})").alias("bytes"))
+    return cut.select("deal", "n", *context, "at", "place", F.expr(f"substring(bytes, at + 1, width + {length - 1})").alias("bytes"))
 
 
 def shard_repeats(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """contexts(deal, part, split, anchor, ctx_a, ctx_b, at, bytes), dealt out and sorted by deal and part. Returns
+    """contexts(deal, part, split, anchor, ctx_a, ctx_b, at, place, bytes), dealt out and sorted by deal and part. Returns
     ranges lo..hi of repeated window offsets and, for split groups, a digest of each window that speaks for its string."""
     names = ["anchor", "ctx_a", "ctx_b", "lo", "hi", "digest_a", "digest_b"]
 
     def solve(group: list[tuple]) -> pa.RecordBatch:
-        windows, repeated, spoken = repeats_in_shard([g[5] for g in group], length)
+        _, repeated, spoken = repeats_in_shard([g[-1] for g in group], length)
         rows, done = [], 0
-        for split, anchor, ctx_a, ctx_b, at, raw in group:
+        for split, anchor, ctx_a, ctx_b, at, _, raw in group:
             n = len(raw) - length + 1
             rows += [(anchor, ctx_a, ctx_b, at + int(lo), at + int(hi), None, None) for lo, hi in zip(*_ranges(repeated[done : done + n]), strict=True)]
             if split:
@@ -283,16 +319,18 @@ def shard_repeats(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             for deal, part, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (deal, part) != key:
-                    shard, group, key = shard + group, [], (deal, part)
+                    group = group if group and group[0][0] else hopeful(group, length)
+                    shard, size = shard + group, size + sum(len(g[-1]) for g in group)
+                    group, key = [], (deal, part)
                     if size >= SHARD:
                         yield solve(shard)
                         shard, size = [], 0
                 group.append(tuple(own))
-                size += len(own[-1])
-        if shard or group:
-            yield solve(shard + group)
+        shard += group if group and group[0][0] else hopeful(group, length)
+        if shard:
+            yield solve(shard)
 
-    wanted = contexts.select("deal", "part", "split", "anchor", "ctx_a", "ctx_b", "at", "bytes")
+    wanted = contexts.select("deal", "part", "split", "anchor", "ctx_a", "ctx_b", "at", "place", "bytes")
     return wanted.mapInArrow(run, "anchor long, ctx_a long, ctx_b long, lo int, hi int, digest_a long, digest_b long")
 
 
@@ -322,17 +360,17 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     again = stored(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "suffix-anchors")
     runs = stored(runs.join(again, "anchor", "left_semi"), "suffix-again")
     context = ["anchor", "ctx_a", "ctx_b"]
-    distinct = runs.groupBy(*context).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "start", "size")).alias("at"))
+    distinct = runs.groupBy(*context).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "start", "size", "place")).alias("at"))
     distinct = stored(distinct.select(*context, "n", "at.*"), "suffix-contexts")
     kinds = stored(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "suffix-kinds")
     several = distinct.join(kinds, "anchor")
-    wanted = several.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct(*context, "kinds", "start", "size")).alias("contexts"))
-    cut = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["row_key"] == wanted["row_key"]))
+    wanted = several.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct(*context, "kinds", "start", "size", "place")).alias("contexts"))
+    cut = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["row_key"] == wanted["row_key"]))
     cut = cut.select(F.encode("text", "UTF-8").alias("raw"), F.explode("contexts").alias("c"), docs["row_key"])
     cut = cut.select("c.*", F.expr(f"substring(raw, cast(c.start + 1 as int), c.size + {length - 1})").alias("bytes"))
     crowded = not kinds.where(F.col("kinds") > GROUP).isEmpty()
     cut = stored(cut, "suffix-cut") if crowded else cut
-    dealt = cut.where(F.col("kinds") <= GROUP).select(F.col("anchor").alias("deal"), F.col("kinds").alias("n"), *context, F.lit(0).alias("at"), "bytes")
+    dealt = cut.where(F.col("kinds") <= GROUP).select(F.col("anchor").alias("deal"), F.col("kinds").alias("n"), *context, F.lit(0).alias("at"), "place", "bytes")
     if crowded:
         dealt = dealt.unionByName(split_by_content(cut.where(F.col("kinds") > GROUP), length))
     parts = F.ceil(F.col("n") / GROUP).cast("long")
@@ -458,6 +496,6 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), batch.column(3)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256", "shares_passage"])
 
-    both = docs.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("row_key") == F.col("found_key")), "left")
+    both = docs.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("row_key") == F.col("found_key")), "left")
     wanted = both.select("doc_id", "text", "ranges", F.coalesce("shares", F.lit(False)).alias("shares"))
     return wanted.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary, kept_sha256 string, shares_passage boolean")

@@ -220,7 +220,7 @@ def test_shared_passages(spark):
     rng = np.random.default_rng(9)
     words = lambda n: [f"w{k}" for k in rng.integers(0, 400, n)]
     passage, docs = words(200), []
-    for k, n in enumerate([51, 51, 60, 33, 33, 200, 0, 51]):
+    for k, n in enumerate([51, 51, 60, 29, 29, 200, 0, 51]):
         docs.append((k, " ".join([*words(int(rng.integers(0, 90))), *passage[:n], *words(40)]).replace(" ", "\n" if k % 2 else "  ")))
     own = words(60)
     docs += [(20, " ".join(own * 3)), (21, None), (22, "x " * 49 + "x"), (23, " ".join(words(400_000) + passage[100:151]))]
