@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(named)
-        return named.rstrip("/")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="crestline-"))
-    return sc.getCheckpointDir().rstrip("/")
+from ..storage import shared_dir
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -62,6 +50,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     shared_dir(edges.sparkSession)
     pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
     pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    state_of = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first())
+    before = state_of(pairs)
     for _ in range(max_rounds):
         # large star: every larger neighbour of u is linked to the least of u and its neighbours
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -78,11 +68,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .checkpoint()
         )
         # a forest of stars: no node is both a child and a root, and no child has two roots
-        state = small.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1000003).alias("h")).first()
-        before = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1000003).alias("h")).first()
-        pairs = small
-        if (state["n"], state["h"]) == (before["n"], before["h"]):
+        state, pairs = state_of(small), small
+        if state == before:
             break
+        before = state
     else:
         raise RuntimeError("connected components did not settle")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

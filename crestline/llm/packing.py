@@ -1,12 +1,16 @@
 """Best-fit packing into sequences of several permitted lengths.
 
 Pieces of documents are packed in portions of PORTION pieces, longest first. A piece goes into the open bin with the
-least room that holds it, whatever the bin's size; where none does, a bin is opened of the size with the least cost
-for a token, given what is still to be packed. In the end each bin shrinks to the least permitted length that holds
-its contents. A document longer than the largest length is cut into pieces of that length and a rest.
-
-Defined results: a null or empty text has its end token alone; rows that repeat are packed each; a null doc_id is
-carried along; an empty table gives no bins.
+least room that holds it, whatever the bin's size. Where none does, a bin is opened, and its size is chosen for what is
+still to be packed: for each permitted length the rest of the room is filled on paper with the longest pieces left that
+fit, and the length that costs least for a token so placed is opened. A sequence costs its length, a share that grows
+with its square as attention does, and an overhead, so that a long one must be filled to pay, and a short one wins where
+it can be filled. In the end each bin shrinks to the least permitted length that holds its contents. A document longer
+than the largest length is cut into pieces of that length and a rest.
+
+Defined results: a null or empty text has its end token alone; a text of any length is packed whole, in pieces; pieces of
+equal length are taken in order of doc_id and piece, and sizes of equal cost from the shortest on; rows that repeat are
+packed each; a null doc_id is carried along; an empty table gives no bins; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,19 +23,44 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CAPACITIES, OVERHEAD, PORTION = (512, 1024, 2048, 4096), 16, 50_000
+CAPACITIES, OVERHEAD, ATTENTION, PORTION = (512, 1024, 2048, 4096), 16, 16_384, 50_000
+
+
+def bin_cost(capacity: int, overhead: int = OVERHEAD, attention: int = ATTENTION) -> float:
+    """Cost of a sequence: its length, a quadratic share that equals the length at ``attention``, and an overhead."""
+    return overhead + capacity + capacity * capacity / attention
+
+
+def fill(room: int, left: list[int], present: int) -> int:
+    """Tokens that the longest pieces left would bring into room; bit n of present is set if left[n] is not 0."""
+    start = room
+    while room:
+        fits = present & ((2 << room) - 1)
+        if not fits:
+            break
+        n = fits.bit_length() - 1
+        many = min(left[n], room // n)
+        room -= many * n
+        present &= (1 << n) - 1
+    return start - room
 
 
-def pack_portion(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin, offset and final capacity of each piece; a bin of size c costs c + overhead."""
+def pack_portion(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, attention: int = ATTENTION) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bin, offset and final capacity of each piece."""
     order = np.argsort(-lengths, kind="stable")
-    left = int(lengths.sum())
+    sizes = sorted(capacities)
+    cost = {c: bin_cost(c, overhead, attention) for c in sizes}
+    left = np.bincount(lengths, minlength=sizes[-1] + 1).tolist()
+    present = sum(1 << n for n in range(1, len(left)) if left[n])
     rooms: dict[int, list[int]] = {}
     open_rooms = 0  # bit r is set if a bin has r tokens of room
     used: list[int] = []
     bins, offsets = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
     for piece in order.tolist():
         n = int(lengths[piece])
+        left[n] -= 1
+        if not left[n]:
+            present &= ~(1 << n)
         fits = open_rooms >> n
         if fits:
             room = n + (fits & -fits).bit_length() - 1
@@ -39,16 +68,15 @@ def pack_portion(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES,
             if not rooms[room]:
                 open_rooms &= ~(1 << room)
         else:
-            room = min((c for c in capacities if c >= n), key=lambda c: ((c + overhead) / min(c, left), c))
+            room = min((c for c in sizes if c >= n), key=lambda c: cost[c] / (n + fill(c - n, left, present)))
             own = len(used)
             used.append(0)
         bins[piece], offsets[piece] = own, used[own]
         used[own] += n
-        left -= n
         if room > n:
             rooms.setdefault(room - n, []).append(own)
             open_rooms |= 1 << (room - n)
-    final = np.array(sorted(capacities))[np.searchsorted(sorted(capacities), used)] if used else np.zeros(0, dtype=np.int64)
+    final = np.array(sizes)[np.searchsorted(sizes, used)] if used else np.zeros(0, dtype=np.int64)
     return bins, offsets, final[bins]
 
 
@@ -57,7 +85,7 @@ def token_count(text_col: str):
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long") + 1
 
 
-def pack(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, portion: int = PORTION) -> DataFrame:
+def pack(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, attention: int = ATTENTION, portion: int = PORTION) -> DataFrame:
     """lengths(doc_id, n_tokens) to one row per piece: doc_id, piece, n_tokens, bin_id, bin_offset, capacity.
 
     Portions are dealt out evenly, whatever the keys; a bin's id names its partition, portion and number.
@@ -67,7 +95,7 @@ def pack(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead:
     def solve(rows: list[tuple], partition: int, number: int) -> pa.RecordBatch:
         ids, pieces, sizes = zip(*sorted(rows, key=lambda r: (r[2], r[0] is not None, r[0] or 0, r[1])), strict=True)
         sizes = np.array(sizes, dtype=np.int64)
-        bins, offsets, final = pack_portion(sizes, capacities, overhead)
+        bins, offsets, final = pack_portion(sizes, capacities, overhead, attention)
         names = np.int64(partition << 40) + np.int64(number << 20) + bins
         cols = [pa.array(ids, pa.int64()), pa.array(pieces, pa.int32()), pa.array(sizes), pa.array(names), pa.array(offsets), pa.array(final)]
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "n_tokens", "bin_id", "bin_offset", "capacity"])

@@ -3,8 +3,10 @@
 The trees are fitted on at most MAX_TRAIN labelled rows (the least hashes of doc_id), a documented bound; every
 document is scored. Splits on features with a monotonic constraint keep the stated direction.
 
-Defined results: a null text has no words and fails the rules; repeated rows are judged each on its own; labels that
-are null, or of one class only, leave a constant model that keeps what passes the rules.
+Defined results: a null text has no words and fails the rules; repeated rows are judged each on its own, and of rows that
+repeat a labelled id one text is learned from; labels that are null, or of one class only, leave a constant model that
+keeps what passes the rules; a text of any length is measured whole; of splits with the same gain the first feature and
+least limit is taken; an empty table gives no rows; other columns are not read, and keep_good keeps them as they are.
 """
 
 from __future__ import annotations
@@ -178,7 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tre
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    rows = document_statistics(sample).join(F.broadcast(known), "doc_id").select("doc_id", *FEATURES, "quality").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    # of rows that repeat an id the text with the least hash, so that at most max_train rows come to the driver
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    rows = document_statistics(sample).join(F.broadcast(known), "doc_id").select("doc_id", *FEATURES, "quality").toPandas().sort_values("doc_id")
     monotone = np.array([MONOTONE.get(f, 0) for f in FEATURES])
     return fit_trees(rows[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), rows["quality"].to_numpy(float), monotone)
 

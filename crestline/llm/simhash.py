@@ -15,7 +15,8 @@ an aggregate, with 65 rows for each node whatever the group's size.
 
 Defined results: a null or blank text has fingerprint zero and is linked like any other; repeated rows share their
 fingerprint and class; a null doc_id gets a fingerprint and the class of its fingerprint, and is never a class id
-unless the class has no other id.
+unless the class has no other id; a text of any length is hashed whole; a bit that half of the hashes have is 0; an empty
+table gives no rows; other columns are not read, and keep_one keeps them as they are.
 """
 
 from __future__ import annotations

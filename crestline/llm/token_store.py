@@ -134,18 +134,6 @@ class Codec:
         return [None if z else int(d) for d, z in zip(doc_ids, null, strict=True)], lengths, ids
 
 
-class _Numbers(dict):
-    """Numbers of words in order of first sight; new words are listed in ``fresh``."""
-
-    def __init__(self) -> None:
-        self.fresh: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        self.fresh.append(word)
-        return number
-
-
 #: Python takes these for white space, tokenizers (Unicode White_Space) do not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 _WORD = re.compile(rf"(?:\S|[{SEPARATORS}])+")
@@ -154,11 +142,6 @@ _WORD = re.compile(rf"(?:\S|[{SEPARATORS}])+")
 _LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
 
-def is_plain(word: str) -> bool:
-    """Whether the word has ASCII and Latin-1 letters only."""
-    return word.isalpha() if word.isascii() else _LATIN.fullmatch(word) is not None
-
-
 def split_words(text: str) -> list[str]:
     """The stretches between the tokenizer's white space."""
     return _WORD.findall(text) if any(c in text for c in SEPARATORS) else text.split()
@@ -175,7 +158,7 @@ class WordCache:
 
     MARKS = ".,!#$%&*|;:?"
 
-    def __init__(self, path: str, bound: int = 250_000, portion: int = 500):
+    def __init__(self, path: str, bound: int = 700_000, portion: int = 500):
         os.environ["RAYON_NUM_THREADS"] = "1"  # a task has one core; more threads only take memory
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -184,56 +167,54 @@ class WordCache:
         self.bare = Tokenizer(self.library.model)
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.bare_ascii = Tokenizer(self.library.model)  # ASCII letters stand for themselves as bytes
+        self.bare_ascii.normalizer, self.bare_ascii.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.numbers, self.ids = _Numbers(), []
-
-    def _learn(self, kind: str) -> None:
-        """Encode the new words. Those of plain letters are one piece each: encoded many to a text and told apart by
-        their last ids; plain letters with marks behind are put together from both; the rest is encoded as it is."""
-        numbers, first = self.numbers, len(self.ids)
-        plain, alone, joined, at = [], [], [], 0
-        while at < len(numbers.fresh):  # stems and marks that are new join the list
-            word = numbers.fresh[at]
-            if is_plain(word):
-                plain.append(first + at)
+        self.ids: dict[str, bytes] = {}
+
+    def _learn(self, fresh: set[str], kind: str) -> None:
+        """Encode new words. Those of plain letters are one piece each: encoded many to a text and told apart by their
+        last ids; plain letters with marks behind are put together from both; the rest is encoded as it is."""
+        known, latin, marks = self.ids, _LATIN.fullmatch, self.MARKS
+        ascii_, other, joined, alone = [], [], [], []
+        for w in fresh:
+            if w.isalpha():
+                (ascii_ if w.isascii() else other if latin(w) else alone).append(w)
             else:
-                stem = word.rstrip(self.MARKS)
-                if len(stem) < len(word) and is_plain(stem):
-                    joined.append((first + at, numbers[stem], numbers[word[len(stem) :]]))
+                s = w.rstrip(marks)
+                if len(s) < len(w) and s.isalpha() and (s.isascii() or latin(s)):
+                    joined.append((w, s))
                 else:
-                    alone.append(first + at)
-            at += 1
-        fresh, numbers.fresh = numbers.fresh, []
-        self.ids += [b""] * len(fresh)
-        groups = [plain[k : k + self.portion] for k in range(0, len(plain), self.portion)]
-        done = self.bare.encode_batch_fast([" ".join([fresh[n - first] for n in g]).lower() for g in groups], add_special_tokens=False)
-        for k, group in enumerate(groups):
-            ids = np.array(done[k].ids, dtype=kind)
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
-            if len(stops) != len(group):
-                alone += group
-                continue
-            raw, begin = ids.tobytes(), 0
-            for n, stop in zip(group, stops.tolist(), strict=True):
-                self.ids[n] = raw[begin:stop]
-                begin = stop
-        for n, found in zip(alone, self.library.encode_batch_fast([fresh[n - first] for n in alone], add_special_tokens=False), strict=True):
-            self.ids[n] = np.array(found.ids, dtype=kind).tobytes()
-        for n, stem, tail in joined:
-            self.ids[n] = self.ids[stem] + self.ids[tail]
+                    alone.append(w)
+        for s in {s for _, s in joined}.difference(fresh).difference(known):
+            (ascii_ if s.isascii() else other).append(s)
+        alone += {w[len(s) :] for w, s in joined}.difference(alone).difference(known)
+        for bare, words in ((self.bare_ascii, ascii_), (self.bare, other)):
+            groups = [words[k : k + self.portion] for k in range(0, len(words), self.portion)]
+            done = bare.encode_batch_fast([" ".join(g).lower() for g in groups], add_special_tokens=False)
+            for found, group in zip(done, groups, strict=True):
+                ids = np.array(found.ids, dtype=kind)
+                stops = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+                if len(stops) != len(group):
+                    alone += group
+                    continue
+                raw, stops = ids.tobytes(), stops.tolist()
+                known.update(zip(group, [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+        for word, found in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            known[word] = np.array(found.ids, dtype=kind).tobytes()
+        known.update({w: known[s] + known[w[len(s) :]] for w, s in joined})
 
     def encode(self, texts: list[str], end: int, kind: str) -> list[bytes]:
-        if len(self.numbers) > self.bound:
-            self.numbers, self.ids = _Numbers(), []
+        if len(self.ids) > self.bound:
+            self.ids = {}
         gc.disable()  # the many small lists below hold no cycles
         try:
-            number = self.numbers.__getitem__
-            numbered = [list(map(number, split_words(t))) for t in texts]
-            self._learn(kind)
+            words = [split_words(t) for t in texts]
+            self._learn(set().union(*words).difference(self.ids), kind)
             last, ids = np.array([end], dtype=kind).tobytes(), self.ids.__getitem__
-            return [b"".join(map(ids, n)) + last for n in numbered]
+            return [b"".join(map(ids, w)) + last for w in words]
         finally:
             gc.enable()
 
@@ -247,32 +228,39 @@ def tokenizer(path: str) -> WordCache:
     return _TOKENIZERS[path]
 
 
-def token_ids(docs: DataFrame, path: str, end: int, kind: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_key (orders equal ids) and the ids of each document as little-endian integers."""
+def token_ids(docs: DataFrame, path: str, end: int, vocabulary: int, kind: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row_key (orders equal ids) and the ids of each document as little-endian integers. The last row of a
+    partition has no ids but the counts of all its ids, as little-endian 64-bit integers, in place of them."""
+    names = ["doc_id", "row_key", "ids", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(vocabulary, dtype="<i8")
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, len(batch), 400):
+                part = batch.slice(at, 400)
                 ids = tokenizer(path).encode([t or "" for t in part.column(2).to_pylist()], end, kind)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["doc_id", "row_key", "ids"])
+                counts += np.bincount(np.frombuffer(b"".join(ids), dtype=kind), minlength=vocabulary)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=names)
 
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).alias("text"))
-    return wanted.mapInArrow(run, "doc_id long, row_key long, ids binary")
+    return wanted.mapInArrow(run, "doc_id long, row_key long, ids binary, counts binary")
 
 
-def id_counts(ids: DataFrame, vocabulary: int, kind: str = "<u2") -> np.ndarray:
-    """Count of each id over the whole corpus; at most vocabulary rows come to the driver."""
+def id_counts(plain: DataFrame, vocabulary: int) -> np.ndarray:
+    """Count of each id over the whole corpus, from those of the partitions; at most vocabulary rows come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
-            counts += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=kind), minlength=vocabulary)
+            for own in batch.column(0).to_pylist():
+                counts += np.frombuffer(own, dtype="<i8")
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["symbol", "n"])
 
     counts = np.zeros(vocabulary, dtype=np.int64)
-    for row in ids.select("ids").mapInArrow(run, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
+    found = plain.where("counts is not null").select("counts").mapInArrow(run, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    for row in found.collect():
         counts[row["symbol"]] = row["n"]
     return counts
 
@@ -281,11 +269,11 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end: int, vocab
     """Encode docs and write the store at path."""
     spark, kind = docs.sparkSession, "<u2" if vocabulary <= 1 << 16 else "<u4"
     plain = f"{path}/plain"
-    token_ids(docs, tokenizer_path, end, kind, id_col, text_col).write.option("compression", "zstd").parquet(plain)
-    ids = spark.read.parquet(plain)
-    freq = frequencies(id_counts(ids, vocabulary, kind))
+    token_ids(docs, tokenizer_path, end, vocabulary, kind, id_col, text_col).write.option("compression", "zstd").parquet(plain)
+    rows = spark.read.schema("doc_id long, row_key long, ids binary, counts binary").parquet(plain)
+    counts, ids = id_counts(rows, vocabulary), rows.where("counts is null").select("doc_id", "row_key", "ids")
+    freq, width = frequencies(counts), np.dtype(kind).itemsize
     spark.createDataFrame([(int(s), int(freq[s])) for s in np.flatnonzero(freq)], "symbol int, freq long").coalesce(1).write.parquet(f"{path}/table")
-    size = ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, shard, number = Codec(freq), TaskContext.get().partitionId(), 0
@@ -293,21 +281,21 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end: int, vocab
 
         def block() -> pa.RecordBatch:
             own = np.concatenate([np.frombuffer(i, dtype=kind) for _, i in held])
-            payload = codec.pack([d for d, _ in held], np.array([len(i) // np.dtype(kind).itemsize for _, i in held]), own)
+            payload = codec.pack([d for d, _ in held], np.array([len(i) // width for _, i in held]), own)
             cols = [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([len(own)], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([payload], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, names=["shard", "block", "n_tokens", "n_docs", "payload"])
 
         for batch in batches:
             for doc_id, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.append((doc_id, own))
-                total += len(own) // np.dtype(kind).itemsize
+                total += len(own) // width
                 if total >= BLOCK:
                     yield block()
                     held, total, number = [], 0, number + 1
         if held:
             yield block()
 
-    shards = max(1, -(-size // SHARD_BYTES))
+    shards = max(1, -(-int(counts.sum()) * width // SHARD_BYTES))
     ordered = ids.repartitionByRange(shards, "doc_id", "row_key").sortWithinPartitions("doc_id", "row_key")
     ordered.select("doc_id", "ids").mapInArrow(run, "shard int, block int, n_tokens long, n_docs long, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
 

@@ -10,7 +10,9 @@ itself. The evidence are the neighbours and the shared words.
 
 Labels, language, source and doc_id are never part of a vector. Defined results: a null or empty text, or one without
 a word of any example, gets the smoothed share of toxic examples that have none either; null labels are left out; rows
-that repeat score the same; without examples of both classes every score is the share of toxic ones (0 if none).
+that repeat score the same; of equally near examples the least number is taken; a text of any length is scored whole;
+without examples of both classes every score is the share of toxic ones (0 if none); an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
