@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir
 
-PROB_BITS, LANES, CHECKPOINT = 20, 1024, 128
+PROB_BITS, LANES, CHECKPOINT = 20, 4096, 64
 #: Ids of a block at least (whole documents) and bytes of ids of a shard.
-BLOCK, SHARD_BYTES = 1 << 18, 24 << 20
+BLOCK, SHARD_BYTES = 1 << 19, 24 << 20
 LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sIIIQQII")
 
