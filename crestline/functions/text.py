@@ -23,9 +23,14 @@ def needs_nfkc(text: Column) -> Column:
     return text.rlike(r"[^\x00-\x7F]")
 
 
+def composed(text: Column) -> Column:
+    """Text in compatibility composition; only texts that may change are given to Python."""
+    return F.coalesce(nfkc(F.when(needs_nfkc(text), text)), text)
+
+
 def norm_repeat(text: Column) -> Column:
-    """Lower case without white space, runs of three or more squeezed to two, first 160."""
-    bare = F.regexp_replace(F.lower(text), r"\s+", "")
+    """In compatibility composition and lower case, without white space, runs of three or more squeezed to two, first 160."""
+    bare = F.regexp_replace(F.lower(composed(text)), r"\s+", "")
     return F.left(F.regexp_replace(bare, r"(.)\1{2,}", "$1$1"), F.lit(160))
 
 
@@ -40,7 +45,7 @@ def clean_text(text: Column, most: int) -> Column:
 
 def norm_title(title: Column) -> Column:
     """Title without file extension and bracketed id, lower case, marks to space."""
-    bare = F.regexp_replace(F.regexp_replace(title, r"\.[A-Za-z0-9]{2,5}$", ""), r"\s*\[[A-Za-z0-9_-]{6,}\]\s*$", "")
+    bare = F.regexp_replace(F.regexp_replace(title, r"\.[A-Za-z0-9]{2,5}\z", ""), r"\s*\[[A-Za-z0-9_-]{6,}\]\s*\z", "")
     return F.trim(F.regexp_replace(F.lower(bare), r"[^\p{L}\p{N}]+", " "))
 
 
@@ -68,6 +73,11 @@ def srt_time(ms: Column) -> Column:
     return F.concat(timecode(ms), F.lit(","), F.lpad((ms % 1000).cast("string"), 3, "0"))
 
 
+def sentences(text: Column) -> Column:
+    """Stretches up to the marks that end a sentence, or to the end of a line; blank ones are left out."""
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?]*"), 0), lambda s: F.trim(s)), lambda s: s != "")
+
+
 def csv_safe(text: Column) -> Column:
     """A cell that no spreadsheet reads as a formula."""
     return F.when(text.rlike(r"^[\t\r ]*[=+\-@]"), F.concat(F.lit("'"), text)).otherwise(text)

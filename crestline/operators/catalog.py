@@ -77,14 +77,17 @@ def rotate_sources(sources: DataFrame, hour: int, every: int = 3) -> DataFrame:
 
 
 def match_catalog(queries: DataFrame, videos: DataFrame, tolerance_ms: int = 2000) -> DataFrame:
-    """Identity of queries(query_id, video_id, title, duration_ms): by id, else by a title and length that only one
-    video of videos(video_id, title, duration_ms) has."""
+    """Identity of queries(query_id, video_id, fingerprint, title, duration_ms): by id, else by a registered fingerprint,
+    else by a title and length, that only one video of videos(video_id, fingerprint, title, duration_ms) has."""
     by_id = queries.join(videos.select("video_id").withColumn("direct", F.lit(True)), "video_id", "left")
     near = queries.join(videos.select(F.col("video_id").alias("found"), F.col("title").alias("t"), F.col("duration_ms").alias("d")), F.col("title") == F.col("t")).where(F.abs(F.col("duration_ms") - F.col("d")) <= tolerance_ms)
     near = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("found").alias("found"))
-    both = by_id.join(near, "query_id", "left")
-    status = F.when(F.col("direct"), "by-id").when(F.col("n") == 1, "by-title").when(F.col("n") > 1, "ambiguous").otherwise("none")
-    return both.select("query_id", status.alias("status"), F.when(F.col("direct"), F.col("video_id")).when(F.col("n") == 1, F.col("found")).alias("match"))
+    registered = videos.where("fingerprint is not null").groupBy("fingerprint").agg(F.count_distinct("video_id").alias("n_prints"), F.min("video_id").alias("printed"))
+    both = by_id.join(near, "query_id", "left").join(registered, "fingerprint", "left")
+    one_print, one_title = F.coalesce(F.col("n_prints") == 1, F.lit(False)), F.coalesce(F.col("n") == 1, F.lit(False))
+    status = F.when(F.col("direct"), "by-id").when(one_print, "by-fingerprint").when(F.col("n_prints") > 1, "ambiguous").when(one_title, "by-title").when(F.col("n") > 1, "ambiguous").otherwise("none")
+    match = F.when(F.col("direct"), F.col("video_id")).when(one_print, F.col("printed")).when(F.col("n_prints").isNull() & one_title, F.col("found"))
+    return both.select("query_id", status.alias("status"), match.alias("match"))
 
 
 def library(videos: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ def _ordered(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
 
 
-def keep_where(df: DataFrame, keys: list[str], order: list[Column], most: int, clashes, fields: list[str]) -> DataFrame:
-    """Rows taken in order unless clashes(taken, row) holds for a row already taken; at most ``most`` in a group.
+def keep_where(df: DataFrame, keys: list[str], order: list[Column], most: int | None, clashes, fields: list[str]) -> DataFrame:
+    """Rows taken in order unless clashes(taken, row) holds for a row already taken; at most ``most`` in a group, if given.
 
     The result has the column ``pick``, from 1 in the order taken.
     """
@@ -25,7 +25,7 @@ def keep_where(df: DataFrame, keys: list[str], order: list[Column], most: int, c
     lists = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"))
     empty = F.slice("_items", 1, 0)
     taken = F.aggregate(
-        "_items", empty, lambda acc, x: F.when((F.size(acc) >= most) | F.exists(acc, lambda a: clashes(a, x)), acc).otherwise(F.concat(acc, F.array(x)))
+        "_items", empty, lambda acc, x: F.when((F.lit(False) if most is None else F.size(acc) >= most) | F.exists(acc, lambda a: clashes(a, x)), acc).otherwise(F.concat(acc, F.array(x)))
     )
     chosen = lists.select(*keys, F.posexplode(F.transform(taken, lambda x: x["_n"])).alias("_pos", "_n"))
     return ranked.join(chosen, [*keys, "_n"]).withColumn("pick", F.col("_pos") + 1).drop("_n", "_pos")
@@ -55,4 +55,4 @@ def keep_spaced(df: DataFrame, keys: list[str], order: list[Column], most: int,
 
 def match_pairs(pairs: DataFrame, keys: list[str], order: list[Column], left: str, right: str) -> DataFrame:
     """One-to-one matching: pairs in order, each side used once."""
-    return keep_where(pairs, keys, order, 1 << 20, lambda a, x: (a[left] == x[left]) | (a[right] == x[right]), [left, right])
+    return keep_where(pairs, keys, order, None, lambda a, x: (a[left] == x[left]) | (a[right] == x[right]), [left, right])

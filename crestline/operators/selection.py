@@ -68,7 +68,7 @@ def block_quotas(density: DataFrame, budget: int = 12) -> DataFrame:
     df = density.withColumn("block_ms", block_ms).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("duration_ms") / F.col("block_ms"))))
     center = (F.col("bin") * BIN_MS + F.least(F.col("duration_ms"), (F.col("bin") + 1) * BIN_MS)) / 2
     df = df.withColumn("block", N.clamp(F.floor(center / F.col("block_ms")), 0, F.col("blocks") - 1).cast("int"))
-    per = df.groupBy("broadcast_id", "block").agg(F.sum(F.greatest(F.lit(0.0), F.col("expected"))).alias("expected"))
+    per = df.groupBy("broadcast_id", "block").agg(F.sum(F.greatest(F.lit(0.0), F.col("expected"))).alias("expected"), F.first("block_ms").alias("block_ms"))
     weight = F.sqrt(F.col("expected") + 0.25)
     return per.withColumn("quota", weight / F.sum(weight).over(W.partitionBy("broadcast_id")) * budget)
 
@@ -96,34 +96,62 @@ def episode_similarity(episodes: DataFrame, reach_ms: int = 360_000) -> DataFram
     return pairs.select("broadcast_id", "episode", "other", N.clamp(F.greatest(over, shared * near), 0.0, 1.0).alias("similarity"))
 
 
-def select_diverse(episodes: DataFrame, budget: int = 12, balance: float = 0.7) -> DataFrame:
+def select_diverse(episodes: DataFrame, quotas: DataFrame, budget: int = 12, balance: float = 0.75, exploration: float = 0.15) -> DataFrame:
     """Maximal marginal relevance: in turn the episode with the best mix of quality and distance from those taken.
 
-    Each pick changes all later scores, so the bounded list of a broadcast is worked in one group.
+    A block that has had its quota(broadcast_id, block, quota, block_ms) counts less, a recommended episode a little more.
+    The last picks are left to exploration: episodes of blocks or signals that no pick has yet. Only eligible episodes
+    are taken otherwise. Each pick changes all later scores, so the bounded list of a broadcast is worked in one group.
+    episodes as of build_episodes; eligible and recommended (boolean) may be missing.
     """
+    for name, value in (("eligible", True), ("recommended", False)):
+        episodes = episodes if name in episodes.columns else episodes.withColumn(name, F.lit(value))
+    slots = min(budget, int(np.floor(budget * exploration + 0.5)))
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+    def choose(pdf: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["peak_ms", "representative"]).reset_index(drop=True)
         start, end, peak = (pdf[c].to_numpy(float) for c in ("start_ms", "end_ms", "peak_ms"))
         keys, kinds = [set(k) for k in pdf["keys"]], [set(k) for k in pdf["kinds"]]
-        score = pdf["score"].to_numpy(float)
-        span = score.max() - score.min()
+        score, eligible, advised = pdf["score"].to_numpy(float), pdf["eligible"].to_numpy(bool), pdf["recommended"].to_numpy(bool)
+        span = score.max() - score.min() if len(pdf) else 0
         quality = (score - score.min()) / span if span > 2.220446049250313e-16 else np.clip(score, 0, 1)
-        likeness, left, picks = np.zeros(len(pdf)), np.ones(len(pdf), dtype=bool), []
-        while len(picks) < min(budget, len(pdf)):
-            value = np.where(left, balance * quality - (1 - balance) * likeness, -np.inf)
-            best = int(np.argmax(np.round(value, 9)))
+        quota = shares.sort_values("block")["quota"].to_numpy(float) if len(shares) else np.array([float(budget)])
+        width = float(shares["block_ms"].iloc[0]) if len(shares) else np.inf
+        block = np.clip(np.floor(peak / width), 0, len(quota) - 1).astype(int)
+        used, likeness, left = np.zeros(len(quota)), np.zeros(len(pdf)), np.ones(len(pdf), dtype=bool)
+        picks, passes, shown = [], [], set()
+
+        def pick(pool: np.ndarray, name: str) -> bool:
+            nonlocal likeness
+            if not pool.any():
+                return False
+            over = np.maximum(0, used[block] - np.maximum(0.25, quota[block]) + 1)
+            value = (balance * quality + (1 - balance) * (1 - likeness)) / (1 + 0.35 * over) + 0.08 * advised
+            best = int(np.lexsort((np.arange(len(pdf)), -np.round(quality, 9), -np.round(np.where(pool, value, -np.inf), 9)))[0])
             picks.append(best)
+            passes.append(name)
             left[best] = False
-            over = np.maximum(0, np.minimum(end, end[best]) - np.maximum(start, start[best])) / np.maximum(1, np.minimum(end - start, end[best] - start[best]))
+            used[block[best]] += 1
+            shown.update(kinds[best])
+            met = np.maximum(0, np.minimum(end, end[best]) - np.maximum(start, start[best])) / np.maximum(1, np.minimum(end - start, end[best] - start[best]))
             shared = np.array([0.8 if keys[best] & k else 0.2 if kinds[best] & d else 0.1 for k, d in zip(keys, kinds, strict=True)])
-            likeness = np.maximum(likeness, np.maximum(over, shared * np.exp(-(((peak - peak[best]) / 90_000) ** 2))))
+            likeness = np.maximum(likeness, np.maximum(met, shared * np.exp(-(((peak - peak[best]) / 90_000) ** 2))))
+            return True
+
+        while len(picks) < budget - slots and pick(left & eligible, "main"):
+            pass
+        while len(picks) < budget and left.any():
+            fresh = left & ((used[block] == 0) | np.array([bool(d - shown) for d in kinds], dtype=bool))
+            if not pick(fresh, "exploration") and not pick(left & eligible, "main"):
+                break
         out = pdf.loc[picks, ["broadcast_id", "episode", "representative"]].copy()
-        out["pick"] = np.arange(1, len(picks) + 1)
+        out["pick"], out["pass"] = np.arange(1, len(picks) + 1), passes
         return out
 
-    kind = episodes.schema["representative"].dataType.simpleString()
-    return episodes.groupBy("broadcast_id").applyInPandas(choose, f"broadcast_id long, episode int, representative {kind}, pick int")
+    key, kind = (episodes.schema[c].dataType.simpleString() for c in ("broadcast_id", "representative"))
+    own = episodes.select("broadcast_id", "episode", "representative", "start_ms", "end_ms", "peak_ms", "score", "keys", "kinds", "eligible", "recommended")
+    both = own.groupBy("broadcast_id").cogroup(quotas.select("broadcast_id", "block", "quota", "block_ms").groupBy("broadcast_id"))
+    return both.applyInPandas(choose, f"broadcast_id {key}, episode int, representative {kind}, pick int, pass string")
 
 
 def rank_by_evidence(evidence: DataFrame) -> DataFrame:
@@ -173,9 +201,3 @@ def bounded_peaks(df: DataFrame, most: int = 12) -> DataFrame:
 def batches(tasks: DataFrame, done: DataFrame, order: list, size: int = 12) -> DataFrame:
     """Tasks that are not done, in order, in batches of size."""
     return tasks.join(done, ["broadcast_id", "id"], "left_anti").withColumn("batch", F.floor((F.row_number().over(W.partitionBy("broadcast_id").orderBy(*order)) - 1) / size).cast("int"))
-
-
-def neighbours_first(chunks: DataFrame, current: int) -> DataFrame:
-    """Chunks by distance from the current one, the later of two at the same distance first."""
-    order = W.partitionBy("broadcast_id").orderBy(F.abs(F.col("n") - current), F.desc("n"))
-    return chunks.withColumn("pick", F.row_number().over(order))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 
-#: Prototypes are broadcast up to this many rows; more are joined by shuffled blocks of queries.
+#: Prototypes that are broadcast at once; more are broadcast block by block.
 MOST_PROTOTYPES = 10_000
 
 
@@ -22,10 +24,11 @@ def prototypes(samples: DataFrame) -> DataFrame:
 
 
 def score(queries: DataFrame, protos: DataFrame) -> DataFrame:
-    """Cosine of each query(id, embedding) with each prototype, 0 at least."""
-    n = protos.count()
-    side = F.broadcast(protos) if n <= MOST_PROTOTYPES else protos
-    return queries.join(side, F.lit(True)).select("id", "label", N.cosine(F.col("embedding"), F.col("prototype")).alias("score"))
+    """Cosine of each query(id, embedding) with each prototype, 0 at least: a row for each of both, in blocks of
+    prototypes that are each broadcast."""
+    blocks = max(1, -(-protos.count() // MOST_PROTOTYPES))
+    sides = [protos.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == k) if blocks > 1 else protos for k in range(blocks)]
+    return reduce(DataFrame.unionByName, (queries.crossJoin(F.broadcast(side)).select("id", "label", N.cosine(F.col("embedding"), F.col("prototype")).alias("score")) for side in sides))
 
 
 def identify(scores: DataFrame, least: float = 0.6, margin: float = 0.05) -> DataFrame:

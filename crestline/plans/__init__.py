@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audio, catalog, chat, fusion, gates, live, selection, texts
+from . import audio, catalog, chat, context, fusion, gates, live, selection, texts
 
-_MODULES = (chat, audio, fusion, selection, catalog, texts, live, gates)
+_MODULES = (chat, audio, fusion, selection, catalog, texts, live, gates, context)
 FLAGSHIP = fusion.fused_reactions
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..operators import audio
 from .chat import DISJOINT, greedy_sql
-from .tables import AUDIO, audio_windows, rounded
+from .tables import AUDIO, audio_windows, read, rounded
 
 R6 = lambda c: N.round_half_up(F.col(c), 6).alias(c)
 
@@ -104,7 +104,17 @@ spans AS (SELECT *, s + width AS e FROM placed),
 {greedy_sql("chosen", "spans", "raw DESC, peak_ms, kind", 96, DISJOINT)},
 kept AS (SELECT * FROM chosen WHERE pick <= greatest(24, least(96, ceil(duration_ms / 3600000 * 6))))"""
 
+def audio_features(spark, sf_dir):
+    """Windows from samples: a second of two channels at 64 Hz for each embedding; every 9th second is missing."""
+    from pyspark.sql import Window as W
+
+    i = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
+    chunks = read(spark, sf_dir, "embeddings").select(F.col("label").alias("broadcast_id"), i.alias("i"), F.array("embedding", F.reverse("embedding")).alias("channels"))
+    return audio.windows_from_samples(chunks.where("i % 9 <> 4"), 64)
+
+
 QUERIES = {
+    "audio_features": (audio_features, None),
     "audio_scores": (audio_scores, f"WITH {SCORED} SELECT broadcast_id, i, {', '.join(rounded(c, c) for c in ('rms_base', 'rms_mad', 'lift_db', 'peak_lift_db', 'crest_db', 'vocal', 'click', 'score'))}, silence, impulse, dialogue, active, support FROM scored"),
     "audio_clusters": (audio_clusters, f"WITH {CLUSTERED} SELECT broadcast_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_windows, count(*) FILTER (WHERE active) AS n_active FROM member GROUP BY broadcast_id, cluster"),
     "audio_events": (audio_events, f"WITH {EVENTS} SELECT broadcast_id, apex, first_ms, last_ms, n_active, plateau_ms, {', '.join(rounded(c, c) for c in ('rms_range', 'vocal_share', 'background', 'score'))}, verdict, kind FROM judged"),

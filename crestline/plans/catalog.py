@@ -59,8 +59,8 @@ def source_rotation(spark, sf_dir):
 
 
 def catalog_identity(spark, sf_dir):
-    every = videos(spark, sf_dir).select("video_id", "title", F.floor("o_totalprice").cast("long").alias("duration_ms"))
-    queries = every.select(F.col("video_id").alias("query_id"), F.when(F.col("video_id") % 3 == 0, F.col("video_id")).alias("video_id"), "title", (F.col("duration_ms") + 500).alias("duration_ms"))
+    every = videos(spark, sf_dir).select("video_id", "title", F.floor("o_totalprice").cast("long").alias("duration_ms"), F.when(F.col("video_id") % 5 > 1, F.floor(F.col("video_id") / 5 * F.when(F.col("video_id") % 5 == 2, 1).otherwise(5)).cast("long")).alias("fingerprint"))
+    queries = every.select(F.col("video_id").alias("query_id"), F.when(F.col("video_id") % 3 == 0, F.col("video_id")).alias("video_id"), "title", (F.col("duration_ms") + 500).alias("duration_ms"), F.when(F.col("video_id") % 7 > 3, F.col("fingerprint")).alias("fingerprint"))
     return catalog.match_catalog(queries, every.where("video_id % 4 <> 1"))
 
 
@@ -83,8 +83,8 @@ def plan_settlement(spark, sf_dir):
 
 
 def checkpoint_merge(spark, sf_dir):
-    part = lambda n: _cells(spark, sf_dir).where(f"l_linenumber = {n}").groupBy("source", "cell").agg(F.min(F.when(F.col("l_returnflag") == "A", "gap").otherwise("success")).alias("outcome"), F.count("*").alias("attempt"), F.max(F.col("l_partkey") % 3).alias("rank"))
-    return ledger.merge_checkpoints(part(1), part(2), ["source", "cell"])
+    part = lambda n: _cells(spark, sf_dir).where(f"l_linenumber % 2 = {n}").groupBy("source", "cell").agg(F.min(F.when(F.col("l_returnflag") == "A", "gap").otherwise("success")).alias("outcome"), F.count("*").alias("attempt"), F.max(F.col("l_partkey") % 3).alias("rank"))
+    return ledger.merge_checkpoints(part(1), part(0), ["source", "cell"])
 
 
 def status_ledger(spark, sf_dir):
@@ -142,7 +142,7 @@ def stage_times(spark, sf_dir):
 
 
 CELLS = "cells AS (SELECT l_suppkey AS source, l_orderkey % 50 AS cell, l_returnflag, l_linenumber, l_partkey FROM lineitem)"
-PART = "SELECT source, cell, min(CASE WHEN l_returnflag = 'A' THEN 'gap' ELSE 'success' END) AS outcome, count(*) AS attempt, max(l_partkey % 3) AS rank, '{1}' AS side FROM cells WHERE l_linenumber = {0} GROUP BY source, cell"
+PART = "SELECT source, cell, min(CASE WHEN l_returnflag = 'A' THEN 'gap' ELSE 'success' END) AS outcome, count(*) AS attempt, max(l_partkey % 3) AS rank, '{1}' AS side FROM cells WHERE l_linenumber % 2 = {0} GROUP BY source, cell"
 
 QUERIES = {
     "due_videos": (due_videos, f"WITH {VIDEOS}, d AS (SELECT *, CAST(CASE WHEN state <> 'retryable' THEN 0 WHEN permanent THEN 3 WHEN stage = 'fingerprint' THEN 2 ELSE 1 END AS INTEGER) AS rank FROM videos WHERE {WINDOW} AND state <> 'published' AND (state <> 'retryable' OR next_at <= TIMESTAMP '1998-06-01')) SELECT channel_id, video_id, rank, CAST(row_number() OVER (PARTITION BY channel_id ORDER BY rank, published_at DESC, video_id) AS INTEGER) AS pick FROM d QUALIFY pick <= 12"),
@@ -158,16 +158,18 @@ QUERIES = {
         coalesce(sum(CASE WHEN r0 IS NULL AND status = 'completed' THEN bytes ELSE 0 END) OVER (PARTITION BY owner ORDER BY day, job_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
       SELECT owner, job_id, coalesce(r0, 'over_cap') AS reason, bytes FROM s WHERE r0 IS NOT NULL OR (status = 'completed' AND guarded <= 1000000 AND rest - before > 1000000)"""),
     "source_rotation": (source_rotation, "SELECT s_suppkey AS n, ((s_suppkey - 33) % (SELECT count(*) FROM supplier) + (SELECT count(*) FROM supplier)) % (SELECT count(*) FROM supplier) AS turn FROM supplier"),
-    "catalog_identity": (catalog_identity, f"""WITH {VIDEOS}, q AS (SELECT video_id AS query_id, CASE WHEN video_id % 3 = 0 THEN video_id END AS want, title, CAST(floor(o_totalprice) AS BIGINT) + 500 AS d FROM videos), v AS (SELECT video_id, title, CAST(floor(o_totalprice) AS BIGINT) AS d FROM videos WHERE video_id % 4 <> 1),
+    "catalog_identity": (catalog_identity, f"""WITH {VIDEOS}, q AS (SELECT video_id AS query_id, CASE WHEN video_id % 3 = 0 THEN video_id END AS want, title, CAST(floor(o_totalprice) AS BIGINT) + 500 AS d, CASE WHEN video_id % 7 > 3 AND video_id % 5 > 1 THEN CASE WHEN video_id % 5 = 2 THEN video_id // 5 ELSE video_id END END AS f FROM videos),
+      v AS (SELECT video_id, title, CAST(floor(o_totalprice) AS BIGINT) AS d, CASE WHEN video_id % 5 > 1 THEN CASE WHEN video_id % 5 = 2 THEN video_id // 5 ELSE video_id END END AS f FROM videos WHERE video_id % 4 <> 1), p AS (SELECT f, count(*) AS np, min(video_id) AS printed FROM v WHERE f IS NOT NULL GROUP BY ALL),
       n AS (SELECT query_id, count(*) AS n, min(video_id) AS found FROM q JOIN v ON q.title = v.title AND abs(q.d - v.d) <= 2000 GROUP BY ALL)
-      SELECT query_id, CASE WHEN v.video_id IS NOT NULL THEN 'by-id' WHEN n = 1 THEN 'by-title' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS status, CASE WHEN v.video_id IS NOT NULL THEN want WHEN n = 1 THEN found END AS match FROM q LEFT JOIN v ON q.want = v.video_id LEFT JOIN n USING (query_id)"""),
+      SELECT query_id, CASE WHEN v.video_id IS NOT NULL THEN 'by-id' WHEN np = 1 THEN 'by-fingerprint' WHEN np > 1 THEN 'ambiguous' WHEN n = 1 THEN 'by-title' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS status, CASE WHEN v.video_id IS NOT NULL THEN want WHEN np = 1 THEN printed WHEN np IS NULL AND n = 1 THEN found END AS match
+      FROM q LEFT JOIN v ON q.want = v.video_id LEFT JOIN n USING (query_id) LEFT JOIN p ON p.f = q.f"""),
     "video_library": (video_library, f"WITH {VIDEOS} SELECT channel_id, video_id, CAST(row_number() OVER (PARTITION BY channel_id ORDER BY published_at DESC, video_id) AS INTEGER) AS place FROM videos WHERE state = 'published'"),
     "recent_uploads": (recent_uploads, f"WITH {VIDEOS} SELECT video_id FROM videos WHERE published_at <= TIMESTAMP '1998-06-01' AND published_at >= TIMESTAMP '1998-06-01' - to_days(900)"),
     "plan_settlement": (plan_settlement, f"""WITH {CELLS}, p AS (SELECT DISTINCT source, cell FROM cells WHERE cell < 45), o AS (SELECT source, cell, count(*) AS n, min(CASE WHEN l_returnflag = 'R' THEN 'gap' ELSE 'chapter' END) AS outcome FROM cells WHERE l_linenumber = 1 AND l_partkey % 2 = 0 GROUP BY ALL),
       j AS (SELECT coalesce(p.source, o.source) AS source, p.cell IS NOT NULL AS planned, coalesce(n, 0) AS n, outcome FROM p FULL OUTER JOIN o ON p.source = o.source AND p.cell = o.cell),
       c AS (SELECT source, count(*) FILTER (WHERE planned) AS n_planned, count(*) FILTER (WHERE planned AND n = 1) AS n_settled, count(*) FILTER (WHERE planned AND n = 0) AS n_missing, count(*) FILTER (WHERE n > 1) AS n_repeated, count(*) FILTER (WHERE NOT planned) AS n_unplanned, count(*) FILTER (WHERE outcome = 'gap') AS n_gaps FROM j GROUP BY ALL)
       SELECT *, n_missing = 0 AND n_repeated = 0 AND n_unplanned = 0 AND n_gaps = 0 AS settled FROM c"""),
-    "checkpoint_merge": (checkpoint_merge, f"WITH {CELLS}, b AS ({PART.format(1, 'current')} UNION ALL {PART.format(2, 'pending')}) SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY source, cell ORDER BY outcome = 'gap', CASE WHEN outcome = 'gap' THEN 0 WHEN side = 'pending' THEN 1 ELSE 0 END, attempt DESC, rank, side) = 1"),
+    "checkpoint_merge": (checkpoint_merge, f"WITH {CELLS}, b AS ({PART.format(1, 'current')} UNION ALL {PART.format(0, 'pending')}) SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY source, cell ORDER BY outcome = 'gap', CASE WHEN outcome = 'gap' THEN 0 WHEN side = 'pending' THEN 1 ELSE 0 END, attempt DESC, rank, side) = 1"),
     "status_ledger": (status_ledger, f"WITH {VIDEOS} SELECT channel_id, count(*) FILTER (WHERE state = 'published') AS n_published, count(*) FILTER (WHERE state = 'retryable') AS n_retryable, count(*) FILTER (WHERE state = 'transcript-ready') AS n_transcript_ready, count(*) FILTER (WHERE video_id % 2 = 0 AND state = 'published') = count(*) FILTER (WHERE video_id % 2 = 0) AS complete FROM videos GROUP BY ALL"),
     "resumable_units": (resumable_units, f"WITH {VIDEOS} SELECT video_id FROM videos WHERE state <> 'published'"),
     "edit_replay": (edit_replay, """WITH RECURSIVE e AS (SELECT user_id AS item, event_id % 4 AS x, CAST(floor(value * 1000) AS BIGINT) AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),

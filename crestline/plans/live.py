@@ -18,7 +18,8 @@ def _stream(spark, sf_dir):
 
 def stream_chat_buckets(spark, sf_dir):
     path = fresh_path(spark, "stream-buckets")
-    live.run_to_table(live.chat_buckets(_stream(spark, sf_dir), "120 seconds", "10 minutes"), path)
+    marked = F.when(F.col("event_id") % 3 == 0, F.concat("text", F.lit("!!"))).when(F.col("event_id") % 7 == 1, F.lit("ㅋㅋㅋ")).otherwise(F.col("text"))
+    live.run_to_table(live.chat_buckets(_stream(spark, sf_dir).withColumn("text", marked), "120 seconds", "10 minutes"), path)
     found = live.latest(spark, path, ["broadcast_id", "start"])
     return found.select("broadcast_id", ((F.hour("start") * 60 + F.minute("start")) / 2).cast("int").alias("bucket"), "n_messages", "n_reactions")
 
@@ -35,11 +36,20 @@ def stream_fence(spark, sf_dir):
     """Purchases of the even sessions, each event once."""
     path = fresh_path(spark, "stream-fence")
     events = _stream(spark, sf_dir).where("text = 'purchase'").selectExpr("event_id", "user_id % 10 as session_id", "user_id % 2 as epoch", "ts")
-    allowed = spark.range(10).selectExpr("id as session_id", "cast(0 as bigint) as epoch")
+    allowed = read(spark, sf_dir, "events").selectExpr("user_id % 10 as session_id", "cast(0 as bigint) as epoch").distinct()
     live.run_to_table(live.fence(events, allowed), path, "append")
     return spark.read.parquet(f"{path}/batches").select("event_id", "session_id")
 
 
+def stream_range_report(spark, sf_dir):
+    """Messages against a source of 50 minutes that begins five minutes late."""
+    path = fresh_path(spark, "stream-ranges")
+    late = _stream(spark, sf_dir).selectExpr("broadcast_id", "cast((unix_millis(ts) % 86400000) / 24 as bigint) - 300000 as ts_ms")
+    ends = read(spark, sf_dir, "events").selectExpr("cast(day(ts) as bigint) as broadcast_id", "cast(3000000 as bigint) as duration_ms").distinct()
+    live.run_to_table(live.range_report(late, ends), path)
+    return live.latest(spark, path, ["broadcast_id", "place"])
+
+
 def stream_bursts(spark, sf_dir):
     """Burst scores of the buckets that have messages, in order, kept in state."""
     path, counted = fresh_path(spark, "stream-bursts"), fresh_path(spark, "stream-counts")
@@ -50,7 +60,8 @@ def stream_bursts(spark, sf_dir):
 
 
 QUERIES = {
-    "stream_chat_buckets": (stream_chat_buckets, f"WITH {MESSAGES} SELECT broadcast_id, CAST(ts_ms // 5000 AS INTEGER) AS bucket, count(*) AS n_messages, 0::BIGINT AS n_reactions FROM messages GROUP BY ALL"),
+    "stream_range_report": (stream_range_report, f"WITH {MESSAGES} SELECT broadcast_id, CASE WHEN ts_ms - 300000 < 0 THEN 'before' WHEN ts_ms - 300000 >= 3000000 THEN 'after' ELSE 'inside' END AS place, count(*) AS n FROM messages GROUP BY ALL"),
+    "stream_chat_buckets": (stream_chat_buckets, f"WITH {MESSAGES} SELECT broadcast_id, CAST(ts_ms // 5000 AS INTEGER) AS bucket, count(*) AS n_messages, count(*) FILTER (WHERE event_id % 3 = 0 OR event_id % 7 = 1) AS n_reactions FROM messages GROUP BY ALL"),
     "stream_sessions": (stream_sessions, """WITH e AS (SELECT day(ts) AS broadcast_id, ts, ts - lag(ts) OVER (PARTITION BY day(ts) ORDER BY ts) AS gap FROM events WHERE event_type IN ('purchase', 'error'))
       SELECT broadcast_id, count(*) FILTER (WHERE gap IS NULL OR gap >= INTERVAL 5 MINUTE) AS n_sessions, count(*) AS n_events FROM e GROUP BY ALL"""),
     "stream_fence": (stream_fence, "SELECT event_id, user_id % 10 AS session_id FROM events WHERE event_type = 'purchase' AND user_id % 2 = 0"),

@@ -44,7 +44,10 @@ def episode_similarity(spark, sf_dir):
 
 
 def diverse_selection(spark, sf_dir):
-    return selection.select_diverse(_episodes(spark, sf_dir))
+    found = candidates(spark, sf_dir)
+    quotas = selection.block_quotas(selection.event_density(found.select("broadcast_id", F.col("peak_ms").alias("t_ms")), hours(found)))
+    marked = _episodes(spark, sf_dir).withColumn("eligible", F.col("representative") % 7 > 0).withColumn("recommended", F.col("representative") % 5 == 0)
+    return selection.select_diverse(marked, quotas)
 
 
 def evidence_ranking(spark, sf_dir):
@@ -78,10 +81,6 @@ def task_batches(spark, sf_dir):
     return selection.batches(found, found.where("kind = 'visual'").select("broadcast_id", "id"), [F.desc("score"), F.asc("id")]).select("id", "batch")
 
 
-def neighbours_first(spark, sf_dir):
-    return selection.neighbours_first(chapters(spark, sf_dir), 10).select("doc_id", "pick")
-
-
 def _frame_ends(found):
     return found.groupBy("broadcast_id").agg((F.max("ts_ms") + 5000).alias("duration_ms"))
 
@@ -106,7 +105,8 @@ def visual_seeds(spark, sf_dir):
 def _fingerprints(spark, sf_dir):
     described = visual.describe(frames(spark, sf_dir))
     anchors = described.where("ts_ms % 15000 = 0").select(F.col("broadcast_id").alias("video_id"), (F.col("ts_ms") / 15_000).cast("int").alias("anchor"), "ts_ms", "dhash", "blockhash", "mean_luma")
-    return visual.match_fingerprints(anchors, described)
+    ends = anchors.groupBy("video_id").agg((F.max("ts_ms") + 15_000).alias("duration_ms"))
+    return visual.match_fingerprints(anchors.join(ends, "video_id"), described)
 
 
 def fingerprint_matches(spark, sf_dir):
@@ -123,8 +123,7 @@ def sample_times(spark, sf_dir):
 
 def _voices(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings")
-    protos = speakers.prototypes(vectors.where("vec_id % 2 = 0").select("label", "embedding"))
-    return speakers.score(vectors.where("vec_id % 2 = 1").select(F.col("vec_id").alias("id"), "embedding"), protos)
+    return speakers.score(vectors.select(F.col("vec_id").alias("id"), "embedding"), speakers.prototypes(vectors.select("label", "embedding")))
 
 
 def speaker_scores(spark, sf_dir):
@@ -170,10 +169,20 @@ changes AS (SELECT broadcast_id, ts_ms, previous_ms, list_sum(d) / (len(d) * 255
 bases AS (SELECT broadcast_id, median(strength) AS base, count(*) AS n FROM changes GROUP BY ALL),
 mads AS (SELECT broadcast_id, any_value(base) AS base, any_value(n) AS n, greatest(0.01, 1.4826 * median(abs(strength - base))) AS scale FROM changes JOIN bases USING (broadcast_id) GROUP BY ALL),
 scored AS (SELECT *, (strength - base) / scale AS robust, strength > CASE WHEN n >= 4 THEN greatest(0.08, base + greatest(3 * scale, 0.04)) ELSE 0.08 END AND mean_change >= 0.04 AND changed_share >= 0.08 AND (n < 4 OR (strength - base) / scale >= 3) AS eligible FROM changes JOIN mads USING (broadcast_id))"""
+DESCRIBED = f"""{FRAMES},
+bits AS (SELECT broadcast_id, vec_id, ts_ms, luma, list_median(luma) AS mid, list_transform(range(0, 64), lambda i: CASE WHEN CASE WHEN i % 8 = 7 THEN luma[i + 1] ELSE floor((luma[i + 1] + luma[i + 2]) / 2 + 0.5) END > CASE WHEN i % 8 = 0 THEN luma[i + 1] ELSE floor((luma[i] + luma[i + 1]) / 2 + 0.5) END THEN pow(2, 63 - i)::HUGEINT ELSE 0 END) AS d FROM frames),
+sums AS (SELECT broadcast_id, vec_id, ts_ms, list_sum(d)::HUGEINT AS d, list_sum(list_transform(luma, lambda x, i: CASE WHEN x > mid THEN pow(2, 64 - i)::HUGEINT ELSE 0 END))::HUGEINT AS b, CAST(floor(list_avg(luma) + 0.5) AS INTEGER) AS mean_luma,
+  CAST(floor((list_sum(list_transform(range(1, 57), lambda i: abs(luma[i + 8] - luma[i]))) / 56 + list_sum(list_transform(range(1, 64), lambda i: CASE WHEN i % 8 = 0 THEN 0 ELSE abs(luma[i + 1] - luma[i]) END)) / 56) / 2 + 0.5) AS INTEGER) AS edge FROM bits),
+described AS MATERIALIZED (SELECT broadcast_id, ts_ms, CAST(d - CASE WHEN d >= pow(2, 63)::HUGEINT THEN pow(2, 64)::HUGEINT ELSE 0 END AS BIGINT) AS dhash, CAST(b - CASE WHEN b >= pow(2, 63)::HUGEINT THEN pow(2, 64)::HUGEINT ELSE 0 END AS BIGINT) AS blockhash, mean_luma, edge FROM sums)"""
+MATCHES = f"""{DESCRIBED}, anchors AS (SELECT broadcast_id AS video_id, CAST(ts_ms / 15000 AS INTEGER) AS anchor, ts_ms, dhash, blockhash, mean_luma, max(ts_ms) OVER (PARTITION BY broadcast_id) + 15000 AS d FROM described WHERE ts_ms % 15000 = 0),
+shifted AS (SELECT *, unnest(range(-30000, 35000, 5000)) AS offset_ms FROM anchors), pairs AS (SELECT a.video_id, s.broadcast_id, CAST(offset_ms AS INTEGER) AS offset_ms, anchor, CAST(least(2, floor(a.ts_ms / d * 3)) AS INTEGER) AS third, s.ts_ms, bit_count(xor(a.dhash, s.dhash)) AS h, bit_count(xor(a.blockhash, s.blockhash)) AS b, abs(a.mean_luma - s.mean_luma) AS l
+  FROM shifted a JOIN described s ON a.ts_ms + offset_ms >= 0 AND abs(a.ts_ms + offset_ms - s.ts_ms) <= 2750),
+best AS (SELECT *, h + b AS distance, h <= 18 AND b <= 20 AND h + b <= 32 AND l <= 56 AS near FROM pairs QUALIFY row_number() OVER (PARTITION BY video_id, broadcast_id, offset_ms, anchor ORDER BY h + b, ts_ms) = 1),
+matches AS (SELECT video_id, broadcast_id, offset_ms, count(*) AS n_evaluated, count(*) FILTER (WHERE near) AS n_matched, count(DISTINCT third) FILTER (WHERE near) AS n_thirds, median(distance) FILTER (WHERE near) AS median_distance, list_sort(list(distance) FILTER (WHERE near)) AS ds FROM best GROUP BY ALL)"""
 VOICES = """units AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings),
-long AS (SELECT label, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM units WHERE vec_id % 2 = 0),
+long AS (SELECT label, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM units),
 means AS (SELECT label, i, avg(x) AS x FROM long GROUP BY ALL), protos AS (SELECT label, list(x ORDER BY i) AS v FROM means GROUP BY ALL),
-voices AS (SELECT vec_id AS id, p.label, greatest(0.0, least(1.0, list_cosine_similarity(u, v))) AS score FROM units q, protos p WHERE vec_id % 2 = 1)"""
+voices AS (SELECT vec_id AS id, p.label, greatest(0.0, least(1.0, list_cosine_similarity(u, v))) AS score FROM units q, protos p)"""
 
 QUERIES = {
     "event_density": (event_density, f"WITH {DENSITY} SELECT broadcast_id, bin, n, {rounded('expected', 'expected')}, {rounded('tail', 'tail')}, {KIND}, {rounded('mean', 'mean')}, {rounded('variance', 'variance')}, {rounded('dispersion', 'variance / nullif(mean, 0)')} FROM density"),
@@ -195,17 +204,20 @@ QUERIES = {
     "detail_targets": (detail_targets, f"WITH {CANDIDATES} SELECT broadcast_id, id, CAST(row_number() OVER (PARTITION BY broadcast_id ORDER BY score DESC, peak_ms, id) AS INTEGER) AS pick FROM candidates QUALIFY pick <= 12"),
     "bounded_peaks": (bounded_peaks, f"WITH {CANDIDATES} SELECT broadcast_id, peak_ms, CAST(row_number() OVER (PARTITION BY broadcast_id ORDER BY peak_ms) AS INTEGER) AS pick FROM (SELECT DISTINCT broadcast_id, peak_ms FROM candidates) QUALIFY pick <= 12"),
     "task_batches": (task_batches, f"WITH {CANDIDATES} SELECT id, CAST((row_number() OVER (PARTITION BY broadcast_id ORDER BY score DESC, id) - 1) // 12 AS INTEGER) AS batch FROM candidates WHERE kind <> 'visual'"),
-    "neighbours_first": (neighbours_first, f"WITH {CHAPTERS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY broadcast_id ORDER BY abs(n - 10), n DESC) AS INTEGER) AS pick FROM chapters"),
     "scene_changes": (scene_changes, f"WITH {SCENES} SELECT broadcast_id, ts_ms, {', '.join(rounded(c, c) for c in ('mean_change', 'changed_share', 'strength', 'robust'))}, eligible FROM scored"),
     "scene_highlights": (scene_highlights, f"""WITH RECURSIVE {SCENES}, ends AS (SELECT broadcast_id, max(ts_ms) + 5000 AS d FROM frames GROUP BY ALL),
       peaks AS (SELECT * FROM scored WINDOW w AS (PARTITION BY broadcast_id ORDER BY ts_ms) QUALIFY eligible AND strength > coalesce(lag(strength) OVER w, -1) AND strength >= coalesce(lead(strength) OVER w, -1)),
       placed AS (SELECT broadcast_id, CAST(floor((previous_ms + ts_ms) / 2 + 0.5) AS BIGINT) AS peak_ms, least(45000, d) AS width, greatest(0, least(CAST(floor((previous_ms + ts_ms) / 2 + 0.5) AS BIGINT) - CAST(floor(least(45000, d) * 4 / 9 + 0.5) AS BIGINT), d - least(45000, d))) AS s, s + least(45000, d) AS e, 0 AS a, 0 AS b,
         floor((least(20.0, greatest(0.0, robust)) + strength) * 1e6 + 0.5) / 1e6 AS score FROM peaks JOIN ends USING (broadcast_id)),
       {greedy_sql("chosen", "placed", "score DESC, peak_ms", 12, DISJOINT)} SELECT broadcast_id, CAST(pick AS INTEGER) AS pick, peak_ms, s AS start_ms, e AS end_ms, score FROM chosen"""),
-    "frame_descriptors": (frame_descriptors, None),
-    "visual_seeds": (visual_seeds, None),
-    "fingerprint_matches": (fingerprint_matches, None),
-    "fingerprint_identity": (fingerprint_identity, None),
+    "frame_descriptors": (frame_descriptors, f"WITH {DESCRIBED} SELECT * FROM described"),
+    "visual_seeds": (visual_seeds, f"""WITH RECURSIVE {DESCRIBED}, lagged AS (SELECT *, lag(dhash) OVER w AS d0, lag(blockhash) OVER w AS b0, lag(mean_luma) OVER w AS l0, lag(edge) OVER w AS e0 FROM described WINDOW w AS (PARTITION BY broadcast_id ORDER BY ts_ms)),
+      changes AS (SELECT broadcast_id, ts_ms, floor(((bit_count(xor(dhash, d0)) + bit_count(xor(blockhash, b0))) / 128 * 0.8::DOUBLE + abs(mean_luma - l0) / 255 * 0.12::DOUBLE + abs(edge - e0) / 255 * 0.08::DOUBLE) * 1e6 + 0.5) / 1e6 AS change FROM lagged WHERE d0 IS NOT NULL),
+      limits AS (SELECT broadcast_id, greatest(0.14::DOUBLE, list_sort(list(change))[CAST(least(count(*) - 1, floor(count(*) * 0.9::DOUBLE)) AS BIGINT) + 1]) AS least FROM changes GROUP BY ALL), strong AS (SELECT c.*, ts_ms AS s, 0 AS e, 0 AS a, 0 AS b FROM changes c JOIN limits USING (broadcast_id) WHERE change >= least),
+      {greedy_sql("chosen", "strong", "change DESC, ts_ms", 4, "abs(t.s - r.s) < 60000")} SELECT broadcast_id, ts_ms, change, CAST(pick AS INTEGER) AS pick FROM chosen"""),
+    "fingerprint_matches": (fingerprint_matches, f"WITH {MATCHES} SELECT video_id, broadcast_id, offset_ms, n_evaluated, n_matched, n_thirds, median_distance, ds[CAST(ceil(n_matched * 0.9::DOUBLE) AS BIGINT)] AS p90_distance FROM matches"),
+    "fingerprint_identity": (fingerprint_identity, f"""WITH {MATCHES}, v AS (SELECT broadcast_id, video_id, max(n_matched) >= 8 AS ok FROM matches GROUP BY ALL), n AS (SELECT broadcast_id, count(*) FILTER (WHERE ok) AS n_videos, max(video_id) FILTER (WHERE ok) AS video_id FROM v GROUP BY ALL)
+      SELECT broadcast_id, n_videos, CASE WHEN n_videos = 1 THEN 'verified' WHEN n_videos > 1 THEN 'ambiguous' ELSE 'none' END AS status, CASE WHEN n_videos = 1 THEN video_id END AS video_id FROM n"""),
     "sample_times": (sample_times, f"""WITH {FRAMES}, e AS (SELECT broadcast_id, max(ts_ms) + 5000 AS d, least(250, d // 4) AS pad FROM frames GROUP BY ALL), s AS (SELECT broadcast_id, pad AS a, d - 1 - 2 * pad AS span, least(720, greatest(2, CAST(ceil((d - 1 - 2 * pad) / 5000) AS BIGINT) + 1)) AS n FROM e),
       i AS (SELECT *, unnest(range(0, n)) AS i FROM s) SELECT DISTINCT broadcast_id, CAST(floor(a + span * i / (n - 1) + 0.5) AS BIGINT) AS ts_ms FROM i"""),
     "speaker_scores": (speaker_scores, f"WITH {VOICES} SELECT id, label, {rounded('score', 'score')} FROM voices"),

@@ -77,7 +77,7 @@ def sentence_citations(spark, sf_dir):
 
 def text_functions(spark, sf_dir):
     d, t = read(spark, sf_dir, "documents"), F.col("text")
-    made = {"norm": T.norm_repeat(t), "clean": T.clean_text(t, 500), "head_tail": T.head_tail(t, 300), "sample": T.representative(t, 400), "safe": T.csv_safe(F.left(t, F.lit(60))), "title": T.norm_title(F.left(t, F.lit(80))), "fingerprint": T.content_fingerprint(F.col("source"), t)}
+    made = {"norm": T.norm_repeat(t), "clean": T.clean_text(t, 500), "head_tail": T.head_tail(t, 300), "sample": T.representative(t, 400), "safe": T.csv_safe(t), "title": T.norm_title(t), "fingerprint": T.content_fingerprint(F.col("source"), t)}
     return d.select("doc_id", *(F.md5(c.cast("binary")).alias(n) for n, c in made.items()))
 
 
@@ -166,7 +166,10 @@ QUERIES = {
       a AS (SELECT conv_id, turn AS text_id, s, unnest({WORDS.format('sentence')}) AS w FROM s), b AS (SELECT conv_id, turn AS id, unnest({WORDS.format('text')}) AS w FROM conversations WHERE role = 'user'),
       p AS (SELECT conv_id AS broadcast_id, id, text_id, s, CAST(sum(least(8, length(w))) AS BIGINT) AS score FROM a JOIN b USING (conv_id, w) GROUP BY ALL HAVING score >= 2)
       SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY broadcast_id, id ORDER BY score DESC, text_id, s) = 1"""),
-    "text_functions": (text_functions, None),
+    "text_functions": (text_functions, f"""WITH b AS (SELECT *, string_split(regexp_replace(lower(nfc_normalize(text)), '\\s+', '', 'g'), '') AS c FROM documents)
+      SELECT doc_id, md5(left(array_to_string(list_filter(c, lambda x, i: NOT coalesce(x = c[i - 1] AND x = c[i - 2], false)), ''), 160)) AS norm, md5(left(trim(regexp_replace(regexp_replace(text, '[\\p{{Cc}}\\p{{Cf}}]', ' ', 'g'), '\\s+', ' ', 'g')), 500)) AS clean,
+        md5(CASE WHEN length(text) <= 300 THEN text ELSE left(text, 198) || ' … ' || right(text, 99) END) AS head_tail, md5({REP.format('text', 400, 97)}) AS sample, md5(CASE WHEN regexp_matches(text, '^[\\t\\r ]*[=+\\-@]') THEN chr(39) || text ELSE text END) AS safe,
+        md5(trim(regexp_replace(lower(regexp_replace(regexp_replace(text, '\\.[A-Za-z0-9]{{2,5}}$', ''), '\\s*\\[[A-Za-z0-9_-]{{6,}}\\]\\s*$', '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS title, md5(sha256(length(source) || ':' || source || '|' || length(text) || ':' || text)) AS fingerprint FROM b"""),
     "term_overlap": (term_overlap, f"""WITH d AS (SELECT doc_id, text, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS nx FROM documents), w AS (SELECT doc_id, {WORDS.format('text')} AS a, {WORDS.format('nx')} AS b FROM d WHERE nx IS NOT NULL), i AS (SELECT doc_id, len(a) AS n, list_intersect(a, b) AS c FROM w)
       SELECT doc_id, {rounded('ratio', 'CASE WHEN n = 0 THEN 0 ELSE len(c) / n END')}, CAST(coalesce(list_sum(list_transform(c, lambda x: least(8, length(x)))), 0) AS BIGINT) AS weight FROM i"""),
     "timecodes": (timecodes, f"WITH {CANDIDATES} SELECT id, {TC.format('peak_ms')} AS clock, {SRT.format(TC.format('peak_ms'), 'peak_ms')} AS srt FROM candidates"),

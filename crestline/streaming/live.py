@@ -38,6 +38,13 @@ def fence(events: DataFrame, allowed: DataFrame, late: str = "10 minutes") -> Da
     return held.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def range_report(messages: DataFrame, durations: DataFrame) -> DataFrame:
+    """Messages(broadcast_id, ts_ms) inside, before and after their source, counted as they come."""
+    held = messages.join(durations.select("broadcast_id", "duration_ms"), "broadcast_id")
+    place = F.when(F.col("ts_ms") < 0, "before").when(F.col("ts_ms") >= F.col("duration_ms"), "after").otherwise("inside")
+    return held.groupBy("broadcast_id", place.alias("place")).agg(F.count("*").alias("n"))
+
+
 def bursts(buckets: DataFrame) -> DataFrame:
     """Burst score of each bucket(broadcast_id, bucket, n) against the 60 before it, the last one left out; the state
     of a broadcast is that ring of counts."""
