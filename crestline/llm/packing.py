@@ -5,8 +5,9 @@ least room that holds it, whatever the bin's size. Where none does, a bin is ope
 still to be packed: for each permitted length the rest of the room is filled on paper with the longest pieces left that
 fit, and the length that costs least for a token so placed is opened. A sequence costs its length, a share that grows
 with its square as attention does, and an overhead, so that a long one must be filled to pay, and a short one wins where
-it can be filled. In the end each bin shrinks to the least permitted length that holds its contents. A document longer
-than the largest length is cut into pieces of that length and a rest.
+it can be filled. In the end each bin shrinks to the least permitted length that holds its contents. The portion is packed
+into bins of the largest length alone as well, and the cheaper of both packings is kept. A document longer than the
+largest length is cut into pieces of that length and a rest.
 
 Defined results: a null or empty text has its end token alone; a text of any length is packed whole, in pieces; pieces of
 equal length are taken in order of doc_id and piece, and sizes of equal cost from the shortest on; rows that repeat are
@@ -46,10 +47,22 @@ def fill(room: int, left: list[int], present: int) -> int:
 
 
 def pack_portion(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, attention: int = ATTENTION) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin, offset and final capacity of each piece."""
+    """Bin, offset and final capacity of each piece; where bins of the largest length alone cost less once they have
+    shrunk, these are taken."""
+    cost = {c: bin_cost(c, overhead, attention) for c in sorted(capacities)}
+    found = []
+    for opened in (cost, {max(cost): cost[max(cost)]}):
+        bins, offsets, used = best_fit(lengths, opened)
+        final = np.array(list(cost))[np.searchsorted(list(cost), used)] if used else np.zeros(0, dtype=np.int64)
+        found.append((sum(cost[c] for c in final.tolist()), len(found), bins, offsets, final))
+    _, _, bins, offsets, final = min(found, key=lambda f: f[:2])
+    return bins, offsets, final[bins]
+
+
+def best_fit(lengths: np.ndarray, cost: dict[int, float]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Bin and offset of each piece, and the tokens of each bin; cost: of a bin of each length that may be opened."""
     order = np.argsort(-lengths, kind="stable")
-    sizes = sorted(capacities)
-    cost = {c: bin_cost(c, overhead, attention) for c in sizes}
+    sizes = sorted(cost)
     left = np.bincount(lengths, minlength=sizes[-1] + 1).tolist()
     present = sum(1 << n for n in range(1, len(left)) if left[n])
     rooms: dict[int, list[int]] = {}
@@ -76,8 +89,7 @@ def pack_portion(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES,
         if room > n:
             rooms.setdefault(room - n, []).append(own)
             open_rooms |= 1 << (room - n)
-    final = np.array(sizes)[np.searchsorted(sizes, used)] if used else np.zeros(0, dtype=np.int64)
-    return bins, offsets, final[bins]
+    return bins, offsets, used
 
 
 def token_count(text_col: str):
