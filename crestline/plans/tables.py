@@ -59,7 +59,9 @@ CAPTIONS = "captions AS (SELECT conv_id AS broadcast_id, turn AS cue, turn * 150
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """broadcast_id, n, start_ms, end_ms, doc_id, text: a chapter of two minutes for each document."""
     docs = read(spark, sf_dir, "documents").select("source", "doc_id", "text", "lang")
-    n = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
+    # ids are numbered without the texts, which would meet in one task
+    numbers = docs.select("source", "doc_id").withColumn("n", F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1)
+    docs, n = docs.drop("source").join(numbers, "doc_id"), F.col("n")
     return docs.select(F.col("source").alias("broadcast_id"), n.alias("n"), (n * 120_000).cast("long").alias("start_ms"), ((n + 1) * 120_000).cast("long").alias("end_ms"), "doc_id", "text", "lang")
 
 
@@ -70,7 +72,8 @@ CHAPTERS = """chapters AS (SELECT source AS broadcast_id, n, n * 120000 AS start
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """broadcast_id, ts_ms, luma (64 values): a frame of eight by eight for each embedding."""
     vectors = read(spark, sf_dir, "embeddings")
-    n = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
+    numbers = vectors.select("label", "vec_id").withColumn("n", F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1)
+    vectors, n = vectors.drop("label").join(numbers, "vec_id"), F.col("n")
     luma = F.transform("embedding", lambda e: F.floor(255 * (e.cast("double") + 1) / 2).cast("int"))
     return vectors.select(F.col("label").alias("broadcast_id"), "vec_id", (n * 5000).cast("long").alias("ts_ms"), luma.alias("luma"))
 

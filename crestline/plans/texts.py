@@ -8,6 +8,7 @@ from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import transcript
 from ..sources import chat_files, documents
+from ..storage import fresh_path
 from .tables import CANDIDATES, CAPTIONS, CHAPTERS, candidates, captions, chapters, read, rounded
 
 
@@ -30,6 +31,58 @@ def chat_import_rejects(spark, sf_dir):
     return chat_files.import_chat(chat_files.records_from_lines(_lines(spark, sf_dir)))[1].groupBy("code").agg(F.count("*").alias("n"))
 
 
+def chat_json(spark, sf_dir):
+    """Containers of a thousand events each, under the four names that such files use."""
+    e = read(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 1000).alias("part"), F.struct(F.col("event_id").cast("string").alias("Author_ID"), (F.col("event_id") * 10).cast("string").alias("time ms"), F.concat("event_type", F.lit(' "x"')).alias("Body")).alias("m"))
+    parts = e.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "m"))), lambda x: x["m"]).alias("m"))
+    names = ("messages", "chatMessages", "chats", "items")
+    body = F.when(F.col("part") % 5 == 4, F.to_json("m"))
+    for k, name in enumerate(names):
+        body = body.when(F.col("part") % 5 == k, F.to_json(F.struct(F.col("m").alias(name))))
+    records = chat_files.records_from_json(parts.select(body.alias("value")))
+    return chat_files.resolve(records).select(F.col("author_id").cast("long").alias("event_id"), "row_number", "ms", "text", "basis")
+
+
+def chat_csv(spark, sf_dir):
+    """Events written as CSV with quotes and line breaks in the cells, and read back."""
+    path = fresh_path(spark, "chat-csv")
+    text = F.concat(F.lit('say "'), F.col("event_type"), F.lit('",\nnext'))
+    read(spark, sf_dir, "events").select((F.col("event_id") % 7200 * 1000).alias("elapsed_ms"), text.alias("Message"), F.col("event_id").alias("Nickname")).write.csv(path, header=True, escape='"')
+    return chat_files.resolve(chat_files.read_chat_csv(spark, path)).select(F.col("author_id").cast("long").alias("event_id"), "ms", "text", "code")
+
+
+def chat_formats(spark, sf_dir):
+    turn = F.col("turn") % 5
+    head = F.when(turn == 0, F.concat(F.lit("["), "text")).when(turn == 1, F.concat(F.lit('  {"a":"'), F.col("role"), F.lit('"}'))).when(turn == 2, F.lit('{"a":1}\n{"b":2}')).when(turn == 3, F.lit(" \n")).otherwise(F.concat(F.lit("time,"), F.col("role")))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", chat_files.detect_format(head).alias("format"))
+
+
+def feed_entries(spark, sf_dir):
+    """Feeds of each customer's orders; every 9th has a document type and is refused."""
+    o = read(spark, sf_dir, "orders")
+    entry = F.format_string("<entry><yt:videoId>%d</yt:videoId><yt:channelId>%d</yt:channelId><title>No %d</title><published>%sT00:00:00+00:00</published><updated>%sT01:00:00+00:00</updated></entry>", "o_orderkey", "o_custkey", F.col("o_orderkey") % 97, F.col("o_orderdate").cast("date").cast("string"), F.col("o_orderdate").cast("date").cast("string"))
+    feeds = o.select("o_custkey", entry.alias("e")).groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_list("e")), "\n").alias("e"))
+    feeds = feeds.select(F.concat(F.when(F.col("o_custkey") % 9 == 0, "<!doctype x>").otherwise(""), F.lit("<feed>"), "e", F.lit("</feed>")).alias("value"))
+    return documents.feed_videos(feeds).select(F.col("video_id").cast("long").alias("video_id"), F.col("channel_id").cast("long").alias("channel_id"), "title", F.unix_seconds("published_at").alias("published"), F.unix_seconds("updated_at").alias("updated"))
+
+
+def manifest_videos(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    video = F.struct(F.col("o_custkey").cast("string").alias("channelId"), F.col("o_orderkey").cast("string").alias("videoId"), F.concat(F.lit("No "), F.col("o_orderkey").cast("string")).alias("title"), F.floor("o_totalprice").cast("long").alias("durationMs"), F.concat(F.col("o_orderdate").cast("date").cast("string"), F.lit("T00:00:00Z")).alias("publishedAt"), F.col("o_orderstatus").alias("state"), (F.col("o_orderkey") % 7).cast("int").alias("revision"))
+    manifests = o.groupBy("o_custkey").agg(F.to_json(F.struct(F.collect_list(video).alias("videos"))).alias("value"))
+    return documents.catalog_videos(manifests).select(F.col("video_id").cast("long").alias("video_id"), "title", "duration_ms", F.unix_seconds("published_at").alias("published"), "state", "revision")
+
+
+def manifest_anchors(spark, sf_dir):
+    """Fingerprint files made of the order keys' digests."""
+    o = read(spark, sf_dir, "orders")
+    hash_of = lambda s: F.substring(F.md5(F.concat(F.col("o_orderkey").cast("string"), F.lit(s)).cast("binary")), 1, 16)
+    anchor = F.struct((F.col("o_orderkey") * 10).alias("timestampMs"), hash_of("d").alias("dHash64"), hash_of("b").alias("blockHash64"), (F.col("o_orderkey") % 256).cast("int").alias("meanLuma"), (F.col("o_orderkey") % 99).cast("int").alias("edgeEnergy"))
+    files = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(anchor)).alias("anchors"))
+    files = files.select(F.to_json(F.struct(F.col("o_custkey").cast("string").alias("videoId"), "anchors")).alias("value"))
+    return documents.fingerprint_anchors(files).select(F.col("video_id").cast("long").alias("video_id"), "anchor", "ts_ms", F.lower(F.lpad(F.hex("dhash"), 16, "0")).alias("dhash"), F.lower(F.lpad(F.hex("blockhash"), 16, "0")).alias("blockhash"), "mean_luma", "edge")
+
+
 def captions_json3(spark, sf_dir):
     """Tracks written from the conversations and read back: each cue twice, the second of them a repeat."""
     cue = F.struct((F.col("turn") * 15_000).alias("tStartMs"), F.lit(4000).alias("dDurationMs"), F.array(F.struct(F.col("text").alias("utf8")), F.struct(F.lit("\n").alias("utf8"))).alias("segs"))
@@ -85,8 +138,10 @@ def term_overlap(spark, sf_dir):
     """Shared words of each document with the next of its source."""
     from pyspark.sql import Window as W
 
-    d = read(spark, sf_dir, "documents").withColumn("next", F.lead("text").over(W.partitionBy("source").orderBy("doc_id"))).where("next is not null")
-    d = d.select("doc_id", T.terms(F.col("text")).alias("a"), T.terms(F.col("next")).alias("b"))
+    docs = read(spark, sf_dir, "documents")
+    pairs = docs.select("doc_id", F.lead("doc_id").over(W.partitionBy("source").orderBy("doc_id")).alias("next_id")).where("next_id is not null")
+    words = docs.select("doc_id", T.terms(F.col("text")).alias("a"))
+    d = pairs.join(words, "doc_id").join(words.select(F.col("doc_id").alias("next_id"), F.col("a").alias("b")), "next_id")
     return d.select("doc_id", N.round_half_up(T.match_ratio(F.col("a"), F.col("b")), 6).alias("ratio"), T.token_overlap(F.col("a"), F.col("b")).cast("long").alias("weight"))
 
 
@@ -146,6 +201,12 @@ parsed AS (SELECT *, CASE WHEN n % 3 = 2 THEN 'absolute' ELSE 'relative' END AS
 firsts AS (SELECT arg_min(basis, n) AS b, arg_min(ms, n) AS m FROM parsed)"""
 
 QUERIES = {
+    "chat_json": (chat_json, """SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) AS INTEGER) AS row_number, CASE WHEN event_id * 10 >= 1000000000000 THEN event_id * 10 ELSE event_id * 10 END AS ms, event_type || ' "x"' AS text, 'relative' AS basis FROM events"""),
+    "chat_csv": (chat_csv, """SELECT event_id, event_id % 7200 * 1000 AS ms, 'say "' || event_type || '",' || chr(10) || 'next' AS text, NULL::VARCHAR AS code FROM events"""),
+    "chat_formats": (chat_formats, "SELECT conv_id, turn, ['json', 'json', 'jsonl', 'empty', 'csv'][turn % 5 + 1] AS format FROM conversations"),
+    "feed_entries": (feed_entries, "SELECT o_orderkey AS video_id, o_custkey AS channel_id, 'No ' || (o_orderkey % 97) AS title, CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) AS published, CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) + 3600 AS updated FROM orders WHERE o_custkey % 9 <> 0"),
+    "manifest_videos": (manifest_videos, "SELECT o_orderkey AS video_id, 'No ' || o_orderkey AS title, CAST(floor(o_totalprice) AS BIGINT) AS duration_ms, CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) AS published, o_orderstatus AS state, CAST(o_orderkey % 7 AS INTEGER) AS revision FROM orders"),
+    "manifest_anchors": (manifest_anchors, "SELECT o_custkey AS video_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS anchor, o_orderkey * 10 AS ts_ms, left(md5(o_orderkey || 'd'), 16) AS dhash, left(md5(o_orderkey || 'b'), 16) AS blockhash, CAST(o_orderkey % 256 AS INTEGER) AS mean_luma, CAST(o_orderkey % 99 AS INTEGER) AS edge FROM orders"),
     "chat_import": (chat_import, f"WITH {LINES} SELECT n AS row_number, ms - CASE WHEN basis = 'absolute' THEN m ELSE 0 END AS ts_ms, event_type AS text, author_id FROM parsed, firsts WHERE basis = b"),
     "chat_import_rejects": (chat_import_rejects, f"WITH {LINES} SELECT 'malformed-row' AS code, count(*) AS n FROM l WHERE bad UNION ALL SELECT 'invalid-timestamp', count(*) FROM l WHERE untimed AND NOT bad UNION ALL SELECT 'mixed-basis', count(*) FROM parsed, firsts WHERE basis <> b"),
     "captions_json3": (captions_json3, "SELECT conv_id AS broadcast_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS cue, turn * 15000 AS start_ms, md5(left(trim(regexp_replace(regexp_replace(text || chr(10), '[\\p{Cc}\\p{Cf}]', ' ', 'g'), '\\s+', ' ', 'g')), 500)) AS text FROM conversations WHERE trim(text) <> ''"),

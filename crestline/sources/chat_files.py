@@ -25,7 +25,7 @@ def _plain(name: str) -> str:
 
 def detect_format(head: Column) -> Column:
     """json, jsonl, csv or empty, by the first marks of a file's text."""
-    start = F.ltrim(F.regexp_replace(head, "^﻿", ""))
+    start = F.regexp_replace(head, r"^\x{FEFF}?\s*", "")
     lines = F.regexp_count(start, F.lit(r"\n\s*\{")) > 0
     return F.when(start == "", "empty").when(start.startswith("["), "json").when(start.startswith("{"), F.when(lines, "jsonl").otherwise("json")).otherwise("csv")
 
@@ -42,8 +42,12 @@ def read_chat_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chat_json(spark: SparkSession, path: str) -> DataFrame:
-    """Records of JSON arrays, or of objects that hold one as messages, chatMessages, chats or items."""
-    files = spark.read.text(path, wholetext=True).select(F.trim(F.regexp_replace("value", "^﻿", "")).alias("value"))
+    return records_from_json(spark.read.text(path, wholetext=True))
+
+
+def records_from_json(files: DataFrame) -> DataFrame:
+    """Records of JSON arrays, or of objects that hold one as messages, chatMessages, chats or items: files(value)."""
+    files = files.select(F.trim(F.regexp_replace("value", "^﻿", "")).alias("value"))
     held = F.from_json("value", "struct<messages:array<map<string,string>>,chatMessages:array<map<string,string>>,chats:array<map<string,string>>,items:array<map<string,string>>>")
     rows = F.when(F.col("value").startswith("["), F.from_json("value", "array<map<string,string>>")).otherwise(F.coalesce(held["messages"], held["chatMessages"], held["chats"], held["items"]))
     return files.select(F.posexplode(rows).alias("row_number", "rec")).withColumn("row_number", F.col("row_number") + 1)
@@ -58,11 +62,15 @@ def read_chat_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def find_alias(rec: Column, names: tuple[str, ...]) -> Column:
-    """First non-null field of rec by the names in order, as struct(name, value); keys compare without case, spaces,
-    underscores and dashes."""
-    keys = F.transform_keys(F.map_filter(rec, lambda k, v: v.isNotNull()), lambda k, v: F.regexp_replace(F.lower(k), r"[\s_-]", ""))
-    at = F.array(*(F.lit(_plain(n)) for n in names))
-    return let(keys, lambda m: F.get(F.filter(F.transform(at, lambda n: F.struct(n.alias("name"), F.element_at(m, n).alias("value"))), lambda f: f["value"].isNotNull()), F.lit(0)))
+    """First field of rec by the names in order, as struct(name, value); rec as plain_keys gives it."""
+    return F.coalesce(*(F.when(F.element_at(rec, _plain(n)).isNotNull(), F.struct(F.lit(_plain(n)).alias("name"), F.element_at(rec, _plain(n)).alias("value"))) for n in names))
+
+
+def plain_keys(rec: Column) -> Column:
+    """The non-null fields of rec; keys without case, spaces, underscores and dashes, the first of equal ones."""
+    fields = F.transform(F.map_entries(rec), lambda e: F.struct(F.regexp_replace(F.lower(e["key"]), r"[\s_-]", "").alias("key"), e["value"].alias("value")))
+    fields = F.filter(fields, lambda e: e["value"].isNotNull())
+    return let(fields, lambda f: F.map_from_entries(F.filter(f, lambda e, i: F.array_position(F.transform(f, lambda x: x["key"]), e["key"]) == i + 1)))
 
 
 def parse_time(found: Column) -> Column:
@@ -88,7 +96,10 @@ def _parse_time(found: Column) -> Column:
 def resolve(records: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """records with basis, ms, text, author_id and the code of what is missing."""
     keep = [*(keys or []), "row_number"]
-    found = records.select(*keep, F.col("rec").isNull().alias("_bad"), find_alias(F.col("rec"), TIME_NAMES).alias("_t"), find_alias(F.col("rec"), TEXT_NAMES)["value"].alias("text"), find_alias(F.col("rec"), AUTHOR_NAMES)["value"].alias("author_id"))
+    # a generator keeps the optimizer from copying the map's expression into each of its uses
+    records = records.select(*keep, F.explode(F.array(plain_keys(F.col("rec")))).alias("rec"))
+    found = records.select(*keep, F.col("rec").isNull().alias("_bad"), F.explode(F.array(find_alias(F.col("rec"), TIME_NAMES))).alias("_t"), "rec")
+    found = found.select(*keep, "_bad", "_t", find_alias(F.col("rec"), TEXT_NAMES)["value"].alias("text"), find_alias(F.col("rec"), AUTHOR_NAMES)["value"].alias("author_id"))
     found = found.withColumn("_p", parse_time(F.col("_t")))
     code = F.when(F.col("_bad"), "malformed-row").when(F.col("_p").isNull(), "invalid-timestamp").when(F.col("text").isNull() | (F.trim("text") == ""), "missing-text")
     return found.select(*keep, F.col("_p.basis").alias("basis"), F.col("_p.ms").alias("ms"), "text", "author_id", code.alias("code"))

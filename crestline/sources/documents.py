@@ -29,23 +29,39 @@ def read_captions_json3(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_atom_feed(spark: SparkSession, path: str, most_bytes: int = 2_000_000) -> DataFrame:
-    """Videos of channel feeds; oversize feeds and feeds with a document type or entity are left out."""
-    files = spark.read.text(path, wholetext=True).where((F.octet_length("value") <= most_bytes) & ~F.upper("value").rlike("<!DOCTYPE|<!ENTITY"))
+    return feed_videos(spark.read.text(path, wholetext=True), most_bytes)
+
+
+def feed_videos(files: DataFrame, most_bytes: int = 2_000_000) -> DataFrame:
+    """Videos of channel feeds(value); oversize feeds and feeds with a document type or entity are left out."""
+    files = files.where((F.octet_length("value") <= most_bytes) & ~F.upper("value").rlike("<!DOCTYPE|<!ENTITY"))
     entries = files.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<entry>(.*?)</entry>"), 1)).alias("e"))
     tag = lambda t: F.regexp_extract("e", rf"(?s)<{t}>\s*(.*?)\s*</{t}>", 1)
     return entries.select(tag("yt:videoId").alias("video_id"), tag("yt:channelId").alias("channel_id"), tag("title").alias("title"), F.try_to_timestamp(tag("published")).alias("published_at"), F.try_to_timestamp(tag("updated")).alias("updated_at"))
 
 
+CATALOG = "struct<videos:array<struct<channelId:string,videoId:string,title:string,durationMs:bigint,publishedAt:string,updatedAt:string,state:string,revision:int,artifactIds:array<string>>>>"
+FINGERPRINT = "struct<videoId:string,sourceDurationMs:bigint,anchors:array<struct<timestampMs:bigint,dHash64:string,blockHash64:string,meanLuma:int,edgeEnergy:int>>>"
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each video of catalog manifests."""
-    manifests = spark.read.json(path, multiLine=True)
-    return manifests.select(F.explode("videos").alias("v")).select("v.*")
+    return catalog_videos(spark.read.text(path, wholetext=True))
+
+
+def catalog_videos(files: DataFrame) -> DataFrame:
+    """One row for each video of catalog manifests(value)."""
+    v = files.select(F.explode(F.from_json("value", CATALOG)["videos"]).alias("v")).select("v.*")
+    at = lambda c: F.try_to_timestamp(c)
+    return v.select(F.col("channelId").alias("channel_id"), F.col("videoId").alias("video_id"), "title", F.col("durationMs").alias("duration_ms"), at("publishedAt").alias("published_at"), at("updatedAt").alias("updated_at"), "state", "revision", F.col("artifactIds").alias("artifact_ids"))
 
 
 def read_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each anchor of fingerprint files; hashes as 64-bit patterns."""
-    schema = "videoId string, sourceDurationMs bigint, anchors array<struct<timestampMs:bigint,dHash64:string,blockHash64:string,meanLuma:int,edgeEnergy:int>>"
-    files = spark.read.json(path, schema=schema, multiLine=True)
+    return fingerprint_anchors(spark.read.text(path, wholetext=True))
+
+
+def fingerprint_anchors(files: DataFrame) -> DataFrame:
+    """One row for each anchor of fingerprint files(value); hashes as 64-bit patterns."""
+    files = files.select(F.from_json("value", FINGERPRINT).alias("f")).select("f.*")
     bits = lambda c: F.conv(c, 16, -10).cast("bigint")
     return files.select("videoId", F.posexplode("anchors").alias("anchor", "a")).select(F.col("videoId").alias("video_id"), "anchor", F.col("a.timestampMs").alias("ts_ms"), bits(F.col("a.dHash64")).alias("dhash"), bits(F.col("a.blockHash64")).alias("blockhash"), F.col("a.meanLuma").alias("mean_luma"), F.col("a.edgeEnergy").alias("edge"))
 
