@@ -64,6 +64,49 @@ def representative(text: Column, most: int, slices: int = 4, mark: str = " … "
     return F.when(F.char_length(text) <= most, text).otherwise(F.concat_ws(mark, *parts))
 
 
+def allocate_bytes(lengths: Column, weights: list[int], budget: Column, floor: int) -> Column:
+    """Bytes for each of several fields of these lengths: at least floor or its length, and the rest of the budget in
+    rounds by weight, until all fields are whole or nothing is left."""
+
+    @F.pandas_udf("array<bigint>")
+    def share(sizes: pd.Series, budgets: pd.Series) -> pd.Series:
+        return pd.Series([_allocated([int(n) for n in s], weights, int(b), floor) for s, b in zip(sizes, budgets, strict=True)])
+
+    return share(lengths, budget)
+
+
+def _allocated(sizes: list[int], weights: list[int], budget: int, floor: int) -> list[int]:
+    given = [min(n, floor) for n in sizes]
+    left = budget - sum(given)
+    while left > 0 and any(g < n for g, n in zip(given, sizes, strict=True)):
+        active = [k for k, n in enumerate(sizes) if given[k] < n]
+        whole, total = left, sum(weights[k] for k in active)
+        for k in active:
+            more = min(max(1, whole * weights[k] // total), sizes[k] - given[k], left)
+            given[k] += more
+            left -= more
+    return given
+
+
+def head_tail_bytes(text: Column, most: Column, mark: str = "…") -> Column:
+    """Two thirds from the head and one third from the tail of texts of more than most bytes; no character is cut."""
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, limits: pd.Series) -> pd.Series:
+        return pd.Series([_cut(t, int(n), mark) for t, n in zip(texts, limits, strict=True)], dtype=object)
+
+    return F.when(F.octet_length(text) <= most, text).otherwise(cut(F.when(F.octet_length(text) > most, text), most))
+
+
+def _cut(text: str | None, most: int, mark: str) -> str | None:
+    if text is None:
+        return None
+    raw, room = text.encode(), max(0, most - len(mark.encode()))
+    head = -(-room * 2 // 3)
+    tail = room - head
+    return raw[:head].decode(errors="ignore") + mark + (raw[len(raw) - tail :].decode(errors="ignore") if tail else "")
+
+
 def timecode(ms: Column) -> Column:
     s = F.floor(ms / 1000)
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600).cast("long"), (F.floor(s / 60) % 60).cast("long"), (s % 60).cast("long"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .intervals import cells, text_in_range
+from .intervals import cells, nearest, overlap_join, text_in_range
 
 
 def caption_chapters(cues: DataFrame, durations: DataFrame, width_ms: int = 120_000, most: int = 3000) -> DataFrame:
@@ -47,10 +47,16 @@ def resolve_refs(leads: DataFrame, chapters: DataFrame) -> DataFrame:
 
 def phase_cues(cues: DataFrame, peaks: DataFrame, near_ms: int = 5000) -> DataFrame:
     """The cue(broadcast_id, cue, start_ms) nearest to each peak(broadcast_id, id, peak_ms) before, near and after it."""
-    both = peaks.join(cues, "broadcast_id").withColumn("away", F.col("start_ms") - F.col("peak_ms"))
-    phase = F.when(F.abs("away") <= near_ms, "near").when(F.col("away") < 0, "before").otherwise("after")
-    order = W.partitionBy("broadcast_id", "id", "phase").orderBy(F.abs("away"), "start_ms", "cue")
-    return both.withColumn("phase", phase).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "away")
+    instants = cues.groupBy("broadcast_id", "start_ms").agg(F.min("cue").alias("cue")).withColumn("end_ms", F.col("start_ms") + 1)
+    right = instants.select("broadcast_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), "cue")
+    around = peaks.withColumn("start_ms", F.col("peak_ms") - near_ms).withColumn("end_ms", F.col("peak_ms") + near_ms + 1)
+    order = W.partitionBy("broadcast_id", "id").orderBy(F.abs(F.col("r_start") - F.col("peak_ms")), "r_start")
+    near = overlap_join(around, right, ["broadcast_id"]).withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    found = [near.select("broadcast_id", "id", "peak_ms", F.lit("near").alias("phase"), "cue", F.col("r_start").alias("start_ms"))]
+    for phase, at in (("before", F.col("peak_ms") - near_ms), ("after", F.col("peak_ms") + near_ms + 1)):
+        side = nearest(peaks.withColumn("at_ms", at), instants, "broadcast_id", forward=phase == "after").where("chapter is not null")
+        found.append(side.select("broadcast_id", "id", "peak_ms", F.lit(phase).alias("phase"), "chapter.cue", "chapter.start_ms"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def name_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:

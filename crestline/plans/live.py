@@ -50,6 +50,15 @@ def stream_range_report(spark, sf_dir):
     return live.latest(spark, path, ["broadcast_id", "place"])
 
 
+def stream_audio_windows(spark, sf_dir):
+    """Windows of two channels at 64 Hz, a second for each embedding."""
+    path, schema = fresh_path(spark, "stream-audio"), read(spark, sf_dir, "embeddings").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir)
+    chunks = stream.selectExpr("label as broadcast_id", "cast(vec_id as int) as i", "array(embedding, reverse(embedding)) as channels")
+    live.run_to_table(live.audio_windows(chunks, 64), path, "append")
+    return spark.read.parquet(f"{path}/batches").drop("epoch")
+
+
 def stream_bursts(spark, sf_dir):
     """Burst scores of the buckets that have messages, in order, kept in state."""
     path, counted = fresh_path(spark, "stream-bursts"), fresh_path(spark, "stream-counts")
@@ -60,6 +69,7 @@ def stream_bursts(spark, sf_dir):
 
 
 QUERIES = {
+    "stream_audio_windows": (stream_audio_windows, None),
     "stream_range_report": (stream_range_report, f"WITH {MESSAGES} SELECT broadcast_id, CASE WHEN ts_ms - 300000 < 0 THEN 'before' WHEN ts_ms - 300000 >= 3000000 THEN 'after' ELSE 'inside' END AS place, count(*) AS n FROM messages GROUP BY ALL"),
     "stream_chat_buckets": (stream_chat_buckets, f"WITH {MESSAGES} SELECT broadcast_id, CAST(ts_ms // 5000 AS INTEGER) AS bucket, count(*) AS n_messages, count(*) FILTER (WHERE event_id % 3 = 0 OR event_id % 7 = 1) AS n_reactions FROM messages GROUP BY ALL"),
     "stream_sessions": (stream_sessions, """WITH e AS (SELECT day(ts) AS broadcast_id, ts, ts - lag(ts) OVER (PARTITION BY day(ts) ORDER BY ts) AS gap FROM events WHERE event_type IN ('purchase', 'error'))

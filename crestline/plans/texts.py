@@ -134,6 +134,12 @@ def text_functions(spark, sf_dir):
     return d.select("doc_id", *(F.md5(c.cast("binary")).alias(n) for n, c in made.items()))
 
 
+def field_bytes(spark, sf_dir):
+    """Room of a document's title, source and text in a budget of 900 bytes."""
+    sizes = F.array(F.octet_length(F.substring_index("text", "\n", 1)), F.octet_length("source"), F.octet_length("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(T.allocate_bytes(sizes, [2, 1, 3], F.lit(900), 100), lambda x: x.cast("string")), ",").alias("bytes"), F.md5(T.head_tail_bytes(F.col("text"), F.lit(600)).cast("binary")).alias("cut"))
+
+
 def term_overlap(spark, sf_dir):
     """Shared words of each document with the next of its source."""
     from pyspark.sql import Window as W
@@ -231,6 +237,7 @@ QUERIES = {
       SELECT doc_id, md5(left(array_to_string(list_filter(c, lambda x, i: NOT coalesce(x = c[i - 1] AND x = c[i - 2], false)), ''), 160)) AS norm, md5(left(trim(regexp_replace(regexp_replace(text, '[\\p{{Cc}}\\p{{Cf}}]', ' ', 'g'), '\\s+', ' ', 'g')), 500)) AS clean,
         md5(CASE WHEN length(text) <= 300 THEN text ELSE left(text, 198) || ' … ' || right(text, 99) END) AS head_tail, md5({REP.format('text', 400, 97)}) AS sample, md5(CASE WHEN regexp_matches(text, '^[\\t\\r ]*[=+\\-@]') THEN chr(39) || text ELSE text END) AS safe,
         md5(trim(regexp_replace(lower(regexp_replace(regexp_replace(text, '\\.[A-Za-z0-9]{{2,5}}$', ''), '\\s*\\[[A-Za-z0-9_-]{{6,}}\\]\\s*$', '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS title, md5(sha256(length(source) || ':' || source || '|' || length(text) || ':' || text)) AS fingerprint FROM b"""),
+    "field_bytes": (field_bytes, None),
     "term_overlap": (term_overlap, f"""WITH d AS (SELECT doc_id, text, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS nx FROM documents), w AS (SELECT doc_id, {WORDS.format('text')} AS a, {WORDS.format('nx')} AS b FROM d WHERE nx IS NOT NULL), i AS (SELECT doc_id, len(a) AS n, list_intersect(a, b) AS c FROM w)
       SELECT doc_id, {rounded('ratio', 'CASE WHEN n = 0 THEN 0 ELSE len(c) / n END')}, CAST(coalesce(list_sum(list_transform(c, lambda x: least(8, length(x)))), 0) AS BIGINT) AS weight FROM i"""),
     "timecodes": (timecodes, f"WITH {CANDIDATES} SELECT id, {TC.format('peak_ms')} AS clock, {SRT.format(TC.format('peak_ms'), 'peak_ms')} AS srt FROM candidates"),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
+from ..operators import audio
 
 BASELINE, LEAST_BASELINE = 60, 4
 
@@ -45,6 +46,27 @@ def range_report(messages: DataFrame, durations: DataFrame) -> DataFrame:
     return held.groupBy("broadcast_id", place.alias("place")).agg(F.count("*").alias("n"))
 
 
+def audio_windows(chunks: DataFrame, rate: int) -> DataFrame:
+    """Feature windows of sound as it is decoded: chunks(broadcast_id, i, channels), one for each second. The state of a
+    broadcast are the three values of the filter and the last second, so that chunks may come in any micro-batch."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before, passed, band, last = state.get if state.exists else (0.0, 0.0, 0.0, -2)
+        out = []
+        for i, channels in pd.concat(parts).sort_values("i")[["i", "channels"]].itertuples(index=False):
+            if i != last + 1:
+                before = passed = band = 0.0
+            window, (before, passed, band) = audio.one_window(np.stack(channels), rate, before, passed, band)
+            last = int(i)
+            out.append((key[0], last, *(float(np.floor(v * 1e6 + 0.5) / 1e6) for v in window)))
+        state.update((float(before), float(passed), float(band), last))
+        yield pd.DataFrame(out, columns=["broadcast_id", "i", "rms", "peak", "zcr", "speech"])
+
+    kind = chunks.schema["broadcast_id"].dataType.simpleString()
+    schema = f"broadcast_id {kind}, i int, rms double, peak double, zcr double, speech double"
+    return chunks.groupBy("broadcast_id").applyInPandasWithState(step, schema, "before double, passed double, band double, last int", "append", GroupStateTimeout.NoTimeout)
+
+
 def bursts(buckets: DataFrame) -> DataFrame:
     """Burst score of each bucket(broadcast_id, bucket, n) against the 60 before it, the last one left out; the state
     of a broadcast is that ring of counts."""
