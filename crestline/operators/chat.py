@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
-
 from .greedy import keep_disjoint
 
+#: Width of a bucket, buckets of a baseline and the least of them, length and number of highlights.
 BUCKET_MS, BASELINE, LEAST_BASELINE = 5000, 60, 4
 WINDOW_MS, MOST = 45_000, 12
 

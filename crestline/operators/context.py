@@ -14,6 +14,7 @@ from ..functions import text as T
 from .gates import effective_ranges
 from .intervals import cells, covered_ms, nearest, overlap_join, text_in_range
 
+#: Reach of the texts around a candidate, and how near to the end of the source is its edge.
 AROUND_MS, EDGE_MS = 120_000, 1_000
 
 

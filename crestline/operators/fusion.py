@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import intervals as I
 from ..functions import numbers as N
+from ..storage import stored
 from .greedy import match_pairs, suppress
 from .intervals import overlap_join
 
+#: How far apart two peaks may be, and the length of a reaction.
 PROXIMITY_MS, WINDOW_MS = 10_000, 45_000
 
 
@@ -101,7 +103,7 @@ def music_like(evidence: DataFrame) -> DataFrame:
 def fuse_reactions(candidates: DataFrame, durations: DataFrame, most: int = 96) -> DataFrame:
     """Reaction intervals of audio and chat, strengthened by pictures; consensus first, then by score, suppressed at
     half overlap. Without any anchor at most four picture candidates, scores capped at 0.32, stand in."""
-    ranked = normalize_scores(sanitize(candidates, durations)).persist()
+    ranked = stored(normalize_scores(sanitize(candidates, durations)), "fusion-ranked")  # read four times
     of = lambda k: ranked.where(F.col("kind") == k)
     anchored = attach_context(reaction_drafts(of("audio"), of("chat")), of("visual")).withColumn("exploration", F.lit(False))
     bare = of("visual").join(ranked.where("kind in ('audio', 'chat')").select("broadcast_id").distinct(), "broadcast_id", "left_anti")

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 
 
+#: The status words, categories and gap codes below are fixed values: they stand in the data that is read.
+
+
 def verdict_gap(decision: Column, material: Column, consistency: Column) -> Column:
     """Why a candidate is not accepted; null if it is. The first matching rule counts."""
     sound = (material == "streamer-event") & (consistency == "consistent")

@@ -15,6 +15,7 @@ from ..functions import numbers as N
 from .greedy import keep_where
 from .intervals import cells, merge, overlap_join
 
+#: Where scattered picks begin, leads and topics and refined leads at most, leads of a plan and length of its cells.
 GOLDEN = 0.6180339887498948
 MERGED, TOPICS, REFINED = 32, 4, 20
 PLAN_LEADS, CELL_MS = 4, 60_000

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import intervals as I
 from ..functions import numbers as N
 
+#: Width of a density bin, and the longest episode.
 BIN_MS, SPAN_MS = 300_000, 90_000
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from ..functions import numbers as N
 from .greedy import keep_disjoint, keep_spaced
 
+#: Length of a highlight, and the change of luma that counts for a pixel.
 WINDOW_MS, PIXEL_CHANGE = 45_000, 28
 
 
