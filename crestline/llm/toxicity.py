@@ -3,8 +3,8 @@
 At most MAX_EXAMPLES labelled rows (the least hashes of doc_id, a documented bound) are the examples. The vector space
 has every word of the examples. Document frequencies are counted over the whole corpus; a word's weight is raised by
 how much its presence depends on the label among the examples (label_gain), and none is left out.
-The index keeps postings in blocks of BLOCK examples and the greatest weight of each term in each block; blocks are
-visited by their upper bound until it falls below the K-th best cosine, so the neighbours are exact. Votes are weighted
+The index keeps postings in blocks of BLOCK examples and the greatest weight of each term in each block; blocks whose
+upper bound cannot reach the K-th best cosine are not looked at, so the neighbours are exact. Votes are weighted
 by 1 / (distance + SOFT) and calibrated by a logistic map that is fitted on the examples' own votes, each without
 itself. The evidence are the neighbours and the shared words.
 
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 
 MAX_EXAMPLES = 8192
 K, BLOCK, SOFT = 15, 64, 0.05
+#: What the terms that are not read at first may add to a score, of all that can be added.
+SHARE = 0.01
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -66,43 +68,65 @@ class BlockMaxIndex:
         self.block = self.place[new] // BLOCK
         self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
         self.first = np.searchsorted(terms[new], np.arange(n_terms + 1))
+        self.most_of = np.zeros(n_terms)  # greatest weight of each term
+        np.maximum.at(self.most_of, terms[new], self.most)
+        # the same postings by example, to complete a score
+        self.cuts = np.searchsorted(place, np.arange(len(vectors) + 1))
+        held = np.concatenate(none + [vectors[e][0] for e in self.order])
+        self.held_terms, self.held_weights = held.astype(np.int32), np.concatenate([np.zeros(0)] + [vectors[e][1] for e in self.order])
+        self.query = np.zeros(n_terms)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = K, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Exact best k examples by cosine, ties by number; only examples that share a term."""
-        counts = self.first[terms + 1] - self.first[terms]
-        entry, query, weights = _ranges(self.first[terms], counts), weights, np.repeat(weights, counts)
-        block = self.block[entry]
-        bound = np.bincount(block, self.most[entry] * weights, self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        best_score, best_example = np.zeros(0), np.zeros(0, dtype=np.int64)
-        visited = np.zeros(self.blocks, dtype=bool)
-        for probe in (4, self.blocks):
-            least = best_score[k - 1] - 1e-9 if len(best_score) >= k else 0
-            left = order[(bound[order] > 0) & (bound[order] >= least) & ~visited[order]][:probe]
-            if not len(left):
-                break
-            if 4 * len(left) > self.blocks:  # most blocks: whole postings are read, which costs less
-                best_score, best_example = np.zeros(0), np.zeros(0, dtype=np.int64)
-                begin, end = self.start[self.first[terms]], self.start[self.first[terms + 1]]
-                parts = [slice(x, y) for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
-                place, weight = np.concatenate([self.place[p] for p in parts]), np.concatenate([self.weight[p] for p in parts])
-                score = np.bincount(place, weight * np.repeat(query, end - begin), len(self.order))
-                visited[:] = True
-            else:
-                now = np.zeros(self.blocks, dtype=bool)
-                now[left] = True
-                own = np.flatnonzero(now[block])
-                begin, many = self.start[entry[own]], self.start[entry[own] + 1] - self.start[entry[own]]
-                post = _ranges(begin, many)
-                score = np.bincount(self.place[post], self.weight[post] * np.repeat(weights[own], many), len(self.order))
-                visited |= now
-            held = np.flatnonzero((score > 0) & (score >= least) & (self.order != but))
-            if len(held) > k:
-                held = held[score[held] >= np.partition(score[held], -k)[-k] - 1e-9]
-            best_score, best_example = np.concatenate([best_score, score[held]]), np.concatenate([best_example, self.order[held]])
-            rank = np.lexsort((best_example, -np.round(best_score, 12)))[:k]
-            best_score, best_example = best_score[rank], best_example[rank]
-        return best_score, best_example
+        """Exact best k examples by cosine, ties by number; only examples that share a term.
+
+        The terms that can add most are read first, until the others together can add SHARE at most. What they give is a
+        lower bound of each score, and the k-th best of these is the limit. Examples that cannot reach it with all that is
+        left are out; where these bounds leave too many, what is left is bounded block by block, by the greatest weights
+        there. The scores of the others are completed, or all postings read where that costs less.
+        """
+        reach = weights * self.most_of[terms]
+        order = np.argsort(-reach)
+        terms, weights = terms[order], weights[order]
+        left = np.cumsum(reach[order][::-1])[::-1]  # what the terms from here on can add
+        begin = self.start[self.first[terms]]
+        many = self.start[self.first[terms + 1]] - begin
+        n = int(np.searchsorted(-left, -SHARE * left[0])) if len(terms) else 0
+        unread = int(many[n:].sum())
+        part, near = self._read(begin[:n], many[:n], weights[:n]), None
+        if n < len(terms) and len(part) > k:
+            known = part[self.order != but] if but >= 0 else part
+            limit = np.partition(known, -k)[-k] - 1e-9
+            if limit > 0:
+                near = np.flatnonzero(part >= limit - left[n])
+                sizes = self.cuts[near + 1] - self.cuts[near]
+                if sizes.sum() > unread:
+                    rest = terms[n:]
+                    counts = self.first[rest + 1] - self.first[rest]
+                    entry = _ranges(self.first[rest], counts)
+                    bound = np.bincount(self.block[entry], self.most[entry] * np.repeat(weights[n:], counts), self.blocks)
+                    near = near[part[near] + bound[near // BLOCK] >= limit]
+                    sizes = self.cuts[near + 1] - self.cuts[near]
+                near = near if sizes.sum() <= unread else None
+        if near is None:
+            near, score = np.arange(len(part)), part + self._read(begin[n:], many[n:], weights[n:])
+        else:
+            self.query[terms] = weights
+            held = _ranges(self.cuts[near], sizes)
+            total = np.append(0.0, np.cumsum(self.query[self.held_terms[held]] * self.held_weights[held]))
+            self.query[terms] = 0.0
+            ends = np.cumsum(sizes)
+            score = total[ends] - total[ends - sizes]
+        held = np.flatnonzero((score > 0) & (self.order[near] != but))
+        if len(held) > k:
+            held = held[score[held] >= np.partition(score[held], -k)[-k] - 1e-9]
+        score, example = score[held], self.order[near[held]]
+        rank = np.lexsort((example, -np.round(score, 12)))[:k]
+        return score[rank], example[rank]
+
+    def _read(self, begin: np.ndarray, many: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What some terms' postings add to the score of each example."""
+        post = _ranges(begin, many)
+        return np.bincount(self.place[post], self.weight[post] * np.repeat(weights, many), len(self.order))
 
 
 @dataclass
@@ -113,7 +137,7 @@ class NearestVotes:
     idf: np.ndarray
     ids: list[int]
     toxic: np.ndarray
-    #: First posting of each example, and the postings' terms and counts.
+    #: First posting of each example, and the postings' terms and counts; number counts words from 1.
     cuts: np.ndarray
     terms: np.ndarray
     counts: np.ndarray
@@ -125,7 +149,7 @@ class NearestVotes:
     index: BlockMaxIndex | None = None
 
     def __post_init__(self) -> None:
-        self.number = {w: k for k, w in enumerate(self.words)}
+        self.number = {w: k for k, w in enumerate(self.words, 1)}
         vectors = [unit(self.terms[a:b].astype(np.int64), self.counts[a:b], self.idf) for a, b in itertools.pairwise(self.cuts.tolist())]
         self.index = BlockMaxIndex(vectors, len(self.words))
         if self.fitted:
@@ -154,7 +178,9 @@ class NearestVotes:
         return float(((weight * self.toxic[examples]).sum() + prior) / (weight.sum() + 1))
 
     def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        terms, weights = vector(Counter(self.number[w] for w in terms_of(text) if w in self.number), self.idf)
+        known = list(filter(None, map(self.number.get, terms_of(text))))
+        terms, counts = np.unique(np.array(known, dtype=np.int64), return_counts=True)
+        terms, weights = unit(terms - 1, counts, self.idf)
         if not len(terms):
             return self.bare, terms, np.zeros(0, dtype=np.int64)
         scores, examples = self.index.nearest(terms, weights)
@@ -208,22 +234,25 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def document_frequencies(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
     """In how many documents of the corpus each word stands, and how many documents there are."""
-    number = {w: k for k, w in enumerate(words)}
+    number = {w: k for k, w in enumerate(words, 1)}
     n_words = len(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(n_words + 1, dtype=np.int64)
+        counts = np.zeros(n_words + 1, dtype=np.int64)  # that of all documents comes first
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts[-1] += 1
-                counts[[number[w] for w in set(terms_of(text)) if w in number]] += 1
+            for at in range(0, len(batch), 1000):
+                texts, found = batch.column(0).slice(at, 1000).to_pylist(), []
+                for text in texts:
+                    found += filter(None, map(number.get, set(terms_of(text))))
+                counts += np.bincount(np.array(found, dtype=np.int64), minlength=n_words + 1)
+                counts[0] += len(texts)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["term", "n"])
 
     counts = np.zeros(n_words + 1, dtype=np.int64)
     found = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     counts[found.column("term").to_numpy()] = found.column("n").to_numpy()
-    return counts[:-1], int(counts[-1])
+    return counts[1:], int(counts[0])
 
 
 def label_gain(present: np.ndarray, present_toxic: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:

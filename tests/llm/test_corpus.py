@@ -563,7 +563,7 @@ def test_toxicity_score_equals_brute_force(spark):
     ids = [k for k in range(300) if zlib.crc32(str(k).encode()) % 5]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     model = toxicity.train(df, spark.createDataFrame([(k, int(k % 3 == 0)) for k in ids], "doc_id long, toxic int"))
-    dense = lambda t: np.array([(1 + np.log(t.split().count(w))) * model.idf[model.number[w]] if w in t.split() and w in model.number else 0.0 for w in words])
+    dense = lambda t: np.array([(1 + np.log(t.split().count(w))) * model.idf[model.number[w] - 1] if w in t.split() and w in model.number else 0.0 for w in words])
     unit = lambda v: v / np.linalg.norm(v) if v.any() else v
     text = dict(docs)
     examples = np.array([unit(dense(text[d])) for d in model.ids])
