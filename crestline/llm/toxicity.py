@@ -279,6 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES)
     frequency, total = document_frequencies(docs, words)
     term = pc.index_in(counted.column("term"), pa.array(words, pa.string())).fill_null(-1).to_numpy()
     n = counted.column("n").to_numpy()
+    del counted  # the driver holds the index next
     known_term = term >= 0  # an example without words has an empty term
     order = np.lexsort((term[known_term], example[known_term]))
     example, term, n = example[known_term][order], term[known_term][order].astype(np.int64), n[known_term][order]
@@ -300,12 +301,18 @@ def score(docs: DataFrame, model: NearestVotes, id_col: str = "doc_id", text_col
             _MODELS.clear()
             _MODELS[key] = NearestVotes(*pickle.loads(zlib.decompress(packed)))
         model = _MODELS[key]
+        mine = np.zeros(len(model.words), dtype=bool)
         for batch in batches:
-            rows = []
+            rows, scored = [], {}  # texts that repeat in a batch are scored once
             for text in batch.column(1).to_pylist():
-                value, terms, examples = model.score(text)
-                shared = sorted({model.words[t] for e in examples[:shown] for t in np.intersect1d(terms, model.terms_at(e), assume_unique=True)})
-                rows.append((value, [model.ids[e] for e in examples[:shown]], shared))
+                if text not in scored:
+                    value, terms, examples = model.score(text)
+                    mine[terms] = True
+                    near = [model.terms_at(e) for e in examples[:shown].tolist()]
+                    shared = np.unique(np.concatenate([t[mine[t]] for t in near])).tolist() if near else []
+                    mine[terms] = False
+                    scored[text] = (value, [model.ids[e] for e in examples[:shown].tolist()], [model.words[t] for t in shared])
+                rows.append(scored[text])
             cols = list(zip(*rows, strict=True)) or [()] * 3
             kinds = [pa.float64(), pa.list_(pa.int64()), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "score", "neighbours", "shared_words"])
