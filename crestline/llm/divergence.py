@@ -144,15 +144,13 @@ def _tile(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
 def distances(groups: DataFrame, rows: DataFrame) -> DataFrame:
     """lang, source, item, value for each ordered pair of a language's groups.
 
-    ``groups``: lang, source, g (numbers from 0 within a language), z, terms (V). ``rows``: lang, g, term_id, p.
+    ``groups``: lang, source, g (numbers from 0 within a language), z, terms (V), last (block), parts. ``rows``: lang, g,
+    term_id, p, last, parts.
     """
     block = (F.col("g") / BLOCK).cast("int")
-    loads = rows.groupBy("lang", block.alias("block")).count().groupBy("lang").agg(F.max("count").alias("most"))
-    size = groups.groupBy("lang").agg(F.max(block).alias("last")).join(loads, "lang", "left")
-    size = size.select("lang", "last", F.ceil(F.coalesce("most", F.lit(1)) / ENTRIES).cast("int").alias("parts"))
-    values = rows.join(size, "lang").withColumn("part", F.pmod(F.xxhash64("term_id"), "parts").cast("int"))
+    values = rows.withColumn("part", F.pmod(F.xxhash64("term_id"), "parts").cast("int"))
     # each group's baseline is there in every part, so that a part knows all its groups
-    base = groups.join(size, "lang").select("lang", "g", F.lit(-1).cast("long").alias("term_id"), F.col("z").alias("p"), "last", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    base = groups.select("lang", "g", F.lit(-1).cast("long").alias("term_id"), F.col("z").alias("p"), "last", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     both = values.select("lang", "g", "term_id", "p", "last", "part").unionByName(base)
     # a block's rows meet the index of every block, and its own index meets the rows of every block
     every, b = F.sequence(F.lit(0), F.col("last")), block
@@ -173,16 +171,18 @@ def audit(docs: DataFrame, min_docs: int = 30, top: int = 50, text_col: str = "t
     kept = stored(kept.select("lang", "term", "n_lang", F.monotonically_increasing_id().alias("term_id")), "divergence-terms")
     entries = stored(counts.where("term is not null").join(kept, ["lang", "term"]).select("lang", "source", "term", "term_id", "n", "n_lang"), "divergence-entries")
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n_lang").alias("total_lang"))
-    totals = entries.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    totals = entries.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("own"))
     groups = counts.where("term is null").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0)
-    number = F.row_number().over(W.partitionBy("lang").orderBy("source")) - 1
-    z = F.when(F.col("terms") > 0, share("0", "total", "terms")).otherwise(F.lit(0).cast("long"))
-    groups = stored(groups.select("lang", "source", number.cast("long").alias("g"), "terms", "total", "total_lang", z.alias("z")), "divergence-groups")
-    shared = entries.join(groups, ["lang", "source"]).select("lang", "source", "g", "term", "term_id", share("n", "total", "terms").alias("p"), share("n_lang", "total_lang", "terms").alias("q"))
+    # windows over groups only: a row for each source of a language, with what its entries need to know of the language
+    groups = groups.withColumn("g", (F.row_number().over(W.partitionBy("lang").orderBy("source")) - 1).cast("long")).withColumn("block", (F.col("g") / BLOCK).cast("int"))
+    groups = groups.withColumn("load", F.sum("own").over(W.partitionBy("lang", "block")))
+    parts, z = F.ceil(F.greatest(F.max("load").over(W.partitionBy("lang")), F.lit(1)) / ENTRIES), F.when(F.col("terms") > 0, share("0", "total", "terms")).otherwise(F.lit(0).cast("long"))
+    groups = stored(groups.select("lang", "source", "g", "terms", "total", "total_lang", z.alias("z"), parts.cast("int").alias("parts"), F.max("block").over(W.partitionBy("lang")).alias("last")), "divergence-groups")
+    shared = entries.join(groups, ["lang", "source"]).select("lang", "source", "g", "term", "term_id", "last", "parts", share("n", "total", "terms").alias("p"), share("n_lang", "total_lang", "terms").alias("q"))
     rank = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     terms = shared.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     terms = terms.withColumn("rank", rank).where(F.col("rank") <= top)
-    pairs = distances(groups, shared.select("lang", "g", "term_id", "p")).select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", rank)
+    pairs = distances(groups, shared.select("lang", "g", "term_id", "p", "last", "parts")).select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", rank)
     return pairs.unionByName(terms)
 
 
