@@ -107,33 +107,6 @@ def visual_seeds(descriptors: DataFrame, most: int = 4, gap_ms: int = 60_000, le
     return keep_spaced(strong, ["broadcast_id"], [F.desc("change"), F.asc("ts_ms")], most, gap_ms)
 
 
-def match_fingerprints(anchors: DataFrame, samples: DataFrame, most_ms: int = 2750, step_ms: int = 5000, reach_ms: int = 30_000) -> DataFrame:
-    """Best sample of each anchor at each time offset: anchors(video_id, anchor, ts_ms, dhash, blockhash, mean_luma,
-    duration_ms) against samples(broadcast_id, ts_ms, dhash, blockhash, mean_luma), summed up for each video, broadcast and
-    offset: how many of the best samples are near enough, in how many thirds of the video, and how far apart those are.
-
-    Offsets are a fixed list; anchors and samples meet by time bin, not by crossing.
-    """
-    shifted = anchors.withColumn("offset_ms", F.explode(F.sequence(F.lit(-reach_ms), F.lit(reach_ms), F.lit(step_ms)))).withColumn("at", F.col("ts_ms") + F.col("offset_ms")).where("at >= 0")
-    bin_of = lambda c: F.floor(c / 5000)
-    near = shifted.select("video_id", "anchor", "offset_ms", "at", F.col("dhash").alias("a_d"), F.col("blockhash").alias("a_b"), F.col("mean_luma").alias("a_l"), F.least(F.lit(2), F.floor(F.col("ts_ms") / F.col("duration_ms") * 3)).cast("int").alias("third"), F.explode(F.sequence(bin_of(F.col("at") - most_ms), bin_of(F.col("at") + most_ms))).alias("bin"))
-    pairs = near.join(samples.withColumn("bin", bin_of(F.col("ts_ms"))), "bin").where(F.abs(F.col("at") - F.col("ts_ms")) <= most_ms)
-    d, b = N.hamming64(F.col("a_d"), F.col("dhash")), N.hamming64(F.col("a_b"), F.col("blockhash"))
-    near = (d <= 18) & (b <= 20) & (d + b <= 32) & (F.abs(F.col("a_l") - F.col("mean_luma")) <= 56)
-    best = pairs.groupBy("video_id", "broadcast_id", "offset_ms", "anchor").agg(F.min(F.struct((d + b).alias("distance"), "ts_ms", near.alias("near"), "third")).alias("best"))
-    matched = lambda c: F.when(F.col("best.near"), F.col(f"best.{c}"))
-    out = best.groupBy("video_id", "broadcast_id", "offset_ms").agg(F.count("*").alias("n_evaluated"), F.count_if("best.near").alias("n_matched"), F.count_distinct(matched("third")).alias("n_thirds"), F.percentile(matched("distance"), 0.5).alias("median_distance"), F.sort_array(F.collect_list(matched("distance"))).alias("_d"))
-    return out.withColumn("p90_distance", F.get("_d", (F.ceil(F.col("n_matched") * 0.9) - 1).cast("int"))).drop("_d")
-
-
-def unique_match(summary: DataFrame, least: int = 8) -> DataFrame:
-    """For each broadcast: verified if one video matches, ambiguous if several do, else none."""
-    per = summary.groupBy("broadcast_id", "video_id").agg(F.max("n_matched").alias("n_matched"))
-    per = per.groupBy("broadcast_id").agg(F.count_if(F.col("n_matched") >= least).alias("n_videos"), F.max(F.when(F.col("n_matched") >= least, F.col("video_id"))).alias("video_id"))
-    status = F.when(F.col("n_videos") == 1, "verified").when(F.col("n_videos") > 1, "ambiguous").otherwise("none")
-    return per.select("broadcast_id", "n_videos", status.alias("status"), F.when(F.col("n_videos") == 1, F.col("video_id")).alias("video_id"))
-
-
 def sample_times(durations: DataFrame, target_ms: int = 5000, most: int = 720) -> DataFrame:
     """Sampling instants of a source: about every five seconds, 720 at most, a little off both edges."""
     d = durations.withColumn("pad", F.least(F.lit(250), F.floor(F.col("duration_ms") / 4))).withColumn("last", F.greatest(F.lit(0), F.col("duration_ms") - 1))

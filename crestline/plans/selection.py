@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
-from ..operators import selection, speakers, visual
+from ..operators import identity, selection, speakers, visual
 from .chat import DISJOINT, greedy_sql
 from .tables import CANDIDATES, CHAPTERS, FRAMES, MESSAGES, candidates, chapters, durations, frames, hours, messages, read, rounded
 
@@ -102,19 +102,34 @@ def visual_seeds(spark, sf_dir):
     return visual.visual_seeds(visual.describe(frames(spark, sf_dir))).select("broadcast_id", "ts_ms", "change", "pick")
 
 
-def _fingerprints(spark, sf_dir):
-    described = visual.describe(frames(spark, sf_dir))
-    anchors = described.where("ts_ms % 15000 = 0").select(F.col("broadcast_id").alias("video_id"), (F.col("ts_ms") / 15_000).cast("int").alias("anchor"), "ts_ms", "dhash", "blockhash", "mean_luma")
-    ends = anchors.groupBy("video_id").agg((F.max("ts_ms") + 15_000).alias("duration_ms"))
-    return visual.match_fingerprints(anchors.join(ends, "video_id"), described)
+def _identity(spark, sf_dir):
+    """Videos with 12 anchors each, and the same pictures as broadcasts: sampled up to two seconds late, and with a share
+    of their blocks inverted that differs by label, from none to half."""
+    shown = frames(spark, sf_dir)
+    ends = shown.groupBy("broadcast_id").agg(F.count("*").alias("n"), (F.max("ts_ms") + 5000).alias("duration_ms"))
+    described = visual.describe(shown).withColumn("i", F.col("ts_ms") / 5000).join(ends, "broadcast_id")
+    anchor = F.floor(F.col("i") * 12 / F.col("n"))
+    anchors = described.where((F.col("i") == 0) | (anchor > F.floor((F.col("i") - 1) * 12 / F.col("n")))).select(F.col("broadcast_id").alias("video_id"), anchor.cast("int").alias("anchor"), "ts_ms", "dhash", "blockhash", "mean_luma", "duration_ms")
+    every = (F.lit(2) + F.col("broadcast_id") * 3).cast("int")
+    noisy = F.transform("luma", lambda x, i: F.when((F.col("broadcast_id") % 4 != 3) & ((i + F.col("vec_id")) % every == 0), 255 - x).otherwise(x))
+    samples = visual.describe(shown.select("broadcast_id", (F.col("ts_ms") + F.col("vec_id") % 3 * 1000).alias("ts_ms"), noisy.alias("luma")))
+    pairs = identity.compatible_pairs(ends.select(F.col("broadcast_id").alias("video_id"), "duration_ms"), ends.select("broadcast_id", "duration_ms"))
+    return anchors, samples, pairs, ends
 
 
 def fingerprint_matches(spark, sf_dir):
-    return _fingerprints(spark, sf_dir)
+    anchors, samples, pairs, _ = _identity(spark, sf_dir)
+    return identity.match_offsets(anchors, samples, pairs)
+
+
+def fingerprint_decisions(spark, sf_dir):
+    anchors, samples, pairs, _ = _identity(spark, sf_dir)
+    return identity.decide(identity.match_offsets(anchors, samples, pairs), samples)
 
 
 def fingerprint_identity(spark, sf_dir):
-    return visual.unique_match(_fingerprints(spark, sf_dir))
+    anchors, samples, pairs, ends = _identity(spark, sf_dir)
+    return identity.unique_match(ends, identity.decide(identity.match_offsets(anchors, samples, pairs, [0]), samples))
 
 
 def sample_times(spark, sf_dir):
@@ -169,16 +184,32 @@ changes AS (SELECT broadcast_id, ts_ms, previous_ms, list_sum(d) / (len(d) * 255
 bases AS (SELECT broadcast_id, median(strength) AS base, count(*) AS n FROM changes GROUP BY ALL),
 mads AS (SELECT broadcast_id, any_value(base) AS base, any_value(n) AS n, greatest(0.01, 1.4826 * median(abs(strength - base))) AS scale FROM changes JOIN bases USING (broadcast_id) GROUP BY ALL),
 scored AS (SELECT *, (strength - base) / scale AS robust, strength > CASE WHEN n >= 4 THEN greatest(0.08, base + greatest(3 * scale, 0.04)) ELSE 0.08 END AND mean_change >= 0.04 AND changed_share >= 0.08 AND (n < 4 OR (strength - base) / scale >= 3) AS eligible FROM changes JOIN mads USING (broadcast_id))"""
-DESCRIBED = f"""{FRAMES},
-bits AS (SELECT broadcast_id, vec_id, ts_ms, luma, list_median(luma) AS mid, list_transform(range(0, 64), lambda i: CASE WHEN CASE WHEN i % 8 = 7 THEN luma[i + 1] ELSE floor((luma[i + 1] + luma[i + 2]) / 2 + 0.5) END > CASE WHEN i % 8 = 0 THEN luma[i + 1] ELSE floor((luma[i] + luma[i + 1]) / 2 + 0.5) END THEN pow(2, 63 - i)::HUGEINT ELSE 0 END) AS d FROM frames),
-sums AS (SELECT broadcast_id, vec_id, ts_ms, list_sum(d)::HUGEINT AS d, list_sum(list_transform(luma, lambda x, i: CASE WHEN x > mid THEN pow(2, 64 - i)::HUGEINT ELSE 0 END))::HUGEINT AS b, CAST(floor(list_avg(luma) + 0.5) AS INTEGER) AS mean_luma,
-  CAST(floor((list_sum(list_transform(range(1, 57), lambda i: abs(luma[i + 8] - luma[i]))) / 56 + list_sum(list_transform(range(1, 64), lambda i: CASE WHEN i % 8 = 0 THEN 0 ELSE abs(luma[i + 1] - luma[i]) END)) / 56) / 2 + 0.5) AS INTEGER) AS edge FROM bits),
-described AS MATERIALIZED (SELECT broadcast_id, ts_ms, CAST(d - CASE WHEN d >= pow(2, 63)::HUGEINT THEN pow(2, 64)::HUGEINT ELSE 0 END AS BIGINT) AS dhash, CAST(b - CASE WHEN b >= pow(2, 63)::HUGEINT THEN pow(2, 64)::HUGEINT ELSE 0 END AS BIGINT) AS blockhash, mean_luma, edge FROM sums)"""
-MATCHES = f"""{DESCRIBED}, anchors AS (SELECT broadcast_id AS video_id, CAST(ts_ms / 15000 AS INTEGER) AS anchor, ts_ms, dhash, blockhash, mean_luma, max(ts_ms) OVER (PARTITION BY broadcast_id) + 15000 AS d FROM described WHERE ts_ms % 15000 = 0),
-shifted AS (SELECT *, unnest(range(-30000, 35000, 5000)) AS offset_ms FROM anchors), pairs AS (SELECT a.video_id, s.broadcast_id, CAST(offset_ms AS INTEGER) AS offset_ms, anchor, CAST(least(2, floor(a.ts_ms / d * 3)) AS INTEGER) AS third, s.ts_ms, bit_count(xor(a.dhash, s.dhash)) AS h, bit_count(xor(a.blockhash, s.blockhash)) AS b, abs(a.mean_luma - s.mean_luma) AS l
-  FROM shifted a JOIN described s ON a.ts_ms + offset_ms >= 0 AND abs(a.ts_ms + offset_ms - s.ts_ms) <= 2750),
-best AS (SELECT *, h + b AS distance, h <= 18 AND b <= 20 AND h + b <= 32 AND l <= 56 AS near FROM pairs QUALIFY row_number() OVER (PARTITION BY video_id, broadcast_id, offset_ms, anchor ORDER BY h + b, ts_ms) = 1),
-matches AS (SELECT video_id, broadcast_id, offset_ms, count(*) AS n_evaluated, count(*) FILTER (WHERE near) AS n_matched, count(DISTINCT third) FILTER (WHERE near) AS n_thirds, median(distance) FILTER (WHERE near) AS median_distance, list_sort(list(distance) FILTER (WHERE near)) AS ds FROM best GROUP BY ALL)"""
+def _described(source: str, name: str) -> str:
+    """SQL: descriptors of the planes of a table, as table name."""
+    return f"""bits_{name} AS (SELECT broadcast_id, vec_id, ts_ms, luma, list_median(luma) AS mid, list_transform(range(0, 64), lambda i: CASE WHEN CASE WHEN i % 8 = 7 THEN luma[i + 1] ELSE floor((luma[i + 1] + luma[i + 2]) / 2 + 0.5) END > CASE WHEN i % 8 = 0 THEN luma[i + 1] ELSE floor((luma[i] + luma[i + 1]) / 2 + 0.5) END THEN pow(2, 63 - i)::HUGEINT ELSE 0 END) AS d FROM {source}),
+sums_{name} AS (SELECT broadcast_id, vec_id, ts_ms, list_sum(d)::HUGEINT AS d, list_sum(list_transform(luma, lambda x, i: CASE WHEN x > mid THEN pow(2, 64 - i)::HUGEINT ELSE 0 END))::HUGEINT AS b, CAST(floor(list_avg(luma) + 0.5) AS INTEGER) AS mean_luma,
+  CAST(floor((list_sum(list_transform(range(1, 57), lambda i: abs(luma[i + 8] - luma[i]))) / 56 + list_sum(list_transform(range(1, 64), lambda i: CASE WHEN i % 8 = 0 THEN 0 ELSE abs(luma[i + 1] - luma[i]) END)) / 56) / 2 + 0.5) AS INTEGER) AS edge FROM bits_{name}),
+{name} AS MATERIALIZED (SELECT broadcast_id, ts_ms, CAST(d - CASE WHEN d >= pow(2, 63)::HUGEINT THEN pow(2, 64)::HUGEINT ELSE 0 END AS BIGINT) AS dhash, CAST(b - CASE WHEN b >= pow(2, 63)::HUGEINT THEN pow(2, 64)::HUGEINT ELSE 0 END AS BIGINT) AS blockhash, mean_luma, edge FROM sums_{name})"""
+
+
+DESCRIBED = f"{FRAMES}, {_described('frames', 'described')}"
+MATCHES = f"""{DESCRIBED}, ends AS (SELECT broadcast_id, count(*) AS n, max(ts_ms) + 5000 AS duration_ms FROM frames GROUP BY ALL),
+anchors AS (SELECT broadcast_id AS video_id, CAST(ts_ms // 5000 * 12 // n AS INTEGER) AS anchor, d.ts_ms, dhash, blockhash, mean_luma, duration_ms FROM described d JOIN ends USING (broadcast_id) WHERE d.ts_ms = 0 OR d.ts_ms // 5000 * 12 // n > (d.ts_ms // 5000 - 1) * 12 // n),
+noisy AS (SELECT broadcast_id, vec_id, ts_ms + vec_id % 3 * 1000 AS ts_ms, list_transform(luma, lambda x, i: CASE WHEN broadcast_id % 4 <> 3 AND (i - 1 + vec_id) % (2 + broadcast_id * 3) = 0 THEN 255 - x ELSE x END) AS luma FROM frames),
+{_described("noisy", "samples")},
+fits AS (SELECT v.broadcast_id AS video_id, b.broadcast_id FROM ends v JOIN ends b ON abs(v.duration_ms - b.duration_ms) <= least(10000, greatest(2000, floor(v.duration_ms * 0.001::DOUBLE + 0.5)))),
+grid AS (SELECT *, CAST(unnest(range(-30000, 35000, 5000)) AS INTEGER) AS offset_ms FROM fits JOIN anchors USING (video_id)),
+seen AS (SELECT g.video_id, g.broadcast_id, g.offset_ms, g.anchor, CAST(least(2, floor(g.ts_ms / g.duration_ms * 3)) AS INTEGER) AS third, bit_count(xor(g.dhash, s.dhash)) AS h, bit_count(xor(g.blockhash, s.blockhash)) AS b, h <= 18 AND b <= 20 AND h + b <= 32 AND abs(g.mean_luma - s.mean_luma) <= 56 AS accepted
+  FROM grid g JOIN samples s ON s.broadcast_id = g.broadcast_id AND abs(s.ts_ms - (g.ts_ms + g.offset_ms)) <= 2750),
+best AS (SELECT *, h + b AS distance FROM seen QUALIFY row_number() OVER (PARTITION BY video_id, broadcast_id, offset_ms, anchor ORDER BY accepted DESC, h + b) = 1),
+found AS (SELECT video_id, broadcast_id, offset_ms, count(*) AS n_evaluated, count(*) FILTER (WHERE accepted) AS n_matched, count(DISTINCT third) FILTER (WHERE accepted) AS n_thirds, median(distance) FILTER (WHERE accepted) AS median_distance, list_sort(list(distance) FILTER (WHERE accepted)) AS ds FROM best GROUP BY ALL),
+matches AS (SELECT e.video_id, e.broadcast_id, e.offset_ms, e.n_anchors, coalesce(n_evaluated, 0) AS n_evaluated, coalesce(n_matched, 0) AS n_matched, coalesce(n_thirds, 0) AS n_thirds, median_distance, ds[CAST(ceil(n_matched * 0.9::DOUBLE) AS BIGINT)] AS p90_distance
+  FROM (SELECT video_id, broadcast_id, offset_ms, count(*) AS n_anchors FROM grid GROUP BY ALL) e LEFT JOIN found USING (video_id, broadcast_id, offset_ms)),
+sizes AS (SELECT broadcast_id, count(*) AS n_samples FROM samples GROUP BY ALL)"""
+#: Decisions over the offsets that a condition leaves.
+DECISIONS = lambda kept: f"""{MATCHES}, decisions AS (SELECT m.*, n_samples < 8 AS few, greatest(8, ceil(n_anchors * 0.67::DOUBLE)) AS needed, CASE WHEN few OR n_evaluated < needed THEN 'insufficient-local-samples' WHEN n_matched < needed THEN 'anchor-consensus-failed' WHEN n_thirds < 3 THEN 'insufficient-temporal-coverage'
+    WHEN coalesce(median_distance <= 21 AND p90_distance <= 32, false) THEN 'multi-anchor-consensus' ELSE 'anchor-consensus-failed' END AS reason FROM matches m JOIN sizes USING (broadcast_id) WHERE {kept}
+  QUALIFY row_number() OVER (PARTITION BY video_id, broadcast_id ORDER BY n_matched DESC, n_thirds DESC, median_distance ASC NULLS LAST, abs(offset_ms), offset_ms) = 1)"""
 VOICES = """units AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings),
 long AS (SELECT label, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM units),
 means AS (SELECT label, i, avg(x) AS x FROM long GROUP BY ALL), protos AS (SELECT label, list(x ORDER BY i) AS v FROM means GROUP BY ALL),
@@ -215,9 +246,10 @@ QUERIES = {
       changes AS (SELECT broadcast_id, ts_ms, floor(((bit_count(xor(dhash, d0)) + bit_count(xor(blockhash, b0))) / 128 * 0.8::DOUBLE + abs(mean_luma - l0) / 255 * 0.12::DOUBLE + abs(edge - e0) / 255 * 0.08::DOUBLE) * 1e6 + 0.5) / 1e6 AS change FROM lagged WHERE d0 IS NOT NULL),
       limits AS (SELECT broadcast_id, greatest(0.14::DOUBLE, list_sort(list(change))[CAST(least(count(*) - 1, floor(count(*) * 0.9::DOUBLE)) AS BIGINT) + 1]) AS least FROM changes GROUP BY ALL), strong AS (SELECT c.*, ts_ms AS s, 0 AS e, 0 AS a, 0 AS b FROM changes c JOIN limits USING (broadcast_id) WHERE change >= least),
       {greedy_sql("chosen", "strong", "change DESC, ts_ms", 4, "abs(t.s - r.s) < 60000")} SELECT broadcast_id, ts_ms, change, CAST(pick AS INTEGER) AS pick FROM chosen"""),
-    "fingerprint_matches": (fingerprint_matches, f"WITH {MATCHES} SELECT video_id, broadcast_id, offset_ms, n_evaluated, n_matched, n_thirds, median_distance, ds[CAST(ceil(n_matched * 0.9::DOUBLE) AS BIGINT)] AS p90_distance FROM matches"),
-    "fingerprint_identity": (fingerprint_identity, f"""WITH {MATCHES}, v AS (SELECT broadcast_id, video_id, max(n_matched) >= 8 AS ok FROM matches GROUP BY ALL), n AS (SELECT broadcast_id, count(*) FILTER (WHERE ok) AS n_videos, max(video_id) FILTER (WHERE ok) AS video_id FROM v GROUP BY ALL)
-      SELECT broadcast_id, n_videos, CASE WHEN n_videos = 1 THEN 'verified' WHEN n_videos > 1 THEN 'ambiguous' ELSE 'none' END AS status, CASE WHEN n_videos = 1 THEN video_id END AS video_id FROM n"""),
+    "fingerprint_matches": (fingerprint_matches, f"WITH {MATCHES} SELECT * FROM matches"),
+    "fingerprint_decisions": (fingerprint_decisions, f"""WITH {DECISIONS('true')} SELECT video_id, broadcast_id, reason = 'multi-anchor-consensus' AS matched, reason, {', '.join(f'CASE WHEN few THEN 0 ELSE {c} END AS {c}' for c in ('n_evaluated', 'n_matched', 'n_thirds'))}, {', '.join(f'CASE WHEN NOT few THEN {c} END AS {c}' for c in ('offset_ms', 'median_distance', 'p90_distance'))} FROM decisions"""),
+    "fingerprint_identity": (fingerprint_identity, f"""WITH {DECISIONS('offset_ms = 0')}, n AS (SELECT e.broadcast_id, count(d.video_id) AS n_videos, max(d.video_id) AS v FROM ends e LEFT JOIN decisions d ON d.broadcast_id = e.broadcast_id AND d.reason = 'multi-anchor-consensus' GROUP BY ALL)
+      SELECT broadcast_id, n_videos, CASE WHEN n_videos = 1 THEN 'verified' WHEN n_videos > 1 THEN 'ambiguous' ELSE 'none' END AS status, CASE WHEN n_videos = 1 THEN v END AS video_id FROM n"""),
     "sample_times": (sample_times, f"""WITH {FRAMES}, e AS (SELECT broadcast_id, max(ts_ms) + 5000 AS d, least(250, d // 4) AS pad FROM frames GROUP BY ALL), s AS (SELECT broadcast_id, pad AS a, d - 1 - 2 * pad AS span, least(720, greatest(2, CAST(ceil((d - 1 - 2 * pad) / 5000) AS BIGINT) + 1)) AS n FROM e),
       i AS (SELECT *, unnest(range(0, n)) AS i FROM s) SELECT DISTINCT broadcast_id, CAST(floor(a + span * i / (n - 1) + 0.5) AS BIGINT) AS ts_ms FROM i"""),
     "speaker_scores": (speaker_scores, f"WITH {VOICES} SELECT id, label, {rounded('score', 'score')} FROM voices"),
