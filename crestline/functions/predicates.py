@@ -93,10 +93,15 @@ def luma(red: Column, green: Column, blue: Column) -> Column:
     return 0.2126 * red + 0.7152 * green + 0.0722 * blue
 
 
+# The number in an address, and after the site's name.
+REPLAY_ADDRESS = r"(?iu)(?:https?://)?(?:www\.)?chzzk\.naver\.com/(?:video|videos)/(\d{7,12})(?:[/?#]|\z)"
+REPLAY_NAMED = r"(?iu)(?:chzzk|치지직)[^\d]{0,12}(\d{7,12})(?!\d)"
+
+
 def replay_number(name: Column) -> Column:
-    """Number of a replay in an address or after the site's name; bare numbers do not count."""
-    address = F.regexp_extract(name, r"(?iu)(?:https?://)?(?:www\.)?chzzk\.naver\.com/(?:video|videos)/(\d{7,12})(?:[/?#]|$)", 1)
-    named = F.regexp_extract(name, r"(?iu)(?:chzzk|치지직)[^\d]{0,12}(\d{7,12})(?!\d)", 1)
+    """Number of a replay in an address or after the site's name; bare numbers do not count. Names are composed first."""
+    name = F.coalesce(T.nfc(F.when(T.needs_nfkc(name), name)), name)
+    address, named = F.regexp_extract(name, REPLAY_ADDRESS, 1), F.regexp_extract(name, REPLAY_NAMED, 1)
     return F.coalesce(F.when(address != "", address), F.when(named != "", named))
 
 

@@ -28,6 +28,12 @@ def composed(text: Column) -> Column:
     return F.coalesce(nfkc(F.when(needs_nfkc(text), text)), text)
 
 
+@F.pandas_udf(StringType())
+def nfc(texts: pd.Series) -> pd.Series:
+    """Canonical composition."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t), na_action="ignore")
+
+
 def norm_repeat(text: Column) -> Column:
     """In compatibility composition and lower case, without white space, runs of three or more squeezed to two, first 160."""
     bare = F.regexp_replace(F.lower(composed(text)), r"\s+", "")
@@ -38,15 +44,21 @@ def is_reaction(text: Column) -> Column:
     return text.rlike(f"(?i)(?:{REACTIONS})")
 
 
+#: White space as the patterns of other engines mean it: Unicode's separators and the byte order mark too.
+_BLANK = r"[\s\p{Z}\x{FEFF}]"
+
+
 def clean_text(text: Column, most: int) -> Column:
-    """Control and format marks to space, white space collapsed, trimmed, cut by code points."""
-    return F.left(F.trim(F.regexp_replace(F.regexp_replace(text, r"[\p{Cc}\p{Cf}]", " "), r"\s+", " ")), F.lit(most))
+    """In compatibility composition, control and format marks to space, white space collapsed, trimmed, cut by code points."""
+    plain = F.regexp_replace(F.regexp_replace(composed(text), r"[\p{Cc}\p{Cf}]", " "), f"{_BLANK}+", " ")
+    return F.trim(F.left(F.trim(plain), F.lit(most)))
 
 
 def norm_title(title: Column) -> Column:
-    """Title without file extension and bracketed id, lower case, marks to space."""
-    bare = F.regexp_replace(F.regexp_replace(title, r"\.[A-Za-z0-9]{2,5}\z", ""), r"\s*\[[A-Za-z0-9_-]{6,}\]\s*\z", "")
-    return F.trim(F.regexp_replace(F.lower(bare), r"[^\p{L}\p{N}]+", " "))
+    """Title in compatibility composition and lower case, without a video file's extension and bracketed id, marks to space."""
+    bare = F.regexp_replace(composed(title), rf"(?i)\.(?:mp4|webm|mkv|mov|m4v){_BLANK}*\z", "")
+    bare = F.regexp_replace(bare, rf"\[{_BLANK}*[A-Za-z0-9_-]{{11}}{_BLANK}*\]{_BLANK}*\z", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(bare), r"[\p{P}\p{S}]+", " "), f"{_BLANK}+", " "))
 
 
 def head_tail(text: Column, most: int, mark: str = " … ") -> Column:
@@ -133,8 +145,8 @@ def video_id(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Distinct words of two letters or more."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.char_length(w) >= 2))
+    """Distinct words of two letters or more, in compatibility composition and lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(composed(text)), r"[^\p{L}\p{N}]+"), lambda w: F.char_length(w) >= 2))
 
 
 def match_ratio(a: Column, b: Column) -> Column:

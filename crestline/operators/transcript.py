@@ -59,16 +59,6 @@ def phase_cues(cues: DataFrame, peaks: DataFrame, near_ms: int = 5000) -> DataFr
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-def name_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """Names(participant, name) that stand as words in texts(id, text): number of mentions by participant.
-
-    Words of the texts are joined to the names, so that neither side is crossed.
-    """
-    words = texts.select("id", F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("name"))
-    counted = words.groupBy("id", "name").agg(F.count("*").alias("n"))
-    return counted.join(names, "name").groupBy("id", "participant").agg(F.sum("n").alias("n"), F.max(F.struct(F.char_length("name"), "name"))["name"].alias("longest"))
-
-
 def cite_sentences(queries: DataFrame, texts: DataFrame, least: int = 2) -> DataFrame:
     """The sentence of a broadcast's texts(broadcast_id, text_id, text) that shares most with each query(broadcast_id,
     id, text); shared words count their letters, eight at most.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import transcript
+from ..operators import names, transcript
 from ..sources import chat_files, documents
 from ..storage import fresh_path
 from .tables import CANDIDATES, CAPTIONS, CHAPTERS, candidates, captions, chapters, read, rounded
@@ -113,12 +113,30 @@ def phase_cues(spark, sf_dir):
     return transcript.phase_cues(cues.select("broadcast_id", "cue", "start_ms"), peaks).select("broadcast_id", "id", "phase", "cue")
 
 
-NAMES = ("that", "der", "que", "les", "moron", "token", "license")
+#: Participant and name; and what is said of them at the end of a document, by the remainder of its id.
+NAMES = ((0, "김철수"), (0, "철수"), (0, "Kim Chul Soo"), (1, "마리"), (1, "Mari"), (1, "Mari of the"), (2, "der"), (2, "and the"), (2, "☆별"), (3, "단"), (3, "que"), (4, "Chul"), (4, "철수"))
+SAID = ("김철수에게서 들었다", "철수야 안녕", "철수아 안녕", "Kim Chul Soo.", "Kim  Chul Soo", "마리와 단아", "마리가요 Mari of them", "xMari, Mari2", "Mari of the", "마리으로부터!", "☆별님", "a☆별", "")
+
+
+def _named(spark, sf_dir):
+    said = F.element_at(F.array(*map(F.lit, SAID)), (F.col("doc_id") % len(SAID) + 1).cast("int"))
+    # every second one is decomposed: syllables that are apart are composed again
+    apart = F.regexp_replace(F.regexp_replace(said, "가", "\u1100\u1161"), "수", "\u1109\u116e")
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(" ", "text", F.when(F.floor(F.col("doc_id") / 13) % 2 == 0, apart).otherwise(said)).alias("text"), F.col("source").alias("broadcast_id"))
+
+
+def _roster(spark):
+    return spark.createDataFrame([(p, n, k) for k, (p, n) in enumerate(NAMES)], "participant int, name string, place int")
 
 
 def name_mentions(spark, sf_dir):
-    names = spark.createDataFrame([(k % 3, n) for k, n in enumerate(NAMES)], "participant int, name string")
-    return transcript.name_mentions(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), names)
+    return names.name_mentions(_named(spark, sf_dir), _roster(spark))
+
+
+def participant_mentions(spark, sf_dir):
+    texts, roster = _named(spark, sf_dir), _roster(spark)
+    people = texts.select("broadcast_id").distinct().join(roster.select("participant").distinct())
+    return names.mention_counts(names.name_mentions(texts, roster), texts, people)
 
 
 def sentence_citations(spark, sf_dir):
@@ -128,9 +146,14 @@ def sentence_citations(spark, sf_dir):
     return transcript.cite_sentences(queries, texts)
 
 
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def text_functions(spark, sf_dir):
+    """Some of them on texts whose capitals are full-width, which composition must undo."""
     d, t = read(spark, sf_dir, "documents"), F.col("text")
-    made = {"norm": T.norm_repeat(t), "clean": T.clean_text(t, 500), "head_tail": T.head_tail(t, 300), "sample": T.representative(t, 400), "safe": T.csv_safe(t), "title": T.norm_title(t), "fingerprint": T.content_fingerprint(F.col("source"), t)}
+    wide = F.translate(t, CAPITALS, "".join(chr(ord(c) + 0xFEE0) for c in CAPITALS))
+    made = {"norm": T.norm_repeat(wide), "clean": T.clean_text(wide, 500), "head_tail": T.head_tail(t, 300), "sample": T.representative(t, 400), "safe": T.csv_safe(t), "title": T.norm_title(wide), "file": T.norm_title(F.concat(t, F.lit(" [ Ab_-9Ab_-9x ] .MKV "))), "fingerprint": T.content_fingerprint(F.col("source"), t)}
     return d.select("doc_id", *(F.md5(c.cast("binary")).alias(n) for n, c in made.items()))
 
 
@@ -146,7 +169,8 @@ def term_overlap(spark, sf_dir):
 
     docs = read(spark, sf_dir, "documents")
     pairs = docs.select("doc_id", F.lead("doc_id").over(W.partitionBy("source").orderBy("doc_id")).alias("next_id")).where("next_id is not null")
-    words = docs.select("doc_id", T.terms(F.col("text")).alias("a"))
+    wide = F.translate("text", CAPITALS, "".join(chr(ord(c) + 0xFEE0) for c in CAPITALS))
+    words = docs.select("doc_id", T.terms(wide).alias("a"))
     d = pairs.join(words, "doc_id").join(words.select(F.col("doc_id").alias("next_id"), F.col("a").alias("b")), "next_id")
     return d.select("doc_id", N.round_half_up(T.match_ratio(F.col("a"), F.col("b")), 6).alias("ratio"), T.token_overlap(F.col("a"), F.col("b")).cast("long").alias("weight"))
 
@@ -198,6 +222,15 @@ def clip_subtitles(spark, sf_dir):
 
 TC = "lpad(CAST({0} // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} // 1000 % 60 AS VARCHAR), 2, '0')"
 SRT = "({0}) || ',' || lpad(CAST({1} % 1000 AS VARCHAR), 3, '0')"
+# SQL asks the texts for each name by a pattern of its own; what is said of people is written out whole.
+def _pattern(name: str) -> str:
+    called = names.CALLED[names.closed_syllable(name[-1])]
+    return rf"(^|[^\p{{L}}\p{{N}}]){name}({'|'.join(names.ENDINGS)}|{called})?($|[^\p{{L}}\p{{N}}])"
+
+
+MENTIONS = f"""said AS (SELECT doc_id AS id, concat_ws(' ', text, [{", ".join(f"'{x}'" for x in SAID)}][doc_id % {len(SAID)} + 1]) AS text FROM documents),
+met AS ({" UNION ALL ".join(f"SELECT id, {p} AS participant, '{n}' AS name, {k} AS place FROM said WHERE regexp_matches(text, '{_pattern(n)}')" for k, (p, n) in enumerate(NAMES))}),
+mentions AS (SELECT id, participant, name FROM met QUALIFY row_number() OVER (PARTITION BY id, participant ORDER BY length(name) DESC, place) = 1)"""
 WORDS = "list_distinct(list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 2))"
 REP = "CASE WHEN length({0}) <= {1} THEN {0} ELSE " + " || ' … ' || ".join("substring({0}, CAST(floor((length({0}) - {2}) * " + str(i) + " / 3 + 0.5) AS BIGINT) + 1, {2})" for i in range(4)) + " END"
 EDITS = f"{CANDIDATES}, edits AS (SELECT *, CASE WHEN id % 7 = 0 THEN '=sum' ELSE 'Clip ' END || id AS title FROM candidates WHERE kind = 'chat' AND start_ms >= 0)"
@@ -215,7 +248,7 @@ QUERIES = {
     "manifest_anchors": (manifest_anchors, "SELECT o_custkey AS video_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS anchor, o_orderkey * 10 AS ts_ms, left(md5(o_orderkey || 'd'), 16) AS dhash, left(md5(o_orderkey || 'b'), 16) AS blockhash, CAST(o_orderkey % 256 AS INTEGER) AS mean_luma, CAST(o_orderkey % 99 AS INTEGER) AS edge FROM orders"),
     "chat_import": (chat_import, f"WITH {LINES} SELECT n AS row_number, ms - CASE WHEN basis = 'absolute' THEN m ELSE 0 END AS ts_ms, event_type AS text, author_id FROM parsed, firsts WHERE basis = b"),
     "chat_import_rejects": (chat_import_rejects, f"WITH {LINES} SELECT 'malformed-row' AS code, count(*) AS n FROM l WHERE bad UNION ALL SELECT 'invalid-timestamp', count(*) FROM l WHERE untimed AND NOT bad UNION ALL SELECT 'mixed-basis', count(*) FROM parsed, firsts WHERE basis <> b"),
-    "captions_json3": (captions_json3, "SELECT conv_id AS broadcast_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS cue, turn * 15000 AS start_ms, md5(left(trim(regexp_replace(regexp_replace(text || chr(10), '[\\p{Cc}\\p{Cf}]', ' ', 'g'), '\\s+', ' ', 'g')), 500)) AS text FROM conversations WHERE trim(text) <> ''"),
+    "captions_json3": (captions_json3, "SELECT conv_id AS broadcast_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS cue, turn * 15000 AS start_ms, md5(trim(left(trim(regexp_replace(regexp_replace(text || chr(10), '[\\p{Cc}\\p{Cf}]', ' ', 'g'), '\\s+', ' ', 'g')), 500))) AS text FROM conversations WHERE trim(text) <> ''"),
     "caption_chapters": (caption_chapters, f"""WITH {CAPTIONS}, ends AS (SELECT broadcast_id, max(end_ms) AS d FROM captions GROUP BY ALL), axis AS (SELECT broadcast_id, CAST(unnest(range(0, CAST(ceil(d / 120000) AS BIGINT))) AS INTEGER) AS cell, cell * 120000 AS start_ms, least(d, (cell + 1) * 120000) AS end_ms FROM ends),
       held AS (SELECT a.broadcast_id, a.cell, any_value(a.start_ms) AS start_ms, any_value(a.end_ms) AS end_ms, coalesce(string_agg(text, ' ' ORDER BY c.start_ms, c.cue), '') AS t FROM axis a LEFT JOIN captions c ON a.broadcast_id = c.broadcast_id AND c.start_ms < a.end_ms AND c.end_ms >= a.start_ms GROUP BY ALL)
       SELECT broadcast_id, cell, start_ms::BIGINT AS start_ms, end_ms, md5({REP.format('t', 3000, 747)}) AS summary FROM held"""),
@@ -226,17 +259,17 @@ QUERIES = {
       SELECT lead, a.start_ms AS lead_start, b.end_ms AS lead_end, CASE WHEN a.start_ms IS NULL OR b.end_ms IS NULL THEN 'missing-chapter' WHEN b.end_ms <= a.start_ms THEN 'disorder' END AS problem FROM l LEFT JOIN chapters a ON a.broadcast_id = l.broadcast_id AND a.n = l.f LEFT JOIN chapters b ON b.broadcast_id = l.broadcast_id AND b.n = l.t"""),
     "phase_cues": (phase_cues, f"""WITH {CAPTIONS}, p AS (SELECT broadcast_id, cue AS id, start_ms + 4000 AS peak_ms FROM captions WHERE cue % 2 = 1), b AS (SELECT p.*, c.cue, c.start_ms, c.start_ms - peak_ms AS away, CASE WHEN abs(c.start_ms - peak_ms) <= 5000 THEN 'near' WHEN c.start_ms < peak_ms THEN 'before' ELSE 'after' END AS phase FROM p JOIN captions c USING (broadcast_id))
       SELECT broadcast_id, id, phase, cue FROM b QUALIFY row_number() OVER (PARTITION BY broadcast_id, id, phase ORDER BY abs(away), start_ms, cue) = 1"""),
-    "name_mentions": (name_mentions, "WITH names AS (SELECT CAST((generate_subscripts(l, 1) - 1) % 3 AS INTEGER) AS participant, unnest(l) AS name FROM (SELECT ['" + "', '".join(NAMES) + """'] AS l)),
-      w AS (SELECT doc_id AS id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS name FROM documents), c AS (SELECT id, participant, name, count(*) AS n FROM w JOIN names USING (name) GROUP BY ALL)
-      SELECT id, participant, CAST(sum(n) AS BIGINT) AS n, arg_max(name, (length(name), name)) AS longest FROM c GROUP BY ALL"""),
+    "name_mentions": (name_mentions, f"WITH {MENTIONS} SELECT id, participant, name FROM mentions"),
+    "participant_mentions": (participant_mentions, f"""WITH {MENTIONS}, c AS (SELECT source, participant, count(*) AS n FROM mentions JOIN documents ON doc_id = id GROUP BY ALL), j AS (SELECT source AS broadcast_id, participant, coalesce(n, 0) AS n_chapters
+      FROM (SELECT DISTINCT source FROM documents) CROSS JOIN (SELECT unnest({sorted({p for p, _ in NAMES})}) AS participant) LEFT JOIN c USING (source, participant)) SELECT *, CASE WHEN max(n_chapters) OVER (PARTITION BY broadcast_id) > 0 THEN 'transcript-mentions' ELSE 'catalog-only' END AS status FROM j"""),
     "sentence_citations": (sentence_citations, f"""WITH s AS (SELECT conv_id, turn, unnest(l) AS sentence, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS s FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^.!?\\n]+[.!?]*') AS l FROM conversations WHERE role <> 'user')),
       a AS (SELECT conv_id, turn AS text_id, s, unnest({WORDS.format('sentence')}) AS w FROM s), b AS (SELECT conv_id, turn AS id, unnest({WORDS.format('text')}) AS w FROM conversations WHERE role = 'user'),
       p AS (SELECT conv_id AS broadcast_id, id, text_id, s, CAST(sum(least(8, length(w))) AS BIGINT) AS score FROM a JOIN b USING (conv_id, w) GROUP BY ALL HAVING score >= 2)
       SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY broadcast_id, id ORDER BY score DESC, text_id, s) = 1"""),
     "text_functions": (text_functions, f"""WITH b AS (SELECT *, string_split(regexp_replace(lower(nfc_normalize(text)), '\\s+', '', 'g'), '') AS c FROM documents)
-      SELECT doc_id, md5(left(array_to_string(list_filter(c, lambda x, i: NOT coalesce(x = c[i - 1] AND x = c[i - 2], false)), ''), 160)) AS norm, md5(left(trim(regexp_replace(regexp_replace(text, '[\\p{{Cc}}\\p{{Cf}}]', ' ', 'g'), '\\s+', ' ', 'g')), 500)) AS clean,
+      SELECT doc_id, md5(left(array_to_string(list_filter(c, lambda x, i: NOT coalesce(x = c[i - 1] AND x = c[i - 2], false)), ''), 160)) AS norm, md5(trim(left(trim(regexp_replace(regexp_replace(text, '[\\p{{Cc}}\\p{{Cf}}]', ' ', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g')), 500))) AS clean,
         md5(CASE WHEN length(text) <= 300 THEN text ELSE left(text, 198) || ' … ' || right(text, 99) END) AS head_tail, md5({REP.format('text', 400, 97)}) AS sample, md5(CASE WHEN regexp_matches(text, '^[\\t\\r ]*[=+\\-@]') THEN chr(39) || text ELSE text END) AS safe,
-        md5(trim(regexp_replace(lower(regexp_replace(regexp_replace(text, '\\.[A-Za-z0-9]{{2,5}}$', ''), '\\s*\\[[A-Za-z0-9_-]{{6,}}\\]\\s*$', '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS title, md5(sha256(length(source) || ':' || source || '|' || length(text) || ':' || text)) AS fingerprint FROM b"""),
+        md5(trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(text, '(?i)\\.(?:mp4|webm|mkv|mov|m4v)\\s*$', ''), '\\[\\s*[A-Za-z0-9_-]{{11}}\\s*\\]\\s*$', '')), '[\\p{{P}}\\p{{S}}]+', ' ', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'))) AS title, md5(trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(text || ' [ Ab_-9Ab_-9x ] .MKV ', '(?i)\\.(?:mp4|webm|mkv|mov|m4v)\\s*$', ''), '\\[\\s*[A-Za-z0-9_-]{{11}}\\s*\\]\\s*$', '')), '[\\p{{P}}\\p{{S}}]+', ' ', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'))) AS file, md5(sha256(length(source) || ':' || source || '|' || length(text) || ':' || text)) AS fingerprint FROM b"""),
     "field_bytes": (field_bytes, None),
     "term_overlap": (term_overlap, f"""WITH d AS (SELECT doc_id, text, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS nx FROM documents), w AS (SELECT doc_id, {WORDS.format('text')} AS a, {WORDS.format('nx')} AS b FROM d WHERE nx IS NOT NULL), i AS (SELECT doc_id, len(a) AS n, list_intersect(a, b) AS c FROM w)
       SELECT doc_id, {rounded('ratio', 'CASE WHEN n = 0 THEN 0 ELSE len(c) / n END')}, CAST(coalesce(list_sum(list_transform(c, lambda x: least(8, length(x)))), 0) AS BIGINT) AS weight FROM i"""),
