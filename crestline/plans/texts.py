@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import names, transcript
-from ..sources import chat_files, documents
+from ..sources import chat_files, documents, formats
 from ..storage import fresh_path
 from .tables import CANDIDATES, CAPTIONS, CHAPTERS, candidates, captions, chapters, read, rounded
 
@@ -83,11 +85,24 @@ def manifest_anchors(spark, sf_dir):
     return documents.fingerprint_anchors(files).select(F.col("video_id").cast("long").alias("video_id"), "anchor", "ts_ms", F.lower(F.lpad(F.hex("dhash"), 16, "0")).alias("dhash"), F.lower(F.lpad(F.hex("blockhash"), 16, "0")).alias("blockhash"), "mean_luma", "edge")
 
 
-def captions_json3(spark, sf_dir):
-    """Tracks written from the conversations and read back: each cue twice, the second of them a repeat."""
+def _tracks(spark, sf_dir):
+    """Tracks made of the conversations: each cue twice, the second of them a repeat."""
     cue = F.struct((F.col("turn") * 15_000).alias("tStartMs"), F.lit(4000).alias("dDurationMs"), F.array(F.struct(F.col("text").alias("utf8")), F.struct(F.lit("\n").alias("utf8"))).alias("segs"))
     tracks = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("broadcast_id"), "turn", cue.alias("cue")).groupBy("broadcast_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", "cue"))), lambda x: F.array(x["cue"], x["cue"]))).alias("events"))
-    return documents.captions_from_json3(tracks.select("broadcast_id", F.to_json(F.struct("events")).alias("value"))).select("broadcast_id", "cue", "start_ms", F.md5(F.col("text").cast("binary")).alias("text"))
+    return tracks.select("broadcast_id", F.to_json(F.struct("events")).alias("value"))
+
+
+def captions_json3(spark, sf_dir):
+    return documents.captions_from_json3(_tracks(spark, sf_dir)).select("broadcast_id", "cue", "start_ms", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+def caption_files(spark, sf_dir):
+    """The same tracks as files, one for each conversation, read by the name of their format."""
+    path = fresh_path(spark, "caption-files")
+    _tracks(spark, sf_dir).repartition("broadcast_id").write.partitionBy("broadcast_id").text(path)
+    formats.register(spark)
+    rows = spark.read.format("caption_json3").option("pattern", "broadcast_id=*/part-*").load(re.sub("^file:/*", "/", path))
+    return rows.select(F.regexp_extract("file", r"broadcast_id=(\d+)", 1).cast("long").alias("broadcast_id"), "cue", "start_ms", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
 def caption_chapters(spark, sf_dir):
@@ -249,6 +264,7 @@ QUERIES = {
     "chat_import": (chat_import, f"WITH {LINES} SELECT n AS row_number, ms - CASE WHEN basis = 'absolute' THEN m ELSE 0 END AS ts_ms, event_type AS text, author_id FROM parsed, firsts WHERE basis = b"),
     "chat_import_rejects": (chat_import_rejects, f"WITH {LINES} SELECT 'malformed-row' AS code, count(*) AS n FROM l WHERE bad UNION ALL SELECT 'invalid-timestamp', count(*) FROM l WHERE untimed AND NOT bad UNION ALL SELECT 'mixed-basis', count(*) FROM parsed, firsts WHERE basis <> b"),
     "captions_json3": (captions_json3, "SELECT conv_id AS broadcast_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS cue, turn * 15000 AS start_ms, md5(trim(left(trim(regexp_replace(regexp_replace(text || chr(10), '[\\p{Cc}\\p{Cf}]', ' ', 'g'), '\\s+', ' ', 'g')), 500))) AS text FROM conversations WHERE trim(text) <> ''"),
+    "caption_files": (caption_files, "SELECT conv_id AS broadcast_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS cue, turn * 15000 AS start_ms, md5(trim(left(trim(regexp_replace(regexp_replace(text || chr(10), '[\\p{Cc}\\p{Cf}]', ' ', 'g'), '\\s+', ' ', 'g')), 500))) AS text FROM conversations WHERE trim(text) <> ''"),
     "caption_chapters": (caption_chapters, f"""WITH {CAPTIONS}, ends AS (SELECT broadcast_id, max(end_ms) AS d FROM captions GROUP BY ALL), axis AS (SELECT broadcast_id, CAST(unnest(range(0, CAST(ceil(d / 120000) AS BIGINT))) AS INTEGER) AS cell, cell * 120000 AS start_ms, least(d, (cell + 1) * 120000) AS end_ms FROM ends),
       held AS (SELECT a.broadcast_id, a.cell, any_value(a.start_ms) AS start_ms, any_value(a.end_ms) AS end_ms, coalesce(string_agg(text, ' ' ORDER BY c.start_ms, c.cue), '') AS t FROM axis a LEFT JOIN captions c ON a.broadcast_id = c.broadcast_id AND c.start_ms < a.end_ms AND c.end_ms >= a.start_ms GROUP BY ALL)
       SELECT broadcast_id, cell, start_ms::BIGINT AS start_ms, end_ms, md5({REP.format('t', 3000, 747)}) AS summary FROM held"""),

@@ -6,19 +6,13 @@ overwrites what it wrote before, and readers take the last state of each key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
-from ..operators import audio
-
-BASELINE, LEAST_BASELINE = 60, 4
 
 
 def chat_buckets(messages: DataFrame, width: str = "5 seconds", late: str = "1 minute") -> DataFrame:
@@ -46,58 +40,53 @@ def range_report(messages: DataFrame, durations: DataFrame) -> DataFrame:
     return held.groupBy("broadcast_id", place.alias("place")).agg(F.count("*").alias("n"))
 
 
-def audio_windows(chunks: DataFrame, rate: int) -> DataFrame:
-    """Feature windows of sound as it is decoded: chunks(broadcast_id, i, channels), one for each second. The state of a
-    broadcast are the three values of the filter and the last second, so that chunks may come in any micro-batch."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before, passed, band, last = state.get if state.exists else (0.0, 0.0, 0.0, -2)
-        out = []
-        for i, channels in pd.concat(parts).sort_values("i")[["i", "channels"]].itertuples(index=False):
-            if i != last + 1:
-                before = passed = band = 0.0
-            window, (before, passed, band) = audio.one_window(np.stack(channels), rate, before, passed, band)
-            last = int(i)
-            out.append((key[0], last, *(float(np.floor(v * 1e6 + 0.5) / 1e6) for v in window)))
-        state.update((float(before), float(passed), float(band), last))
-        yield pd.DataFrame(out, columns=["broadcast_id", "i", "rms", "peak", "zcr", "speech"])
-
-    kind = chunks.schema["broadcast_id"].dataType.simpleString()
-    schema = f"broadcast_id {kind}, i int, rms double, peak double, zcr double, speech double"
-    return chunks.groupBy("broadcast_id").applyInPandasWithState(step, schema, "before double, passed double, band double, last int", "append", GroupStateTimeout.NoTimeout)
-
-
-def bursts(buckets: DataFrame) -> DataFrame:
-    """Burst score of each bucket(broadcast_id, bucket, n) against the 60 before it, the last one left out; the state
-    of a broadcast is that ring of counts."""
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ring = list(state.get[0]) if state.exists else []
-        rows = pd.concat(parts).sort_values("bucket")
-        out = []
-        for bucket, n in zip(rows["bucket"], rows["n"], strict=True):
-            base = np.array(ring[:-1][-(BASELINE - 1) :], dtype=float)
-            if len(base) >= LEAST_BASELINE:
-                center = np.median(base)
-                score = float(np.clip((n - center) / max(1.0, 1.4826 * np.median(np.abs(base - center))), -3, 8))
-                out.append((key[0], int(bucket), int(n), score))
-            ring = [*ring, int(n)][-BASELINE:]
-        state.update((ring,))
-        yield pd.DataFrame(out, columns=["broadcast_id", "bucket", "n", "score"])
 
-    return buckets.groupBy("broadcast_id").applyInPandasWithState(step, "broadcast_id long, bucket int, n long, score double", "ring array<long>", "append", GroupStateTimeout.NoTimeout)
+def run_to_table(stream: DataFrame, path: str, mode: str = "update", rocksdb: bool = False, written: Callable[[int], None] | None = None) -> None:
+    """Work off all that is there now; each micro-batch overwrites its own folder under path.
 
-
-def run_to_table(stream: DataFrame, path: str, mode: str = "update") -> None:
-    """Work off all that is there now; each micro-batch overwrites its own folder under path."""
+    A batch that is repeated after a stop between its write and its commit replaces what it wrote, so that each row is
+    there once. ``rocksdb`` picks the state store that ``ordered`` needs; ``written`` is called after each write.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batches/epoch={number}")
-
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        if written:
+            written(number)
+
+    spark, provider = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    if rocksdb:
+        spark.conf.set(provider, ROCKSDB)
+    try:  # a query keeps the settings it is started with
+        query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    finally:
+        if rocksdb:
+            spark.conf.set(provider, before) if before else spark.conf.unset(provider)
     query.awaitTermination()
 
 
+def run_as_it_comes(rows: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, mode: str = "append", groups: int = 4, disorder_s: int = 3600, rocksdb: bool = False) -> None:
+    """Deal rows with a column ts out to files as they might arrive, up to ``disorder_s`` late, and work each group off by
+    a stream that is stopped after it and goes on from its checkpoint; a last row far ahead moves the watermark on.
+
+    For replays and tests: ``build`` makes the stream's result from a stream of the rows.
+    """
+    spark, held = rows.sparkSession, rows.schema
+    arrival = F.unix_seconds(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64(*[c for c in rows.columns if not held[c].dataType.simpleString().startswith("map")]), F.lit(disorder_s))
+    timed = rows.withColumn("_at", arrival)
+    low, high = timed.agg(F.min("_at"), F.max("_at")).first()
+    if low is None:
+        low, high = 0, 0
+    group = F.floor((F.col("_at") - low) * groups / (high - low + 1)).cast("int")
+    last = rows.limit(1).withColumn("ts", F.timestamp_seconds(F.lit(high + 100 * 366 * 86_400)).cast(held["ts"].dataType))
+    for k in range(groups + 1):
+        part = timed.where(group == k).drop("_at") if k < groups else last
+        part.write.mode("append").parquet(f"{path}/in")
+        run_to_table(build(spark.readStream.schema(held).parquet(f"{path}/in")), path, mode, rocksdb)
+
+
 def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The last state of each key in the table that run_to_table wrote."""
     rows = spark.read.parquet(f"{path}/batches")

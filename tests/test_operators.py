@@ -226,20 +226,6 @@ def test_windows_from_samples(spark):
     assert got[3]["rms"] > 0.35 and got[3]["speech"] == 0  # opposite phases keep their energy
 
 
-def test_streamed_windows_equal_those_of_the_batch(spark, tmp_path):
-    rng = np.random.default_rng(5)
-    for part in range(3):
-        rows = [(b, 4 * part + k, rng.normal(0, 0.2, (2, 8000)).clip(-1, 1).tolist()) for b in (1, 2) for k in range(4) if (b, part) != (2, 1)]
-        spark.createDataFrame(rows, "broadcast_id long, i int, channels array<array<double>>").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("broadcast_id long, i int, channels array<array<double>>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    live.run_to_table(live.audio_windows(stream, 8000), str(tmp_path / "out"), "append")
-    got = {(r["broadcast_id"], r["i"]): r for r in spark.read.parquet(str(tmp_path / "out" / "batches")).collect()}
-    batch = audio.windows_from_samples(spark.read.parquet(str(tmp_path / "in")), 8000).collect()
-    assert len(got) == len(batch) == 20
-    for r in batch:
-        assert [got[r["broadcast_id"], r["i"]][c] for c in ("rms", "peak", "zcr", "speech")] == pytest.approx([r[c] for c in ("rms", "peak", "zcr", "speech")], abs=2e-6)
-
-
 def test_allocated_bytes(spark):
     rows = [([500, 40, 3000], 900), ([10, 10, 10], 900), ([5000, 5000, 5000], 301), ([0, 0, 0], 5), ([1000, 1000, 1], 600)]
     got = [r[0] for r in spark.createDataFrame(rows, "s array<int>, b int").select(T.allocate_bytes(F.col("s"), [2, 1, 3], F.col("b"), 100)).collect()]
