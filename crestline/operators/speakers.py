@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -31,21 +30,6 @@ def score(queries: DataFrame, protos: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (queries.crossJoin(F.broadcast(side)).select("id", "label", N.cosine(F.col("embedding"), F.col("prototype")).alias("score")) for side in sides))
 
 
-def identify(scores: DataFrame, least: float = 0.6, margin: float = 0.05) -> DataFrame:
-    """The best label of each query, if it is good enough and far enough from the second."""
-    w = W.partitionBy("id").orderBy(F.desc("score"), "label")
-    top = scores.withColumn("_n", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).where("_n = 1")
-    verdict = F.when(F.col("score") < least, "unknown").when(F.col("score") - F.coalesce("second", F.lit(0.0)) < margin, "ambiguous").otherwise("identified")
-    return top.select("id", "label", "score", "second", verdict.alias("verdict"))
-
-
-def consistency(samples: DataFrame) -> DataFrame:
-    """Mean and least cosine over the pairs of each label's enrolment samples(label, id, embedding), a bounded list."""
-    b = samples.select("label", F.col("id").alias("other"), F.col("embedding").alias("e2"))
-    pairs = samples.join(b, "label").where("id < other").withColumn("c", N.cosine(F.col("embedding"), F.col("e2")))
-    return pairs.groupBy("label").agg(F.count("*").alias("n_pairs"), F.avg("c").alias("mean_cosine"), F.min("c").alias("least_cosine"))
-
-
 def speech_cells(logits: DataFrame, frame_ms: int = 1000) -> DataFrame:
     """Softmax of each frame's logits, its winner, and by cell the length and confidence of each class:
     logits(cell, frame, logits)."""

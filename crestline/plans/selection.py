@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
-from ..operators import identity, selection, speakers, visual
+from ..operators import identity, selection, speakers, visual, voice_search
 from .chat import DISJOINT, greedy_sql
 from .tables import CANDIDATES, CHAPTERS, FRAMES, MESSAGES, candidates, chapters, durations, frames, hours, messages, read, rounded
 
@@ -145,12 +145,21 @@ def speaker_scores(spark, sf_dir):
     return _voices(spark, sf_dir).select("id", "label", R6("score"))
 
 
+def _best_voices(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings")
+    return voice_search.best_two(vectors.select(F.col("vec_id").alias("id"), "embedding"), speakers.prototypes(vectors.select("label", "embedding")))
+
+
+def speaker_best_two(spark, sf_dir):
+    return _best_voices(spark, sf_dir).select("id", "label", R6("score"), "place")
+
+
 def speaker_identity(spark, sf_dir):
-    return speakers.identify(_voices(spark, sf_dir), 0.2, 0.05).select("id", "label", R6("score"), "verdict")
+    return voice_search.identify(_best_voices(spark, sf_dir), 0.2, 0.05).select("id", "label", R6("score"), "verdict")
 
 
 def speaker_consistency(spark, sf_dir):
-    return speakers.consistency(read(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), "embedding")).select("label", "n_pairs", R6("mean_cosine"), R6("least_cosine"))
+    return voice_search.consistency(read(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), "embedding")).select("label", "n_pairs", R6("mean_cosine"), R6("least_cosine"))
 
 
 def speech_cells(spark, sf_dir):
@@ -253,6 +262,7 @@ QUERIES = {
     "sample_times": (sample_times, f"""WITH {FRAMES}, e AS (SELECT broadcast_id, max(ts_ms) + 5000 AS d, least(250, d // 4) AS pad FROM frames GROUP BY ALL), s AS (SELECT broadcast_id, pad AS a, d - 1 - 2 * pad AS span, least(720, greatest(2, CAST(ceil((d - 1 - 2 * pad) / 5000) AS BIGINT) + 1)) AS n FROM e),
       i AS (SELECT *, unnest(range(0, n)) AS i FROM s) SELECT DISTINCT broadcast_id, CAST(floor(a + span * i / (n - 1) + 0.5) AS BIGINT) AS ts_ms FROM i"""),
     "speaker_scores": (speaker_scores, f"WITH {VOICES} SELECT id, label, {rounded('score', 'score')} FROM voices"),
+    "speaker_best_two": (speaker_best_two, f"WITH {VOICES} SELECT id, label, {rounded('score', 'score')}, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, label) AS INTEGER) AS place FROM voices QUALIFY place <= 2"),
     "speaker_identity": (speaker_identity, f"""WITH {VOICES}, t AS (SELECT *, lead(score) OVER w AS second, row_number() OVER w AS rn FROM voices WINDOW w AS (PARTITION BY id ORDER BY score DESC, label))
       SELECT id, label, {rounded('score', 'score')}, CASE WHEN score < 0.2 THEN 'unknown' WHEN score - coalesce(second, 0) < 0.05 THEN 'ambiguous' ELSE 'identified' END AS verdict FROM t WHERE rn = 1"""),
     "speaker_consistency": (speaker_consistency, f"SELECT a.label, count(*) AS n_pairs, {rounded('mean_cosine', 'avg(greatest(0.0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])))')}, {rounded('least_cosine', 'min(greatest(0.0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])))')} FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY ALL"),
