@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import stored
 from .intervals import cells, nearest, overlap_join, text_in_range
 
 
@@ -59,16 +60,37 @@ def phase_cues(cues: DataFrame, peaks: DataFrame, near_ms: int = 5000) -> DataFr
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-def cite_sentences(queries: DataFrame, texts: DataFrame, least: int = 2) -> DataFrame:
-    """The sentence of a broadcast's texts(broadcast_id, text_id, text) that shares most with each query(broadcast_id,
-    id, text); shared words count their letters, eight at most.
+def sentence_candidates(queries: DataFrame, texts: DataFrame, least: int = 2) -> DataFrame:
+    """(broadcast_id, id, text_id, s, score) of pairs among which is each query's best sentence: see ``cite_sentences``.
 
-    Sentences and queries meet by word, and only pairs that share one are scored.
+    A query's words are taken from the rarest on; a sentence that shares none of the first ones scores no more than the
+    letters of the rest. Two words give pairs and a score that is reached; of the others only those are looked up from
+    which on the rest could still reach it. A word that most sentences have is hardly ever needed, and only pairs that
+    share a needed word are made and scored in full.
     """
+    of = ["broadcast_id", "id"]
     sentence = texts.select("broadcast_id", "text_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^.!?\n]+[.!?]*"), 0)).alias("s", "sentence"))
-    left = sentence.select("broadcast_id", "text_id", "s", F.explode(T.terms(F.col("sentence"))).alias("w"))
-    right = queries.select("broadcast_id", "id", F.explode(T.terms(F.col("text"))).alias("w"))
-    score = F.sum(F.least(F.char_length("w"), F.lit(8))).alias("score")
-    pairs = right.join(left, ["broadcast_id", "w"]).groupBy("broadcast_id", "id", "text_id", "s").agg(score).where(F.col("score") >= least)
+    sentence = stored(sentence.select("broadcast_id", "text_id", "s", T.terms(F.col("sentence")).alias("terms")).where(F.size("terms") > 0), "citation-sentences")
+    asked = stored(queries.select(*of, T.terms(F.col("text")).alias("asked")), "citation-queries")
+    filed = sentence.select("broadcast_id", "text_id", "s", F.explode("terms").alias("w"))
+    seen = filed.groupBy("broadcast_id", "w").agg(F.count("*").alias("n"))
+    order = W.partitionBy(*of).orderBy("n", "w")
+    words = asked.select(*of, F.explode("asked").alias("w")).distinct().join(seen, ["broadcast_id", "w"])
+    words = words.withColumn("rank", F.row_number().over(order)).withColumn("rest", F.sum(F.least(F.char_length("w"), F.lit(8))).over(order.rowsBetween(0, W.unboundedFollowing)))
+    words = stored(words.select(*of, "w", "rank", "rest"), "citation-words")
+
+    def scored(chosen: DataFrame) -> DataFrame:
+        pairs = chosen.select(*of, "w").join(filed, ["broadcast_id", "w"]).select(*of, "text_id", "s").distinct()
+        return pairs.join(sentence, ["broadcast_id", "text_id", "s"]).join(asked, of).select(*of, "text_id", "s", T.token_overlap(F.col("asked"), F.col("terms")).cast("long").alias("score"))
+
+    first = stored(scored(words.where("rank <= 2")), "citation-first")
+    reached = first.groupBy(*of).agg(F.max("score").alias("reached"))
+    needed = words.where("rank > 2").join(reached, of, "left").where(F.col("rest") >= F.greatest(F.coalesce("reached", F.lit(0)), F.lit(least)))
+    return first.unionByName(scored(needed)).distinct().where(F.col("score") >= least)
+
+
+def cite_sentences(queries: DataFrame, texts: DataFrame, least: int = 2) -> DataFrame:
+    """The sentence of a broadcast's texts(broadcast_id, text_id, text) that shares most with each query(broadcast_id,
+    id, text); shared words count their letters, eight at most; ties go to the first text and sentence."""
     order = W.partitionBy("broadcast_id", "id").orderBy(F.desc("score"), "text_id", "s")
-    return pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return sentence_candidates(queries, texts, least).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
