@@ -1,25 +1,32 @@
 """License scans by conditional compression.
 
 Candidates are stretches of words around each word that mentions a license, as far to both sides as twice the longest
-template reaches, across lines and paragraphs; stretches that overlap are one. Every template is confirmed by its exact
-wording: its words are aligned in order with those of the stretch, at most a fifth of them may be missing, no more than
-GAP other words may stand between two of them, and the words that tell licenses apart (names and versions) must all be
-there. Each template that passes is reported, as often as it occurs. Where all aligned words of one license belong to
-another one too, that which compresses the notice better as raw zstandard dictionary is taken.
+template reaches, across lines and paragraphs; stretches that overlap are one. A stretch is read in blocks of bounded
+size. Each block is compressed alone and with every template as raw zstandard dictionary; the templates are ranked by the
+bytes that they save and confirmed in that order by their exact wording: a template's words are aligned in order with those
+of the block, at most a fifth of them may be missing, no more than GAP other words may stand between two of them, all of
+them within twice the template's length and GAP words more, and the words that tell licenses apart (names and versions) must all be there. A
+confirmed notice claims its words. One that ranks lower counts only if at least one of the words that tell it apart is
+still free, so that no license is put together from the words of others; "version 2 or 3" is two licenses. A template is
+compressed against a block only if the block has the words that it must have, and enough of the others: without them its
+wording cannot be confirmed, whatever it saves.
 
 Templates are short notices as well as whole texts; a whole text takes in the notices that it begins with.
 
 Defined results: a null or empty text has no license; rows that repeat are scanned each on its own; a span covers the
-whole lines of the aligned words; of licenses that rank the same the first by name wins; a text of any length is scanned
-whole; an empty table gives no rows; other columns are not read.
+whole lines of the aligned words; of templates that save the same the first by name is tried first; a text of any length is
+scanned whole, in time linear in its length; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
+import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -92,66 +99,132 @@ class Template:
         self.places: dict[str, list[int]] = {}
         for i, w in enumerate(self.words):
             self.places.setdefault(w, []).append(i)
-        # the first place of each needed word is that in braces; before[i]: the last one before place i
+        # the first place of each needed word is that in braces
         marks = sorted(self.places[w][0] for w in self.needed)
-        self.marks = set(marks)
-        self.before = [max((m for m in marks if m < i), default=-1) for i in range(len(self.words))]
-        self.last = marks[-1]
+        self.marks, self.first, self.last = set(marks), marks[0], marks[-1]
+        self.enough = math.ceil((1 - MOST_DIFFERENT) * len(self.words) - 1e-9)
+        self.is_mark = np.isin(np.arange(len(self.words)), marks)
+        self.after = np.cumsum(self.is_mark)  # marks up to a place, and before it
+        self.rank = self.after - self.is_mark
+        self.spots = {w: np.array(at) for w, at in self.places.items()}
+        #: by word: the marks that must follow on the mark before them, or that are versions
+        self.close = {w: [(n, i) for n, i in enumerate(at) if i in self.marks and i and (w[0].isdigit() or i - 1 in self.marks)] for w, at in self.places.items()}
+        self.extent = 2 * len(self.words) + GAP
+        self.bits = {w: sum(1 << i for i in at) for w, at in self.places.items()}
 
     def possible(self, present: set[str]) -> bool:
         """Whether a text of these words can hold the notice."""
         return self.needed <= present and sum(w in present for w in self.words) / len(self.words) >= 1 - MOST_DIFFERENT
 
+    def longest(self, words: list[str]) -> int:
+        """Words in the template's order, whatever the gaps: no alignment has more. One bit for each place of the template."""
+        full = row = (1 << len(self.words)) - 1
+        for w in words:
+            if bits := self.bits.get(w):
+                row = (row + (row & bits) | row & ~bits) & full
+        return len(self.words) - row.bit_count()
+
+    def exchanged(self, words: list[str]) -> list[int]:
+        """Places of the equal words of as many words as the template's, from its first to its last; empty if too few."""
+        if words[0] != self.words[0] or words[-1] != self.words[-1]:
+            return []
+        same = [k for k, (a, b) in enumerate(zip(words, self.words, strict=True)) if a == b]
+        near = all(b - a <= GAP + 1 for a, b in itertools.pairwise(same))
+        return same if len(same) >= self.enough and near and self.marks.issubset(same) else []
+
     def align(self, words: list[str]) -> list[int]:
-        """Places of the most words that stand in the template's order; empty if fewer than enough do."""
-        recent: list[tuple[int, list[tuple]]] = []  # (j, states); a state is (count, start, i, place of last mark, j, state before)
-        best = None
+        """Places of the most words that stand in the template's order, the latest and closest of these; empty if too few.
+
+        best[j + GAP + 1, i] is the best alignment that ends with place i at word j: its last mark's number, its count and its
+        first word, in one integer, so that the greatest of those before a place is also one that leaves no mark out.
+        """
+        size, m = GAP + 1, len(self.words)
+        best = np.full((len(words) + size, m), -1, dtype=np.int64)
+        mark = np.full(best.shape, -1, dtype=np.int32)
+        back = np.full((*best.shape, 2), -1, dtype=np.int32)
+        number, end, top = -1, None, (0, 0)
         for j, w in enumerate(words):
-            if best and best[0] / len(self.words) >= 1 - MOST_DIFFERENT and j > best[4] + 2 * (GAP + len(self.words)):
-                break  # what follows is another notice
-            if w not in self.places:
-                continue
-            while recent and recent[0][0] < j - 1 - GAP:
-                recent.pop(0)
-            own = []
-            for i in self.places[w]:
-                marked, before = i in self.marks, self.before[i]
-                state = (1, j, i, j if marked else -1, j, None) if before < 0 else None
-                for at, states in recent:
-                    for s in states:
-                        # no mark may be left out, and marks side by side stay so
-                        if s[2] < i and s[2] >= before and (state is None or (s[0] + 1, s[1]) > state[:2]):
-                            if marked and i - 1 in self.marks and at != j - 1 or marked and w[0].isdigit() and not self._follows(words, s[3], j):
-                                continue
-                            state = (s[0] + 1, s[1], i, j if marked else s[3], j, s)
-                if state:
-                    own.append(state)
-                    if i >= self.last and (best is None or (state[0], state[1] - j) > (best[0], best[1] - best[4])):
-                        best = state
-            if own:
-                recent.append((j, own))
-        if best is None or best[0] / len(self.words) < 1 - MOST_DIFFERENT:
-            return []
-        found = []
-        while best:
-            found.append(best[4])
-            best = best[5]
+            if top[0] >= self.enough and j > end[0] + size:
+                break  # nothing can be added to it: what follows is another notice
+            if w in self.spots:
+                spots = self.spots[w]
+                ring = best[j : j + size]
+                reached = np.maximum.accumulate(ring.max(axis=0))
+                keys = np.where(spots > 0, reached[spots - 1], -1)
+                cols = np.searchsorted(reached, keys)
+                rows = ring[:, cols].argmax(axis=0)
+                strict = w[0].isdigit() and number > -1 and not self._joined(words, number, j)
+                for n, i in self.close.get(w, ()):
+                    if strict or i - 1 in self.marks:
+                        # marks side by side stay so; between a name and its version stands no other number
+                        lo = size - 1 if i - 1 in self.marks else 0
+                        part = np.where(mark[j + lo : j + size, :i] >= number, ring[lo:, :i], -1) if strict else ring[lo:, :i]
+                        rows[n], cols[n] = np.unravel_index(part.argmax(), part.shape)
+                        keys[n] = part[rows[n], cols[n]]
+                        rows[n] += lo
+                follows = keys >> 48 == self.rank[spots]  # all marks before the place are in it
+                ok = follows | (self.rank[spots] == 0)
+                own = np.where(follows, (keys & (1 << 48) - 1) + (1 << 32), 1 << 32 | j)
+                here = j + size
+                best[here, spots[ok]] = own[ok] + (self.after[spots[ok]] << 48)
+                mark[here, spots[ok]] = np.where(self.is_mark[spots] | ~follows, j, mark[j + rows, cols])[ok]
+                back[here, spots[follows]] = np.stack([rows + j - size, cols], axis=1)[follows]
+                late = np.where(ok & (spots >= self.last), own, -1)
+                key = int(late.max())
+                if key >= 0 and (key >> 32, (key & 0xFFFFFFFF) - j) > top:
+                    top, end = (key >> 32, (key & 0xFFFFFFFF) - j), (j, int(spots[late.argmax()]))
+            if w[:1].isdigit():
+                number = j
+        found, gained = [], 0
+        while top[0] >= self.enough and end[1] >= 0:
+            place = tuple(back[end[0] + size, end[1]].tolist())
+            found, gained = [*found, end[0]], gained + 1
+            if place[1] >= self.last and end[0] - place[0] - 1 > gained and top[0] - gained >= self.enough:
+                top, found, gained = (top[0] - gained, 0), [], 0  # last words that stand farther off than they are many
+            end = place
         return found[::-1]
 
     @staticmethod
-    def _follows(words: list[str], mark: int, j: int) -> bool:
-        """Whether the number at j is the version of the name at mark: no other number between, unless joined by or."""
-        other = next((k for k in range(j - 1, max(mark, -1), -1) if words[k][0].isdigit()), None)
-        return other is None or set(words[other + 1 : j]) <= _JOIN and bool({"or", "and"} & set(words[other + 1 : j]))
-
-    def notices(self, words: list[str], first: int = 0) -> Iterator[list[int]]:
-        """Places of the aligned words of each occurrence."""
-        parts = [(0, len(words))]
-        while parts:
-            lo, hi = parts.pop()
-            if found := self.align(words[lo:hi]):
+    def _joined(words: list[str], number: int, j: int) -> bool:
+        """Whether the numbers at these places are versions joined by or."""
+        between = set(words[number + 1 : j])
+        return between <= _JOIN and bool({"or", "and"} & between)
+
+    def notices(self, words: list[str], first: int, taken: set[int]) -> Iterator[list[int]]:
+        """Places of the aligned words of each occurrence: first those word for word or with words exchanged, then those with
+        words added or left out.
+
+        An occurrence counts only if a word that tells the license apart is not taken, so the others are sought near these.
+        """
+        size, parts, j = len(self.words), [[0, len(words)]], 0
+        while j + size <= len(words):
+            if words[j + self.first] == self.words[self.first] and (same := self.exchanged(words[j : j + size])):
+                yield [first + j + k for k in same]
+                parts[-1][1] = j
+                j += size
+                parts.append([j, len(words)])
+            else:
+                j += 1
+        near: list[list[int]] = []
+        for lo, hi in parts:
+            for k in range(lo, hi):
+                if words[k] in self.needed and first + k not in taken:
+                    if near and near[-1][0] >= lo and k - self.extent <= near[-1][1]:
+                        near[-1][1] = min(hi, k + self.extent)
+                    else:
+                        near.append([max(lo, k - self.extent), min(hi, k + self.extent)])
+        words = list(words)
+        while near:
+            lo, hi = near.pop()
+            part = words[lo:hi]
+            if not self.possible(set(part)) or all(w not in self.needed or first + lo + k in taken for k, w in enumerate(part)):
+                continue
+            if self.longest(part) >= self.enough and (found := self.align(part)):
                 yield [first + lo + k for k in found]
-                parts += [(lo, lo + found[0]), (lo + found[-1] + 1, hi)]
+                # the last words may have been taken from the head of the next notice, which goes on without them
+                for k in found:
+                    words[lo + k] = ""
+                near += [[lo, lo + found[0]], [lo + found[0] + 1, hi]]
 
 
 class LicenseScanner:
@@ -160,15 +233,19 @@ class LicenseScanner:
     def __init__(self) -> None:
         plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
         params = zstandard.ZstdCompressionParameters.from_level(3, **plain)
-        self.alone = zstandard.ZstdCompressor(compression_params=params)
         self.templates = [Template(name, notice, params) for name, notices in sorted(TEMPLATES.items()) for notice in notices]
         self.reach = 2 * max(len(t.words) for t in self.templates)
 
-    def reduction(self, template: Template, notice: bytes) -> float:
-        """How much smaller the notice gets with the template as dictionary."""
-        raw = b" ".join(notice.split())
-        size = len(self.alone.compress(raw))
-        return (size - len(template.compressor.compress(raw))) / size
+    def ranked(self, block: bytes, present: set[str]) -> list[Template]:
+        """The templates that the block may hold, those first that save most bytes of it as dictionary."""
+        possible = [t for t in self.templates if t.possible(present)]
+        raw = b" ".join(block.split())
+        return sorted(possible, key=lambda t: (self.size(t, raw), t.name)) if len(possible) > 1 else possible
+
+    @staticmethod
+    def size(template: Template, raw: bytes) -> int:
+        """Bytes of a text with the template as dictionary; what a block takes alone is the same for all templates."""
+        return len(template.compressor.compress(raw))
 
     def stretches(self, text: bytes, starts: list[int]) -> list[tuple[int, int]]:
         """First and end of the words within reach of a trigger, joined where they overlap."""
@@ -188,26 +265,32 @@ class LicenseScanner:
             return []
         low = text.lower()
         places = [m.span() for m in _WORD_BYTES.finditer(low)]
-        passed = []
+        found: list[tuple[str, int, int, float]] = []
+        holder: dict[int, set[str]] = {}  # by place: names of the notices confirmed that have it
         for lo, hi in self.stretches(text, [a for a, _ in places]):
-            words = [low[a:b].decode() for a, b in places[lo:hi]]
-            present = set(words)
-            for t in self.templates:
-                if t.possible(present):
-                    for at in t.notices(words, lo):
-                        begin, end = places[at[0]][0], places[at[-1]][1]
-                        passed.append((len(at) / len(t.words), self.reduction(t, low[begin:end]), t.name, frozenset(at)))
-        found: list[tuple[float, float, str, frozenset]] = []
-        holders: dict[int, list[int]] = {}  # by place: the notices found that have it
-        for one in sorted(passed, key=lambda p: (-len(p[3]), -p[0], -p[1], p[2])):
-            near = {f for k in one[3] for f in holders.get(k, ())}
-            if not any(one[3] <= found[f][3] or found[f][2] == one[2] for f in near):
-                for k in one[3]:
-                    holders.setdefault(k, []).append(len(found))
-                found.append(one)
+            for at in range(lo, hi, 3 * self.reach):
+                # a notice that begins in this step is whole in the block; one that begins later is the next block's
+                words = [low[a:b].decode() for a, b in places[at : min(hi, at + 4 * self.reach)]]
+                step = hi if at + 4 * self.reach >= hi else at + 3 * self.reach
+                own: dict[int, set[str]] = {}
+                for t in self.ranked(low[places[at][0] : places[at + len(words) - 1][1]], set(words)):
+                    taken = {k for k in range(at, at + len(words)) if k in holder or k in own}
+                    free = ["" if t.name in holder.get(at + k, ()) else w for k, w in enumerate(words)]
+                    for notice in t.notices(free, at, taken):
+                        marks = [k for k in notice if words[k - at] in t.needed]
+                        names = set().union(*(names.get(k, ()) for k in notice for names in (holder, own)))
+                        if notice[-1] - notice[0] >= t.extent or t.name in names or taken.issuperset(marks):
+                            continue
+                        for k in notice:
+                            own.setdefault(k, set()).add(t.name)
+                        if notice[0] < step:
+                            found.append((t.name, places[notice[0]][0], places[notice[-1]][1], len(notice) / len(t.words)))
+                            for k in notice:
+                                holder.setdefault(k, set()).add(t.name)
+                if step == hi:
+                    break
         lines = []
-        for likeness, _, name, at in found:
-            begin, end = places[min(at)][0], places[max(at)][1]
+        for name, begin, end, likeness in found:
             stop = text.find(b"\n", end)
             lines.append((name, text.rfind(b"\n", 0, begin) + 1, stop if stop >= 0 else len(text), likeness))
         return sorted(lines, key=lambda f: (f[1], f[2], f[0]))

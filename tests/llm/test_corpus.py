@@ -531,6 +531,71 @@ def test_license_scan_equals_brute_force():
         assert found == (table[-1, -1] / len(t.words) >= 0.8) or not licenses.TRIGGER.search(text.encode())
 
 
+def _bare(notice):
+    return notice.replace("{", "").replace("}", "")
+
+
+def test_every_two_notices_are_these_two():
+    """No license is put together from the words of two others, whichever stands first."""
+    scanner = licenses.LicenseScanner()
+    notices = [(name, _bare(t)) for name, of in licenses.TEMPLATES.items() for t in of]
+    for first, a in notices:
+        for second, b in notices:
+            assert sorted(n for n, *_ in scanner.scan(f"{a}\n{b}\n".encode())) == sorted([first, second])
+    mit = _bare(licenses.TEMPLATES["MIT"][0])
+    assert [n for n, *_ in scanner.scan(f"{mit}\n".encode() * 5)] == ["MIT"] * 5
+    both = "This work is licensed under the GNU General Public License, version 2 or version 3"
+    assert [n for n, *_ in scanner.scan(both.encode())] == ["GPL-2.0", "GPL-3.0"]
+
+
+def test_compression_ranks_the_licenses(monkeypatch):
+    scanner = licenses.LicenseScanner()
+    bsd = _bare(licenses.TEMPLATES["BSD-3-Clause"][0]).encode()
+    assert [n for n, *_ in scanner.scan(bsd)] == ["BSD-3-Clause"]
+    monkeypatch.setattr(licenses.LicenseScanner, "size", staticmethod(lambda template, raw: 0))
+    assert [n for n, *_ in scanner.scan(bsd)] == ["BSD-2-Clause", "BSD-3-Clause"]
+
+
+def test_licenses_of_long_texts():
+    """A megabyte of notices, of notices with words exchanged or left out, and of shuffled words of one."""
+    scanner, rng = licenses.LicenseScanner(), np.random.default_rng(2)
+    mit = _bare(licenses.TEMPLATES["MIT"][0]).split()
+    changed = " ".join("xx" if k % 11 == 5 else w for k, w in enumerate(mit))
+    shorter = " ".join(w for k, w in enumerate(mit) if k % 11 != 5)
+    bsd = licenses._WORD.findall(_bare(licenses.TEMPLATES["BSD-3-Clause"][0]))
+    for text, count in ((" ".join(mit), 1000), (changed, 1000), (shorter, 60)):
+        began = time.monotonic()
+        found = scanner.scan(f"{text}\n".encode() * count)
+        assert [(n, a, b) for n, a, b, _ in found] == [("MIT", k * (len(text) + 1), (k + 1) * (len(text) + 1) - 1) for k in range(count)]
+        assert time.monotonic() - began < 10
+    began = time.monotonic()
+    scanner.scan(" ".join(rng.choice(bsd, 170_000)).encode())
+    assert time.monotonic() - began < 10
+
+
+def test_alignment_equals_brute_force():
+    """The most words in order, no gap above GAP, no mark left out, marks side by side kept: by all pairs of cells."""
+    rng = np.random.default_rng(11)
+    for t in [t for t in licenses.LicenseScanner().templates if len(t.words) < 40 and not any(w[0].isdigit() for w in t.needed)]:
+        for _ in range(6):
+            words = [w for w in t.words for w in ([w], ["zz", w], [w] * 2, [])[int(rng.choice(4, p=[0.85, 0.05, 0.05, 0.05]))]]
+            for k in rng.integers(0, len(words), 3):
+                words[k:k] = list(rng.choice(t.words, 4)) + ["zz"] * int(rng.choice([2, 44]))
+            count = np.zeros((len(words), len(t.words)), dtype=int)
+            for j, w in enumerate(words):
+                for i, x in enumerate(t.words):
+                    if w == x:
+                        low = max([m for m in t.marks if m < i], default=-1)
+                        reach = 1 if i in t.marks and i - 1 in t.marks else licenses.GAP + 1
+                        best = max((count[a, b] for a in range(max(0, j - reach), j) for b in range(max(low, 0), i)), default=0)
+                        count[j, i] = best + 1 if best or low < 0 else 0
+            most = count[:, t.last :].max(initial=0)
+            found = t.align(words)
+            assert bool(found) == (most >= t.enough)
+            assert not found or t.enough <= len(found) <= most
+            assert found == sorted(set(found)) and all(b - a <= licenses.GAP + 1 for a, b in zip(found, found[1:], strict=False))
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(6)
     make = lambda: toxicity.vector({int(t): int(rng.integers(1, 4)) for t in rng.choice(40, int(rng.integers(0, 12)), replace=False)}, np.linspace(1, 3, 40))
