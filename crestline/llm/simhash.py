@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, stored, texts_as_bytes
+from .near_copies import near_copies
 
 BITS, MAX_BITS, SEED = 64, 2, 42
 #: Segments of the ring: first bit and width.
@@ -117,6 +118,12 @@ def hex_digits():
 
 
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """docs without the documents whose class has a smaller doc_id; all columns stay."""
-    extra = near_duplicates(docs, shingle).where("doc_id <> component_id").select("doc_id").distinct()
+    """docs without the documents whose class has a smaller doc_id; all columns stay.
+
+    A class is what links of fingerprints and near copies by five-word shingles (see near_copies) reach together: two bits
+    alone meet few of the copies whose similarity is near 0.8.
+    """
+    by_bits = near_duplicates(docs, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    edges = stored(by_bits.unionByName(near_copies(docs)), "near-links")
+    extra = connected_components(edges).where("node <> root").select(F.col("node").alias("doc_id"))
     return docs.join(extra, "doc_id", "left_anti")

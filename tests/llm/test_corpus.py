@@ -531,6 +531,34 @@ def test_license_scan_equals_brute_force():
         assert found == (table[-1, -1] / len(t.words) >= 0.8) or not licenses.TRIGGER.search(text.encode())
 
 
+def test_near_copies_by_band(spark):
+    """Recall of one document of each group, for copies of every similarity from 0.8; nothing else is dropped."""
+    rng = np.random.default_rng(8)
+    made = [f"{a}{b}" for a in "bdfgklmnprstvz" for b in ("a", "e", "i", "o", "u", "an", "er", "is", "ol", "um")]
+    words = lambda n: [" ".join(rng.choice(made, 2)).replace(" ", "") for _ in range(n)]
+    rows, similarity = [], {}
+    sets = lambda t: set(zip(*(t[k:] for k in range(5)), strict=False))
+    for k in range(300):
+        own = words(int(rng.integers(60, 600)))
+        copy = list(own)
+        for at in rng.choice(len(own), max(1, int(len(own) * rng.uniform(0.002, 0.035))), replace=False):
+            copy[at] = "changed"
+        a, b = sets(own), sets(copy)
+        similarity[k + 10_000] = len(a & b) / len(a | b)
+        rows += [(k, " ".join(own)), (k + 10_000, "\n".join(copy))]
+    rows += [(50_000 + k, " ".join(words(80))) for k in range(300)]
+    rows += [(None, rows[0][1]), (60_000, None), (60_001, " "), (60_002, "x"), (60_003, "X"), (60_004, "x y"), (61_000, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("a", F.lit(1)).withColumn("node", F.lit(2)).withColumn("words", F.lit(3))
+    kept = [r["doc_id"] for r in simhash.keep_one(docs).collect()]
+    assert {k for k in range(300)} <= set(kept) and {k for k in range(50_000, 50_300)} <= set(kept)
+    assert kept.count(None) == 1 and {60_002, 60_004} <= set(kept) and 60_003 not in kept and 61_000 not in kept
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.95), (0.95, 1.0)):
+        band = [k for k, s in similarity.items() if low <= s < high]
+        assert len(band) > 10 and sum(k not in kept for k in band) >= 0.98 * len(band)
+    links = {(r["a"], r["b"]) for r in simhash.near_copies(docs).collect()}
+    assert all(similarity[b] >= 0.8 for _, b in links if b in similarity)
+
+
 def _bare(notice):
     return notice.replace("{", "").replace("}", "")
 
@@ -669,7 +697,15 @@ def test_pipeline(spark, odd, odd_dir, empty, empty_dir):
     assert {r["doc_id"] for r in kept.collect()} == {d for d, k in verdict.items() if k}
     classes = simhash.near_duplicates(kept).collect()
     single = cp.STAGES[1][1](spark, kept, SF)
-    assert {r["doc_id"] for r in single.collect()} == {r["component_id"] for r in classes}
+    # links of fingerprints, and of all pairs whose five-word shingles have a similarity of 0.8
+    root = {r["doc_id"]: r["component_id"] for r in classes}
+    grams = {r["doc_id"]: set(zip(*(r["text"].lower().split()[k:] for k in range(5)), strict=False)) for r in kept.collect()}
+    for a, b in itertools.combinations(sorted(grams), 2):
+        if grams[a] and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+            low, high = sorted((root[a], root[b]))
+            root = {d: low if r == high else r for d, r in root.items()}
+    assert {r["doc_id"] for r in single.collect()} == set(root.values())
+    assert len(set(root.values())) < len({r["component_id"] for r in classes})
     clean = cp.STAGES[2][1](spark, single, SF)
     dirty = {r["doc_id"] for r in decontaminate.contamination(single, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").collect()}
     assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in single.collect()} - dirty
