@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import intervals as I
 from ..functions import numbers as N
 from ..storage import stored
-from .greedy import match_pairs, suppress
+from .greedy import cut, match_pairs, suppress
 from .intervals import overlap_join
 
 #: How far apart two peaks may be, and the length of a reaction.
@@ -59,7 +59,7 @@ def pair_signals(left: DataFrame, right: DataFrame, proximity_ms: int = PROXIMIT
 def match(pairs: DataFrame) -> DataFrame:
     """One-to-one pairs: largest overlap first, then nearest peaks, then best score."""
     order = [F.desc("overlap_ratio"), F.asc("distance_ms"), F.desc("fused"), F.asc("l_id"), F.asc("r_id")]
-    return match_pairs(pairs, ["broadcast_id"], order, "l_id", "r_id")
+    return match_pairs(pairs, ["broadcast_id"], order, "l_id", "r_id", ("l_peak", "r_peak"))
 
 
 def reaction_drafts(audio: DataFrame, chat: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def attach_context(drafts: DataFrame, visual: DataFrame, proximity_ms: int = PRO
     l = keyed.select("broadcast_id", F.col("draft").alias("l_id"), F.col("peak_ms").alias("l_peak"), F.col("anchor_start").alias("l_start"), F.col("anchor_end").alias("l_end"))  # noqa: E741
     pairs = pair_signals(l.select("broadcast_id", F.col("l_id").alias("id"), F.col("l_peak").alias("peak_ms"), F.col("l_start").alias("start_ms"), F.col("l_end").alias("end_ms"), F.lit(0.0).alias("norm")), visual, proximity_ms)
     order = [F.desc("overlap_ratio"), F.asc("distance_ms"), F.desc("r_norm"), F.asc("l_id"), F.asc("r_id")]
-    chosen = match_pairs(pairs, ["broadcast_id"], order, "l_id", "r_id")
+    chosen = match_pairs(pairs, ["broadcast_id"], order, "l_id", "r_id", ("l_peak", "r_peak"))
     chosen = chosen.select(F.col("broadcast_id").alias("_b"), F.col("l_id.audio_id").alias("_a"), F.col("l_id.chat_id").alias("_c"), F.col("r_id").alias("visual_id"), "r_norm")
     # a draft has a side that is null, so its ids are compared null-safely
     met = (F.col("broadcast_id") == F.col("_b")) & F.col("audio_id").eqNullSafe(F.col("_a")) & F.col("chat_id").eqNullSafe(F.col("_c"))
@@ -129,11 +129,19 @@ def score_points(candidates: DataFrame) -> DataFrame:
 
 def fuse_sources(candidates: DataFrame) -> DataFrame:
     """Candidates of several sources merged in order: semantic first, then by score. One joins the first that it
-    overlaps by half, or whose focus is within eight seconds, unless both are semantic; scores join as noisy-or."""
-    item = F.struct("id", "kind", "start_ms", "end_ms", "peak_ms", "score")
+    overlaps by half, or whose focus is within eight seconds, unless both are semantic; scores join as noisy-or.
+
+    A merged candidate keeps the times of its first, so a broadcast is cut where neither intervals nor foci meet, and
+    each part is folded alone. A candidate without length overlaps all others by half, and a broadcast with one is whole.
+    """
+    item_fields = ["id", "kind", "start_ms", "end_ms", "peak_ms", "score"]
     order = W.partitionBy("broadcast_id").orderBy(F.desc((F.col("kind") == "semantic").cast("int")), F.desc("score"), "start_ms", "id")
-    rows = candidates.withColumn("_n", F.row_number().over(order)).groupBy("broadcast_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", item.alias("c")))), lambda x: x["c"]).alias("items"))
-    one = lambda x: F.struct(F.array(x["id"]).alias("ids"), F.array(x["kind"]).alias("kinds"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["peak_ms"].alias("peak_ms"), x["score"].alias("score"))
+    bare, farthest = F.col("end_ms") <= F.col("start_ms"), F.lit(2**62)
+    low = F.when(bare, -farthest).otherwise(F.least(F.col("start_ms"), F.col("peak_ms") - 4000))
+    high = F.when(bare, farthest).otherwise(F.greatest(F.col("end_ms"), F.col("peak_ms") + 4000))
+    parts = cut(candidates.withColumn("_n", F.row_number().over(order)), ["broadcast_id"], low, high, touch=True)
+    rows = parts.groupBy("broadcast_id", "_part").agg(F.array_sort(F.collect_list(F.struct("_n", *item_fields))).alias("items"))
+    one = lambda x: F.struct(x["_n"].alias("first"), F.array(x["id"]).alias("ids"), F.array(x["kind"]).alias("kinds"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["peak_ms"].alias("peak_ms"), x["score"].alias("score"))
 
     def meets(a, x):
         over = F.greatest(F.lit(0), F.least(a["end_ms"], x["end_ms"]) - F.greatest(a["start_ms"], x["start_ms"]))
@@ -144,12 +152,13 @@ def fuse_sources(candidates: DataFrame) -> DataFrame:
     def step(acc, x):
         flags = F.transform(acc, lambda a: meets(a, x))
         first = F.coalesce(F.array_position(flags, True), F.lit(0))
-        joined = lambda a: F.struct(F.concat(a["ids"], F.array(x["id"])).alias("ids"), F.array_union(a["kinds"], F.array(x["kind"])).alias("kinds"), a["start_ms"].alias("start_ms"), a["end_ms"].alias("end_ms"), a["peak_ms"].alias("peak_ms"), F.least(F.lit(1.0), N.noisy_or(a["score"], x["score"])).alias("score"))
+        joined = lambda a: F.struct(a["first"].alias("first"), F.concat(a["ids"], F.array(x["id"])).alias("ids"), F.array_union(a["kinds"], F.array(x["kind"])).alias("kinds"), a["start_ms"].alias("start_ms"), a["end_ms"].alias("end_ms"), a["peak_ms"].alias("peak_ms"), F.least(F.lit(1.0), N.noisy_or(a["score"], x["score"])).alias("score"))
         return F.when(first == 0, F.concat(acc, F.array(one(x)))).otherwise(F.transform(acc, lambda a, i: F.when(i + 1 == first, joined(a)).otherwise(a)))
 
     empty = F.slice(F.transform("items", one), 1, 0)
-    out = rows.select("broadcast_id", F.posexplode(F.aggregate("items", empty, step)).alias("n", "c")).select("broadcast_id", "n", "c.*")
-    return out.withColumn("ids", F.sort_array("ids")).withColumn("kinds", F.sort_array("kinds"))
+    out = rows.select("broadcast_id", F.explode(F.aggregate("items", empty, step)).alias("c")).select("broadcast_id", "c.*")
+    out = out.withColumn("n", F.row_number().over(W.partitionBy("broadcast_id").orderBy("first")) - 1).drop("first")
+    return out.select("broadcast_id", "n", "ids", "kinds", "start_ms", "end_ms", "peak_ms", "score").withColumn("ids", F.sort_array("ids")).withColumn("kinds", F.sort_array("kinds"))
 
 
 def balanced_pick(candidates: DataFrame, cycle: tuple[tuple[str, int], ...] = (("semantic", 4), ("audio", 1), ("visual", 1)), most: int = 12) -> DataFrame:

@@ -5,6 +5,9 @@ Each pick changes the next ones, so that the bounded list of a broadcast is fold
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -90,6 +93,44 @@ def refinement_leads(leads: DataFrame, most: int = REFINED) -> DataFrame:
     return leads.groupBy("broadcast_id").applyInPandas(choose, f"broadcast_id {key}, lead {lead}, pick int")
 
 
+def farthest_first(at: list[int], rank: list[int], focus: float) -> list[int]:
+    """Positions in the sorted list ``at``: the one nearest to focus, then each time the one farthest from all taken.
+
+    Of equally far ones that with the least rank comes first. Each pick halves one gap between picks, and a heap holds the
+    best point of each gap, so that n points take n log n steps.
+    """
+    heap: list[tuple[int, int, int, int, int]] = []
+
+    def offer(low: int, high: int) -> None:
+        """The best point strictly between the picks low and high; -1 and len(at) are the open ends."""
+        if high - low < 2:
+            return
+        inner = range(low + 1, high)
+        if low < 0:
+            ends = [low + 1]
+        elif high == len(at):
+            ends = [bisect_left(at, at[high - 1], low + 1, high)]
+        else:
+            # the first point that is no nearer to the left pick than to the right one, and the one before it
+            turn = bisect_left(inner, True, key=lambda k: at[k] - at[low] >= at[high] - at[k])
+            ends = [inner[k] for k in (turn, turn - 1) if 0 <= k < len(inner)]
+            ends = [bisect_left(at, at[k], low + 1, high) for k in ends]
+        away = lambda k: min(at[k] - at[low] if low >= 0 else at[-1] - at[0], at[high] - at[k] if high < len(at) else at[-1] - at[0])
+        best = min(ends, key=lambda k: (-away(k), rank[k]))
+        heappush(heap, (-away(best), rank[best], best, low, high))
+
+    first = min(range(len(at)), key=lambda k: (abs(at[k] - focus), rank[k]))
+    picks = [first]
+    offer(-1, first)
+    offer(first, len(at))
+    while heap:
+        _, _, best, low, high = heappop(heap)
+        picks.append(best)
+        offer(low, best)
+        offer(best, high)
+    return picks
+
+
 def scattered_order(chunks: DataFrame) -> DataFrame:
     """Order of the chunks(broadcast_id, n, start_ms, end_ms) of a broadcast that spreads early picks: the one nearest to
     the golden section first, then each time the one farthest from all taken."""
@@ -97,15 +138,10 @@ def scattered_order(chunks: DataFrame) -> DataFrame:
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["start_ms", "end_ms", "n"]).reset_index(drop=True)
         first, last = pdf["start_ms"].iloc[0], pdf["end_ms"].iloc[-1]
-        center = (pdf["start_ms"] + (pdf["end_ms"] - pdf["start_ms"]) / 2 - first).to_numpy(float) / max(1, last - first)
-        picks = [int(np.argmin(np.round(np.abs(center - GOLDEN), 12)))]
-        away = np.abs(center - center[picks[0]])
-        away[picks[0]] = -1
-        while len(picks) < len(pdf):
-            k = int(np.argmax(np.round(away, 12)))
-            picks.append(k)
-            away = np.minimum(away, np.abs(center - center[k]))
-            away[picks] = -1
+        # twice the centers, so that all distances are whole; of equal centers the earlier chunk comes first
+        center = (pdf["start_ms"] + pdf["end_ms"] - 2 * first).to_numpy(np.int64)
+        place = np.lexsort((np.arange(len(pdf)), center))
+        picks = [int(place[k]) for k in farthest_first(center[place].tolist(), place.tolist(), 2 * GOLDEN * max(1, last - first))]
         out = pdf.loc[picks, ["broadcast_id", "n"]].copy()
         out["pick"] = np.arange(1, len(picks) + 1)
         return out

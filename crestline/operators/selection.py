@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intervals as I
 from ..functions import numbers as N
+from .greedy import cut
 
 #: Width of a density bin, and the longest episode.
 BIN_MS, SPAN_MS = 300_000, 90_000
@@ -35,9 +36,14 @@ def event_density(points: DataFrame, durations: DataFrame, bin_ms: int = BIN_MS)
 
 def build_episodes(candidates: DataFrame, span_ms: int = SPAN_MS) -> DataFrame:
     """Candidates of one moment joined, in order of start: the newest episode that a candidate overlaps by 0.35, or
-    touches with a peak within 30 seconds, or whose evidence it shares, takes it, if the whole stays within span_ms."""
+    touches with a peak within 30 seconds, or whose evidence it shares, takes it, if the whole stays within span_ms.
+
+    No episode reaches a candidate that begins more than span_ms after the one before (candidates end no earlier than
+    they begin), so a broadcast is cut there and each part folded alone.
+    """
     item = F.struct("start_ms", "peak_ms", "id", "end_ms", "score", "kind", "key")
-    rows = candidates.groupBy("broadcast_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    parts = cut(candidates, ["broadcast_id"], F.col("start_ms"), F.col("start_ms") + span_ms, touch=True)
+    rows = parts.groupBy("broadcast_id", "_part").agg(F.array_sort(F.collect_list(item)).alias("items"))
     one = lambda x: F.struct(
         x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), F.struct((-x["score"]).alias("s"), x["peak_ms"].alias("p"), x["id"].alias("id")).alias("rep"),
         F.array(x["id"]).alias("ids"), F.array(x["kind"]).alias("kinds"), F.array(x["key"]).alias("keys"),
@@ -59,7 +65,9 @@ def build_episodes(candidates: DataFrame, span_ms: int = SPAN_MS) -> DataFrame:
         return F.when(last == 0, F.concat(acc, F.array(one(x)))).otherwise(F.transform(acc, lambda e, i: F.when(i + 1 == last, taken(e)).otherwise(e)))
 
     folded = F.aggregate("items", F.slice(F.transform("items", one), 1, 0), step)
-    out = rows.select("broadcast_id", F.posexplode(folded).alias("episode", "e"))
+    before = F.coalesce(F.sum("_made").over(W.partitionBy("broadcast_id").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    made = rows.select("broadcast_id", "_part", folded.alias("_all")).withColumn("_made", F.size("_all")).withColumn("_before", before)
+    out = made.select("broadcast_id", "_before", F.posexplode("_all").alias("_pos", "e")).withColumn("episode", (F.col("_before") + F.col("_pos")).cast("int"))
     return out.select("broadcast_id", "episode", "e.start_ms", "e.end_ms", F.col("e.rep.id").alias("representative"), F.col("e.rep.p").alias("peak_ms"), (-F.col("e.rep.s")).alias("score"), F.sort_array("e.ids").alias("ids"), F.sort_array("e.kinds").alias("kinds"), F.sort_array("e.keys").alias("keys"))
 
 
