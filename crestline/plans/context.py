@@ -151,7 +151,7 @@ def caption_cells(spark, sf_dir):
 def refined_segments(spark, sf_dir):
     _, ends, own, _ = _talk(spark, sf_dir)
     texts = cx.caption_cells(own, ends, 30_000)
-    plan = iv.cells(ends, 30_000).where("cell % 3 < 2").select("broadcast_id", "start_ms", "end_ms")
+    plan = iv.cells(ends, 30_000).select("broadcast_id", "start_ms", "end_ms")
     return cx.refinement_chapters(plan, texts).select("broadcast_id", "start_ms", "end_ms", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
@@ -163,7 +163,7 @@ def bound_cues(spark, sf_dir):
 
 def subtitle_gate(spark, sf_dir):
     cues = captions(spark, sf_dir)
-    clips = cues.where("cue % 3 = 0").select("broadcast_id", F.col("cue").alias("id"), (F.col("start_ms") + 2500).alias("start_ms"), (F.col("start_ms") + 40_000).alias("end_ms"))
+    clips = cues.select("broadcast_id", F.col("cue").alias("id"), (F.col("start_ms") + 2500).alias("start_ms"), (F.col("start_ms") + 40_000).alias("end_ms"))
     return cx.subtitle_available(cues, clips).select("broadcast_id", "id", R6("share"), "available")
 
 
@@ -171,7 +171,7 @@ def inspection_order(spark, sf_dir):
     found = candidates(spark, sf_dir)
     plan = iv.cells(hours(found), 600_000).select("broadcast_id", "cell", "start_ms", "end_ms")
     salience = found.where("kind = 'visual'").groupBy("broadcast_id", F.floor(F.col("peak_ms") / 600_000).cast("int").alias("cell")).agg(F.max("score").alias("salience"))
-    return cx.cell_priority(plan, found.where("kind = 'chat' and id % 3 = 0"), salience).select("broadcast_id", "cell", R6("ratio"), "basis", joined("ids"), "place")
+    return cx.cell_priority(plan, found.where("kind = 'chat'"), salience).select("broadcast_id", "cell", R6("ratio"), "basis", joined("ids"), "place")
 
 
 def verified_candidates(spark, sf_dir):
@@ -215,7 +215,7 @@ def visual_chapters(spark, sf_dir):
 
 
 def all_chapters(spark, sf_dir):
-    own = chapters(spark, sf_dir).where("doc_id % 5 < 3").select("broadcast_id", F.col("n").alias("chapter"), "start_ms", "end_ms", F.md5(F.col("text").cast("binary")).alias("text"))
+    own = chapters(spark, sf_dir).select("broadcast_id", F.col("n").alias("chapter"), "start_ms", "end_ms", F.md5(F.col("text").cast("binary")).alias("text"))
     return cx.union_chapters(own, _visual(spark, sf_dir)).groupBy("broadcast_id", "violation").agg(F.count("*").alias("n"), F.max("place").alias("last"))
 
 
@@ -312,14 +312,14 @@ def pending_order(spark, sf_dir):
 def listening_plan(spark, sf_dir):
     found = candidates(spark, sf_dir)
     ends = hours(found).withColumn("duration_ms", F.when(F.col("broadcast_id") % 4 == 0, 900_000).otherwise(3_600_000).cast("long"))
-    plan = leads.sampling_plan(found.where("id % 9 = 0"), ends, 1_500_000)
+    plan = leads.sampling_plan(found, ends, 1_500_000)
     return plan.select("broadcast_id", N.round_half_up(F.col("start_ms"), 3).alias("start_ms"), N.round_half_up(F.col("end_ms"), 3).alias("end_ms"), F.array_join("kinds", "+").alias("kinds"))
 
 
 def fingerprint_samples(spark, sf_dir):
     found = frames(spark, sf_dir)
     ends = found.groupBy("broadcast_id").agg((F.max("ts_ms") + 5000).alias("duration_ms"))
-    return leads.fingerprint_plan(found.where("ts_ms % 15000 = 0"), ends)
+    return leads.fingerprint_plan(found, ends)
 
 
 def storyboard_frames(spark, sf_dir):
@@ -346,7 +346,7 @@ NAMES = "coalesce(array_to_string(list_sort(list(DISTINCT participant) FILTER (W
 SOUND = " UNION ALL ".join(f"SELECT *, {n} AS n, '{kind}' AS sound, least(1.0, {' + '.join(f'coalesce(abs(embedding[{c + 1}]::DOUBLE), 0)' for c in classes)}) AS score FROM e" for n, (kind, classes) in enumerate(cx.SOUND_KINDS.items()))
 FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 PLAN_SQL = f"""{CANDIDATES}, ends AS (SELECT DISTINCT broadcast_id, CASE WHEN broadcast_id % 4 = 0 THEN 900000 ELSE 3600000 END AS d FROM candidates),
-near AS (SELECT broadcast_id, peak_ms FROM (SELECT DISTINCT broadcast_id, peak_ms FROM candidates WHERE id % 9 = 0) QUALIFY row_number() OVER (PARTITION BY broadcast_id ORDER BY peak_ms) <= 12),
+near AS (SELECT broadcast_id, peak_ms FROM (SELECT DISTINCT broadcast_id, peak_ms FROM candidates) QUALIFY row_number() OVER (PARTITION BY broadcast_id ORDER BY peak_ms) <= 12),
 events AS (SELECT broadcast_id, greatest(0, peak_ms - 60000)::DOUBLE AS s, least(d, peak_ms + 60000)::DOUBLE AS e, 'event' AS k FROM near JOIN ends USING (broadcast_id) WHERE d > 1500000 AND peak_ms < d),
 used AS (SELECT broadcast_id, sum(greatest(0, e - greatest(s, coalesce(r, s)))) AS used FROM (SELECT *, max(e) OVER (PARTITION BY broadcast_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM events) GROUP BY ALL),
 axis AS (SELECT broadcast_id, unnest(range(0, 6)) * 600000 AS a, greatest(0.0, least(d::DOUBLE, 1500000.0 - coalesce(used, 0))) / 6 AS sample FROM ends LEFT JOIN used USING (broadcast_id) WHERE d > 1500000),
@@ -392,13 +392,13 @@ QUERIES = {
       p AS (SELECT lead, coalesce(score, 0) AS score, CASE WHEN coalesce(score, 0) >= 0.2 THEN mid ELSE CAST(floor(s + (e - s) / 2 + 0.5) AS BIGINT) END AS peak_ms, d, least(45000, d) AS w FROM l LEFT JOIN b USING (broadcast_id, lead)),
       t AS (SELECT *, greatest(0, least(d - w, peak_ms - w // 2)) AS start_ms FROM p) SELECT lead, {rounded('score', 'score')}, peak_ms, start_ms, start_ms + w AS end_ms FROM t"""),
     "caption_cells": (caption_cells, f"WITH {TALK}, {PLAN30.format(30000)} SELECT p.broadcast_id, cell, count(*) AS n_cues, md5(left(string_agg(text, ' ' ORDER BY c.start_ms, c.cue), 12000)) AS text FROM plan p JOIN own c ON c.broadcast_id = p.broadcast_id AND c.start_ms < p.end_ms AND c.end_ms > p.start_ms GROUP BY ALL"),
-    "refined_segments": (refined_segments, f"WITH {TALK}, {PLAN30.format(30000)} SELECT p.broadcast_id, p.start_ms, p.end_ms, md5(left(string_agg(text, ' ' ORDER BY c.start_ms, c.cue), 12000)) AS text FROM plan p JOIN own c ON c.broadcast_id = p.broadcast_id AND c.start_ms < p.end_ms AND c.end_ms > p.start_ms WHERE cell % 3 < 2 GROUP BY ALL HAVING trim(left(string_agg(text, ' ' ORDER BY c.start_ms, c.cue), 12000)) <> ''"),
+    "refined_segments": (refined_segments, f"WITH {TALK}, {PLAN30.format(30000)} SELECT p.broadcast_id, p.start_ms, p.end_ms, md5(left(string_agg(text, ' ' ORDER BY c.start_ms, c.cue), 12000)) AS text FROM plan p JOIN own c ON c.broadcast_id = p.broadcast_id AND c.start_ms < p.end_ms AND c.end_ms > p.start_ms GROUP BY ALL HAVING trim(left(string_agg(text, ' ' ORDER BY c.start_ms, c.cue), 12000)) <> ''"),
     "bound_cues": (bound_cues, f"WITH {CAPTIONS}, d AS (SELECT broadcast_id, max(start_ms) - 5000 AS d FROM captions GROUP BY ALL) SELECT broadcast_id, cue, least(end_ms, d) AS end_ms FROM captions JOIN d USING (broadcast_id) WHERE start_ms < d"),
-    "subtitle_gate": (subtitle_gate, f"""WITH {CAPTIONS}, k AS (SELECT broadcast_id, cue AS id, start_ms + 2500 AS s, start_ms + 40000 AS e FROM captions WHERE cue % 3 = 0),
+    "subtitle_gate": (subtitle_gate, f"""WITH {CAPTIONS}, k AS (SELECT broadcast_id, cue AS id, start_ms + 2500 AS s, start_ms + 40000 AS e FROM captions),
       h AS (SELECT k.broadcast_id, k.id, greatest(s, c.start_ms) AS a, least(e, c.end_ms) AS b FROM k JOIN captions c ON c.broadcast_id = k.broadcast_id AND greatest(s, c.start_ms) < least(e, c.end_ms)),
       r AS (SELECT *, max(b) OVER (PARTITION BY broadcast_id, id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM h), c AS (SELECT broadcast_id, id, sum(greatest(0, b - greatest(a, coalesce(r, a)))) AS covered FROM r GROUP BY ALL)
       SELECT broadcast_id, id, {rounded('share', 'coalesce(covered, 0) / 37500')}, coalesce(covered, 0) / 37500 >= 0.6 AS available FROM k LEFT JOIN c USING (broadcast_id, id)"""),
-    "inspection_order": (inspection_order, f"""WITH {CANDIDATES}, {CELLS}, o AS (SELECT c.broadcast_id, cell, least(c.end_ms, k.end_ms) - greatest(c.start_ms, k.start_ms) AS o, k.id FROM cells c JOIN candidates k ON k.broadcast_id = c.broadcast_id AND kind = 'chat' AND id % 3 = 0 AND greatest(c.start_ms, k.start_ms) < least(c.end_ms, k.end_ms)),
+    "inspection_order": (inspection_order, f"""WITH {CANDIDATES}, {CELLS}, o AS (SELECT c.broadcast_id, cell, least(c.end_ms, k.end_ms) - greatest(c.start_ms, k.start_ms) AS o, k.id FROM cells c JOIN candidates k ON k.broadcast_id = c.broadcast_id AND kind = 'chat' AND greatest(c.start_ms, k.start_ms) < least(c.end_ms, k.end_ms)),
       p AS (SELECT broadcast_id, cell, max(o) AS o, string_agg(id, ',' ORDER BY o DESC, id) AS ids FROM o GROUP BY ALL), v AS (SELECT broadcast_id, CAST(peak_ms // 600000 AS INTEGER) AS cell, max(score) AS salience FROM candidates WHERE kind = 'visual' GROUP BY ALL),
       t AS (SELECT broadcast_id, cell, start_ms, coalesce(o, 0) / 600000 AS ratio, coalesce(salience, 0) AS salience, coalesce(ids, '') AS ids FROM cells LEFT JOIN p USING (broadcast_id, cell) LEFT JOIN v USING (broadcast_id, cell))
       SELECT broadcast_id, cell, {rounded('ratio', 'ratio')}, CASE WHEN ratio > 0 THEN 'candidate-overlap' WHEN salience > 0 THEN 'local-visual-salience' ELSE 'source-order' END AS basis, ids, CAST(row_number() OVER (PARTITION BY broadcast_id ORDER BY ratio DESC, salience DESC, start_ms, cell) AS INTEGER) AS place FROM t"""),
@@ -411,7 +411,7 @@ QUERIES = {
     "grounding": (grounding, f"""WITH {EVIDENCE}, p AS (SELECT broadcast_id, unnest(range(0, 9)) AS participant FROM (SELECT DISTINCT broadcast_id FROM candidates)), c AS (SELECT broadcast_id, participant, count(*) FILTER (WHERE kind = 'transcript-name-mention') AS m, count(*) FILTER (WHERE kind <> 'transcript-name-mention') AS o FROM evidence GROUP BY ALL),
       j AS (SELECT broadcast_id, participant, coalesce(m, 0) AS n_mentions, coalesce(o, 0) AS n_observed FROM p LEFT JOIN c USING (broadcast_id, participant)) SELECT *, CASE WHEN max(n_observed) OVER w > 0 THEN 'observed-identities' WHEN max(n_mentions) OVER w > 0 THEN 'transcript-mentions' ELSE 'catalog-only' END AS status FROM j WINDOW w AS (PARTITION BY broadcast_id)"""),
     "visual_chapters": (visual_chapters, f"WITH {VISUAL} SELECT broadcast_id, chapter, start_ms, text FROM visual"),
-    "all_chapters": (all_chapters, f"""WITH {VISUAL}, b AS (SELECT broadcast_id, n AS chapter, start_ms, end_ms, 0 AS side FROM chapters WHERE doc_id % 5 < 3 UNION ALL SELECT broadcast_id, chapter, start_ms, end_ms, 1 FROM visual),
+    "all_chapters": (all_chapters, f"""WITH {VISUAL}, b AS (SELECT broadcast_id, n AS chapter, start_ms, end_ms, 0 AS side FROM chapters UNION ALL SELECT broadcast_id, chapter, start_ms, end_ms, 1 FROM visual),
       v AS (SELECT *, row_number() OVER (PARTITION BY broadcast_id, chapter ORDER BY start_ms, end_ms, side) > 1 AS r, start_ms < coalesce(max(end_ms) OVER (PARTITION BY broadcast_id ORDER BY start_ms, end_ms, chapter, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o, row_number() OVER (PARTITION BY broadcast_id ORDER BY start_ms, end_ms, chapter, side) AS p FROM b)
       SELECT broadcast_id, CASE WHEN r THEN 'repeated-id' WHEN o THEN 'overlap' END AS violation, count(*) AS n, CAST(max(p) AS INTEGER) AS last FROM v GROUP BY 1, 2"""),
     "chapter_upserts": (chapter_upserts, f"WITH {CHAPTERS} SELECT broadcast_id, printf('transcript-%03d', row_number() OVER (PARTITION BY broadcast_id ORDER BY start_ms)) AS chapter, start_ms, md5(text) || CASE WHEN doc_id % 3 > 0 THEN '!' ELSE '' END AS text, false AS overlaps FROM chapters"),
@@ -443,7 +443,7 @@ QUERIES = {
       g AS (SELECT broadcast_id, n, row_number() OVER (PARTITION BY broadcast_id ORDER BY place) AS g FROM p ANTI JOIN k USING (broadcast_id, n)), u AS (SELECT broadcast_id, n, CASE WHEN k = 1 THEN 1 ELSE k + 1 END AS key FROM k UNION ALL SELECT broadcast_id, n, CASE WHEN g = 1 AND (SELECT count(*) FROM k WHERE k.broadcast_id = g.broadcast_id) > 1 THEN 2 ELSE 1000000 + g END FROM g)
       SELECT broadcast_id, n, CAST(row_number() OVER (PARTITION BY broadcast_id ORDER BY key) AS INTEGER) AS pick FROM u"""),
     "listening_plan": (listening_plan, f"""WITH {PLAN_SQL} SELECT broadcast_id, {rounded('start_ms', 's', 3)}, {rounded('end_ms', 'least(e, s + 1500000 - before)', 3)}, kinds FROM cut WHERE before < 1500000 UNION ALL SELECT broadcast_id, 0, d, 'uniform' FROM ends WHERE d <= 1500000"""),
-    "fingerprint_samples": (fingerprint_samples, f"WITH {FRAMES}, d AS (SELECT broadcast_id, max(ts_ms) + 5000 AS d FROM frames GROUP BY ALL) SELECT DISTINCT broadcast_id, ts_ms + o AS ts_ms FROM (SELECT broadcast_id, ts_ms, unnest(range(-30000, 35000, 5000)) AS o FROM frames WHERE ts_ms % 15000 = 0) JOIN d USING (broadcast_id) WHERE ts_ms + o >= 0 AND ts_ms + o < d"),
+    "fingerprint_samples": (fingerprint_samples, f"WITH {FRAMES}, d AS (SELECT broadcast_id, max(ts_ms) + 5000 AS d FROM frames GROUP BY ALL) SELECT DISTINCT broadcast_id, ts_ms + o AS ts_ms FROM (SELECT broadcast_id, ts_ms, unnest(range(-30000, 35000, 5000)) AS o FROM frames) JOIN d USING (broadcast_id) WHERE ts_ms + o >= 0 AND ts_ms + o < d"),
     "storyboard_frames": (storyboard_frames, f"""WITH {FRAMES}, d AS (SELECT broadcast_id, max(ts_ms) + 5000 AS d, greatest(1, CAST(ceil((max(ts_ms) + 5000) / 1000 * 0.5) AS BIGINT)) AS total FROM frames GROUP BY ALL), a AS (SELECT *, unnest(range(1, 13)) AS anchor FROM d),
       t AS (SELECT *, CAST(floor((total - 1) * (anchor / 13) + 0.5) AS BIGINT) AS target FROM a), f AS (SELECT *, target + unnest(range(-2, 3)) AS frame FROM t)
       SELECT broadcast_id, CAST(anchor AS INTEGER) AS anchor, frame, frame // 25 AS sheet, frame % 25 AS tile, least(d - 1, CAST(floor(frame / 0.5 * 1000 + 0.5) AS BIGINT)) AS ts_ms FROM f WHERE frame >= 0 AND frame < total AND frame // 25 = target // 25"""),

@@ -124,7 +124,7 @@ def chapter_refs(spark, sf_dir):
 
 def phase_cues(spark, sf_dir):
     cues = captions(spark, sf_dir)
-    peaks = cues.where("cue % 2 = 1").select("broadcast_id", F.col("cue").alias("id"), (F.col("start_ms") + 4000).alias("peak_ms"))
+    peaks = cues.select("broadcast_id", F.col("cue").alias("id"), (F.col("start_ms") + 4000).alias("peak_ms"))
     return transcript.phase_cues(cues.select("broadcast_id", "cue", "start_ms"), peaks).select("broadcast_id", "id", "phase", "cue")
 
 
@@ -231,7 +231,7 @@ def highlights_markdown(spark, sf_dir):
 
 def clip_subtitles(spark, sf_dir):
     cues = captions(spark, sf_dir)
-    clips = cues.where("cue % 3 = 0").select("broadcast_id", F.col("cue").alias("clip"), (F.col("start_ms") + 2500).alias("start_ms"), (F.col("start_ms") + 40_000).alias("end_ms"))
+    clips = cues.select("broadcast_id", F.col("cue").alias("clip"), (F.col("start_ms") + 2500).alias("start_ms"), (F.col("start_ms") + 40_000).alias("end_ms"))
     return documents.clip_srt(cues.select("broadcast_id", "cue", "start_ms", "end_ms", "text"), clips).select("broadcast_id", "clip", F.md5(F.col("srt").cast("binary")).alias("srt"))
 
 
@@ -273,7 +273,7 @@ QUERIES = {
       SELECT broadcast_id, grp AS group, start_ms, end_ms, n_chapters, {rounded('ratio', 'ratio')}, complete, md5({REP.format('t', 3000, 747)}) AS summary FROM c""".replace("AS group", 'AS "group"')),
     "chapter_refs": (chapter_refs, f"""WITH {CHAPTERS}, l AS (SELECT broadcast_id, doc_id AS lead, n + doc_id % 3 AS f, n + doc_id % 5 AS t FROM chapters)
       SELECT lead, a.start_ms AS lead_start, b.end_ms AS lead_end, CASE WHEN a.start_ms IS NULL OR b.end_ms IS NULL THEN 'missing-chapter' WHEN b.end_ms <= a.start_ms THEN 'disorder' END AS problem FROM l LEFT JOIN chapters a ON a.broadcast_id = l.broadcast_id AND a.n = l.f LEFT JOIN chapters b ON b.broadcast_id = l.broadcast_id AND b.n = l.t"""),
-    "phase_cues": (phase_cues, f"""WITH {CAPTIONS}, p AS (SELECT broadcast_id, cue AS id, start_ms + 4000 AS peak_ms FROM captions WHERE cue % 2 = 1), b AS (SELECT p.*, c.cue, c.start_ms, c.start_ms - peak_ms AS away, CASE WHEN abs(c.start_ms - peak_ms) <= 5000 THEN 'near' WHEN c.start_ms < peak_ms THEN 'before' ELSE 'after' END AS phase FROM p JOIN captions c USING (broadcast_id))
+    "phase_cues": (phase_cues, f"""WITH {CAPTIONS}, p AS (SELECT broadcast_id, cue AS id, start_ms + 4000 AS peak_ms FROM captions), b AS (SELECT p.*, c.cue, c.start_ms, c.start_ms - peak_ms AS away, CASE WHEN abs(c.start_ms - peak_ms) <= 5000 THEN 'near' WHEN c.start_ms < peak_ms THEN 'before' ELSE 'after' END AS phase FROM p JOIN captions c USING (broadcast_id))
       SELECT broadcast_id, id, phase, cue FROM b QUALIFY row_number() OVER (PARTITION BY broadcast_id, id, phase ORDER BY abs(away), start_ms, cue) = 1"""),
     "name_mentions": (name_mentions, f"WITH {MENTIONS} SELECT id, participant, name FROM mentions"),
     "participant_mentions": (participant_mentions, f"""WITH {MENTIONS}, c AS (SELECT source, participant, count(*) AS n FROM mentions JOIN documents ON doc_id = id GROUP BY ALL), j AS (SELECT source AS broadcast_id, participant, coalesce(n, 0) AS n_chapters
@@ -296,7 +296,7 @@ QUERIES = {
     "highlights_csv": (highlights_csv, f"""WITH {EDITS} SELECT id, '"' || CASE WHEN title LIKE '=%' THEN '''' ELSE '' END || title || '","' || {TC.format('start_ms')} || '","' || {TC.format('end_ms')} || '","00:00:45","chat","say ""hi' || repeat(chr(34), 3) AS line FROM edits"""),
     "highlights_json": (highlights_json, f"""WITH {EDITS} SELECT id, '{{"id":' || id || ',"title":"' || title || '","start_ms":' || start_ms || ',"end_ms":' || end_ms || ',"reason":"chat"}}' AS json FROM edits"""),
     "highlights_markdown": (highlights_markdown, f"WITH {EDITS} SELECT broadcast_id, md5(string_agg('- ' || {TC.format('start_ms')} || '–' || {TC.format('end_ms')} || ' ' || title, chr(10) ORDER BY start_ms, end_ms, id)) AS markdown FROM edits GROUP BY ALL"),
-    "clip_subtitles": (clip_subtitles, f"""WITH {CAPTIONS}, k AS (SELECT broadcast_id, cue AS clip, start_ms + 2500 AS s, start_ms + 40000 AS e FROM captions WHERE cue % 3 = 0),
+    "clip_subtitles": (clip_subtitles, f"""WITH {CAPTIONS}, k AS (SELECT broadcast_id, cue AS clip, start_ms + 2500 AS s, start_ms + 40000 AS e FROM captions),
       h AS (SELECT k.broadcast_id, clip, greatest(s, c.start_ms) - s AS a, least(e, c.end_ms) - s AS b, cue, text, row_number() OVER (PARTITION BY k.broadcast_id, clip ORDER BY greatest(s, c.start_ms), cue) AS n FROM k JOIN captions c ON k.broadcast_id = c.broadcast_id AND greatest(s, c.start_ms) < least(e, c.end_ms))
       SELECT broadcast_id, clip, md5(string_agg(n || chr(13) || chr(10) || {SRT.format(TC.format('a'), 'a')} || ' --> ' || {SRT.format(TC.format('b'), 'b')} || chr(13) || chr(10) || text || chr(13) || chr(10), chr(13) || chr(10) ORDER BY n) || chr(13) || chr(10)) AS srt FROM h GROUP BY ALL"""),
 }
