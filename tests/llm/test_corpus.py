@@ -176,6 +176,30 @@ def test_main_text():
     assert main_text.main_text(deep)[0].startswith("some words") and time.time() - began < 10
 
 
+def test_main_text_keeps_short_sections_of_the_article():
+    paragraph = "<p>" + "word " * 80 + "</p>"
+    tail = "<ul>" + "<li><a href=x>link to another page</a></li>" * 4 + "</ul><h2>More</h2><p>" + "tail " * 48 + "</p>"
+    for n in (1, 3, 4, 40):
+        assert main_text.main_text(f"<article>{paragraph * n}{tail}</article>")[0].split().count("tail") == 48
+    # a short card of another article is no part of the story
+    story = "<article>" + "<p>" + "long " * 300 + "</p></article>"
+    assert "card" not in main_text.main_text(f"<article><p>a card of some fifty letters, no more than this</p></article><ul>{'<li><a>x</a></li>' * 8}</ul>{story}")[0]
+
+
+def test_main_text_of_broken_tags():
+    text = "some words of the story " * 20
+    assert main_text.main_text(f'<body><div class="ad"><p>{text}</p></body>')[0] == text.strip()
+    assert main_text.main_text(f'<body><div class="ad"><nav>menu</nav><p>{text}</p></body>')[0] == text.strip()
+    # masks that end hold, as do those of elements that need no end tag
+    assert main_text.main_text(f'<body><div class="ad"><p>{text}</p></div></body>')[0] == ""
+    assert main_text.main_text(f'<body><ul><li class="ad">{text}</ul></body>')[0] == ""
+    assert main_text.main_text(f"<div class=x <p>{text}</p>")[0] == text.strip()
+    began = time.time()
+    for page in ("<a " * 300_000, '<a "' * 250_000, "<a ' \" " * 150_000, "<script>" + "</script " * 120_000, "<div " + "a" * 1_000_000, "<!" * 500_000, '<div class="ad">' * 60_000):
+        assert main_text.main_text(page + "x")[0] in ("", "x")
+    assert time.time() - began < 20
+
+
 def test_line_blocks_decide_without_article_tags():
     pages = duckdb.sql(f"SELECT html FROM '{SF}/pages.parquet'").fetchall()
     for (page,) in pages:
