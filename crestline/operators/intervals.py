@@ -124,4 +124,4 @@ def cells(durations: DataFrame, step_ms: int) -> DataFrame:
     """Cells of step_ms over each source; the last one ends with it."""
     n = F.ceil(F.col("duration_ms") / step_ms).cast("int")
     out = durations.where("duration_ms > 0").select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("cell"))
-    return out.withColumn("start_ms", (F.col("cell") * F.lit(step_ms)).cast("long")).withColumn("end_ms", F.least(F.col("duration_ms"), (F.col("cell") + 1) * F.lit(step_ms)).cast("long"))
+    return out.withColumn("start_ms", F.col("cell").cast("long") * step_ms).withColumn("end_ms", F.least(F.col("duration_ms"), (F.col("cell").cast("long") + 1) * step_ms).cast("long"))
