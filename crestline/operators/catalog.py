@@ -76,14 +76,34 @@ def rotate_sources(sources: DataFrame, hour: int, every: int = 3) -> DataFrame:
     return sources.crossJoin(F.broadcast(size)).withColumn("turn", F.pmod(F.col("n") - hour // every, F.col("size"))).drop("size")
 
 
+def _spread(queries: DataFrame, key: str, right: DataFrame, parts: int = 64) -> DataFrame:
+    """Left join by key; the many rows without a key, which match nothing, are dealt over parts and do not meet in one task."""
+    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64("query_id"), F.lit(parts))).otherwise(0).cast("long")
+    return queries.withColumn("_salt", salt).join(right.withColumn("_salt", F.lit(0).cast("long")), [key, "_salt"], "left").drop("_salt")
+
+
+def titled_alike(queries: DataFrame, videos: DataFrame, tolerance_ms: int) -> DataFrame:
+    """query_id, n, found: the number of videos with a query's title whose length in whole milliseconds differs by no more,
+    and the video if it is one. Pairs are never made: videos are counted in order of length, up to both ends of a query's
+    range, under every bin of lengths that they reach, so that a frequent title is many tasks."""
+    bin_ms = 16 * tolerance_ms + 16
+    files = videos.where("title is not null and duration_ms is not null").groupBy("title", "duration_ms").agg(F.count("*").alias("n"), F.min("video_id").alias("video_id"))
+    at = lambda d: F.floor((F.col("duration_ms") + d) / bin_ms)
+    files = files.withColumn("bin", F.explode(F.sequence(at(-tolerance_ms), at(tolerance_ms)))).withColumn("query_id", F.lit(None).cast(queries.schema["query_id"].dataType))
+    asked = queries.where("title is not null and duration_ms is not null and query_id is not null").select("title", "duration_ms", F.lit(0).cast("long").alias("n"), F.lit(None).cast(videos.schema["video_id"].dataType).alias("video_id"), at(0).alias("bin"), "query_id")
+    order = W.partitionBy("title", "bin").orderBy("duration_ms")
+    to_end, to_start = order.rangeBetween(W.unboundedPreceding, tolerance_ms), order.rangeBetween(W.unboundedPreceding, -tolerance_ms - 1)
+    counted = files.unionByName(asked).select("query_id", (F.sum("n").over(to_end) - F.coalesce(F.sum("n").over(to_start), F.lit(0))).alias("n"), F.last("video_id", ignorenulls=True).over(to_end).alias("found"))
+    return counted.where("query_id is not null and n > 0").groupBy("query_id").agg(F.sum("n").alias("n"), F.min("found").alias("found"))
+
+
 def match_catalog(queries: DataFrame, videos: DataFrame, tolerance_ms: int = 2000) -> DataFrame:
     """Identity of queries(query_id, video_id, fingerprint, title, duration_ms): by id, else by a registered fingerprint,
     else by a title and length, that only one video of videos(video_id, fingerprint, title, duration_ms) has."""
-    by_id = queries.join(videos.select("video_id").withColumn("direct", F.lit(True)), "video_id", "left")
-    near = queries.join(videos.select(F.col("video_id").alias("found"), F.col("title").alias("t"), F.col("duration_ms").alias("d")), F.col("title") == F.col("t")).where(F.abs(F.col("duration_ms") - F.col("d")) <= tolerance_ms)
-    near = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("found").alias("found"))
+    by_id = _spread(queries, "video_id", videos.select("video_id").withColumn("direct", F.lit(True)))
+    near = titled_alike(queries, videos, tolerance_ms)
     registered = videos.where("fingerprint is not null").groupBy("fingerprint").agg(F.count_distinct("video_id").alias("n_prints"), F.min("video_id").alias("printed"))
-    both = by_id.join(near, "query_id", "left").join(registered, "fingerprint", "left")
+    both = _spread(by_id, "fingerprint", registered).join(near, "query_id", "left")
     one_print, one_title = F.coalesce(F.col("n_prints") == 1, F.lit(False)), F.coalesce(F.col("n") == 1, F.lit(False))
     status = F.when(F.col("direct"), "by-id").when(one_print, "by-fingerprint").when(F.col("n_prints") > 1, "ambiguous").when(one_title, "by-title").when(F.col("n") > 1, "ambiguous").otherwise("none")
     match = F.when(F.col("direct"), F.col("video_id")).when(one_print, F.col("printed")).when(F.col("n_prints").isNull() & one_title, F.col("found"))

@@ -37,3 +37,35 @@ def test_cells_of_a_long_source(spark):
 
     last = iv.cells(spark.createDataFrame([(1, 3_000_000_000)], "broadcast_id long, duration_ms long"), 600_000).orderBy("cell").collect()[-1]
     assert (last["start_ms"], last["end_ms"]) == (2_999_400_000, 3_000_000_000)
+
+
+def test_titles_alike_without_pairs(spark):
+    """Lengths at both ends of the range, repeated videos, missing titles and lengths: as by all pairs, and no pair is made."""
+    import random
+
+    from crestline.operators import catalog
+
+    rng = random.Random(4)
+    titles, length = ["a", "a", "a", "b", None], lambda: rng.choice([None, -2000, 0, 1, 2000, 2001, 32_016, 34_016, rng.randrange(80_000)])
+    some = lambda n, k: [(k + x, rng.choice(titles), length(), None, None) for x in range(n)]
+    kinds = "title string, duration_ms long, fingerprint long, {} long"
+    videos, queries = some(60, 0), some(400, 0)
+    videos += videos[:3]
+    found = catalog.titled_alike(spark.createDataFrame(queries, "query_id long, " + kinds.format("video_id")), spark.createDataFrame(videos, "video_id long, " + kinds.format("x")), 2000)
+    want = set()
+    for q, title, d, *_ in queries:
+        met = [v for v, t, e, *_ in videos if t is not None and t == title and None not in (d, e) and abs(d - e) <= 2000]
+        if met:
+            want.add((q, len(met), met[0] if len(met) == 1 else None))
+    assert {(r["query_id"], r["n"], r["found"] if r["n"] == 1 else None) for r in found.collect()} == want
+    assert any(n == 1 for _, n, _ in want) and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_catalog_of_one_title(spark):
+    """A title that 100,000 videos have is 10 ** 10 pairs, of which none is needed."""
+    from crestline.operators import catalog
+    from pyspark.sql import functions as F
+
+    v = spark.range(100_000).select(F.col("id").alias("video_id"), F.lit("t").alias("title"), (F.col("id") % 5000).alias("duration_ms"), F.lit(None).cast("long").alias("fingerprint"))
+    q = v.withColumn("query_id", F.col("video_id")).withColumn("video_id", F.lit(None).cast("long"))
+    assert {(r["status"], r["match"]) for r in catalog.match_catalog(q, v).collect()} == {("ambiguous", None)}
