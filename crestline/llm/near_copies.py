@@ -1,9 +1,11 @@
 """Near copies by the Jaccard similarity of five-word shingles, for the stage that keeps one document of each group.
 
-Two bits of 64 meet nearly all copies that differ in a word or two, but few at a similarity of 0.8. Here every distinct
-sequence of words has a MinHash sketch of BANDS bands of ROWS minima; a pair of similarity s meets in one of them with
-probability 1 - (1 - s ** ROWS) ** BANDS, 0.9996 at 0.8. What meets in a bucket is compared with one member of it, another
-one in each band, and never with all; a pair counts only if the exact similarity of its shingle sets reaches LEAST.
+Two bits of 64 meet nearly all copies that differ in a word or two, but few at a similarity of 0.8. Here no pair is left
+out: the shingles of every distinct sequence of words are put in one order that all share, and a pair of similarity s and
+more has its first common shingle among the first n - s * n + 1 of both (prefix filtering). All that share such a shingle
+meet, unless their sizes or its places rule out the similarity; a pair counts only if the exact similarity of its shingle
+sets reaches LEAST. Any order gives the same pairs. Shingles that a share of the documents has often come last, as a
+frequent one makes many pairs; a shingle of more than TILE documents is dealt over tiles, none of its pairs is left out.
 
 Defined results: A-Z in lower case, words split at ASCII white space; a text of fewer words than a shingle is one shingle; a
 null or blank text has no near copy; repeated rows are one text; rows without doc_id are left out; a text of any length is
@@ -12,20 +14,21 @@ read whole; an empty table gives no pairs; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stored, texts_as_bytes
 
-SHINGLE, LEAST, BANDS, ROWS, SEED = 5, 0.8, 20, 5, 42
-#: Shingles that are sketched at once, which bounds the memory of a long text.
-PORTION = 2048
-_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SHINGLE, LEAST, SEED = 5, 0.8, 42
+#: Documents that one tile of a shingle has; one of so many documents counts for the order; shingles that come last, at most.
+TILE, SHARE, COMMON = 1024, 16, 65_536
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,47 +46,73 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(grams)
 
 
-def sketch(grams: np.ndarray) -> list[int]:
-    """A key for each band."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(grams), PORTION):
-        mixed = grams[at : at + PORTION] * _ODD[:, None]
-        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=1))
-    return [xxhash.xxh64_intdigest(band.tobytes(), SEED) - (1 << 63) for band in least.reshape(BANDS, ROWS)]
+def prefix(grams: np.ndarray, least: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a text, one of which every near copy has: the common ones (ascending, with their rank) last."""
+    length = len(grams) - math.ceil(least * len(grams) - 1e-9) + 1
+    at = np.minimum(np.searchsorted(common, grams), len(common) - 1) if len(common) else np.zeros(0, dtype=int)
+    if not len(at) or not (often := common[at] == grams).any():
+        return grams[:length]
+    rare = grams[~often]
+    return rare[:length] if len(rare) >= length else np.concatenate([rare, grams[often][np.argsort(rank[at[often]])]])[:length]
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, words (a digest of the sequence of words) and keys of every document with a word."""
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of one in SHARE documents have, ascending, and their rank, the rarest first. This decides on
+    the order alone, and so on the work, never on a pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_as_bytes(batch, "text"), strict=True):
-                if len(grams := shingles(text)):
-                    rows.append((doc_id, xxhash.xxh3_128_digest(b" ".join(text.lower().split())), sketch(grams)))
-            cols = list(zip(*rows, strict=True)) or [()] * 3
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "words", "keys"])
+            found = [shingles(t) for t in texts_as_bytes(batch, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *found]).view(np.int64))], names=["gram"])
 
-    return docs.mapInArrow(run, "doc_id long, words binary, keys array<long>")
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0).select("doc_id", "text")
+    top = some.mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 3").orderBy(F.desc("n"), "gram").limit(COMMON)
+    grams = np.array([r["gram"] for r in top.select("gram").collect()][::-1], dtype=np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], np.arange(len(grams))[order]
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of the least doc_ids of distinct texts that meet in a band: each with one member of its bucket."""
-    marked = sketches(docs)
-    nodes = marked.groupBy("words").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
-    filed = stored(nodes.select("node", F.posexplode("keys").alias("band", "key")), "near-bands")
-    order = F.xxhash64("node", "band")
-    met = filed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), "node")).alias("least")).where("n > 1")
-    pairs = filed.join(met.select("band", "key", F.col("least.node").alias("centre")), ["band", "key"]).where("node <> centre")
-    return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+def prefixes(docs: DataFrame, least: float) -> DataFrame:
+    """doc_id, words (a digest of the sequence of words), size and the first shingles of every document with a word."""
+    common, rank = common_shingles(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts_as_bytes(batch, "text"), strict=True):
+                if len(grams := shingles(text)):
+                    # 48 bits: what meets by chance is told apart by the exact similarity
+                    first = (prefix(grams, least, common, rank) >> np.uint64(16)).astype(np.int64)
+                    rows.append((doc_id, xxhash.xxh3_128_digest(b" ".join(text.lower().split())), len(grams), first))
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "words", "size", "first"])
+
+    return docs.mapInArrow(run, "doc_id long, words binary, size int, first array<long>")
+
+
+def candidates(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """Pairs (a, b), a < b, of the least doc_ids of distinct texts: all that can have the similarity, and others."""
+    nodes = prefixes(docs, least).groupBy("words").agg(F.min("doc_id").alias("node"), F.first(F.struct("size", "first")).alias("t"))
+    filed = nodes.select("node", "t.size", F.posexplode("t.first").alias("at", "gram"))
+    met = filed.withColumn("n", F.count("*").over(W.partitionBy("gram"))).where("n > 1")
+    parts = F.ceil(F.col("n") / TILE)
+    met = stored(met.select("node", "size", (F.col("size") - F.col("at")).alias("rest"), "gram", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("part")), "near-met")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    x = met.select("gram", F.col("part").alias("p"), other.alias("q"), F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("rest").alias("x_rest"))
+    y = met.select("gram", other.alias("p"), F.col("part").alias("q"), F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("rest").alias("y_rest"))
+    both = x.join(y, ["gram", "p", "q"]).where("(x_size > y_size or x_size = y_size and x < y) and x <> y")
+    # the first common shingle leaves enough of both for all that they must have in common
+    enough = (F.col("x_size") + F.col("y_size")) * (least / (1 + least)) - 1e-6
+    both = both.where((F.col("y_size") >= F.col("x_size") * least - 1e-6) & (F.least("x_rest", "y_rest") >= enough))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links (a, b) between documents whose shingle sets have a Jaccard similarity of at least so much; of repeated texts
     the smallest doc_id stands for all."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    pairs = stored(candidates(docs), "near-pairs")
+    pairs = stored(candidates(docs, least), "near-pairs")
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-wanted")
     # an id that stands on several rows is compared by each of its texts
     texts = stored(docs.join(wanted, "doc_id", "left_semi").where(F.length(F.trim("text")) > 0), "near-texts")

@@ -734,3 +734,28 @@ def test_pipeline(spark, odd, odd_dir, empty, empty_dir):
     dirty = {r["doc_id"] for r in decontaminate.contamination(single, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").collect()}
     assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in single.collect()} - dirty
     assert {r["doc_id"] for r in cp.run(spark, SF).collect()} == {r["doc_id"] for r in clean.collect()}
+
+
+def test_no_near_copy_is_left_out(spark, monkeypatch):
+    """Chains of copies of which every second pair is below 0.8, many in one bucket, short texts, lines that all texts have."""
+    from crestline.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "TILE", 7, raising=False)
+    monkeypatch.setattr(near_copies, "SHARE", 1, raising=False)
+    rng = np.random.default_rng(3)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows, line = [], words(40)
+    for k in range(8):
+        own = (line if k % 2 else []) + words(int(rng.integers(12, 90)))
+        for j in range(25):
+            own = list(own)
+            own[int(rng.integers(len(own)))] = f"new{k}-{j}"
+            rows.append((k * 100 + j, " ".join(own)))
+    rows += [(5000 + k, " ".join(["one", "two", "three", "four", f"n{k % 5}"][: 1 + k % 5])) for k in range(30)]
+    sets = {d: set(zip(*(t.split()[k:] for k in range(min(5, len(t.split())))), strict=False)) for d, t in rows}
+    first = {}
+    for d, t in rows:
+        first.setdefault(t, d)
+    want = {(a, b) for a, b in itertools.combinations(sorted(first.values()), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    links = [(r["a"], r["b"]) for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(want) > 200 and len(links) == len(set(links)) and set(links) == want
