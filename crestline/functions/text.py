@@ -13,10 +13,11 @@ from pyspark.sql.types import StringType
 REACTIONS = "ㅋ{2,}|ㅎ{2,}|ㄷㄷ|와{1,}|우와|대박|레전드|미쳤|미친|헐|뭐야|실화|나이스|개웃|웃겨|!{2,}|\\?{2,}"
 
 
-@F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
+# whole texts go to Python a hundred rows at a time: an Arrow batch would hold ten thousand of them, and as many results
+@F.udf(StringType(), useArrow=False)
+def nfkc(text: str | None) -> str | None:
     """Compatibility composition; Spark has no function for it."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t), na_action="ignore")
+    return None if text is None else unicodedata.normalize("NFKC", text)
 
 
 def needs_nfkc(text: Column) -> Column:
@@ -28,10 +29,10 @@ def composed(text: Column) -> Column:
     return F.coalesce(nfkc(F.when(needs_nfkc(text), text)), text)
 
 
-@F.pandas_udf(StringType())
-def nfc(texts: pd.Series) -> pd.Series:
+@F.udf(StringType(), useArrow=False)
+def nfc(text: str | None) -> str | None:
     """Canonical composition."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t), na_action="ignore")
+    return None if text is None else unicodedata.normalize("NFC", text)
 
 
 def norm_repeat(text: Column) -> Column:
@@ -103,9 +104,9 @@ def _allocated(sizes: list[int], weights: list[int], budget: int, floor: int) ->
 def head_tail_bytes(text: Column, most: Column, mark: str = "…") -> Column:
     """Two thirds from the head and one third from the tail of texts of more than most bytes; no character is cut."""
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, limits: pd.Series) -> pd.Series:
-        return pd.Series([_cut(t, int(n), mark) for t, n in zip(texts, limits, strict=True)], dtype=object)
+    @F.udf("string", useArrow=False)
+    def cut(text: str | None, limit: int) -> str | None:
+        return _cut(text, int(limit), mark)
 
     return F.when(F.octet_length(text) <= most, text).otherwise(cut(F.when(F.octet_length(text) > most, text), most))
 

@@ -69,3 +69,13 @@ def test_catalog_of_one_title(spark):
     v = spark.range(100_000).select(F.col("id").alias("video_id"), F.lit("t").alias("title"), (F.col("id") % 5000).alias("duration_ms"), F.lit(None).cast("long").alias("fingerprint"))
     q = v.withColumn("query_id", F.col("video_id")).withColumn("video_id", F.lit(None).cast("long"))
     assert {(r["status"], r["match"]) for r in catalog.match_catalog(q, v).collect()} == {("ambiguous", None)}
+
+
+def test_whole_texts_do_not_fill_arrow_batches(spark):
+    """Ten thousand whole texts are not held by one Python worker at once."""
+    from test_queries import SF
+
+    for name in ("text_functions", "field_bytes"):
+        plan = plans.queries()[name](spark, SF)._jdf.queryExecution().executedPlan()
+        udfs = [line for line in plan.toString().splitlines() if "ArrowEvalPython" in line]
+        assert "BatchEvalPython" in plan.toString() and not any("nfkc" in line or "cut" in line for line in udfs)
