@@ -15,20 +15,25 @@ read whole; an empty table gives no pairs; other columns are not read.
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, texts_as_bytes
+from .common import connected_components, stored, texts_as_bytes
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
 #: Documents that one tile of a shingle has; one of so many documents counts for the order; shingles that come last, at most.
 TILE, SHARE, COMMON = 1024, 16, 65_536
+#: Turns of pivots before all that is left is compared; pairs whose texts are held at once.
+TURNS, SLICE = 2, 256
+PARITY = tuple(f"odd{k}" for k in range(8))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,42 +96,139 @@ def prefixes(docs: DataFrame, least: float) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, words binary, size int, first array<long>")
 
 
+def filed(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """node (the least doc_id of a distinct text), size, rest (shingles from here on) and gram, for first shingles that meet."""
+    nodes = prefixes(docs, least).groupBy("words").agg(F.min("doc_id").alias("node"), F.first(F.struct("size", "first")).alias("t"))
+    rows = nodes.select("node", "t.size", F.posexplode("t.first").alias("at", "gram"))
+    met = rows.withColumn("n", F.count("*").over(W.partitionBy("gram"))).where("n > 1")
+    return met.select("node", "size", (F.col("size") - F.col("at")).alias("rest"), "gram", "n")
+
+
+def _can(x: str, y: str, least: float, parity: bool = False) -> Column:
+    """Whether two members of a shingle can have the similarity: by their sizes, as the first common shingle leaves enough
+    of both for all that they must have in common, and as no more bits of parity differ than shingles may."""
+    one, two = F.col(f"{x}.size"), F.col(f"{y}.size")
+    enough = (one + two) * (least / (1 + least)) - 1e-6
+    can = (F.least(one, two) >= F.greatest(one, two) * least - 1e-6) & (F.least(F.col(f"{x}.rest"), F.col(f"{y}.rest")) >= enough)
+    if not parity:
+        return can
+    differ = reduce(operator.add, (F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in PARITY))
+    return can & (differ <= (one + two) * ((1 - least) / (1 + least)) + 1e-6)
+
+
+def parities(docs: DataFrame) -> DataFrame:
+    """Whether an odd number of a text's shingles has each value of nine bits, as longs: texts that differ in d shingles
+    differ in d of these bits at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd = np.zeros((len(batch), 64 * len(PARITY)), dtype=np.uint8)
+            for k, text in enumerate(texts_as_bytes(batch, "text")):
+                odd[k] = np.bincount((shingles(text) >> np.uint64(55)).astype(np.int64), minlength=odd.shape[1]) % 2
+            longs = np.packbits(odd, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(longs[:, k].copy()) for k in range(len(PARITY)))], names=["node", *PARITY])
+
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(["node long", *(f"{b} long" for b in PARITY)]))
+
+
+def _tiled(met: DataFrame, n: Column, by: Column) -> tuple[DataFrame, DataFrame]:
+    """met as both sides of a join on gram, p and q, in which a frequent shingle is dealt over tiles."""
+    parts = F.ceil(n / TILE)
+    other, part = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)), F.pmod(F.xxhash64(by), parts)
+    return met.select("gram", part.alias("p"), other.alias("q"), "x"), met.select("gram", other.alias("p"), part.alias("q"), F.col("x").alias("y"))
+
+
 def candidates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """Pairs (a, b), a < b, of the least doc_ids of distinct texts: all that can have the similarity, and others."""
-    nodes = prefixes(docs, least).groupBy("words").agg(F.min("doc_id").alias("node"), F.first(F.struct("size", "first")).alias("t"))
-    filed = nodes.select("node", "t.size", F.posexplode("t.first").alias("at", "gram"))
-    met = filed.withColumn("n", F.count("*").over(W.partitionBy("gram"))).where("n > 1")
-    parts = F.ceil(F.col("n") / TILE)
-    met = stored(met.select("node", "size", (F.col("size") - F.col("at")).alias("rest"), "gram", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("part")), "near-met")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    x = met.select("gram", F.col("part").alias("p"), other.alias("q"), F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("rest").alias("x_rest"))
-    y = met.select("gram", other.alias("p"), F.col("part").alias("q"), F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("rest").alias("y_rest"))
-    both = x.join(y, ["gram", "p", "q"]).where("(x_size > y_size or x_size = y_size and x < y) and x <> y")
-    # the first common shingle leaves enough of both for all that they must have in common
-    enough = (F.col("x_size") + F.col("y_size")) * (least / (1 + least)) - 1e-6
-    both = both.where((F.col("y_size") >= F.col("x_size") * least - 1e-6) & (F.least("x_rest", "y_rest") >= enough))
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = stored(filed(docs, least).select("gram", "n", F.struct("node", "size", "rest").alias("x")), "near-met")
+    x, y = _tiled(met, F.col("n"), F.col("x.node"))
+    both = x.join(y, ["gram", "p", "q"]).where("(x.size > y.size or x.size = y.size and x.node < y.node) and x.node <> y.node")
+    return both.where(_can("x", "y", least)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def near_copies(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links (a, b) between documents whose shingle sets have a Jaccard similarity of at least so much; of repeated texts
-    the smallest doc_id stands for all."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    pairs = stored(candidates(docs, least), "near-pairs")
+def similar(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of docs(doc_id, text) that have the similarity."""
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-wanted")
     # an id that stands on several rows is compared by each of its texts
     texts = stored(docs.join(wanted, "doc_id", "left_semi").where(F.length(F.trim("text")) > 0), "near-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = (b"", np.zeros(0, dtype=np.uint64))
         for batch in batches:
-            keep, known = [], (b"", np.zeros(0, dtype=np.uint64))
-            for one, two in zip(texts_as_bytes(batch, "one"), texts_as_bytes(batch, "two"), strict=True):
-                if known[0] != one:
-                    known = (one, shingles(one))
-                other = shingles(two)
-                both = len(np.intersect1d(known[1], other, assume_unique=True))
-                keep.append(both > 0 and both >= least * (len(known[1]) + len(other) - both) - 1e-9)
+            keep = []
+            for at in range(0, len(batch), SLICE):  # few whole texts at once
+                some = batch.slice(at, SLICE)
+                for one, two in zip(texts_as_bytes(some, "one"), texts_as_bytes(some, "two"), strict=True):
+                    if known[0] != one:
+                        known = (one, shingles(one))
+                    other = shingles(two)
+                    both = len(np.intersect1d(known[1], other, assume_unique=True))
+                    keep.append(both > 0 and both >= least * (len(known[1]) + len(other) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one, two = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(name)) for k, name in (("a", "one"), ("b", "two")))
     return pairs.join(two, "b").join(one, "a").select("a", "b", "one", "two").mapInArrow(run, "a long, b long").distinct()
+
+
+def _wanted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+
+
+def near_copies(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b) between documents whose shingle sets have a Jaccard similarity of at least so much; of repeated texts
+    the smallest doc_id stands for all."""
+    docs = _wanted(docs, id_col, text_col)
+    return similar(stored(candidates(docs, least), "near-pairs"), docs, least)
+
+
+def _apart(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of the shingles that two classes(node, root) have, with their class."""
+    marked = met.drop("class").join(classes, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
+    mixed = marked.groupBy("gram").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("gram")
+    return stored(marked.join(mixed, "gram", "left_semi"), "near-apart")
+
+
+def _to_pivots(met: DataFrame, turn: int, least: float) -> DataFrame:
+    """Pairs of each member with one of its shingle, of like size and another class: no more than there are members."""
+    like = F.floor(F.log("size") / -math.log(least) + turn / 2).alias("like")  # every second turn cuts between
+    met = met.select("gram", like, "class", F.struct("node", "size", "rest", *PARITY).alias("x"))
+    # the same order in all shingles, so that near copies meet the same pivot in most of them
+    pivots = met.groupBy("gram", "like").agg(F.min_by(F.struct("x", "class"), F.xxhash64(F.lit(turn), "x.node")).alias("v"))
+    both = met.join(pivots.select("gram", "like", F.col("v.x").alias("y"), F.col("v.class").alias("other")), ["gram", "like"]).where("class <> other")
+    return both.where(_can("x", "y", least, parity=True)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _across(met: DataFrame, least: float) -> DataFrame:
+    """All pairs that can have the similarity and are of two classes; members of one class are not paired."""
+    size = W.partitionBy("gram")
+    groups = met.groupBy("gram", "class").agg(F.min("size").alias("low"), F.max("size").alias("high")).withColumn("n", F.count("*").over(size))
+    groups = stored(groups.select("gram", "n", F.struct("class", "low", "high").alias("x")), "near-groups")
+    x, y = _tiled(groups, F.col("n"), F.col("x.class"))
+    fit = (F.col("x.high") >= F.col("y.low") * least - 1e-6) & (F.col("y.high") >= F.col("x.low") * least - 1e-6)
+    two = x.join(y, ["gram", "p", "q"]).where("x.class < y.class").where(fit).select("gram", F.col("x.class").alias("c"), F.col("y.class").alias("d"))
+    side = lambda c, x: met.select("gram", F.col("class").alias(c), F.struct("node", "size", "rest", *PARITY).alias(x))
+    both = two.join(side("c", "x"), ["gram", "c"]).join(side("d", "y"), ["gram", "d"])
+    return both.where(_can("x", "y", least, parity=True)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def joining_links(docs: DataFrame, known: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b) that reach, together with those known(a, b), all that these and near_copies reach.
+
+    A group of copies is not expanded into its pairs. Members of a shingle are first compared with one pivot of it, twice
+    in another order; after that only pairs of two classes are left that no link has joined, and all of these are
+    compared, but for those whose parities differ too much for the similarity. So no link between two classes is left
+    out, and a group of n copies takes some n comparisons.
+    """
+    docs = _wanted(docs, id_col, text_col)
+    links, tried, met = stored(known, "near-known"), None, stored(filed(docs, least), "near-met")
+    for turn in range(TURNS + 1):
+        met = _apart(met, connected_components(links))
+        if not turn:
+            # an id that stands on several rows has the parities of each of its texts
+            odd = parities(docs.join(met.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+            met = stored(met.join(odd.distinct(), "node"), "near-parities")
+        pairs = _to_pivots(met, turn, least) if turn < TURNS else _across(met, least)
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = links.unionByName(stored(similar(pairs, docs, least), "near-joined"))
+    return links

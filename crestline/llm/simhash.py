@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, stored, texts_as_bytes
-from .near_copies import near_copies
+from .near_copies import joining_links, near_copies
 
 BITS, MAX_BITS, SEED = 64, 2, 42
 #: Segments of the ring: first bit and width.
@@ -124,6 +124,6 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     alone meet few of the copies whose similarity is near 0.8.
     """
     by_bits = near_duplicates(docs, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    edges = stored(by_bits.unionByName(near_copies(docs)), "near-links")
+    edges = stored(joining_links(docs, by_bits), "near-links")
     extra = connected_components(edges).where("node <> root").select(F.col("node").alias("doc_id"))
     return docs.join(extra, "doc_id", "left_anti")

@@ -759,3 +759,48 @@ def test_no_near_copy_is_left_out(spark, monkeypatch):
     want = {(a, b) for a, b in itertools.combinations(sorted(first.values()), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     links = [(r["a"], r["b"]) for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert len(want) > 200 and len(links) == len(set(links)) and set(links) == want
+
+
+def test_joining_links_reach_what_all_pairs_reach(spark, monkeypatch):
+    """Chains, copies across sizes and one large group of near copies: the classes of all pairs, of which few are compared."""
+    from crestline.llm import near_copies
+    from crestline.llm.common import connected_components
+
+    monkeypatch.setattr(near_copies, "TILE", 7)
+    monkeypatch.setattr(near_copies, "SHARE", 1)
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows, line = [], words(40)
+    for k in range(8):
+        own = (line if k % 2 else []) + words(int(rng.integers(12, 90)))
+        for j in range(25):
+            own = list(own)
+            own[int(rng.integers(len(own)))] = f"new{k}-{j}"
+            own = own[:-1] if k % 3 == 0 and len(own) > 6 else own
+            rows.append((k * 100 + j, " ".join(own)))
+    base = words(300)
+    rows += [(10_000 + k, " ".join(w if x > 0.004 else f"c{k}" for w, x in zip(base, rng.random(300), strict=True)) + f" u{k}") for k in range(400)]
+    sets = {d: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for d, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    known = [(100, 2)]
+    root = {d: d for d in sets}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, b in links + known:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    compared, similar = [], near_copies.similar
+
+    def counting(pairs, *more):
+        compared.append(pairs.count())
+        return similar(pairs, *more)
+
+    monkeypatch.setattr(near_copies, "similar", counting)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    joined = near_copies.joining_links(docs, spark.createDataFrame(known, "a long, b long"))
+    found = {r["node"]: r["root"] for r in connected_components(joined).collect()}
+    assert len({t for _, t in rows}) == len(rows) and {d: found.get(d, d) for d in sets} == {d: top(d) for d in sets}
+    assert len(links) > 60_000 and sum(compared) < 8_000
