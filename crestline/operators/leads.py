@@ -10,12 +10,15 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from .greedy import keep_where
+from .grouped import pick_rows
 from .intervals import cells, merge, overlap_join
 
 #: Where scattered picks begin, leads and topics and refined leads at most, leads of a plan and length of its cells.
@@ -61,36 +64,39 @@ def refinement_leads(leads: DataFrame, most: int = REFINED) -> DataFrame:
     that has had the fewest turns for its size, the lead farthest from those taken. leads(broadcast_id, lead, topic,
     start_ms, end_ms, confidence, decision, verdict_confidence)."""
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_ms", "lead"]).reset_index(drop=True)
-        jury = pdf[pdf["decision"].isin(["select", "review"])].sort_values(["verdict_confidence", "confidence", "start_ms", "lead"], ascending=[False, False, True, True])
-        first = jury.index[:most].tolist()
-        middle, trust, topic = (pdf["start_ms"] + pdf["end_ms"]).to_numpy() / 2, pdf["confidence"].to_numpy(), pdf["topic"].to_numpy()
+    def choose(rows: pa.RecordBatch) -> tuple[list[int], dict[str, list]]:
+        start, end, trust, verdict = (rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("start_ms", "end_ms", "confidence", "verdict_confidence"))
+        jury = np.flatnonzero(pc.is_in(rows.column("decision"), pa.array(["select", "review"])).to_numpy(zero_copy_only=False))
+        # rows come in order of start and lead, which decide last
+        first = jury[np.lexsort((-trust[jury], -verdict[jury]))][:most].tolist()
+        known = rows.column("topic").is_valid().to_numpy(zero_copy_only=False)
+        topic = np.full(len(rows), -1)
+        topic[known] = np.unique(rows.column("topic").drop_null().to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        middle, free = (start + end) / 2, known.copy()
+        free[first] = False
         groups = {}
         for k in first:
-            groups.setdefault(topic[k], []).append(k)
+            groups.setdefault(int(topic[k]), []).append(k)
         size, turns = {t: len(g) for t, g in groups.items()}, dict.fromkeys(groups, 0)
-        left = {t: [k for k in range(len(pdf)) if topic[k] == t and k not in set(first)] for t in groups}
+        left = {t: np.flatnonzero(free & (topic == t)) for t in groups}
+        # how far each of them is from the nearest lead taken of its topic
+        far = {t: np.abs(middle[left[t]][:, None] - middle[g][None, :]).min(axis=1) for t, g in groups.items()}
         picks = list(first)
         room = min(most, max(6, 5 * len(first))) if first else 0
         while len(picks) < room:
-            open_ = [t for t in groups if left[t]]
+            open_ = [t for t in groups if len(left[t])]
             if not open_:
                 break
             t = min(open_, key=lambda t: (turns[t] * size[t], size[t], t))
-            own = np.array(left[t])
-            far = np.abs(middle[own][:, None] - middle[groups[t]][None, :]).min(axis=1)
-            k = int(own[np.lexsort((pdf["lead"].to_numpy()[own], pdf["start_ms"].to_numpy()[own], -trust[own], -far))[0]])
-            left[t].remove(k)
-            groups[t].append(k)
+            best = int(np.lexsort((-trust[left[t]], -far[t]))[0])
+            k = int(left[t][best])
+            left[t], near = np.delete(left[t], best), np.delete(far[t], best)
+            far[t] = np.minimum(near, np.abs(middle[left[t]] - middle[k]))
             turns[t] += 1
             picks.append(k)
-        out = pdf.loc[picks, ["broadcast_id", "lead"]].copy()
-        out["pick"] = np.arange(1, len(picks) + 1)
-        return out
+        return picks, {"pick": list(range(1, len(picks) + 1))}
 
-    key, lead = (leads.schema[c].dataType.simpleString() for c in ("broadcast_id", "lead"))
-    return leads.groupBy("broadcast_id").applyInPandas(choose, f"broadcast_id {key}, lead {lead}, pick int")
+    return pick_rows(leads, "broadcast_id", [F.asc_nulls_last("start_ms"), F.asc_nulls_last("lead")], ["broadcast_id", "lead"], choose, {"pick": pa.int32()})
 
 
 def farthest_first(at: list[int], rank: list[int], focus: float) -> list[int]:

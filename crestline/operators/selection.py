@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import intervals as I
 from ..functions import numbers as N
 from .greedy import cut
+from .grouped import pick_rows
 
 #: Width of a density bin, and the longest episode.
 BIN_MS, SPAN_MS = 300_000, 90_000
@@ -117,18 +118,18 @@ def select_diverse(episodes: DataFrame, quotas: DataFrame, budget: int = 12, bal
         episodes = episodes if name in episodes.columns else episodes.withColumn(name, F.lit(value))
     slots = min(budget, int(np.floor(budget * exploration + 0.5)))
 
-    def choose(pdf: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["peak_ms", "representative"]).reset_index(drop=True)
-        start, end, peak = (pdf[c].to_numpy(float) for c in ("start_ms", "end_ms", "peak_ms"))
-        keys, kinds = [set(k) for k in pdf["keys"]], [set(k) for k in pdf["kinds"]]
-        score, eligible, advised = pdf["score"].to_numpy(float), pdf["eligible"].to_numpy(bool), pdf["recommended"].to_numpy(bool)
-        span = score.max() - score.min() if len(pdf) else 0
+    def choose(rows: pa.RecordBatch) -> tuple[list[int], dict[str, list]]:
+        start, end, peak, score = (rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("start_ms", "end_ms", "peak_ms", "score"))
+        eligible, advised = (rows.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("eligible", "recommended"))
+        keys, kinds = _Held(rows.column("keys")), _Held(rows.column("kinds"))
+        span = score.max() - score.min()
         quality = (score - score.min()) / span if span > 2.220446049250313e-16 else np.clip(score, 0, 1)
-        quota = shares.sort_values("block")["quota"].to_numpy(float) if len(shares) else np.array([float(budget)])
-        width = float(shares["block_ms"].iloc[0]) if len(shares) else np.inf
+        shares = rows.column("_shares")[0].as_py()
+        quota = np.array([s["quota"] for s in shares], dtype=float) if shares else np.array([float(budget)])
+        width = float(shares[0]["block_ms"]) if shares else np.inf
         block = np.clip(np.floor(peak / width), 0, len(quota) - 1).astype(int)
-        used, likeness, left = np.zeros(len(quota)), np.zeros(len(pdf)), np.ones(len(pdf), dtype=bool)
-        picks, passes, shown = [], [], set()
+        used, likeness, left = np.zeros(len(quota)), np.zeros(len(rows)), np.ones(len(rows), dtype=bool)
+        picks, passes, news, shown = [], [], kinds.sizes.copy(), set()
 
         def pick(pool: np.ndarray, name: str) -> bool:
             nonlocal likeness
@@ -136,31 +137,54 @@ def select_diverse(episodes: DataFrame, quotas: DataFrame, budget: int = 12, bal
                 return False
             over = np.maximum(0, used[block] - np.maximum(0.25, quota[block]) + 1)
             value = (balance * quality + (1 - balance) * (1 - likeness)) / (1 + 0.35 * over) + 0.08 * advised
-            best = int(np.lexsort((np.arange(len(pdf)), -np.round(quality, 9), -np.round(np.where(pool, value, -np.inf), 9)))[0])
+            best = int(np.lexsort((-np.round(quality, 9), -np.round(np.where(pool, value, -np.inf), 9)))[0])
             picks.append(best)
             passes.append(name)
             left[best] = False
             used[block[best]] += 1
-            shown.update(kinds[best])
+            for kind in kinds.of(best):
+                if kind not in shown:
+                    shown.add(kind)
+                    news[kinds.rows(kind)] -= 1
             met = np.maximum(0, np.minimum(end, end[best]) - np.maximum(start, start[best])) / np.maximum(1, np.minimum(end - start, end[best] - start[best]))
-            shared = np.array([0.8 if keys[best] & k else 0.2 if kinds[best] & d else 0.1 for k, d in zip(keys, kinds, strict=True)])
+            shared = np.full(len(rows), 0.1)
+            for held, weight in ((kinds, 0.2), (keys, 0.8)):
+                for value in held.of(best):
+                    shared[held.rows(value)] = weight
             likeness = np.maximum(likeness, np.maximum(met, shared * np.exp(-(((peak - peak[best]) / 90_000) ** 2))))
             return True
 
         while len(picks) < budget - slots and pick(left & eligible, "main"):
             pass
         while len(picks) < budget and left.any():
-            fresh = left & ((used[block] == 0) | np.array([bool(d - shown) for d in kinds], dtype=bool))
+            fresh = left & ((used[block] == 0) | (news > 0))
             if not pick(fresh, "exploration") and not pick(left & eligible, "main"):
                 break
-        out = pdf.loc[picks, ["broadcast_id", "episode", "representative"]].copy()
-        out["pick"], out["pass"] = np.arange(1, len(picks) + 1), passes
-        return out
+        return picks, {"pick": list(range(1, len(picks) + 1)), "pass": passes}
 
-    key, kind = (episodes.schema[c].dataType.simpleString() for c in ("broadcast_id", "representative"))
     own = episodes.select("broadcast_id", "episode", "representative", "start_ms", "end_ms", "peak_ms", "score", "keys", "kinds", "eligible", "recommended")
-    both = own.groupBy("broadcast_id").cogroup(quotas.select("broadcast_id", "block", "quota", "block_ms").groupBy("broadcast_id"))
-    return both.applyInPandas(choose, f"broadcast_id {key}, episode int, representative {kind}, pick int, pass string")
+    shares = quotas.groupBy("broadcast_id").agg(F.array_sort(F.collect_list(F.struct("block", "quota", "block_ms"))).alias("_shares"))
+    return pick_rows(own.join(shares, "broadcast_id", "left"), "broadcast_id", [F.asc_nulls_last("peak_ms"), F.asc_nulls_last("representative")], ["broadcast_id", "episode", "representative"], choose, {"pick": pa.int32(), "pass": pa.string()})
+
+
+class _Held:
+    """Which rows of a column of lists hold a value, and which values a row holds, each once."""
+
+    def __init__(self, lists: pa.ListArray):
+        codes = lists.flatten().dictionary_encode("encode").indices.to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+        both = np.unique(row * (1 + codes.max(initial=0)) + codes)
+        self.row, self.code = both // (1 + codes.max(initial=0)), both % (1 + codes.max(initial=0))
+        self.sizes = np.bincount(self.row, minlength=len(lists))
+        self.cuts = np.append(0, np.cumsum(self.sizes))
+        self.order = np.argsort(self.code, kind="stable")
+        self.begin = np.searchsorted(self.code[self.order], np.arange(2 + codes.max(initial=0)))
+
+    def of(self, row: int) -> list[int]:
+        return self.code[self.cuts[row] : self.cuts[row + 1]].tolist()
+
+    def rows(self, code: int) -> np.ndarray:
+        return self.row[self.order[self.begin[code] : self.begin[code + 1]]]
 
 
 def rank_by_evidence(evidence: DataFrame) -> DataFrame:

@@ -79,3 +79,13 @@ def test_whole_texts_do_not_fill_arrow_batches(spark):
         plan = plans.queries()[name](spark, SF)._jdf.queryExecution().executedPlan()
         udfs = [line for line in plan.toString().splitlines() if "ArrowEvalPython" in line]
         assert "BatchEvalPython" in plan.toString() and not any("nfkc" in line or "cut" in line for line in udfs)
+
+
+def test_many_small_groups_share_arrow_batches(spark):
+    """A broadcast's few dozen rows are not a batch of their own for Python."""
+    from test_queries import SF
+
+    for name in ("refinement_leads", "diverse_selection"):
+        df = plans.queries()[name](spark, SF)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "GroupsIn" not in plan and "CoGroups" not in plan and df.count()
