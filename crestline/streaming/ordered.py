@@ -1,15 +1,19 @@
 """State that takes rows in the order of their event time, whatever micro-batch they come in.
 
-Rows wait in the state of their key until the watermark has passed them; an event-time timer then hands all that have
-become due on in order, and what a key needs to remember is one row of state. What a key remembers ends ``keep_ms`` of event
-time after its last row, by the same timers; a row that comes later than that begins anew. What comes later than the watermark is dropped by Spark
+Rows wait in state until the watermark has passed them; an event-time timer then hands all that have become due on in
+order, and what a key needs to remember is a few values. What a key remembers ends ``keep_ms`` of event time after its last
+row, by the same timers; a row that comes later than that begins anew. What comes later than the watermark is dropped by Spark
 before it gets here: no row can be overtaken by one that was handed on.
 
+Keys are filed by their hash under SHARDS state keys, each with one timer. A call to the state store, a timer and the frames
+that Spark hands over cost some milliseconds for each state key and micro-batch, whatever few rows it has.
+
 Queries with these processors need the RocksDB state store, which ``live.run_to_table`` turns on for them.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,96 +26,123 @@ from ..operators import audio
 
 #: Buckets of a burst's baseline, and how many it needs at least.
 BASELINE, LEAST_BASELINE = 60, 4
-#: Bytes of sound in one piece of state.
+#: Bytes in one piece of state: longer messages to the state store break off.
 PIECE = 4096
+#: State keys that the keys of a stream are filed under.
+SHARDS = 1024
 
 
 class InOrder(StatefulProcessor):
-    """Base: ``place`` names the long column that orders rows of one time, ``inputs`` the others, ``row`` the columns that
-    wait, which ``pack`` makes of them in one piece or several, ``memory`` what a key remembers; ``step`` takes memory and
-    the pieces of a row and gives memory and rows of output. A piece must be a few kilobytes: longer messages to the state
-    store break off."""
+    """Base: ``place`` names the long column that orders rows of one time, ``inputs`` the others; ``pack`` makes of them the
+    values that wait, one list for each row. ``fresh`` is what a key remembers at first; ``step`` takes memory, place and values
+    of a row and gives memory and rows of output."""
 
-    place, inputs, row, memory, columns = "", [], "", "", []
+    place, inputs, columns = "", [], []
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"at long, place long, piece long, {self.row}")
-        self.known = handle.getValueState("known", f"last long, {self.memory}")
+        self.waiting = handle.getListState("waiting", "first boolean, raw binary")
+        self.known = handle.getListState("known", "first boolean, raw binary")
+        self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for part in rows:
-            for at, place, *values in part[["at", self.place, *self.inputs]].itertuples(index=False, name=None):
-                first = int(at) if first is None else min(first, int(at))
-                for piece, row in enumerate(self.pack(*values)):
-                    self.waiting.appendValue((int(at), int(place), piece, *row))
+            if len(part):
+                first = min(int(part["at"].min()), int(part["at"].max()) if first is None else first)
+                keys, at, place = part["name"].tolist(), part["at"].tolist(), part[self.place].tolist()
+                _append(self.waiting, list(zip(keys, at, place, self.pack(*(part[c] for c in self.inputs)), strict=True)))
         if first is not None:
-            self.handle.registerTimer(first)
+            self._wake(first)
         yield pd.DataFrame(columns=self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        # of rows that repeat a time and place the last to come counts
-        entries: dict[tuple, dict] = {}
-        for r in self.waiting.get() if self.waiting.exists() else ():
-            entries.setdefault((r[0], r[1]), {})[r[2]] = tuple(r)
-        due = sorted(k for k in entries if k[0] <= now)
-        last, *memory = self.known.get() if self.known.exists() else (None, *self.fresh())
+        # of rows that repeat a key, time and place the last to come counts
+        entries = {r[:3]: r[3] for part in _parts(self.waiting) for r in part}
+        due = sorted((r for r in entries if r[1] <= now), key=lambda r: r[1:])
+        known = {k: v for part in _parts(self.known) for k, v in part.items()}
         out = []
-        for k in due:
-            pieces = entries.pop(k)
-            if last is not None and k[0] > last + self.keep_ms:
+        for r in due:
+            name, at, place = r
+            last, memory = known.get(name) or (at, self.fresh())
+            if at > last + self.keep_ms:
                 memory = self.fresh()
-            memory, found = self.step(memory, int(k[1]), [pieces[n][3:] for n in sorted(pieces)])
-            out += [(*key, *f) for f in found]
-            last = k[0]
+            memory, found = self.step(memory, int(place), entries.pop(r))
+            known[name] = at, memory
+            out += [(name, *f) for f in found]
+        kept = {k: v for k, v in known.items() if v[0] + self.keep_ms >= now}
         if due:
             self.waiting.clear()
-            for pieces in entries.values():
-                for r in pieces.values():
-                    self.waiting.appendValue(r)
-        if entries:
-            self.handle.registerTimer(min(k[0] for k in entries))
-        if last is not None and last + self.keep_ms >= now:
-            if due:
-                self.known.update((last, *memory))
-            self.handle.registerTimer(last + self.keep_ms + 1)
-        elif self.known.exists():
+            if entries:
+                _append(self.waiting, [(*r, values) for r, values in entries.items()])
+        if due or len(kept) < len(known):
             self.known.clear()
+            if kept:
+                _append(self.known, kept)
+        self.timer.clear()
+        if entries or kept:
+            self._wake(min([r[1] for r in entries] + [last + self.keep_ms + 1 for last, _ in kept.values()]))
         yield pd.DataFrame(out, columns=self.columns)
 
-    def pack(self, *values) -> Iterator[tuple]:
-        yield tuple(map(_plain, values))
+    def _wake(self, at: int) -> None:
+        """One timer for the state key: the earliest."""
+        (before,) = self.timer.get() or (None,)
+        if before is None or at < before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def pack(self, *columns: pd.Series) -> list[tuple]:
+        return [tuple(map(_plain, r)) for r in zip(*(c.tolist() for c in columns), strict=True)]
 
     def fresh(self) -> list:
         raise NotImplementedError
 
-    def step(self, memory: list, place: int, pieces: list[tuple]) -> tuple[list, list[tuple]]:
+    def step(self, memory: list, place: int, values: tuple) -> tuple[list, list[tuple]]:
         raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
+def _append(state, what) -> None:
+    raw = pickle.dumps(what, protocol=5)
+    for at in range(0, len(raw), PIECE):
+        state.appendValue((at == 0, raw[at : at + PIECE]))
+
+
+def _parts(state) -> Iterator:
+    """What was appended, in that order."""
+    held: list[bytes] = []
+    for first, raw in state.get():
+        if first and held:
+            yield pickle.loads(b"".join(held))
+            held = []
+        held.append(bytes(raw))
+    if held:
+        yield pickle.loads(b"".join(held))
+
+
 def _plain(v):
-    return v.item() if isinstance(v, np.generic) else None if v is pd.NaT or v is pd.NA or isinstance(v, float) and np.isnan(v) else v
+    return None if v is pd.NaT or v is pd.NA or isinstance(v, float) and np.isnan(v) else v
 
 
 class Bursts(InOrder):
     """Burst score of each bucket against the 60 before it, the last one left out."""
 
-    place, inputs, row, memory = "bucket", ["n"], "n long", "ring array<long>"
-    columns = ["broadcast_id", "bucket", "n", "score"]
+    place, inputs = "bucket", ["n"]
+    columns = ["name", "bucket", "n", "score"]
 
     def fresh(self):
         return [[]]
 
-    def step(self, memory, place, pieces):
-        n = pieces[0][0]
+    def step(self, memory, place, values):
+        (n,) = values
         ring = list(memory[0])
         base, found = np.array(ring[:-1][-(BASELINE - 1) :], dtype=float), []
         if len(base) >= LEAST_BASELINE:
@@ -123,23 +154,22 @@ class Bursts(InOrder):
 class SoundWindows(InOrder):
     """Feature windows of decoded seconds; the memory is the filter's three values and the last second."""
 
-    place, inputs, row, memory = "i", ["n_channels", "flat"], "n_channels long, samples binary", "before double, passed double, band double, second long"
-    columns = ["broadcast_id", "i", "rms", "peak", "zcr", "speech"]
+    place, inputs = "i", ["n_channels", "flat"]
+    columns = ["name", "i", "rms", "peak", "zcr", "speech"]
 
     def __init__(self, keep_ms: int, rate: int):
         super().__init__(keep_ms)
         self.rate = rate
 
     def pack(self, n_channels, flat):
-        raw = np.asarray(flat, dtype="<f8").tobytes()
-        for at in range(0, len(raw), PIECE):
-            yield int(n_channels), raw[at : at + PIECE]
+        return [(int(n), np.asarray(x, dtype="<f8").tobytes()) for n, x in zip(n_channels, flat, strict=True)]
 
     def fresh(self):
         return [0.0, 0.0, 0.0, -2]
 
-    def step(self, memory, place, pieces):
-        samples = np.frombuffer(b"".join(raw for _, raw in pieces), dtype="<f8").reshape(pieces[0][0], -1)
+    def step(self, memory, place, values):
+        n_channels, raw = values
+        samples = np.frombuffer(raw, dtype="<f8").reshape(n_channels, -1)
         before, passed, band, second = memory
         if place != second + 1:
             before = passed = band = 0.0
@@ -151,14 +181,13 @@ class Edits(InOrder):
     """Edit commands of an item, each checked against the revision that it expects; every command gets its verdict."""
 
     place, inputs = "seq", ["expected_revision", "start_ms", "end_ms"]
-    row, memory = "expected_revision long, start_ms long, end_ms long", "revision long, refused long, start_ms long, end_ms long"
-    columns = ["item", "seq", "status", "revision", "refused", "start_ms", "end_ms"]
+    columns = ["name", "seq", "status", "revision", "refused", "start_ms", "end_ms"]
 
     def fresh(self):
         return [0, 0, None, None]
 
-    def step(self, memory, place, pieces):
-        expected, start_ms, end_ms = pieces[0]
+    def step(self, memory, place, values):
+        expected, start_ms, end_ms = values
         revision, refused, *span = memory
         if expected == revision:
             memory = [revision + 1, refused, start_ms, end_ms]
@@ -169,9 +198,11 @@ class Edits(InOrder):
 
 
 def _run(rows: DataFrame, key: str, late: str, processor: InOrder, schema: str) -> DataFrame:
-    timed = rows.withWatermark("ts", late).select(key, "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), processor.place, *processor.inputs)
-    kind = rows.schema[key].dataType.simpleString()
-    return timed.groupBy(key).transformWithStateInPandas(processor, f"{key} {kind}, {schema}", "append", "eventTime")
+    # as text, a key that is missing does not turn those beside it into floating numbers
+    shard, text = F.pmod(F.xxhash64(key), F.lit(SHARDS)).alias("shard"), F.col(key).cast("string").alias("name")
+    timed = rows.withWatermark("ts", late).select(shard, text, "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), processor.place, *processor.inputs)
+    found = timed.groupBy("shard").transformWithStateInPandas(processor, f"name string, {schema}", "append", "eventTime")
+    return found.withColumn("name", F.col("name").cast(rows.schema[key].dataType)).withColumnRenamed("name", key)
 
 
 def bursts(buckets: DataFrame, late: str = "1 minute", keep_ms: int = 6 * 3_600_000) -> DataFrame:

@@ -102,3 +102,20 @@ def test_sessions_are_written_once_when_they_end(spark, tmp_path):
     live.run_as_it_comes(df, lambda s: live.sessions(s, "60 seconds", "5 minutes"), path, groups=3, disorder_s=100)
     got = spark.read.parquet(f"{path}/batches")
     assert sorted((r["broadcast_id"], r["n"]) for r in got.collect()) == [(b, 5) for b in (1, 2) for _ in range(4)]
+
+
+def test_many_items_share_few_state_keys(spark, tmp_path, monkeypatch):
+    """A timer and some calls for each item took hours; items without a key or a revision leave the others as they are."""
+    monkeypatch.setattr(ordered, "SHARDS", 4)
+    big = 2**60 + 1
+    rows = [(None if i == 7 else big + i, k, None if k == 2 else k, big, big + 1, 1_700_000_000 + 7 * k) for i in range(60) for k in range(4)]
+    df = spark.createDataFrame(rows, "item long, seq long, expected_revision long, start_ms long, end_ms long, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    path = str(tmp_path / "t")
+    live.run_as_it_comes(df, lambda s: ordered.apply_edits(s, "2 minutes", keep_ms=10**15), path, groups=2, disorder_s=20, rocksdb=True)
+    got = spark.read.parquet(f"{path}/batches")
+    wanted = [(i, k, s, r) for i in {r[0] for r in rows} for k, s, r in ((0, "applied", 1), (1, "applied", 2), (2, "stale-revision", 2), (3, "future-revision", 2))]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(map(tuple, got.select("item", "seq", "status", "revision").collect()), key=key) == sorted(wanted, key=key)
+    assert {r["start_ms"] for r in got.collect()} == {big}
+    state = spark.read.format("statestore").option("path", f"{path}/state").option("stateVarName", "timer").load()
+    assert 0 < state.count() <= 4
