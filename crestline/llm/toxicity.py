@@ -37,10 +37,14 @@ K, BLOCK, SOFT = 15, 64, 0.05
 #: What the terms that are not read at first may add to a score, of all that can be added.
 SHARE = 0.01
 _WORD = re.compile(r"[^\W_]+")
+_SPACED = {c: " " for c in range(128) if not chr(c).isalnum()}
 
 
 def terms_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """All that _WORD finds in the lower-cased text; texts of ASCII are split in less than half of its time."""
+    if not text:
+        return []
+    return text.lower().translate(_SPACED).split() if text.isascii() else _WORD.findall(text.lower())
 
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -126,7 +130,9 @@ class BlockMaxIndex:
     def _read(self, begin: np.ndarray, many: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """What some terms' postings add to the score of each example."""
         post = _ranges(begin, many)
-        return np.bincount(self.place[post], self.weight[post] * np.repeat(weights, many), len(self.order))
+        weight = self.weight[post]
+        weight *= np.repeat(weights, many)
+        return np.bincount(self.place[post], weight, len(self.order))
 
 
 @dataclass
@@ -178,9 +184,10 @@ class NearestVotes:
         return float(((weight * self.toxic[examples]).sum() + prior) / (weight.sum() + 1))
 
     def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        known = list(filter(None, map(self.number.get, terms_of(text))))
-        terms, counts = np.unique(np.array(known, dtype=np.int64), return_counts=True)
-        terms, weights = unit(terms - 1, counts, self.idf)
+        found = Counter(terms_of(text))
+        terms = np.fromiter(map(self.number.get, found, itertools.repeat(0)), np.int64, len(found))
+        order = np.argsort(terms)[np.count_nonzero(terms == 0) :]  # words of no example come first, as 0
+        terms, weights = unit(terms[order] - 1, np.fromiter(found.values(), np.int64, len(found))[order], self.idf)
         if not len(terms):
             return self.bare, terms, np.zeros(0, dtype=np.int64)
         scores, examples = self.index.nearest(terms, weights)

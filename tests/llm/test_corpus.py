@@ -804,3 +804,17 @@ def test_joining_links_reach_what_all_pairs_reach(spark, monkeypatch):
     found = {r["node"]: r["root"] for r in connected_components(joined).collect()}
     assert len({t for _, t in rows}) == len(rows) and {d: found.get(d, d) for d in sets} == {d: top(d) for d in sets}
     assert len(links) > 60_000 and sum(compared) < 8_000
+
+
+def test_words_of_ascii_are_split_without_the_pattern(monkeypatch):
+    """Words of every text are found twice in op10; without the pattern they are the same."""
+    every = "".join(f"{chr(c)}a{chr(c)}B9" for c in range(128))
+    assert toxicity.terms_of(every) == toxicity._WORD.findall(every.lower())
+    assert toxicity.terms_of(every + "É\u0130x_1") == toxicity._WORD.findall((every + "É\u0130x_1").lower())
+
+    class Unused:
+        def findall(self, text):
+            raise AssertionError("a text of ASCII went to the pattern")
+
+    monkeypatch.setattr(toxicity, "_WORD", Unused())
+    assert toxicity.terms_of("Some_words, 9-10 x") == ["some", "words", "9", "10", "x"] and toxicity.terms_of(None) == toxicity.terms_of("") == []
