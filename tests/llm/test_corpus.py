@@ -818,3 +818,14 @@ def test_words_of_ascii_are_split_without_the_pattern(monkeypatch):
 
     monkeypatch.setattr(toxicity, "_WORD", Unused())
     assert toxicity.terms_of("Some_words, 9-10 x") == ["some", "words", "9", "10", "x"] and toxicity.terms_of(None) == toxicity.terms_of("") == []
+
+
+def test_texts_of_a_batch_are_measured_a_hundred_at_a_time(monkeypatch):
+    """keep_good held ten thousand texts three times over in every Python worker."""
+    model = quality.fit_trees(np.zeros((0, len(quality.FEATURES))), np.zeros(0), np.zeros(len(quality.FEATURES)))
+    good = " ".join(f"word{k}" for k in range(60))
+    texts, sizes, real = [good, None, "short", ""] * 70 + [good], [], quality._measured
+    monkeypatch.setattr(quality, "_measured", lambda part: sizes.append(len(part)) or real(part))
+    assert quality.passing(pa.array(texts, pa.string()), model).to_pylist() == [t == good for t in texts]
+    assert sizes == [100, 100, 81]
+    assert quality.passing(pa.array([], pa.string()), model).to_pylist() == []
