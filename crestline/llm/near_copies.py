@@ -191,24 +191,39 @@ def _apart(met: DataFrame, classes: DataFrame) -> DataFrame:
 def _to_pivots(met: DataFrame, turn: int, least: float) -> DataFrame:
     """Pairs of each member with one of its shingle, of like size and another class: no more than there are members."""
     like = F.floor(F.log("size") / -math.log(least) + turn / 2).alias("like")  # every second turn cuts between
-    met = met.select("gram", like, "class", F.struct("node", "size", "rest", *PARITY).alias("x"))
-    # the same order in all shingles, so that near copies meet the same pivot in most of them
-    pivots = met.groupBy("gram", "like").agg(F.min_by(F.struct("x", "class"), F.xxhash64(F.lit(turn), "x.node")).alias("v"))
+    met = met.select("gram", like, "class", "shared", F.struct("node", "size", "rest", *PARITY).alias("x"))
+    # the same order in all shingles, so that near copies meet the same pivot in most of them; at first the text with the
+    # least changes, which has most in common with the others, and is near to more of them than they are to each other
+    place = F.xxhash64(F.lit(turn), "x.node")
+    pivots = met.groupBy("gram", "like").agg(F.min_by(F.struct("x", "class"), place if turn else F.struct(-F.col("shared"), place)).alias("v"))
     both = met.join(pivots.select("gram", "like", F.col("v.x").alias("y"), F.col("v.class").alias("other")), ["gram", "like"]).where("class <> other")
     return both.where(_can("x", "y", least, parity=True)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _across(met: DataFrame, least: float) -> DataFrame:
-    """All pairs that can have the similarity and are of two classes; members of one class are not paired."""
-    size = W.partitionBy("gram")
-    groups = met.groupBy("gram", "class").agg(F.min("size").alias("low"), F.max("size").alias("high")).withColumn("n", F.count("*").over(size))
-    groups = stored(groups.select("gram", "n", F.struct("class", "low", "high").alias("x")), "near-groups")
+    """All pairs that can have the similarity and are of two classes; members of one class are not paired.
+
+    Classes meet by their shingles. One that has a single member there is compared by this where they meet, so that only
+    pairs which can be similar are made; the members of others are looked up, first those of the class with fewer.
+    """
+    member = F.struct("node", "size", "rest", *PARITY)
+    groups = met.groupBy("gram", "class").agg(
+        F.min("size").alias("low"), F.max("size").alias("high"), F.max("rest").alias("rest"), F.count("*").alias("many"), F.first(member).alias("one")
+    ).withColumn("n", F.count("*").over(W.partitionBy("gram")))
+    groups = groups.withColumn("one", F.when(F.col("many") == 1, F.col("one")))
+    groups = stored(groups.select("gram", "n", F.struct("class", "low", "high", "rest", "many", "one").alias("x")), "near-groups")
     x, y = _tiled(groups, F.col("n"), F.col("x.class"))
     fit = (F.col("x.high") >= F.col("y.low") * least - 1e-6) & (F.col("y.high") >= F.col("x.low") * least - 1e-6)
-    two = x.join(y, ["gram", "p", "q"]).where("x.class < y.class").where(fit).select("gram", F.col("x.class").alias("c"), F.col("y.class").alias("d"))
-    side = lambda c, x: met.select("gram", F.col("class").alias(c), F.struct("node", "size", "rest", *PARITY).alias(x))
-    both = two.join(side("c", "x"), ["gram", "c"]).join(side("d", "y"), ["gram", "d"])
-    return both.where(_can("x", "y", least, parity=True)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    fit &= F.least("x.rest", "y.rest") >= (F.col("x.low") + F.col("y.low")) * (least / (1 + least)) - 1e-6
+    unknown = lambda *c: reduce(operator.or_, (F.col(k).isNull() for k in c))
+    two = x.join(y, ["gram", "p", "q"]).where("x.many < y.many or x.many = y.many and x.class < y.class").where("x.class <> y.class")
+    two = two.where(fit & (unknown("x.one", "y.one") | _can("x.one", "y.one", least, parity=True)))
+    two = stored(two.select("gram", F.col("x.class").alias("c"), F.col("y.class").alias("d"), F.col("x.one").alias("x"), F.col("y.one").alias("y")), "near-two")
+    side = lambda c, x: met.select("gram", F.col("class").alias(c), member.alias(x))
+    found = two.where("x is null").drop("x").join(side("c", "x"), ["gram", "c"]).where(unknown("y") | _can("x", "y", least, parity=True))
+    found = two.where("x is not null").unionByName(found)
+    last = found.where("y is null").drop("y").join(side("d", "y"), ["gram", "d"]).where(_can("x", "y", least, parity=True))
+    return found.where("y is not null").unionByName(last).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def joining_links(docs: DataFrame, known: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,7 +241,8 @@ def joining_links(docs: DataFrame, known: DataFrame, least: float = LEAST, id_co
         if not turn:
             # an id that stands on several rows has the parities of each of its texts
             odd = parities(docs.join(met.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-            met = stored(met.join(odd.distinct(), "node"), "near-parities")
+            met = met.join(odd.distinct(), "node").withColumn("shared", F.sum("n").over(W.partitionBy("node")))
+            met = stored(met, "near-parities")
         pairs = _to_pivots(met, turn, least) if turn < TURNS else _across(met, least)
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)

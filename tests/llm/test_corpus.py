@@ -806,6 +806,47 @@ def test_joining_links_reach_what_all_pairs_reach(spark, monkeypatch):
     assert len(links) > 60_000 and sum(compared) < 8_000
 
 
+def test_copies_near_the_limit_meet_the_text_with_the_least_changes(spark, monkeypatch):
+    """Copies of one text with one to four words changed: most pairs share rare shingles, few have the similarity."""
+    from crestline.llm import near_copies
+    from crestline.llm.common import connected_components
+
+    monkeypatch.setattr(near_copies, "SHARE", 1)
+    rng = np.random.default_rng(11)
+    base, rows = [f"w{x}" for x in rng.integers(0, 10**6, 100)], []
+    for k in range(400):
+        own = list(base)
+        for j in rng.integers(0, 100, k % 5):
+            own[int(j)] = f"new{k}-{j}"
+        rows.append((1000 - k, " ".join(own)))
+    sets = {d: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for d, t in dict(reversed(rows)).items()}
+    root = {d: d for d in sets}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            root[max(top(a), top(b))] = min(top(a), top(b))
+    made, kept = {}, near_copies.stored
+
+    def counting(df, name):
+        out = kept(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "stored", counting)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    joined = near_copies.joining_links(docs, spark.createDataFrame([], "a long, b long"))
+    reached = {r["node"]: r["root"] for r in connected_components(joined).collect()}
+    # the same text stands under many ids: their least stands for all
+    least = {t: min(d for d, x in rows if x == t) for _, t in rows}
+    assert {d: reached.get(d, d) for d in least.values()} == {d: min(least[t] for x, t in rows if top(x) == top(d)) for d in least.values()}
+    assert len(set(reached.values())) < len(least) and made["near-pairs"] < 3_000, made
+
+
 def test_words_of_ascii_are_split_without_the_pattern(monkeypatch):
     """Words of every text are found twice in op10; without the pattern they are the same."""
     every = "".join(f"{chr(c)}a{chr(c)}B9" for c in range(128))
