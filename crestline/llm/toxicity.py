@@ -50,7 +50,9 @@ def terms_of(text: str | None) -> list[str]:
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... with counts[0] members, then those of the next."""
     ends = np.cumsum(counts)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+    found = np.repeat(starts - ends + counts, counts)
+    found += np.arange(len(found))
+    return found
 
 
 class BlockMaxIndex:
@@ -116,7 +118,9 @@ class BlockMaxIndex:
         else:
             self.query[terms] = weights
             held = _ranges(self.cuts[near], sizes)
-            total = np.append(0.0, np.cumsum(self.query[self.held_terms[held]] * self.held_weights[held]))
+            gain = self.query.take(self.held_terms.take(held))
+            gain *= self.held_weights.take(held)
+            total = np.append(0.0, np.cumsum(gain))
             self.query[terms] = 0.0
             ends = np.cumsum(sizes)
             score = total[ends] - total[ends - sizes]
@@ -130,9 +134,9 @@ class BlockMaxIndex:
     def _read(self, begin: np.ndarray, many: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """What some terms' postings add to the score of each example."""
         post = _ranges(begin, many)
-        weight = self.weight[post]
+        weight = self.weight.take(post)
         weight *= np.repeat(weights, many)
-        return np.bincount(self.place[post], weight, len(self.order))
+        return np.bincount(self.place.take(post), weight, len(self.order))
 
 
 @dataclass
