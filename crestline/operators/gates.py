@@ -77,7 +77,9 @@ def frame_times(start: Column, end: Column) -> Column:
 def event_windows(candidates: DataFrame, width_ms: int = 10_000) -> DataFrame:
     """Windows before, near and after each peak, inside the source, each once."""
     starts = F.array(*(F.struct(F.lit(n).alias("phase"), (F.col("peak_ms") + d).alias("s")) for n, d in (("before", -15_000), ("near", -5_000), ("after", 5_000))))
-    rows = candidates.select("broadcast_id", "id", "duration_ms", F.explode(starts).alias("w"))
+    # dealt before there are three rows of each, so that a task sends a third of them
+    dealt = candidates.select("broadcast_id", "id", "duration_ms", "peak_ms").repartition("broadcast_id", "id")
+    rows = dealt.select("broadcast_id", "id", "duration_ms", F.explode(starts).alias("w"))
     start = N.clamp(F.col("w.s"), 0, F.greatest(F.lit(0), F.col("duration_ms") - width_ms))
     rows = rows.select("broadcast_id", "id", F.col("w.phase").alias("phase"), start.cast("long").alias("start_ms"), F.least(F.col("duration_ms"), start + width_ms).cast("long").alias("end_ms"))
     order = W.partitionBy("broadcast_id", "id", "start_ms").orderBy(F.when(F.col("phase") == "near", 0).when(F.col("phase") == "before", 1).otherwise(2))
